@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import chat, licenses, packing, sharding
+from timberline.llm import chat, licenses, packing, quality, sharding, toxicity
 from timberline.llm.tables import table
 
 
@@ -49,6 +49,29 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    _, scorer = quality.train(docs)
+    return quality.score(docs, scorer, ["doc_id"]).withColumn("kept", F.col("score") >= quality.THRESHOLD)
+
+
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that may be learnt from."""
+    labels = table(spark, sf_dir, "labels", "doc_id", F.col("toxic").alias("label"))
+    return labels.where(toxicity.remainder(F.col("doc_id"), 3) != 1)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, toxic_labels(spark, sf_dir))
+    return toxicity.score(docs, model, ["doc_id"]).select(
+        "doc_id",
+        (toxicity.remainder(F.col("doc_id"), 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -66,6 +89,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_toxicity": op4_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_sharding": op10_sharding,
 }
