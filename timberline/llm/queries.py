@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import chat, licenses, packing, quality, sharding, toxicity
+from timberline.llm import chat, language, licenses, packing, quality, sharding, toxicity
 from timberline.llm.tables import table
 
 
@@ -82,6 +82,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file())
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    net = language.fit(docs.where(toxicity.remainder(F.col("doc_id"), 5) != 0).select("text", "lang"))
+    out = language.identify(docs.select("doc_id", "text"), net, ["doc_id"])
+    return out.select("doc_id", (toxicity.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents", "doc_id", "source"), "doc_id")
 
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_toxicity": op4_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_language_id": op7_language_id,
     "op10_sharding": op10_sharding,
 }
 
