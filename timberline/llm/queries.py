@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import chat, language, licenses, packing, quality, sharding, toxicity
+from timberline.llm import chat, language, licenses, neardup, packing, quality, sharding, toxicity
 from timberline.llm.tables import table
 
 
@@ -89,6 +89,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (toxicity.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents", "doc_id", "source"), "doc_id")
 
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
+    "op8_minhash_neardup": op8_minhash_neardup,
     "op10_sharding": op10_sharding,
 }
 
