@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import chat, language, licenses, neardup, packing, quality, sharding, toxicity
+from timberline.llm import chat, decontamination, language, licenses, neardup, packing, quality, sharding, toxicity
 from timberline.llm.tables import table
 
 
@@ -93,6 +93,10 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents", "doc_id", "source"), "doc_id")
 
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op8_minhash_neardup": op8_minhash_neardup,
+    "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
 
