@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import chat, decontamination, language, licenses, neardup, packing, quality, sharding, toxicity
+from timberline.llm import chat, decontamination, language, licenses, neardup, neighbours, packing, quality, sharding, toxicity
 from timberline.llm.tables import table
 
 
@@ -72,6 +72,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_toxicity": op4_toxicity,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op8_minhash_neardup": op8_minhash_neardup,
