@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from timberline.session import read_table
+
 #: Used only where the session names no shared checkpoint folder (tests).
 LOCAL_SCRATCH = "/tmp/checkpoints/timberline"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = read_table(spark, sf_dir, name)
     return df.select(*columns) if columns else df
 
 
