@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from timberline.plans import profiling
+
+_FAMILIES = (profiling,)
+
+QUERIES: dict = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
+ORACLE: dict = {name: sql for family in _FAMILIES for name, sql in family.ORACLE.items()}
