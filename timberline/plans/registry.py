@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from timberline.plans import preparing, profiling, splitting
+from timberline.plans import metrics, preparing, profiling, scalars, splitting
 
-_FAMILIES = (profiling, preparing, splitting)
+_FAMILIES = (profiling, preparing, splitting, metrics, scalars)
 
 QUERIES: dict = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLE: dict = {name: sql for family in _FAMILIES for name, sql in family.ORACLE.items()}
