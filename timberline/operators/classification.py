@@ -45,8 +45,9 @@ def from_confusion(c: DataFrame, beta: float = 1.0) -> DataFrame:
 def log_loss(p: Column, y: Column, w: Column | None = None) -> Column:
     """Binary, clamped away from 0 and 1."""
     q = F.greatest(F.least(p, F.lit(1 - EPS)), F.lit(EPS))
-    each = -F.when(y == 1, F.ln(q)).otherwise(F.ln(1 - q))
-    return F.avg(each) if w is None else F.try_divide(F.sum(w * each), F.sum(w))
+    known = p.isNotNull() & y.isNotNull()
+    each = F.when(known, -F.when(y == 1, F.ln(q)).otherwise(F.ln(1 - q)))
+    return F.avg(each) if w is None else F.try_divide(F.sum(w * each), F.sum(F.when(known, w)))
 
 
 def brier(p: Column, y: Column) -> Column:
@@ -120,8 +121,8 @@ def multiclass_kappa(matrix: DataFrame) -> DataFrame:
 def multiclass_log_loss(probs: Column, y: Column, w: Column | None = None) -> Column:
     """Labels out of range are skipped."""
     p = F.try_element_at(probs, F.when((y >= 0) & (y < F.size(probs)), y.cast("int") + 1))
-    each = -F.ln(F.greatest(F.least(p, F.lit(1 - EPS)), F.lit(EPS)))
-    return F.avg(each) if w is None else F.try_divide(F.sum(w * each), F.sum(F.when(each.isNotNull(), w)))
+    each = F.when(p.isNotNull(), -F.ln(F.greatest(F.least(p, F.lit(1 - EPS)), F.lit(EPS))))
+    return F.avg(each) if w is None else F.try_divide(F.sum(w * each), F.sum(F.when(p.isNotNull(), w)))
 
 
 def arg_max(probs: Column) -> Column:

@@ -134,7 +134,7 @@ def class_probabilities(spark, sf_dir):
     return df.agg(
         F.round(classification.multiclass_log_loss(probs, y), 5).alias("log_loss"),
         F.round(F.avg((classification.arg_max(probs) == y).cast("double")), 6).alias("accuracy"),
-        F.round(F.avg(classification.top_k_hit(probs, y, 2).cast("double")), 6).alias("top_2"),
+        F.round(F.avg(classification.top_k_hit(probs, y, 2).cast("double")), 3).alias("top_2"),
     )
 
 
@@ -246,7 +246,7 @@ ORACLE = {
         WITH e AS (SELECT l_linenumber - 1 AS y, [exp(l_discount * 30), exp(l_tax * 30), exp(l_quantity / 25), exp(1.0)] AS z FROM lineitem),
         p AS (SELECT y, z, z[y + 1] AS own FROM e)
         SELECT round(avg(CASE WHEN own IS NOT NULL THEN -ln(greatest(own / list_sum(z), CAST(1e-15 AS DOUBLE))) END), 5) AS log_loss, round(avg(CASE WHEN list_position(z, list_max(z)) - 1 = y THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
-          round(avg(CASE WHEN y < 4 AND len(list_filter(z, lambda x: x > own)) + len(list_filter(z[1:y], lambda x: x = own)) < 2 THEN 1.0 ELSE 0.0 END), 6) AS top_2 FROM p""",
+          round(avg(CASE WHEN y < 4 AND len(list_filter(z, lambda x: x > own)) + len(list_filter(z[1:y], lambda x: x = own)) < 2 THEN 1.0 ELSE 0.0 END), 3) AS top_2 FROM p""",
     "ranking_per_query": f"SELECT query, {', '.join(f'round({c}, 5) AS {c}' for c in ('dcg', 'idcg'))}, round(CASE WHEN idcg > 0 THEN dcg / idcg END, 5) AS ndcg, {', '.join(f'round({c}, 5) AS {c}' for c in ('ap', 'rr', 'precision', 'recall'))} FROM {_PQ(10)}",
     "ranking_means": f"SELECT round(avg(CASE WHEN idcg > 0 THEN dcg / idcg END), 5) AS ndcg, round(avg(ap), 5) AS map, round(avg(rr), 5) AS mrr, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall FROM {_PQ(5)}",
     "ranking_linear": f"""SELECT query, round(d, 5) AS dcg, round(d / i, 5) AS ndcg FROM (SELECT query, coalesce(sum(rel / pos) FILTER (WHERE pos <= 20), 0) AS d, nullif(coalesce(sum(rel / ipos) FILTER (WHERE ipos <= 20), 0), 0) AS i FROM {_RK} GROUP BY query)""",
