@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from timberline.plans import metrics, models, preparing, profiling, scalars, splitting
+from timberline.plans import metrics, models, preparing, profiling, reading, scalars, splitting
 
-_FAMILIES = (profiling, preparing, splitting, metrics, scalars, models)
+_FAMILIES = (profiling, preparing, splitting, metrics, scalars, models, reading)
 
 QUERIES: dict = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLE: dict = {name: sql for family in _FAMILIES for name, sql in family.ORACLE.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from pathlib import Path
 
@@ -30,13 +32,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 LOCAL_SCRATCH = "/tmp/checkpoints/timberline"
 
 
+_FOLDERS: set[str] = set()
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = LOCAL_SCRATCH
         spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/timberline-{spark.sparkContext.applicationId}"
+    path = f"{shared.rstrip('/')}/timberline-{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(_drop_at_exit, spark)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -56,3 +65,9 @@ def drop_scratch(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    """The folder goes with the driver, unless its JVM is gone already."""
+    with contextlib.suppress(Exception):
+        drop_scratch(spark)
