@@ -37,15 +37,23 @@ _SIZES = [64 * (k + 1) // _BLOCKS - 64 * k // _BLOCKS for k in range(_BLOCKS)]
 
 def shingles(text: Column) -> Column:
     """``array<long>``: hashes of the word shingles of a text in order; fewer words than five are one shingle."""
-    words = F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    clean = F.trim(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
+    words = F.split(clean, r"[\x20\x09-\x0D]+")
+    five = lambda w, i: F.xxhash64(*[w[i + k] for k in range(WORDS)])
     return F.transform(
         F.array(words),
-        lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>"))
-        .when(F.size(w) < WORDS, F.array(F.xxhash64(F.array_join(w, " "))))
-        .otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - (WORDS - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, WORDS), " ")))),
+        lambda w: F.when(F.size(w) >= WORDS, F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: five(w, i)))
+        .when(w[0] != "", F.array(F.xxhash64(F.array_join(w, " "))))
+        .otherwise(F.array().cast("array<bigint>")),
     )[0]
 
 
+def numbered(hashes: str) -> Column:
+    """The hashes with repeats told apart by their number, so that sets of them count as bags."""
+    again = F.transform(hashes, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(hashes, 1, i), lambda x: x == h))))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.transform(hashes, lambda h: F.xxhash64(h, F.lit(0)))).otherwise(again)
+
+
 def simhash(hashes: str, size: str) -> Column:
     """64-bit SimHash of an array of hashes: each bit is set where most hashes have it.
 
@@ -69,10 +77,10 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def item_fingerprints(benchmark: DataFrame) -> DataFrame:
-    """``item_id, size, item_shingles, item_print`` of every item with a word."""
+    """``item_id, size, item_shingles, item_print, item_bag`` of every item with a word."""
     items = benchmark.select("item_id", shingles(F.col("text")).alias("item_shingles"))
     items = items.withColumn("size", F.size("item_shingles")).where("size > 0")
-    return items.withColumn("item_print", simhash("item_shingles", "size"))
+    return items.withColumn("item_print", simhash("item_shingles", "size")).withColumn("item_bag", numbered("item_shingles"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -112,10 +120,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     seen = seen.select("doc_id", "s", F.explode("windows").alias("w"))
     seen = seen.select("doc_id", F.col("w.size").alias("size"), F.col("w.start").alias("start"), F.expr("slice(s, w.start + 1, w.size)").alias("window_shingles"))
     seen = seen.withColumn("held", F.size("window_shingles"))
-    seen = materialize(seen.withColumn("print", simhash("window_shingles", "held")), "prints")
+    seen = seen.withColumn("print", simhash("window_shingles", "held")).withColumn("window_bag", numbered("window_shingles"))
+    seen = materialize(seen.drop("window_shingles"), "prints")
 
     # every pair within the radius, once, by its first equal block
-    index = items.select("item_id", "size", "item_shingles", "item_print", F.posexplode(_blocks("item_print")).alias("block", "bits"))
+    index = items.select("item_id", "size", "item_bag", "item_print", F.posexplode(_blocks("item_print")).alias("block", "bits"))
     cut = seen.select("*", F.posexplode(_blocks("print")).alias("block", "bits"))
     pairs = cut.join(_small(index), ["size", "block", "bits"])
     first = F.array_position(F.transform(_blocks("(print ^ item_print)"), lambda b: (b == 0).cast("int")), 1) - 1
@@ -123,11 +132,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     pairs = pairs.where((hamming <= RADIUS) & (first == F.col("block")))
 
     # weighted shingle similarity
-    common = F.aggregate(
-        F.array_distinct("item_shingles"),
-        F.lit(0),
-        lambda acc, h: acc + F.least(F.size(F.filter("item_shingles", lambda x: x == h)), F.size(F.filter("window_shingles", lambda x: x == h))),
-    )
+    common = F.size(F.array_intersect("item_bag", "window_bag"))
     scored = pairs.select("doc_id", "item_id", "start", "size", "held", hamming.cast("int").alias("hamming"), common.alias("common"))
     value = F.col("common") / (F.col("size") + F.col("held") - F.col("common"))
     scored = scored.withColumn("similarity", value).where(F.col("similarity") >= similarity)
