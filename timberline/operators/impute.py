@@ -138,14 +138,15 @@ def random_fill(df: DataFrame, target: str, key: list[str], seed: int = 0) -> Da
     """
     from timberline.operators.ordering import running_sums
 
-    counts = df.select(valid(target).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    ranked = running_sums(counts, [], "v", {"before": F.col("n")})
-    total = counts.agg(F.sum("n").alias("__total"))
-    numbered = df.crossJoin(F.broadcast(total)).withColumn("__draw", F.when(valid(target).isNull(), F.pmod(F.xxhash64(*key, F.lit(seed)), F.col("__total"))))
-    slices = ranked.select("before", (F.col("before") + F.col("n")).alias("upto"), "v")
-    # one value has many draws: ranges of draws meet values by a coarse cell of both
+    counts = df.select(valid(target).alias("__v")).where("__v is not null").groupBy("__v").agg(F.count("*").alias("__n"))
+    ranked = running_sums(counts, [], "__v", {"__below": F.col("__n")})
+    total = counts.agg(F.sum("__n").alias("__total"))
+    drawn = df.crossJoin(F.broadcast(total)).withColumn("__draw", F.when(valid(target).isNull(), F.pmod(F.xxhash64(*key, F.lit(seed)), F.col("__total"))))
+    # draws meet values in a coarse cell of the cumulative count that holds both
     width = F.greatest(F.ceil(F.col("__total") / 1024), F.lit(1))
-    cells = slices.crossJoin(F.broadcast(total)).select("before", "upto", "v", F.explode(F.sequence(F.floor(F.col("before") / width), F.floor((F.col("upto") - 1) / width))).alias("__cell"))
-    drawn = numbered.withColumn("__cell", F.floor(F.col("__draw") / width))
-    joined = drawn.join(cells, (drawn["__cell"] == cells["__cell"]) & (F.col("__draw") >= F.col("before")) & (F.col("__draw") < F.col("upto")), "left")
-    return joined.select(*[F.coalesce(valid(target), F.col("v")).alias(c) if c == target else F.col(f"`{c}`") for c in df.columns])
+    last = F.floor((F.col("__below") + F.col("__n") - 1) / width)
+    cells = ranked.crossJoin(F.broadcast(total)).select("__below", "__n", "__v", F.explode(F.sequence(F.floor(F.col("__below") / width), last)).alias("__cell"))
+    drawn = drawn.withColumn("__at", F.floor(F.col("__draw") / width))
+    inside = (F.col("__at") == F.col("__cell")) & (F.col("__draw") >= F.col("__below")) & (F.col("__draw") < F.col("__below") + F.col("__n"))
+    joined = drawn.join(cells, inside, "left")
+    return joined.select(*[F.coalesce(valid(target), F.col("__v")).alias(c) if c == target else F.col(f"`{c}`") for c in df.columns])
