@@ -3,10 +3,11 @@
 Every tree of the forest orders the texts by a signature of its own.  Texts
 whose signatures start alike form a region of the order; a region that is too
 crowded is cut again by a longer prefix, so each region has a depth of its own.
-Texts of one region are candidates of each other, in two steps: first each
-with the region's first text, and then, of the texts that are not yet known to
-be connected, each with all others.  Every link is confirmed on the texts' full
-shingle sets.  Groups are the connected components.
+Texts of one region are candidates of each other, in three steps: first each
+with the region's first text; then, of those not yet known to be connected,
+neighbours in the tree's order, which share the longest prefixes; and last each
+of those still not connected with all others.  Every link is confirmed on the
+texts' full shingle sets.  Groups are the connected components.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from timberline.llm.components import connected_components
 from timberline.llm.shingles import mixed, shingle_set, words
@@ -33,8 +35,8 @@ CROWDED = 256
 PERCENT = 75
 #: Signature values of 128 (two bits of each) that must agree for a pair to be
 #: read: a pair of similarity 0.75 has 104 on average, and fewer than this with
-#: probability under 1e-5.
-AGREE = 84
+#: probability 0.0001, half of what the forest itself may miss.
+AGREE = 88
 #: Row numbers of so many documents are sent to all tasks at most; more are joined by shuffling.
 BROADCAST_IDS = 200_000
 
@@ -64,7 +66,7 @@ def _keys(signatures: np.ndarray) -> np.ndarray:
         total = mixed(total * np.uint64(0xA0761D6478BD642F) + parts[:, :, k] + np.uint64(k))
         if k + 1 in DEPTHS:
             out.append(total)
-    return np.stack(out, axis=2).reshape(len(signatures), -1).view(np.int64)
+    return np.stack(out, axis=2).reshape(len(signatures), TREES * len(DEPTHS)).view(np.int64)
 
 
 def _sketches(signatures: np.ndarray) -> np.ndarray:
@@ -114,7 +116,11 @@ def _agreement(a: str, b: str) -> Column:
 
 
 def regions(reps: DataFrame) -> DataFrame:
-    """``region, crowded, id, s0..s3``: the regions of two texts or more of all trees."""
+    """``region, n, id, s0..s3, deep``: the regions of ``n`` texts, two or more, of all trees.
+
+    ``deep`` holds the keys of longer prefixes; rows sorted by it stand in the
+    tree's order within a region.
+    """
     levels = len(DEPTHS)
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = reps.select("id", "keys", "sketch", tree).select(
@@ -128,7 +134,8 @@ def regions(reps: DataFrame) -> DataFrame:
         rows = materialize(rows.join(counts, f"k{k}"), f"regions-{k}")
         last = k == levels - 1
         kept = rows if last else rows.where(F.col("n") <= CROWDED)
-        done.append(kept.select(F.col(f"k{k}").alias("region"), (F.col("n") > CROWDED).alias("crowded"), "id", "s0", "s1", "s2", "s3"))
+        deep = F.array(*[F.col(f"k{j}") for j in range(k + 1, levels)]).cast("array<bigint>").alias("deep")
+        done.append(kept.select(F.col(f"k{k}").alias("region"), "n", "id", "s0", "s1", "s2", "s3", deep))
         rows = rows.where(F.col("n") > CROWDED).drop("n")
     out = done[0]
     for part in done[1:]:
@@ -194,15 +201,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(confirmed(stars, docs).unionByName(same.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))), "confirmed")
     component = materialize(connected_components(links), "components")
 
-    # second step: within regions, whatever is not connected yet
-    labelled = region.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    labelled = materialize(labelled, "labelled")
-    rest = _unconnected(labelled)
-    rest = materialize(rest.distinct(), "rest")
-    if rest.limit(1).count():
-        more = materialize(confirmed(rest, docs), "confirmed")
+    # second and third step: within regions, whatever is not connected yet
+    for candidates in (_in_order, _linked_in_regions):
+        labelled = region.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        more = materialize(candidates(_mixed(labelled), docs), "confirmed")
         if more.limit(1).count():
-            component = materialize(connected_components(links.unionByName(more)), "components")
+            links = links.unionByName(more)
+            component = materialize(connected_components(links), "components")
 
     groups = classes.select("fp1", "fp2", "id").join(component.select(F.col("node").alias("id"), "component"), "id", "left")
     groups = groups.select("fp1", "fp2", F.coalesce("component", "id").alias("component_id"))
@@ -211,17 +216,102 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
 
 
-def _unconnected(labelled: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of one region, alike by their sketches, in different components."""
-    mixed_up = labelled.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("region", "lo")
-    open_rows = labelled.join(mixed_up, "region")
-    left = open_rows.select("region", "crowded", F.col("id").alias("a"), F.col("c").alias("ca"), "lo", *[f"s{k}" for k in range(4)])
-    right = open_rows.select("region", F.col("id").alias("b"), F.col("c").alias("cb"), *[F.col(f"s{k}").alias(f"t{k}") for k in range(4)])
-    alike = _agreement("s", "t") >= AGREE
-    small = left.where("not crowded").join(right, "region").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike)
-    # a crowded region: only what is outside its first component is compared with all, dealt to many tasks
-    parts = 64
-    part = F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")
-    outside = left.where("crowded and ca <> lo").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    crowd = outside.join(right.withColumn("part", part), ["region", "part"]).where((F.col("ca") != F.col("cb")) & alike)
-    return small.select("a", "b").unionByName(crowd.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+#: Texts of a block; a region's texts are compared block by block.
+BLOCK = 512
+
+
+def _parts() -> Column:
+    """Blocks of a region; one, but for crowded regions."""
+    return F.ceil(F.col("n") / BLOCK).cast("int")
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("id"), _parts()).cast("int")
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """The rows of regions that hold more than one component ``c``."""
+    several = labelled.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("region")
+    return materialize(labelled.join(several, "region"), "labelled")
+
+
+def _in_order(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links ``a, b`` between neighbours in a region's order that lie in different components."""
+    order = Window.partitionBy("region", "part").orderBy("deep", "id")
+    names = ["id", "c", "s0", "s1", "s2", "s3"]
+    before = rows.withColumn("part", _part()).select(*names, F.lag(F.struct(*names)).over(order).alias("p"))
+    pairs = before.where("p is not null and p.c <> c").select("id", F.col("p.id").alias("other"), *[f"s{k}" for k in range(4)], *[F.col(f"p.s{k}").alias(f"t{k}") for k in range(4)])
+    pairs = pairs.where(_agreement("s", "t") >= AGREE).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    return confirmed(materialize(pairs, "pairs"), docs)
+
+
+def _linked_in_regions(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links ``a, b`` that connect components of one region, of all its texts.
+
+    A text takes part if its sketch is like that of a text of another component
+    in the region.  The texts that take part are compared in blocks, so a task
+    holds two blocks whatever the region's size, and gives back only links that
+    join components it has not joined yet: no pair of texts is ever a row.
+    """
+    spread = F.explode(F.sequence(F.lit(0), _parts() - 1))
+    left = rows.select("region", "id", "c", *[f"s{k}" for k in range(4)], spread.alias("part"))
+    right = rows.select("region", _part().alias("part"), F.col("c").alias("d"), *[F.col(f"s{k}").alias(f"t{k}") for k in range(4)])
+    met = (left["region"] == right["region"]) & (left["part"] == right["part"]) & (F.col("c") != F.col("d")) & (_agreement("s", "t") >= AGREE)
+    asked = materialize(left.join(right, met, "left_semi").select("region", "id", "c").distinct(), "asked")
+    ids = materialize(asked.select(F.col("id").alias("doc_id")).distinct(), "read")
+    texts = by_ids(docs.select("doc_id", "text"), ids, "left_semi").distinct().select(F.col("doc_id").alias("id"), "text")
+
+    sizes = asked.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = asked.join(sizes, "region").withColumn("own", F.pmod(F.xxhash64("id", "region"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = own.select("region", "id", "c", "own", other).select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "c")
+    dealt = dealt.join(texts, "id").select("region", "i", "j", "id", "c", "text")
+    dealt = dealt.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, labels, sets = None, [], [], []
+
+        def links() -> pa.RecordBatch:
+            found = list(_joining(ids, labels, sets))
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            own_ids, own_labels = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for row, each in words(batch.column(5)):
+                if keys[row] != key:
+                    if len(ids) > 1:
+                        yield links()
+                    key, ids, labels, sets = keys[row], [], [], []
+                ids.append(own_ids[row])
+                labels.append(own_labels[row])
+                sets.append(shingle_set(each))
+        if len(ids) > 1:
+            yield links()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _joining(ids: list[int], labels: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links between sets of different labels, each joining two labels not joined before."""
+    root = {c: c for c in labels}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    sizes = np.array([len(s) for s in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    for i, own in enumerate(sets):
+        lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        count = hi - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        common = np.bincount(owner[at], minlength=len(sets))
+        for j in np.flatnonzero(100 * common >= PERCENT * (sizes[i] + sizes - common)):
+            if j < i and find(labels[i]) != find(labels[j]):
+                root[find(labels[i])] = find(labels[j])
+                yield ids[i], ids[j]
