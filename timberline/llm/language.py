@@ -8,6 +8,7 @@ is cut into windows whole, and its windows' log chances are averaged.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ EMBEDDING = 8
 #: Labelled texts of each language that the network is fitted on, and windows of each text, at most.
 PER_LANGUAGE = 1000
 WINDOWS_PER_TEXT = 4
+#: Steps of training at least; a small sample is gone through more often.
+LEAST_STEPS = 400
 
 #: Kinds of bytes the network tells apart: white space and other ASCII signs, letters without case, other bytes.
 KINDS = 160
@@ -92,8 +95,13 @@ def log_chances(net: Network, tables: list[list[np.ndarray]], kinds: np.ndarray)
 
 
 def train_network(kinds: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 6, batch: int = 64, seed: int = 7) -> Network:
-    """Adam on the cross entropy; only the largest answer of a filter passes its gradient on."""
+    """Adam on the cross entropy; only the largest answer of a filter passes its gradient on.
+
+    ``epochs`` is raised where the windows are so few that it would give less
+    than LEAST_STEPS steps.
+    """
     rng = np.random.default_rng(seed)
+    epochs = max(epochs, math.ceil(LEAST_STEPS / math.ceil(len(labels) / batch)))
     k = len(languages)
     p: dict[str, np.ndarray] = {"e": rng.normal(0, 0.5, (KINDS, EMBEDDING))}
     for w in WIDTHS:
