@@ -155,16 +155,22 @@ def train_network(kinds: np.ndarray, labels: np.ndarray, languages: list[str], e
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
-    """Fit on ``docs(text, lang)``: at most ``per_language`` texts a language, picked by a hash of the text.
+    """Fit on ``docs(text, lang)``: at most ``per_language`` different texts a language, of least hash.
 
     Of each text up to WINDOWS_PER_TEXT windows, spread over it, reach the
     driver.  Rows with a null language or text, or a text without a letter,
     take no part.  Without any labelled text there is no network: None.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    picked = usable.select("lang", F.xxhash64("text").alias("pick"))
+    picked = usable.select("lang", F.xxhash64("text").alias("pick")).distinct()
+    # the least hashes of a language lie in its first slices; only their rows meet in one task
+    slices = picked.groupBy("lang", F.shiftright("pick", 52).alias("slice")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("slice")) - F.col("n")
+    last = slices.withColumn("__before", before).where(F.col("__before") < per_language).groupBy("lang").agg(F.max("slice").alias("last"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("pick"))
-    picked = picked.withColumn("__rank", rank).where(F.col("__rank") <= per_language).select("lang", "pick").distinct()
+    # one row a language, as many as the network has answers
+    first = picked.join(F.broadcast(last), "lang").where(F.shiftright("pick", 52) <= F.col("last")).select("lang", "pick")
+    picked = first.withColumn("__rank", rank).where(F.col("__rank") <= per_language).select("lang", "pick")
     # at most per_language small rows a language
     sample = usable.select("lang", F.xxhash64("text").alias("pick"), F.col("text").cast("string").alias("text"))
     sample = sample.join(F.broadcast(picked), ["lang", "pick"]).select("lang", "pick", "text")
