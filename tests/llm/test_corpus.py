@@ -177,6 +177,22 @@ def test_crowded_regions_are_cut_and_compared_in_blocks(spark, monkeypatch):
     assert sum(got[d] != want[d] for d in want) <= 2  # shallow regions are gone, so the forest may miss a pair at the edge
 
 
+def test_crowded_regions_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CROWDED", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rng, rows = random.Random(11), []
+    for _ in range(100):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        changed = list(text)
+        changed[0], changed[30] = "other", "another"
+        rows += [" ".join(text), " ".join(changed)]
+    rows = list(enumerate(rows))
+    want, _ = groups(rows)
+    assert len(set(want.values())) == 100
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (2, None), (3, "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 20_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

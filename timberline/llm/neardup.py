@@ -2,12 +2,15 @@
 
 Every tree of the forest orders the texts by a signature of its own.  Texts
 whose signatures start alike form a region of the order; a region that is too
-crowded is cut again by a longer prefix, so each region has a depth of its own.
-Texts of one region are candidates of each other, in three steps: first each
+crowded is also cut again by a longer prefix, down to regions that are small.
+Texts of one region are candidates of each other, in four steps: first each
 with the region's first text; then, of those not yet known to be connected,
-neighbours in the tree's order, which share the longest prefixes; and last each
-of those still not connected with all others.  Every link is confirmed on the
-texts' full shingle sets.  Groups are the connected components.
+neighbours in the tree's order, which share the longest prefixes; then each of
+those still not connected with all others of its small regions; and last, what
+that left apart, with all others of its crowded regions.  So every pair with a
+common prefix of the least length is compared or known to be connected.  Every
+link is confirmed on the texts' full shingle sets.  Groups are the connected
+components.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from timberline.llm.tables import materialize
 #: probability 0.9998.
 TREES = 16
 DEPTHS = (3, 4, 6, 8)
-#: Texts from which a region is cut by a longer prefix.
+#: Texts up to which a region is compared before its texts are cut by a longer prefix.
 CROWDED = 256
 #: A link needs 100 * common >= 75 * all.
 PERCENT = 75
@@ -116,10 +119,12 @@ def _agreement(a: str, b: str) -> Column:
 
 
 def regions(reps: DataFrame) -> DataFrame:
-    """``region, n, id, s0..s3, deep``: the regions of ``n`` texts, two or more, of all trees.
+    """``region, n, id, s0..s3, deep, wide``: the regions of ``n`` texts, two or more, of all trees.
 
     ``deep`` holds the keys of longer prefixes; rows sorted by it stand in the
-    tree's order within a region.
+    tree's order within a region.  ``wide`` regions are the crowded ones of the
+    shortest prefix; the texts of each stand in longer ones too, as far as
+    these hold two.
     """
     levels = len(DEPTHS)
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
@@ -132,10 +137,11 @@ def regions(reps: DataFrame) -> DataFrame:
     for k in range(levels):
         counts = rows.groupBy(f"k{k}").agg(F.count("*").alias("n")).where("n > 1")
         rows = materialize(rows.join(counts, f"k{k}"), f"regions-{k}")
-        last = k == levels - 1
-        kept = rows if last else rows.where(F.col("n") <= CROWDED)
+        first, last = k == 0, k == levels - 1
+        kept = rows if first or last else rows.where(F.col("n") <= CROWDED)
+        wide = (F.col("n") > CROWDED) if first else F.lit(False)
         deep = F.array(*[F.col(f"k{j}") for j in range(k + 1, levels)]).cast("array<bigint>").alias("deep")
-        done.append(kept.select(F.col(f"k{k}").alias("region"), "n", "id", "s0", "s1", "s2", "s3", deep))
+        done.append(kept.select(F.col(f"k{k}").alias("region"), "n", "id", "s0", "s1", "s2", "s3", deep, wide.alias("wide")))
         rows = rows.where(F.col("n") > CROWDED).drop("n")
     out = done[0]
     for part in done[1:]:
@@ -201,9 +207,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(confirmed(stars, docs).unionByName(same.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))), "confirmed")
     component = materialize(connected_components(links), "components")
 
-    # second and third step: within regions, whatever is not connected yet
-    for candidates in (_in_order, _linked_in_regions):
-        labelled = region.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    # the other steps: within regions, whatever is not connected yet
+    small, wide = region.where(~F.col("wide")), region.where(F.col("wide"))
+    for candidates, within in ((_in_order, region), (_linked_in_regions, small), (_linked_in_regions, wide)):
+        labelled = within.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         more = materialize(candidates(_mixed(labelled), docs), "confirmed")
         if more.limit(1).count():
             links = links.unionByName(more)
@@ -249,15 +256,23 @@ def _linked_in_regions(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links ``a, b`` that connect components of one region, of all its texts.
 
     A text takes part if its sketch is like that of a text of another component
-    in the region.  The texts that take part are compared in blocks, so a task
+    in the region; of two such texts, one is outside the region's largest
+    component, so texts inside it are not compared with each other.  The texts that take part are compared in blocks, so a task
     holds two blocks whatever the region's size, and gives back only links that
     join components it has not joined yet: no pair of texts is ever a row.
     """
-    spread = F.explode(F.sequence(F.lit(0), _parts() - 1))
-    left = rows.select("region", "id", "c", *[f"s{k}" for k in range(4)], spread.alias("part"))
-    right = rows.select("region", _part().alias("part"), F.col("c").alias("d"), *[F.col(f"s{k}").alias(f"t{k}") for k in range(4)])
-    met = (left["region"] == right["region"]) & (left["part"] == right["part"]) & (F.col("c") != F.col("d")) & (_agreement("s", "t") >= AGREE)
-    asked = materialize(left.join(right, met, "left_semi").select("region", "id", "c").distinct(), "asked")
+    largest = rows.groupBy("region", "c").agg(F.count("*").alias("m")).groupBy("region").agg(F.max_by("c", F.struct("m", "c")).alias("top"))
+    rows = materialize(rows.join(largest, "region"), "ranked")
+
+    def like(these: DataFrame, those: DataFrame) -> DataFrame:
+        spread = F.explode(F.sequence(F.lit(0), _parts() - 1))
+        left = these.select("region", "n", "id", "c", *[f"s{k}" for k in range(4)], spread.alias("part"))
+        right = those.select("region", _part().alias("part"), F.col("c").alias("d"), *[F.col(f"s{k}").alias(f"t{k}") for k in range(4)])
+        met = (left["region"] == right["region"]) & (left["part"] == right["part"]) & (F.col("c") != F.col("d")) & (_agreement("s", "t") >= AGREE)
+        return materialize(left.join(right, met, "left_semi").drop("part").distinct(), "asked")
+
+    outside = like(rows.where("c <> top"), rows)
+    asked = outside.unionByName(like(rows.where("c = top"), outside)).select("region", "id", "c")
     ids = materialize(asked.select(F.col("id").alias("doc_id")).distinct(), "read")
     texts = by_ids(docs.select("doc_id", "text"), ids, "left_semi").distinct().select(F.col("doc_id").alias("id"), "text")
 
