@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from timberline.operators import impute, ordering, profile, sampling, scale
+from timberline.operators import impute, ordering, profile, ranking, sampling, scale
 from timberline.sources import readers, sinks
 from timberline.streaming import windows
 
@@ -138,3 +138,17 @@ def test_query_boundaries(spark):
     df = spark.createDataFrame([(i, g) for i, g in enumerate([4, 4, 7, 4])], "o int, g int")
     got = [(r["group"], r["start"], r["stop"]) for r in readers.query_boundaries(df, "g", "o").orderBy("run").collect()]
     assert got == [(4, 0, 2), (7, 2, 3), (4, 3, 4)]
+
+
+def test_runs_over_all_rows_by_ranges(spark):
+    rng = np.random.default_rng(5)
+    groups = np.repeat(rng.integers(0, 4, 1500), rng.integers(1, 5, 1500)).tolist()
+    df = spark.createDataFrame(list(enumerate(groups)), "o int, g int").repartition(3)
+    begins = [i for i in range(len(groups)) if i == 0 or groups[i] != groups[i - 1]]
+    want = [(k + 1, groups[b], b, e) for k, (b, e) in enumerate(zip(begins, [*begins[1:], len(groups)], strict=True))]
+    assert sorted(map(tuple, readers.query_boundaries(df, "g", "o").collect())) == want
+    number = {r["o"]: r["run"] for r in ranking.runs(df, "g", "o").collect()}
+    assert all(number[i] == k for k, g, b, e in want for i in range(b, e))
+    for out in (readers.query_boundaries(df, "g", "o"), ranking.runs(df, "g", "o")):
+        whole = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x and "__range" not in x]
+        assert not whole

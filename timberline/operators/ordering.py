@@ -43,6 +43,25 @@ def running_sums(df: DataFrame, group: list[str], order: str, sums: dict[str, Co
     return out.select(*kept, *[(F.col(f"__b_{n}") + F.col(f"__w_{n}")).alias(n) for n in sums])
 
 
+def run_starts(df: DataFrame, group: str, order: str, ranges: int = RANGES) -> DataFrame:
+    """Add ``__range``, ``__pos`` from 0, and ``__new``: whether the row before in ``order`` has another group.
+
+    ``order`` is a number, date or time.  The last row of each range is carried
+    over to the next, so no task sorts all rows.
+    """
+    dealt = with_ranges(df, [], order, ranges)
+    ends = dealt.groupBy("__range").agg(F.count("*").alias("__n"), F.max(F.struct(F.col(order).alias("o"), F.col(group).alias("g"))).alias("__last"))
+    by_range = Window.orderBy("__range")  # at most `ranges` rows
+    base = F.coalesce(F.sum("__n").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = ends.select("__range", base.alias("__base"), F.lag("__last.g").over(by_range).alias("__carry"))
+    within = Window.partitionBy("__range").orderBy(order, group)
+    rows = dealt.withColumn("__row", F.row_number().over(within)).withColumn("__lag", F.lag(group).over(within))
+    rows = rows.join(F.broadcast(carried), "__range")
+    before = F.when(F.col("__row") == 1, F.col("__carry")).otherwise(F.col("__lag"))
+    new = F.coalesce(F.col(group) != before, F.lit(True))
+    return rows.select(*df.columns, "__range", (F.col("__base") + F.col("__row") - 1).alias("__pos"), new.alias("__new"))
+
+
 def value_counts(cells: DataFrame) -> DataFrame:
     """``feature, value, n, before, total`` of valid cells: counts, and those below, of each distinct value."""
     counts = cells.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from timberline.operators.ordering import run_starts
 from timberline.operators.spec import ratio
 
 MAX_RELEVANCE = 4
@@ -38,9 +39,13 @@ def runs(df: DataFrame, query: str, order: str) -> DataFrame:
 
     For exact row-order semantics only; group by the id itself otherwise.
     """
-    w = Window.orderBy(order)
-    starts = df.withColumn("__new", F.coalesce((F.col(query) != F.lag(query).over(w)).cast("long"), F.lit(1)))
-    return starts.withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    starts = run_starts(df, query, order)
+    by_range = Window.orderBy("__range")  # a row a range
+    sizes = starts.groupBy("__range").agg(F.count_if("__new").alias("n"))
+    base = sizes.select("__range", F.coalesce(F.sum("n").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    w = Window.partitionBy("__range").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    within = starts.withColumn("__run", F.sum(F.col("__new").cast("long")).over(w)).join(F.broadcast(base), "__range")
+    return within.select(*df.columns, (F.col("__base") + F.col("__run")).alias("run"))
 
 
 def ranked(df: DataFrame, query: str, score: Column, relevance: Column, ties: list[str]) -> DataFrame:

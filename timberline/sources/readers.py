@@ -179,17 +179,23 @@ def attach(df: DataFrame, values: DataFrame, key: list[str], name: str) -> DataF
 def query_boundaries(df: DataFrame, group: str, order: str) -> DataFrame:
     """``run, group, start, stop``: runs of equal group ids in row order, as offsets.
 
-    Only the rows where a run begins are numbered in one sequence, so the
-    window without a partition is over queries, not rows.
+    Rows and runs are numbered by ranges of the order, a number, date or time;
+    windows without a partition are over ranges.
     """
+    from timberline.operators.ordering import run_starts
+
     counted = df.select(F.col(group).alias("group"), F.col(order).alias("o"))
-    before = Window.partitionBy().orderBy("o")
-    begins = counted.withColumn("p", F.lag("group").over(before)).withColumn("pos", F.row_number().over(before) - 1)
-    starts = begins.where(F.col("p").isNull() | (F.col("p") != F.col("group")))
+    starts = run_starts(counted, "group", "o").where("__new")
+    by_range = Window.orderBy("__range")
+    sizes = starts.groupBy("__range").agg(F.count("*").alias("n"), F.min("__pos").alias("first"))
+    base = F.coalesce(F.sum("n").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__range", base.alias("base"), F.lead("first").over(by_range).alias("next"))
     total = counted.agg(F.count("*").alias("total"))
-    w = Window.orderBy("pos")
-    runs = starts.crossJoin(F.broadcast(total)).select(F.row_number().over(w).alias("run"), "group", F.col("pos").cast("long").alias("start"), F.coalesce(F.lead("pos").over(w), F.col("total")).cast("long").alias("stop"))
-    return runs
+    w = Window.partitionBy("__range").orderBy("__pos")
+    runs = starts.select("*", F.row_number().over(w).alias("k"), F.lead("__pos").over(w).alias("lead"))
+    runs = runs.join(F.broadcast(sizes), "__range").crossJoin(F.broadcast(total))
+    stop = F.coalesce("lead", "next", "total").cast("long")
+    return runs.select((F.col("base") + F.col("k")).cast("int").alias("run"), "group", F.col("__pos").cast("long").alias("start"), stop.alias("stop"))
 
 
 def with_kinds(spec: TableSpec, kinds: DataFrame) -> TableSpec:
