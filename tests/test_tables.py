@@ -152,3 +152,21 @@ def test_runs_over_all_rows_by_ranges(spark):
     for out in (readers.query_boundaries(df, "g", "o"), ranking.runs(df, "g", "o")):
         whole = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x and "__range" not in x]
         assert not whole
+
+
+def test_rank_agreement_of_a_hot_query(spark):
+    rng = np.random.default_rng(6)
+    rel = {1: rng.integers(0, 5, 400).tolist(), 2: [3], 3: [6, 0, 5, 4, 1], 4: [2, 2]}
+    rows = spark.createDataFrame([(q, i, float(r)) for q, l in rel.items() for i, r in enumerate(l, 1)], "query int, pos int, rel double")
+    tau, err = ranking.kendall(rows), ranking.expected_reciprocal_rank(rows)
+    for out in (tau, err):
+        assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    tau, err = ({r[0]: r[1] for r in out.collect()} for out in (tau, err))
+    for q, l in rel.items():
+        n, go, want = len(l), 1.0, 0.0
+        score = sum(np.sign(l[i] - l[j]) for i in range(n) for j in range(i + 1, n))
+        assert tau[q] == pytest.approx(score / (n * (n - 1) / 2) if n > 1 else 0)
+        for i, r in enumerate(l, 1):
+            use = (2.0**r - 1) / 16
+            want, go = want + go * use / i, go * (1 - use)
+        assert err[q] == pytest.approx(want)

@@ -100,24 +100,31 @@ def spearman(rows: DataFrame) -> DataFrame:
 def kendall(rows: DataFrame) -> DataFrame:
     """``query, tau``: agreeing less disagreeing pairs over all pairs; equal relevances count for neither.
 
-    A query's relevances, in score order, are one array; a fold compares each
-    with those before it, so no pair of rows is a row.
+    Each row is paired with the grades of its query, which should be few, and
+    counts the rows of each grade before it; no query is one array.
     """
-    lists = rows.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("pos", "rel"))).alias("l"))
-    rel = F.transform("l", lambda x: x["rel"])
-    score = F.aggregate(
-        F.sequence(F.lit(1), F.size("l")),
-        F.lit(0).cast("long"),
-        lambda acc, i: acc + F.aggregate(F.slice(rel, 1, i - 1), F.lit(0).cast("long"), lambda a, x: a + F.signum(x - F.element_at(rel, i)).cast("long")),
-    )
-    pairs = F.size("l") * (F.size("l") - 1) / 2
-    return lists.select("query", F.when(F.size("l") > 1, ratio(score, pairs)).otherwise(0.0).alias("tau"))
+    whole = Window.partitionBy("query")
+    grades = rows.select("query", "pos", "rel", F.collect_set("rel").over(whole).alias("grades"))
+    graded = grades.select("query", "pos", "rel", F.posexplode_outer("grades").alias("k", "grade"))
+    before = Window.partitionBy("query", "grade").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    above = F.coalesce(F.sum((F.col("rel") == F.col("grade")).cast("long")).over(before), F.lit(0))
+    scored = graded.withColumn("s", F.signum(F.col("grade") - F.col("rel")).cast("long") * above)
+    sums = scored.groupBy("query").agg(F.sum("s").alias("s"), F.count_if(F.coalesce("k", F.lit(0)) == 0).alias("n"), F.count_if(F.col("rel").isNull()).alias("unknown"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    return sums.select("query", F.when(F.col("n") > 1, ratio(F.when(F.col("unknown") == 0, F.col("s")), pairs)).otherwise(0.0).alias("tau"))
 
 
 def expected_reciprocal_rank(rows: DataFrame, highest: int = MAX_RELEVANCE) -> DataFrame:
-    """``query, err``: the cascade model, a fold over relevances in score order."""
-    lists = rows.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("pos", "rel"))).alias("l"))
-    use = lambda x: (F.pow(F.lit(2.0), x["rel"]) - 1) / float(2**highest)
-    start = F.struct(F.lit(0.0).alias("err"), F.lit(1.0).alias("go"))
-    step = lambda a, x: F.struct((a["err"] + a["go"] * use(x) / x["pos"]).alias("err"), (a["go"] * (1 - use(x))).alias("go"))
-    return lists.select("query", F.aggregate("l", start, step, lambda a: a["err"]).alias("err"))
+    """``query, err``: the cascade model, from running sums of log(1 - use) in score order.
+
+    Factors of 0, and below 0 for relevances over ``highest``, are counted
+    apart from the logarithms.
+    """
+    before = Window.partitionBy("query").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    used = rows.select("query", "pos", ((F.pow(F.lit(2.0), F.col("rel")) - 1) / float(2**highest)).alias("u"))
+    rest = 1 - F.col("u")
+    logs = F.coalesce(F.sum(F.when(rest != 0, F.log(F.abs(rest)))).over(before), F.lit(0.0))
+    sign = F.when(F.count_if(rest < 0).over(before) % 2 == 1, -1.0).otherwise(1.0)
+    go = F.when(F.count_if(rest == 0).over(before) > 0, 0.0).otherwise(sign * F.exp(logs))
+    gains = used.withColumn("gain", go * F.col("u") / F.col("pos"))
+    return gains.groupBy("query").agg(F.when(F.count_if(F.col("u").isNull()) == 0, F.sum("gain")).alias("err"))
