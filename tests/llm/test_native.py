@@ -200,3 +200,23 @@ def test_rows_keep_their_columns_and_clashes_are_replaced(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     with pytest.raises(ValueError):
         sharding.lookup_table(spark, 4, 100)
+
+
+def test_gpl_headers_are_told_apart_by_their_version_clause(spark):
+    rest = (
+        "\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n\n"
+        "You should have received a copy of the GNU General Public License\nalong with this program{} if not, see <https://www.gnu.org/licenses/>.\n"
+    )
+    terms = "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation"
+    versions = {
+        "GPL-2.0": "version 2 of the License.",
+        "GPL-3.0": "version 3 of the License.",
+        "GPL-2.0-or-later": "either version 2 of the License, or\n(at your option) any later version.",
+        "GPL-3.0-or-later": "either version 3 of the License, or\n(at your option) any later version.",
+    }
+    texts = {f"This program is free software{a} {terms}{b} {v}{rest.format(c)}": (name, 0) for name, v in versions.items() for a in ":;" for b in ",;" for c in ".;"}
+    texts |= {"This program is free software.": ("", 1), f"This program is free software; {terms}.": ("", 2)}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["text"]: (" AND ".join(r["licenses"]), r["n_unmatched"]) for r in licenses.scan_licenses(df).collect()}
+    assert got == texts

@@ -11,6 +11,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Version clauses of the GPL notice, with the licences they name.
+GPL_VERSIONS = {
+    "3-LATER": ("GPL-3.0-or-later", "either version 3 of the License, or (at your option) any later version."),
+    "2-LATER": ("GPL-2.0-or-later", "either version 2 of the License, or (at your option) any later version."),
+    "3-ONLY": ("GPL-3.0", "version 3 of the License."),
+    "2-ONLY": ("GPL-2.0", "version 2 of the License."),
+}
+
+
+def _gpl_clauses() -> dict[str, list[str]]:
+    """The GPL notice by its clauses, which semicolons part, and in the spellings that join some of them."""
+    free = "This program is free software"
+    redistribute = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    clauses = {"GPL-FREE": [free], "GPL-REDISTRIBUTE": [redistribute, f"{free}: {redistribute}"]}
+    for version, (_, text) in GPL_VERSIONS.items():
+        clauses[f"GPL-VERSION-{version}"] = [text]
+        clauses[f"GPL-GRANT-{version}"] = [f"{free}: {redistribute}, {text}", f"{redistribute}, {text}"]
+    return clauses
+
+
+def _gpl_rules() -> list[tuple[str, list[str]]]:
+    """Every rule asks for a version clause; the longest come first."""
+    rest = ["GPL-NO-WARRANTY", "GPL-NO-IMPLIED", "GPL-SEE", "GPL-COPY"]
+    rules = []
+    for version, (name, _) in GPL_VERSIONS.items():
+        split, joined = ["GPL-FREE", "GPL-REDISTRIBUTE", f"GPL-VERSION-{version}"], ["GPL-FREE", f"GPL-GRANT-{version}"]
+        for head in (split, split[1:], joined, joined[1:]):
+            rules += [(name, head + rest), (name, head)]
+    return rules
+
+
 #: Sentences of public licence texts and notices, with the identifiers that rules use.
 SENTENCES = {
     "MIT-NAME": ["Released under the MIT License.", "Licensed under the MIT License.", "MIT License", "The MIT License", "SPDX-License-Identifier: MIT", "This project is licensed under the MIT License."],
@@ -27,9 +58,9 @@ SENTENCES = {
     "GPL-3-NAME": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0"],
     "GPL-3-LATER-NAME": ["SPDX-License-Identifier: GPL-3.0-or-later"],
     "GPL-2-NAME": ["Licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0"],
-    "GPL-GRANT-3-LATER": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "GPL-GRANT-2-LATER": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
-    "GPL-NO-WARRANTY": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    **_gpl_clauses(),
+    "GPL-NO-WARRANTY": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
+    "GPL-NO-IMPLIED": ["without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
     "GPL-SEE": ["See the GNU General Public License for more details."],
     "GPL-COPY": ["You should have received a copy of the GNU General Public License along with this program."],
     "BSD-GRANT": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
@@ -56,10 +87,7 @@ RULES = [
     ("Apache-2.0", ["APACHE-2-GRANT", "APACHE-2-USE", "APACHE-2-COPY", "APACHE-2-AS-IS", "APACHE-2-SEE"]),
     ("Apache-2.0", ["APACHE-2-GRANT", "APACHE-2-USE"]),
     ("Apache-2.0", ["APACHE-2-GRANT"]),
-    ("GPL-3.0-or-later", ["GPL-GRANT-3-LATER", "GPL-NO-WARRANTY", "GPL-SEE", "GPL-COPY"]),
-    ("GPL-3.0-or-later", ["GPL-GRANT-3-LATER"]),
-    ("GPL-2.0-or-later", ["GPL-GRANT-2-LATER", "GPL-NO-WARRANTY", "GPL-SEE", "GPL-COPY"]),
-    ("GPL-2.0-or-later", ["GPL-GRANT-2-LATER"]),
+    *_gpl_rules(),
     ("BSD-3-Clause", ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-NO-ENDORSEMENT"]),
     ("BSD-2-Clause", ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY"]),
     ("ISC", ["ISC-GRANT"]),
