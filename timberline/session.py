@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 from pathlib import Path
 
@@ -28,7 +29,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Used only where the session names no shared checkpoint folder (tests).
+#: Used only where the session names no shared checkpoint folder and everything runs in one JVM (tests).
 LOCAL_SCRATCH = "/tmp/checkpoints/timberline"
 
 
@@ -36,9 +37,11 @@ _FOLDERS: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir``; only a local master can do without."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = LOCAL_SCRATCH
         spark.conf.set("spark.checkpoint.dir", shared)
     path = f"{shared.rstrip('/')}/timberline-{spark.sparkContext.applicationId}"
