@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes worked on at a time; bounds a task's memory whatever the texts' lengths.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
+#: Bytes of text of the rows that are looked at together.
+SLICE = 1 << 20
 
 #: Lower case of ASCII letters; white space as spaces.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -22,6 +25,17 @@ LETTERS[[b for b in range(128) if not 97 <= LOWER[b] <= 122]] = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with at most ``size`` bytes of text in ``column``, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def chunks(column: pa.Array, overlap: int, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Yield ``(rows, starts, stops, data)`` of consecutive texts.
 

@@ -48,7 +48,7 @@ class Network:
     out_bias: np.ndarray
 
 
-def windows(column: pa.Array, size: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def windows(column: pa.Array, size: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(rows, kinds)``: every window of every text, padded with spaces; ``kinds`` is (windows, WINDOW).
 
     Windows of a text start WINDOW - 3 bytes apart, so that no n-gram of a
@@ -214,21 +214,21 @@ def identify(docs: DataFrame, net: Network | None, columns: list[str] | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _pair_tables(net)
-        for batch in batches:
-            total, n = np.zeros((batch.num_rows, len(net.languages))), np.zeros(batch.num_rows)
-            for rows, kinds in windows(batch.column(len(names) + 1)) if batch.num_rows else ():
+        for part in (x for batch in batches for x in grams.slices(batch, len(names) + 1)):
+            total, n = np.zeros((part.num_rows, len(net.languages))), np.zeros(part.num_rows)
+            for rows, kinds in windows(part.column(len(names) + 1)):
                 for at in range(0, len(rows), 256):
                     logs = log_chances(net, tables, kinds[at : at + 256])
                     np.add.at(total, rows[at : at + 256], logs)
-                    n += np.bincount(rows[at : at + 256], minlength=batch.num_rows)
+                    n += np.bincount(rows[at : at + 256], minlength=part.num_rows)
             mean = total / np.maximum(n, 1)[:, None]
-            chance = np.exp(mean - mean.max(axis=1, keepdims=True)) if batch.num_rows else mean
+            chance = np.exp(mean - mean.max(axis=1, keepdims=True))
             chance /= np.maximum(chance.sum(axis=1, keepdims=True), 1e-300)
-            seen = np.asarray(batch.column(len(names)).to_numpy(zero_copy_only=False), dtype=bool)
-            best = chance.argmax(axis=1) if batch.num_rows else np.zeros(0, dtype=int)
+            seen = np.asarray(part.column(len(names)).to_numpy(zero_copy_only=False), dtype=bool)
+            best = chance.argmax(axis=1)
             lang = [net.languages[b] if ok else "und" for b, ok in zip(best, seen, strict=True)]
             score = np.where(seen, chance[np.arange(len(best)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
     return source.mapInArrow(run, schema)

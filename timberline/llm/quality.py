@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm import grams
+from timberline.llm.shingles import hash_words
 from timberline.llm.tables import materialize
 
 GOOD, BAD, NOTHING = 1, 0, 2
@@ -37,24 +38,9 @@ _SIGNS = np.zeros(256, dtype=bool)
 _SIGNS[list(b"#$%&*+<=>@[\\]^_`{|}~")] = True
 
 
-def _word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each word of a lower-cased text, and a hash of the word."""
-    space = text == 32
-    begin = np.flatnonzero(~space[1:] & space[:-1]) + 1
-    end = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-    power = np.ones(len(text), dtype=np.uint64)
-    power[1:] = np.uint64(0x100000001B3)
-    power = np.cumprod(power, dtype=np.uint64)
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)))
-    inverse = np.ones(len(text), dtype=np.uint64)
-    inverse[1:] = np.uint64(pow(0x100000001B3, -1, 1 << 64))
-    inverse = np.cumprod(inverse, dtype=np.uint64)
-    return begin, (total[end] - total[begin]) * inverse[begin]
-
-
 def _function_word_hashes() -> np.ndarray:
-    data = np.frombuffer((" " + " ".join(FUNCTION_WORDS) + " ").encode(), dtype=np.uint8)
-    return np.unique(_word_hashes(grams.lower(data))[1])
+    text = grams.lower(np.frombuffer(" ".join(FUNCTION_WORDS).encode(), dtype=np.uint8))
+    return np.unique(hash_words(text, text == 32)[1])
 
 
 def aspects(column: pa.Array) -> dict[str, np.ndarray]:
@@ -66,17 +52,16 @@ def aspects(column: pa.Array) -> dict[str, np.ndarray]:
         text = grams.lower(data)
         kinds = {
             "letters": ((text >= 97) & (text <= 122)) | (text >= 0xC0),
-            "capitals": text != grams.lower(data, np.arange(256, dtype=np.uint8)),
+            "capitals": (data >= 65) & (data <= 90) | (text != data) & (data >= 0x80),
             "signs": _SIGNS[data],
             "ends": (data == 46) | (data == 44) | (data == 63),
             "bars": data == 124,
             "shouts": data == 33,
         }
-        kinds["capitals"] = (data >= 65) & (data <= 90) | (text != data) & (data >= 0x80)
         for name, flag in kinds.items():
-            total = np.concatenate(([0], np.cumsum(flag)))
+            total = np.concatenate(([0], np.cumsum(flag, dtype=np.int32)))
             out[name] += np.bincount(rows, total[stops] - total[starts], minlength=n)
-        begin, word = _word_hashes(text)
+        begin, word = hash_words(text, text == 32)
         owner = np.searchsorted(stops, begin, side="right")
         row = rows[owner]
         out["words"] += np.bincount(row, minlength=n)
@@ -159,13 +144,18 @@ def _code(pattern: np.ndarray) -> np.ndarray:
 
 
 def weak_labels(docs: DataFrame) -> WeakLabels:
-    """Vote patterns counted over all whole texts, at most 3**7 of them, and their estimate."""
+    """Vote patterns counted over all whole texts, at most 3**7 of them, and their estimate.
+
+    A null text counts as an empty one, which no labeller votes on; repeated
+    rows count each.  Repeated words are looked for within ``grams.CHUNK``
+    bytes of a text.  An empty table gives a prior of one half.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(3 ** len(LABELLERS), dtype=np.int64)
         for batch in batches:
-            if batch.num_rows:
-                seen += np.bincount(_code(votes(batch.column(0))), minlength=len(seen))
+            for part in grams.slices(batch, 0):
+                seen += np.bincount(_code(votes(part.column(0))), minlength=len(seen))
         code = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(seen[code], pa.int64())], ["code", "n"])
 
@@ -196,13 +186,14 @@ def fit(docs: DataFrame, labels: WeakLabels, per_class: int = PER_CLASS) -> Scor
     """Train the scorer on posteriors; at most ``per_class`` texts of each side reach the driver, as counts.
 
     The sample is picked by a hash of the text, so it does not depend on how
-    the table is dealt out.
+    the table is dealt out, and equal texts count once.  Null and empty texts
+    take no part; without any text the scorer knows only the prior.
     """
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = labels.posterior(votes(batch.column(1))) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["pick", "good"])
+            for part in grams.slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(labels.posterior(votes(part.column(1))))], ["pick", "good"])
 
     source = docs.select(F.xxhash64("text").alias("pick"), F.col("text").cast("string").alias("text")).where(F.col("text") != "")
     labelled = materialize(source.mapInArrow(label, "pick long, good double").distinct(), "quality-labels")
@@ -212,8 +203,8 @@ def fit(docs: DataFrame, labels: WeakLabels, per_class: int = PER_CLASS) -> Scor
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 dense = np.zeros((part.num_rows, 1 << BITS), dtype=np.int32)
                 for row, bucket in _buckets(part.column(0)):
                     np.add.at(dense, (row, bucket), 1)
@@ -258,17 +249,22 @@ def score(docs: DataFrame, scorer: Scorer, columns: list[str] | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for row, bucket in _buckets(batch.column(len(names))) if batch.num_rows else ():
-                total += np.bincount(row, scorer.weights[bucket], minlength=batch.num_rows)
-                n += np.bincount(row, minlength=batch.num_rows)
-            z = total / np.maximum(n, 1) + scorer.bias
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*names, "score"])
+            for part in grams.slices(batch, len(names)):
+                total, n = np.zeros(part.num_rows), np.zeros(part.num_rows)
+                for row, bucket in _buckets(part.column(len(names))):
+                    total += np.bincount(row, scorer.weights[bucket], minlength=part.num_rows)
+                    n += np.bincount(row, minlength=part.num_rows)
+                z = total / np.maximum(n, 1) + scorer.bias
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*names, "score"])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add("score", "double")
     return source.mapInArrow(run, schema)
 
 
 def train(docs: DataFrame) -> tuple[WeakLabels, Scorer]:
+    """Labellers' accuracies over all of ``docs(text)`` and the scorer fitted on their posteriors.
+
+    Nulls, repeats and empty tables are as ``weak_labels`` and ``fit`` say.
+    """
     labels = weak_labels(docs)
     return labels, fit(docs, labels)

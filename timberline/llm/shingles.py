@@ -13,7 +13,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_CHUNK = 1 << 21
+_CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _PLACES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -46,10 +46,9 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First byte and hash of each word; A-Z count as a-z, words end at ASCII white space."""
-    text = _LOWER[data]
-    space = np.concatenate(([True], _SPACE[text], [True]))
+def hash_words(text: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and hash of each word of ``text``, the bytes between those that ``space`` marks."""
+    space = np.concatenate(([True], space, [True]))
     begin = np.flatnonzero(space[:-1] & ~space[1:])
     end = np.flatnonzero(~space[:-1] & space[1:])
     up, down = _POWERS.of(len(text))
@@ -58,6 +57,12 @@ def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
+def _lower_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words end at ASCII white space; A-Z count as a-z."""
+    text = _LOWER[data]
+    return hash_words(text, _SPACE[text])
+
+
 def words(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """``(row, word hashes)`` of every text with a word, in order; whole texts, in bounded pieces."""
     texts = [memoryview(x.as_buffer() or b"") for x in column.cast(pa.binary())]
@@ -77,7 +82,7 @@ def words(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
                         hi = max(lo, hi - 4096) + int(gap[-1]) + 1
                         break
                     hi = min(hi + 4096, len(data))
-                found.append(_hash_words(data[lo:hi])[1])
+                found.append(_lower_words(data[lo:hi])[1])
                 lo = hi
             each = np.concatenate(found)
             if len(each):
@@ -85,7 +90,7 @@ def words(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         else:
             data = np.frombuffer(b" ".join(texts[at:stop]), dtype=np.uint8)
             ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts[at:stop]), np.int64, stop - at))
-            begin, each = _hash_words(data)
+            begin, each = _lower_words(data)
             cuts = np.searchsorted(begin, np.concatenate(([0], ends)))
             for k in range(stop - at):
                 if cuts[k + 1] > cuts[k]:

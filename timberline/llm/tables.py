@@ -2,44 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.session import read_table
+from timberline.session import materialize, read_table
 
-#: Used only where the session names no shared checkpoint folder (tests).
-LOCAL_SCRATCH = "/tmp/checkpoints/timberline"
+__all__ = ["materialize", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = read_table(spark, sf_dir, name)
     return df.select(*columns) if columns else df
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = LOCAL_SCRATCH
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/timberline-{spark.sparkContext.applicationId}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a reread of files that all
-    executors share, not a second run of what made them.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove what ``materialize`` wrote; results that still read it end here."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
