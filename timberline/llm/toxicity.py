@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ FEATURES = 4096
 THRESHOLD = 0.7
 #: Tasks that the sample is counted in.
 SAMPLE_TASKS = 12
+#: Sampled texts whose features a step of the training widens at a time.
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -53,7 +56,7 @@ def _present(batch: pa.Array, keep: np.ndarray | None = None) -> Iterator[tuple[
         yield pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def _merged(column: pa.Array, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _merged(column: pa.Array, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All distinct ``(row, bucket)`` pairs of a batch."""
     found = [r << BITS | b for r, b in _present(column, keep)]
     pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
@@ -66,7 +69,8 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     picked = [one.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     # at most 2 * per_class ids
     ids = F.broadcast(picked[0].unionByName(picked[1]))
-    return docs.select("doc_id", "text").join(ids, "doc_id").select("text", "label").repartition(SAMPLE_TASKS, F.xxhash64("text"))
+    # dealt by id, so that the copies of a text do not meet
+    return docs.select("doc_id", "text").join(ids, "doc_id").repartition(SAMPLE_TASKS, F.xxhash64("doc_id")).select("text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -85,13 +89,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), dtype=np.int32)
-        everything = np.ones(1 << BITS, dtype=bool)
-        for batch in batches:
-            label = np.asarray(batch.column(1)).astype(np.int64)
-            for at in range(0, batch.num_rows, 512):
-                rows, buckets = _merged(batch.column(0).slice(at, 512), everything)
-                for k in (0, 1):
-                    seen[k] += np.bincount(buckets[label[at + rows] == k], minlength=1 << BITS).astype(np.int32)
+        for part in (x for batch in batches for x in grams.slices(batch, 0)):
+            label = np.asarray(part.column(1)).astype(np.int64)
+            rows, buckets = _merged(part.column(0))
+            for k in (0, 1):
+                bucket, n = np.unique(buckets[label[rows] == k], return_counts=True)
+                seen[k, bucket] += n.astype(np.int32)
         used = np.flatnonzero(seen.any(axis=0))
         for at in range(0, len(used), 1 << 16):
             part = used[at : at + (1 << 16)]
@@ -106,43 +109,59 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     ratio = np.log((np.array([c[1] for c in chosen]) + 1) / (n_pos + 2)) - np.log((np.array([c[2] for c in chosen]) + 1) / (n_neg + 2))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.zeros(1 << BITS, dtype=bool)
-        keep[buckets] = True
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows, found = _merged(part.column(0), keep)
-                feature = np.searchsorted(buckets, found).astype(np.uint16)
-                cuts = np.searchsorted(rows, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), pa.array([feature[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["label", "features"])
-
-    # at most 2 * PER_CLASS rows of at most FEATURES small numbers
-    rows = sample.mapInArrow(project, "label int, features binary").toArrow()
-    y = np.asarray(rows.column("label")).astype(np.float64)
-    each = [np.frombuffer(x.as_py(), dtype=np.uint16) for x in rows.column("features")]
-    order = sorted(range(len(y)), key=lambda i: (y[i], each[i].tobytes()))  # the same sums whatever the tasks' order
-    weights, bias = _logistic([each[i] for i in order], y[order], ratio)
+        keep = _flags(buckets)
+        for part in (x for batch in batches for x in grams.slices(batch, 0)):
+            rows, found = _merged(part.column(0), keep)
+            feature = np.searchsorted(buckets, found).astype(np.uint16)
+            cuts = np.searchsorted(rows, np.arange(part.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), pa.array([feature[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["label", "features"])
+
+    # at most 2 * PER_CLASS rows of at most FEATURES numbers of two bytes; sorted, so that sums do not depend on the tasks' order
+    rows = sample.mapInArrow(project, "label int, features binary").toArrow().sort_by([("label", "ascending"), ("features", "ascending")])
+    features = rows.column("features").cast(pa.large_binary()).combine_chunks()
+    cuts = np.concatenate(([0], np.cumsum(pc.binary_length(features).to_numpy()))) // 2
+    feature = np.frombuffer(b"".join(memoryview(x.as_buffer()) for x in features), dtype=np.uint16)
+    weights, bias = _logistic(feature, cuts, rows.column("label").to_numpy().astype(np.float64), ratio)
     return Model(buckets, weights * ratio, bias)
 
 
-def _logistic(each: list[np.ndarray], y: np.ndarray, scale: np.ndarray, steps: int = 400, l2: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights of the scaled presence features, by accelerated gradient descent."""
-    index = np.concatenate(each).astype(np.int64)
-    row = np.repeat(np.arange(len(each)), [len(e) for e in each])
-    value = scale[index]
+def _flags(buckets: np.ndarray) -> np.ndarray:
+    keep = np.zeros(1 << BITS, dtype=bool)
+    keep[buckets] = True
+    return keep
+
+
+def _logistic(feature: np.ndarray, cuts: np.ndarray, y: np.ndarray, scale: np.ndarray, steps: int = 400, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights of the scaled presence features, by accelerated gradient descent.
+
+    Text ``i`` has the features ``feature[cuts[i]:cuts[i + 1]]``; a block of
+    texts is widened at a time.
+    """
     n, k = len(y), len(scale)
+    blocks = [(lo, min(lo + BLOCK, n)) for lo in range(0, n, BLOCK)]
+
+    def each_block():
+        for lo, hi in blocks:
+            index = feature[cuts[lo] : cuts[hi]].astype(np.int64)
+            yield slice(lo, hi), index, np.repeat(np.arange(hi - lo), np.diff(cuts[lo : hi + 1]))
+
     # a bound on the curvature: the largest sum of squares of a row
-    lipschitz = 0.25 * (np.bincount(row, value**2, minlength=n).max() + 1) / 4 + l2
-    w, b, w_old, b_old = np.zeros(k), float(np.log((y.sum() + 1) / (n - y.sum() + 1))), np.zeros(k), 0.0
-    b_old = b
+    largest = max(np.bincount(row, scale[index] ** 2, minlength=1).max() for _, index, row in each_block())
+    lipschitz = 0.25 * (largest + 1) / 4 + l2
+    w, b = np.zeros(k), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
+    w_old, b_old = np.zeros(k), b
     for t in range(steps):
         m = t / (t + 3)
         v, c = w + m * (w - w_old), b + m * (b - b_old)
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * v[index], minlength=n) + c, -30, 30)))
-        g = (p - y) / n
+        slope, rest, scaled = np.zeros(k), 0.0, scale * v
+        for own, index, row in each_block():
+            z = np.bincount(row, scaled[index], minlength=own.stop - own.start) + c
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]) / n
+            slope += np.bincount(index, g[row], minlength=k)
+            rest += g.sum()
         w_old, b_old = w, b
-        w = v - (np.bincount(index, value * g[row], minlength=k) + l2 * v) / lipschitz
-        b = c - g.sum() / lipschitz
+        w = v - (scale * slope + l2 * v) / lipschitz
+        b = c - rest / lipschitz
     return w, b
 
 
@@ -156,15 +175,12 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.zeros(1 << BITS, dtype=np.float64)
-        weight[model.buckets] = model.weights
-        keep = np.zeros(1 << BITS, dtype=bool)
-        keep[model.buckets] = True
-        for batch in batches:
-            rows, buckets = _merged(batch.column(len(names)), keep)
-            z = np.bincount(rows, weight[buckets], minlength=batch.num_rows) + model.bias
+        keep = _flags(model.buckets)
+        for part in (x for batch in batches for x in grams.slices(batch, len(names))):
+            rows, found = _merged(part.column(len(names)), keep)
+            z = np.bincount(rows, model.weights[np.searchsorted(model.buckets, found)], minlength=part.num_rows) + model.bias
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(p)], [*names, "score"])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add("score", "double")
     return source.mapInArrow(run, schema)
