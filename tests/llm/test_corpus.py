@@ -68,11 +68,10 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-ODD_TEXTS = ["", "plain words, and more!", "İstanbul ΑΣ’s don't 12 <|endoftext|>x", "a\x1cb c", "日本語 text   é 'stuff's", "''s 'll&'s  \t\n\r x", "été ﬁn", "x" * 5000, "\n\n \n"]
+ODD_TEXTS = ["a </s> <|endoftext|> b", "x<|startoftext|><|endoftext|>\ty", "<|EndOfText|> <| endoftext |>", "", "plain words, and more!", "İstanbul ΑΣ’s don't 12 <|endoftext|>x", "a\x1cb c", "日本語 text   é 'stuff's", "''s 'll&'s  \t\n\r x", "été ﬁn", "x" * 5000, "\n\n \n"]
 
 
 @settings(max_examples=100, deadline=None)
@@ -83,6 +82,15 @@ def test_ids_equal_the_tokenizers(texts):
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in own] == reference_ids(texts)
 
 
+def test_special_tokens_inside_long_texts(spark):
+    text = "some words <|endoftext|> and more<|startoftext|>x " * 40_000
+    (ids,) = reference_ids([text])
+    ids = [*ids, packing.END_ID]
+    got = packing.tokenized_pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokenizer_file()).orderBy("piece").collect()
+    want = [ids[at : at + 4096] for at in range(0, len(ids), 4096)]
+    assert [(r["length"], r["ids_crc32"]) for r in got] == [(len(w), zlib.crc32(np.array(w, dtype="<u4").tobytes())) for w in want]
+
+
 def test_text_parts_join_to_the_text():
     text = " ".join(str(i) for i in range(3000))
     assert "".join(packing.text_parts(text, 100)) == text
@@ -174,7 +182,22 @@ def test_crowded_regions_are_cut_and_compared_in_blocks(spark, monkeypatch):
     rows = near_rows()
     want, _ = groups(rows)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(got[d] != want[d] for d in want) <= 2  # shallow regions are gone, so the forest may miss a pair at the edge
+    assert got == want
+
+
+def test_a_family_of_thousands_that_is_alike_to_its_base_only(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, 2001):  # about 0.757 alike to the base, 0.6 to each other
+        copy = list(base)
+        for at in rng.sample(range(0, 400, 5), 11):
+            copy[at] = f"x{d}-{at}"
+        rows.append((d, " ".join(copy)))
+    want, _ = groups(rows[:40])
+    assert set(want.values()) == {0}
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).groupBy("component_id").count().collect()
+    assert [tuple(r) for r in got] == [(0, 2001)]
 
 
 def test_crowded_regions_lose_no_link(spark, monkeypatch):

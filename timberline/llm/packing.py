@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from timberline.llm import grams
 from timberline.llm.tables import materialize
 
 CAPACITY = 4096
@@ -30,7 +31,7 @@ END_ID = 1
 #: Buckets that the pieces of one length are dealt to, so that no length is one task's work.
 RANK_BUCKETS = 1024
 #: Words that a task keeps with their ids.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1 << 16
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -41,7 +42,8 @@ class WordTokenizer:
     The tokenizer's normaliser and splitter work within words, so the ids of a
     text are those of its words in order.  Words are kept with their ids; new
     ones are encoded together.  Texts with characters outside Latin letters,
-    or with unusual white space, go to the tokenizer as they are.
+    with unusual white space or with a special token of the file go to the
+    tokenizer as they are.
     """
 
     #: Anything whose case mapping, composition or spacing is not plain here.
@@ -52,7 +54,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)", regex.IGNORECASE)
         # a word of the tokenizer: a contraction, letters, one digit, or other signs
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         vocabulary = self.tokenizer.get_vocab()
@@ -82,7 +85,7 @@ class WordTokenizer:
             self.known = {"": b""}
         if len(self.known_words) > CACHED_WORDS:
             self.known_words = {}
-        plain = [not self.UNUSUAL.search(t) for t in texts]
+        plain = [not self.UNUSUAL.search(t) and not self.special.search(t) for t in texts]
         chunks = [unicodedata.normalize("NFC", t).lower().replace("\n", " ").split(" ") if ok else [] for t, ok in zip(texts, plain, strict=True)]
         new = list(set().union(*chunks).difference(self.known))
         if new:
@@ -121,31 +124,23 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(tokenizer_path)
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
+        for part in (x for batch in batches for x in grams.slices(batch, 1)):
+            doc_ids = part.column(0).to_pylist()
+            texts, owner = [], []
+            for i, text in enumerate(part.column(1).to_pylist()):
+                for piece in text_parts(text or ""):
+                    texts.append(piece)
+                    owner.append(i)
+            whole: list[list[bytes]] = [[] for _ in doc_ids]
+            for lo in range(0, len(texts), 256):
+                for i, ids in zip(owner[lo : lo + 256], tokenizer.ids(texts[lo : lo + 256]), strict=True):
+                    whole[i].append(ids)
             out: list[tuple] = []
-            at = 0
-            while at < len(texts):
-                stop, held = at, 0
-                while stop < len(texts) and (stop == at or held < 1 << 20):
-                    held += len(texts[stop] or "")
-                    stop += 1
-                parts, owner = [], []
-                for i in range(at, stop):
-                    for part in text_parts(texts[i] or ""):
-                        parts.append(part)
-                        owner.append(i)
-                whole: dict[int, list[bytes]] = {}
-                for lo in range(0, len(parts), 256):
-                    for i, ids in zip(owner[lo : lo + 256], tokenizer.ids(parts[lo : lo + 256]), strict=True):
-                        whole.setdefault(i, []).append(ids)
-                for i, ids in whole.items():
-                    raw = b"".join(ids) + end
-                    for piece, start in enumerate(range(0, len(raw), 4 * capacity)):
-                        cut = raw[start : start + 4 * capacity]
-                        out.append((doc_ids[i], piece, start // 4, len(cut) // 4, zlib.crc32(cut)))
-                at = stop
+            for doc_id, ids in zip(doc_ids, whole, strict=True):
+                raw = b"".join(ids) + end
+                for piece, start in enumerate(range(0, len(raw), 4 * capacity)):
+                    cut = raw[start : start + 4 * capacity]
+                    out.append((doc_id, piece, start // 4, len(cut) // 4, zlib.crc32(cut)))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
