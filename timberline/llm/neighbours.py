@@ -11,6 +11,7 @@ Largest inner product becomes least distance by one more coordinate.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Distinct vectors of a shard, about; a shard's vectors and graph fit in one task.
+#: Vectors of a shard at most, about, and bytes of them; a shard's vectors and graph fit in one task.
 SHARD_SIZE = 50_000
+SHARD_BYTES = 1 << 26
 #: Shards of a small table, so that several tasks share the work.
 LEAST_SHARDS = 8
 DEGREE = 32
@@ -166,19 +168,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     a null or non-finite component or only zeros take no part; rows of another
     length than most are other vectors' neighbours only within their length.
     Of equal vectors, as many as can be among the ``k`` answers are searched:
-    the ``k + 1`` of smallest id.  Repeated ids are repeated candidates.
+    those of the ``k + 1`` smallest ids, ``k`` rows of each.  Repeated ids are
+    repeated candidates; every row with the query's id is its own.
     """
     base, asked = _usable(vectors), _usable(queries)
     # equal vectors stand once in a graph; the least ids of each can be answers
-    rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    base = base.withColumn("__r", rank).where(F.col("__r") <= k + 1).drop("__r")
-    n = vectors.count()
-    shards = max(math.ceil(n / SHARD_SIZE), min(LEAST_SHARDS, math.ceil(n / 500)), 1)
-    largest = base.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
+    by_id, again = Window.partitionBy("embedding").orderBy("vec_id"), Window.partitionBy("embedding", "vec_id").orderBy("vec_id")
+    base = base.select("*", F.dense_rank().over(by_id).alias("__r"), F.row_number().over(again).alias("__n")).where((F.col("__r") <= k + 1) & (F.col("__n") <= k))
+    # lengths of the vectors, taken so that no square overflows
+    most = F.array_max(F.transform("embedding", F.abs))
+    length = most * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+    about = _usable(vectors).agg(F.count("*"), F.max(length), F.max(F.size("embedding"))).first()
+    n, largest, width = about[0], min(about[1] or 1.0, sys.float_info.max), about[2] or 1
+    shards = max(math.ceil(n / min(SHARD_SIZE, max(SHARD_BYTES // (8 * width), 1))), min(LEAST_SHARDS, math.ceil(n / 500)), 1)
 
     placed = base.select(F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"), F.size("embedding").alias("dim"), F.lit(0).alias("kind"), "vec_id", "embedding")
     sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.size("embedding").alias("dim"), F.lit(1).alias("kind"), "vec_id", "embedding")
-    rows = placed.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "dim", "kind", "vec_id")
+    rows = placed.unionByName(sent).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "dim", "kind", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come shard by shard, the shard's vectors before the queries, so one graph is held at a time."""
@@ -189,7 +195,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             if len(distinct) <= SEARCH_BEAM:  # the beam holds all there is
                 found = np.tile(np.arange(len(distinct)), (len(asked), 1))
             else:
-                found, _ = graph[0].search(np.concatenate((asked, np.zeros((len(asked), 1))), axis=1).astype(np.float32), SEARCH_BEAM)
+                unit = asked / np.abs(asked).max(axis=1, keepdims=True)  # a query's length does not change the order
+                found, _ = graph[0].search(np.concatenate((unit, np.zeros((len(asked), 1))), axis=1).astype(np.float32), SEARCH_BEAM)
             out_q, out_v, out_s = [], [], []
             for i, row in enumerate(found):
                 hit = np.concatenate([members[j] for j in row[row >= 0]]) if len(row) else np.zeros(0, dtype=int)
@@ -208,8 +215,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             distinct, inverse = np.unique(own, axis=0, return_inverse=True)
             order = np.argsort(inverse.reshape(-1), kind="stable")
             members = np.split(order, np.cumsum(np.bincount(inverse.reshape(-1)))[:-1])
-            lift = np.sqrt(np.maximum(largest - (distinct**2).sum(axis=1), 0))
-            return Graph(np.concatenate((distinct, lift[:, None]), axis=1)), ids, own, distinct, members
+            unit = distinct / largest
+            lift = np.sqrt(np.maximum(1 - (unit**2).sum(axis=1), 0))
+            return Graph(np.concatenate((unit, lift[:, None]), axis=1)), ids, own, distinct, members
 
         for batch in batches:
             if not batch.num_rows:
