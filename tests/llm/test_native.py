@@ -22,13 +22,78 @@ def scan(spark, texts):
 
 
 def test_full_text_rule_comes_before_its_parts(spark):
-    mit = "\n".join(["MIT License", "", *[t for i in ("MIT-GRANT", "MIT-NOTICE", "AS-IS-MIT", "NO-LIABILITY-MIT") for t in licenses.SENTENCES[i]]])
+    mit = "\n".join(["MIT License", "", *[t for i in ("MIT-GRANT", "MIT-NOTICE", "AS-IS-MIT", "NO-LIABILITY-MIT") for t in licenses.SENTENCES[i][:1]]])
     wrapped = re.sub(r"(.{60}\S*) ", r"\1\n", mit)
     got = scan(spark, [mit, wrapped, "// " + mit.replace("\n", "\n// ")])
     for k in got:
         assert got[k][1] == ["MIT"] and got[k][2] == 0, got[k]
 
 
+BSD = """Copyright (c) 2001, {owner}
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{a} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+{b} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{more}
+THIS SOFTWARE IS PROVIDED BY {who} "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL {who} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT
+OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING
+IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY
+OF SUCH DAMAGE.
+"""
+
+
+@pytest.mark.parametrize("owner", ["the copyright holder", "Acme Inc.", "the University of Nowhere, Dept. 5", "ACME"])
+def test_bsd_texts_of_any_owner(spark, owner):
+    third = f"\n{{c}} Neither the name of {owner} nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    ads = "\n3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n   This product includes software developed by X.\n"
+    texts = []
+    for marks in (("1.", "2.", "3."), ("*", "*", "*"), ("(a)", "(b)", "(c)")):
+        a, b, c = marks
+        for more in ("", third.format(c=c), ads + third.format(c="4.")):
+            texts.append(BSD.format(owner=owner, a=a, b=b, more=more, who=owner.upper().replace(".", "")))
+    got = scan(spark, texts)
+    assert [got[i][1] for i in range(len(texts))] == [["BSD-2-Clause"], ["BSD-3-Clause"], ["BSD-4-Clause"]] * 3
+
+
+def test_ways_to_name_a_licence(spark):
+    texts = {
+        "This code is licensed under the MIT License.": "MIT",
+        "Distributed under the MIT license": "MIT",
+        "This project is licensed under the MIT License - see the LICENSE file for details.": "MIT",
+        "Released under the terms of the Apache License, Version 2.0.": "Apache-2.0",
+        "The software is made available under the Apache 2.0 licence.": "Apache-2.0",
+        "This library is distributed under the GNU Lesser General Public License v2.1.": "LGPL-2.1",
+        "Licensed under the GPLv3.": "GPL-3.0",
+        "SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0",
+        "# SPDX-License-Identifier: CC-BY-NC-SA-4.0": "CC-BY-NC-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "Mozilla Public License Version 2.0": "MPL-2.0",
+        "under the MIT umbrella": "",
+        "The house is under construction.": "",
+    }
+    got = scan(spark, list(texts))
+    assert {t: " AND ".join(got[i][1]) for i, t in enumerate(texts)} == texts
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "MIT License", 5, "x", "y")] * 2, "doc_id long, text string, n_unmatched int, sentence_ids string, __matched string")
+    rows = licenses.scan_licenses(df.drop("__matched")).collect()
+    assert [(r["doc_id"], r["licenses"], r["n_unmatched"]) for r in rows] == [(1, ["MIT"], 0)] * 2
+
+
 def test_notices_after_text_and_several_licences(spark):
     got = scan(spark, ["some words\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.", "all rights reserved.", "no licence here", "", None])
     assert got[0][1] == ["MIT", "CC-BY-NC-4.0"]
@@ -37,8 +102,9 @@ def test_notices_after_text_and_several_licences(spark):
 
 
 def test_every_name_is_recognised_and_long_texts_are_read_whole(spark):
-    filler = "lorem ipsum dolor. " * 20_000
-    names = [(rule[0], licenses.SENTENCES[rule[1][0]][0]) for rule in licenses.RULES if len(rule[1]) == 1]
+    filler = "lorem ipsum dolor. " * 2_000
+    sentences = {**licenses._name_sentences(), **licenses.SENTENCES}
+    names = [(rule[0], text) for rule in licenses.RULES if len(rule[1]) == 1 for text in sentences[rule[1][0]]]
     got = scan(spark, [filler + text for _, text in names])
     assert [got[i][1] for i in range(len(names))] == [[n] for n, _ in names]
 
@@ -95,6 +161,51 @@ def test_layouts_become_the_same_turns(spark):
     assert len(set(shapes)) == 7
 
 
+def test_examples_have_the_fingerprint_of_their_variant(spark):
+    examples = [x for layout in chat.LAYOUTS.values() for x in layout.examples]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(examples)], "i int, j string")
+    got = {r["i"]: r["f"] for r in df.select("i", chat.fingerprint(F.parse_json("j")).alias("f")).collect()}
+    assert [got[i] for i in range(len(examples))] == [chat._digest(x) for x in examples]
+
+
+def test_structs_of_known_and_unknown_layouts(spark):
+    df = spark.createDataFrame([(1, ("q", "a"), "x"), (2, None, "y")], "id int, record struct<question:string,answer:string>, turns string")
+    got = {r["id"]: r for r in chat.canonical_turns(df).collect()}
+    assert got[1]["layout"] == "question_answer" and [tuple(t) for t in got[1]["turns"]] == [("user", "q"), ("assistant", "a")]
+    assert got[2]["layout"] is None and got[2]["turns"] is None
+    odd = spark.createDataFrame([(1, ("q",))], "id int, record struct<other:string>")
+    assert [(r["layout"], r["turns"]) for r in chat.canonical_turns(odd).collect()] == [(None, None)]
+
+
+def test_roles_and_long_texts_are_read_back_as_they_are(spark):
+    roles = ["human", "gpt", "a\0b", "a\\nb", "\\s\\", "x\n<s>", "[\\INST]"]
+    rows = [(i, 0, r, f"text {r}") for i, r in enumerate(roles)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    long = spark.range(1).select(F.lit(99).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("abc </s> é\n"), 2_200_000).alias("text"))
+    df = df.unionByName(long).withColumn("turns", F.lit("clash")).withColumn("formatted", F.lit("clash"))
+    out = chat.format_turns(chat.canonical_turns(chat.records_of_rows(df)))
+    back = out.select("conv_id", "layout", chat.read_turns(F.col("formatted")).alias("back"), chat.read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    small = {r["conv_id"]: (r["layout"], [tuple(t) for t in r["back"]], r["loss"]) for r in back.where("conv_id < 99").collect()}
+    assert small == {i: ("turns", [(r, f"text {r}")], "") for i, _, r, _ in rows}
+    (one,) = back.where("conv_id = 99").select(F.size("back").alias("n"), F.sha2(F.col("back")[0]["text"], 256).alias("h"), F.sha2("loss", 256).alias("l")).collect()
+    want = hashlib.sha256(("abc </s> é\n" * 2_200_000).encode()).hexdigest()
+    assert (one["n"], one["h"], one["l"]) == (1, want, want)
+
+
+def test_the_query_equals_its_sql_on_odd_conversations(spark, tmp_path):
+    import duckdb
+
+    from timberline.llm.queries import ORACLE, QUERIES
+
+    rows = [(1, 0, "human", "hi <s>"), (1, 1, "gpt", "ho"), (2, 0, "a\nb\\</s>", "x"), (2, 1, "assistant", None), (3, 0, None, ""), (None, 0, "assistant", "[INST]"), (4, 1, "assistant", "b"), (4, 1, "assistant", "a"), (4, 1, "assistant", "a")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    want = sorted(map(str, con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE['op2_chat_format']})").fetchall()))
+    assert sorted(str(tuple(r)) for r in QUERIES["op2_chat_format"](spark, str(tmp_path)).select(*columns).collect()) == want
+
+
 def test_rows_with_nulls_ties_and_odd_roles_are_read_back(spark):
     rows = [(1, 0, "us\ner\\n", "a"), (1, 1, None, None), (1, 1, "assistant", "x</s>"), (1, 1, "assistant", "x</s>"), (None, 0, "user", "n"), (2, None, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -153,6 +264,30 @@ def test_windows_against_brute_force(spark):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_numbers_of_repeats_and_wide_counters(spark):
+    rng = random.Random(7)
+    arrays = [[rng.randrange(k) for _ in range(n)] for n in (0, 1, 2, 7, 64, 200) for k in (1, 3, 500)]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, h array<bigint>")
+    got = df.select("i", decontamination.numbered("h").alias("b"), F.expr(decontamination.simhash("h", "size(h)")).alias("s"), F.expr(decontamination.simhash("h", "size(h)").replace("< 65536", "< 0")).alias("wide")).collect()
+    bags = {r["i"]: set(r["b"]) for r in got}
+    assert all(r["s"] == r["wide"] for r in got)
+    for i, a in enumerate(arrays):
+        assert len(bags[i]) == len(a)
+        for j, b in enumerate(arrays):
+            assert len(bags[i] & bags[j]) == sum((collections.Counter(a) & collections.Counter(b)).values())
+    (same,) = spark.range(1).select(F.expr(decontamination.simhash("array_repeat(-1L, 70000)", "70000")).alias("s")).collect()
+    assert same["s"] == -1
+
+
+def test_a_very_long_item_and_an_item_held_many_times(spark):
+    rng = random.Random(1)
+    item = " ".join(f"w{rng.randrange(10**6)}" for _ in range(1_500))
+    short = " ".join(f"v{i}" for i in range(12))
+    docs = [(1, "intro words here " + item + " and an end"), (2, f"{short} filler " * 500), (3, "nothing of it")]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, short), (None, short)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"] or 0, r["similarity"], r["start_word"]) for r in got) == [(1, 1, 1.0, 3), (2, 0, 1.0, 0), (2, 2, 1.0, 0)]
+
+
 def test_no_documents_and_no_items(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontamination.contaminated(docs.limit(0), items).count() == 0

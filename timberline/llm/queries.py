@@ -127,12 +127,21 @@ def _sql_text(text: str) -> str:
 def _license_sql() -> str:
     known = licenses.known_sentences()
     rows = ", ".join(f"({_sql_text(s)}, {_sql_text(i)})" for s, i in known.items())
-    normal = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+    def normal(x: str) -> str:
+        out = f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+        for pattern, by in licenses.VARIABLE:
+            out = f"regexp_replace({out}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+        return out
+
+    text = "text"
+    for pattern, by in licenses.ABBREVIATED:
+        text = f"regexp_replace({text}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
     ctes = [
         f"known(s, i) AS (VALUES {rows})",
         f"""blocks AS (SELECT rowid AS r, b.block, b.pos FROM docs,
-            LATERAL (SELECT unnest(regexp_split_to_array(text, '{licenses.SENTENCE_END}')) AS block,
-                     unnest(range(len(regexp_split_to_array(text, '{licenses.SENTENCE_END}')))) AS pos) b
+            LATERAL (SELECT unnest(regexp_split_to_array({text}, '{licenses.SENTENCE_END}')) AS block,
+                     unnest(range(len(regexp_split_to_array({text}, '{licenses.SENTENCE_END}')))) AS pos) b
             WHERE regexp_matches(lower(text), '{"|".join(licenses.ANCHORS)}'))""",
         f"whole AS (SELECT r, pos, 0 AS line, i FROM blocks JOIN known ON s = {normal('block')})",
         f"""lines AS (SELECT r, pos, line, i FROM (
@@ -165,7 +174,7 @@ def _chat_sql() -> str:
           SELECT conv_id, count(*) AS n_turns,
             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-            CAST(sum(length(role) + length(regexp_replace(text, '{pattern}', '\1\\\2\3', 'g')) + {len(chat.TURN) + len(chat.END) + 2}) AS BIGINT) AS formatted_chars
+            CAST(sum(length(regexp_replace(replace(replace(role, '\', '\s'), chr(10), '\n'), '{pattern}', '\1\\\2\3', 'g')) + length(regexp_replace(text, '{pattern}', '\1\\\2\3', 'g')) + {len(chat.TURN) + len(chat.END) + 2}) AS BIGINT) AS formatted_chars
           FROM rows_in GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM grouped
     """
