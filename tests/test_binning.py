@@ -51,6 +51,45 @@ def test_training_bounds_grow_and_end_at_infinity(pairs, max_bin, min_data):
         assert len(bounds) <= max_bin + 1
 
 
+def one_by_one(values, counts, max_bin, min_data):
+    """The rule of equal counts, read literally: walk the rows' values and ask at each whether its bin is full."""
+    total, few = sum(counts), len(values) <= max_bin
+    bins = len(values) if few else max(1, min(max_bin, total // max(min_data, 1)))
+    is_heavy = lambda i: not few and counts[i] >= total / bins
+    light_bins = bins - sum(map(is_heavy, range(len(values))))
+    light_after = lambda i: sum(c for j, c in enumerate(counts) if j > i and not is_heavy(j))
+    share = lambda i: light_after(i) / light_bins if light_bins > 0 else math.inf
+    goal, held, out = (min_data if few else share(-1)), 0, []
+    for i in range(len(values) - 1):
+        if len(out) == bins - 1:
+            break
+        held += counts[i]
+        if is_heavy(i) or held >= goal or (is_heavy(i + 1) and held >= max(1.0, goal / 2)):
+            out.append(i)
+            held = 0
+            if not few and not is_heavy(i):
+                light_bins -= 1
+                goal = share(i)
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=80), st.integers(1, 20), st.integers(1, 12))
+def test_equal_counts_against_the_literal_rule(counts, max_bin, min_data):
+    values = [float(i) for i in range(len(counts))]
+    got = binning.equal_count_bounds(values, counts, max_bin, min_data)
+    assert [math.floor(b) for b in got[:-1]] == one_by_one(values, counts, max_bin, min_data)
+    assert all(values[int(b)] < b <= values[int(b) + 1] for b in got[:-1])
+
+
+def test_information_gain_of_cuts(spark):
+    assert binning.information_gain([4, 0], [0, 4]) == 1.0 and binning.information_gain([2, 2], [3, 3]) == pytest.approx(0.0)
+    df = spark.createDataFrame([(float(i), int(i > 3), "x") for i in range(8)] + [(None, 1, "x"), (1.0, None, "x")], "v double, y int, n string")
+    m = binning.Mapper("v", bounds=(1.0, 3.0, 7.0), lowest=-1.0, highest=9.0)
+    got = {r["bin"]: r["gain"] for r in binning.cut_gains(df, m, "y").collect()}
+    assert got[1] == pytest.approx(1.0) and got[0] == pytest.approx(binning.information_gain([2, 0], [2, 4])) and got[2] == pytest.approx(0.0)
+
+
 def test_zero_has_a_bin_of_its_own():
     bounds = binning.zero_bin_bounds([-2.0, -1.0, 0.0, 1.0, 2.0], [10, 10, 10, 10, 10], 10, 1)
     assert -binning.ZERO in bounds and binning.ZERO in bounds

@@ -11,13 +11,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from timberline.operators.ordering import value_counts
 from timberline.operators.spec import long_form, valid
 
 #: Values closer to zero than this are zero.
 ZERO = 1e-35
-#: Rows that training-grade bounds are found on, at most; a hash of the key picks them.
+#: Rows that training-grade bounds are found on, about, in larger tables; a hash of the key picks them.
 SAMPLE_ROWS = 200_000
 
 
@@ -159,6 +160,47 @@ def fit_adaptive(df: DataFrame, feature: str, max_bins: int = 16, min_data: int
     return Mapper(feature, bounds=tuple(bounds), lowest=base.lowest, highest=base.highest)
 
 
+def information_gain(classes_left: list[int], classes_right: list[int]) -> float:
+    """Bits of the class that a cut tells, from the class counts on both sides."""
+    left, right = np.asarray(classes_left, dtype=float), np.asarray(classes_right, dtype=float)
+
+    def entropy(c: np.ndarray) -> float:
+        p = c[c > 0] / max(c.sum(), 1.0)
+        return float(-(p * np.log2(p)).sum())
+
+    n = left.sum() + right.sum()
+    return entropy(left + right) - (left.sum() * entropy(left) + right.sum() * entropy(right)) / n if n else 0.0
+
+
+def cut_gains(df: DataFrame, mapper: Mapper, label: str) -> DataFrame:
+    """``bin, gain``: the information gain about ``label`` of a cut after each bin; windows over bins and classes.
+
+    Rows with a null label or a missing value take no part.
+    """
+    rows = df.where(F.col(label).isNotNull() & valid(mapper.feature).isNotNull())
+    cells = rows.groupBy(to_bin(F.col(mapper.feature), mapper).alias("bin"), F.col(label).alias("__class")).agg(F.count("*").alias("n"))
+    grid = cells.select("bin").distinct().crossJoin(cells.select("__class").distinct())  # bins x classes
+    full = grid.join(cells, ["bin", "__class"], "left").na.fill(0, ["n"])
+    own = Window.partitionBy("__class").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    full = full.select("bin", F.sum("n").over(own).cast("double").alias("l"), F.sum("n").over(Window.partitionBy("__class")).cast("double").alias("a"))
+    full = full.withColumn("r", F.col("a") - F.col("l"))
+    term = lambda c: F.sum(F.when(F.col(c) > 0, F.col(c) * F.log2(c)).otherwise(0.0))
+    total = lambda c: F.when(F.sum(c) > 0, F.sum(c) * F.log2(F.sum(c))).otherwise(0.0)
+    bits = lambda c: total(c) - term(c)
+    return full.groupBy("bin").agg(((bits("a") - bits("l") - bits("r")) / F.sum("a")).alias("gain"))
+
+
+def choose_strategy(df: DataFrame, features: list[str], max_bins: int = 255) -> DataFrame:
+    """``feature, strategy``: ``distinct`` for few values, ``uniform`` where the tails are short, else ``quantile``.
+
+    Tails are short if no value lies more than three deviations from the mean.
+    """
+    cells = long_form(df, features).groupBy("feature")
+    stats = cells.agg(F.count_distinct("value").alias("d"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    short = F.greatest(F.col("hi") - F.col("m"), F.col("m") - F.col("lo")) <= 3 * F.col("s")
+    return stats.select("feature", F.when(F.col("d") <= max_bins, "distinct").when(short, "uniform").otherwise("quantile").alias("strategy"))
+
+
 def fit_custom(feature: str, bounds: list[float], lowest: float, highest: float) -> Mapper:
     return Mapper(feature, bounds=tuple(sorted(set(bounds))), lowest=lowest, highest=highest)
 
@@ -212,100 +254,114 @@ def _between(a: float, b: float) -> float:
 
 
 def equal_count_bounds(values: list[float], counts: list[int], max_bin: int, min_data: int) -> list[float]:
-    """Bounds of bins with about equally many rows; a value with a bin's worth of rows has its own."""
+    """Bounds of bins with about equally many rows.
+
+    No more values than bins: a bin ends at the first value that gives it
+    ``min_data`` rows.  Else ``b`` bins are aimed at, ``max_bin`` or as many as
+    ``min_data`` allows.  A value with a ``b``-th of the rows or more is heavy
+    and ends its bin; the other bins aim at an equal share of the light rows,
+    worked out anew after each of them, and one also ends before a heavy value
+    if it holds half of its share.
+    """
     if not values:
         return [math.inf]
-    total = sum(counts)
-    if len(values) <= max_bin:
-        bounds, held = [], 0
-        for i in range(len(values) - 1):
-            held += counts[i]
-            if held >= min_data:
-                bounds.append(_between(values[i], values[i + 1]))
-                held = 0
-        return [*bounds, math.inf]
-    bins = max(1, min(max_bin, total // max(min_data, 1)))
-    heavy = [c >= total / bins for c in counts]
-    open_bins = bins - sum(heavy)
-    open_rows = total - sum(c for c, h in zip(counts, heavy, strict=True) if h)
-    target = open_rows / open_bins if open_bins > 0 else math.inf
-    bounds, held = [], 0
-    for i in range(len(values) - 1):
-        held += counts[i]
-        if not heavy[i]:
-            open_rows -= counts[i]
-        full = held >= target or (heavy[i + 1] and held >= max(1.0, target / 2))
-        if heavy[i] or full:
-            bounds.append(_between(values[i], values[i + 1]))
-            if len(bounds) >= bins - 1:
-                break
-            held = 0
-            if not heavy[i]:
-                open_bins -= 1
-                target = open_rows / open_bins if open_bins > 0 else math.inf
-    return [*bounds, math.inf]
+    n = np.asarray(counts, dtype=np.int64)
+    rows = np.concatenate(([0], np.cumsum(n)))
+    last = len(values) - 1
+    few = len(values) <= max_bin
+    bins = len(values) if few else max(1, min(max_bin, int(rows[-1]) // max(min_data, 1)))
+    heavy = np.flatnonzero(n >= rows[-1] / bins) if not few else np.zeros(0, dtype=np.int64)
+    light = rows - np.concatenate(([0], np.cumsum(np.where(np.isin(np.arange(len(n)), heavy), n, 0))))
+    light_bins = bins - len(heavy)
+
+    def share(start: int) -> float:
+        return (light[-1] - light[start]) / light_bins if light_bins > 0 else math.inf
+
+    goal = max(min_data, 1) if few else share(0)
+    ends, start = [], 0
+    while start < last and len(ends) < bins - 1:
+        held = rows[start + 1 :] - rows[start]  # rows of a bin that ends at each place
+        end = start + int(np.searchsorted(held, goal))
+        wall = heavy[np.searchsorted(heavy, start)] if len(heavy) and heavy[-1] >= start else last + 1
+        if end >= wall:
+            before = wall - 1
+            end = before if before >= start and held[before - start] >= max(1.0, goal / 2) else wall
+        if end >= last:
+            break
+        ends.append(int(end))
+        start = int(end) + 1
+        if end != wall and not few:
+            light_bins -= 1
+            goal = share(start)
+    return [*dict.fromkeys(_between(values[e], values[e + 1]) for e in ends), math.inf]
+
+
+def _inside(values: np.ndarray, counts: np.ndarray, lo: float, hi: float) -> tuple[list[float], list[int]]:
+    """Values above ``lo`` and up to ``hi``, and their counts."""
+    own = (values > lo) & (values <= hi)
+    return values[own].tolist(), counts[own].tolist()
 
 
 def zero_bin_bounds(values: list[float], counts: list[int], max_bin: int, min_data: int) -> list[float]:
-    """Zero has a bin of its own; bins are shared between negatives and positives by their rows."""
-    low = [(v, c) for v, c in zip(values, counts, strict=True) if v < -ZERO]
-    high = [(v, c) for v, c in zip(values, counts, strict=True) if v > ZERO]
-    n_low, n_all = sum(c for _, c in low), sum(counts)
-    n_zero = n_all - n_low - sum(c for _, c in high)
-    bounds: list[float] = []
-    if low:
-        share = max(1, int(n_low / max(n_all - n_zero, 1) * (max_bin - 1)))
-        bounds = equal_count_bounds([v for v, _ in low], [c for _, c in low], share, min_data)
-        bounds[-1] = -ZERO
-    left = max_bin - 1 - len(bounds)
-    if high and left > 0:
-        return [*bounds, ZERO, *equal_count_bounds([v for v, _ in high], [c for _, c in high], left, min_data)]
-    return [*bounds, math.inf]
+    """Zero, all within ``ZERO`` of it, has a bin of its own; the negatives get bins by their share of the other rows, the positives the rest."""
+    v, n = np.asarray(values, dtype=float), np.asarray(counts, dtype=np.int64)
+    below, above = int(n[v < -ZERO].sum()), int(n[v > ZERO].sum())
+    negative: list[float] = []
+    if below:
+        bins = max(1, int(below / (below + above) * (max_bin - 1)))
+        negative = [*equal_count_bounds(*_inside(v, n, -math.inf, math.nextafter(-ZERO, -math.inf)), bins, min_data)[:-1], -ZERO]
+    room = max_bin - 1 - len(negative)
+    if above and room > 0:
+        return [*negative, ZERO, *equal_count_bounds(*_inside(v, n, ZERO, math.inf), room, min_data)]
+    return [*negative, math.inf]
 
 
 def forced_bounds(values: list[float], counts: list[int], max_bin: int, min_data: int, forced: list[float]) -> list[float]:
-    """Given bounds first, zero's next, and the parts between filled in proportion to their rows."""
-    fixed = sorted({*[b for b in forced if abs(b) > ZERO], -ZERO, ZERO})[: max(max_bin - 1, 0)] + [math.inf]
-    free, rows = max_bin - len(fixed), max(sum(counts), 1)
-    out, lo = [], -math.inf
-    for bound in fixed:
-        own = [(v, c) for v, c in zip(values, counts, strict=True) if lo < v <= bound]
-        share = round(sum(c for _, c in own) * free / rows) + 1
-        if share > 1 and own:
-            out += [b for b in equal_count_bounds([v for v, _ in own], [c for _, c in own], share, min_data) if lo < b < bound]
-        out.append(bound)
-        lo = bound
-    return sorted(set(out))[: max_bin - 1] + [math.inf] if len(set(out)) > max_bin else sorted(set(out))
+    """The given bounds and zero's stand; the bins that are left go to the stretches between them by their rows."""
+    v, n = np.asarray(values, dtype=float), np.asarray(counts, dtype=np.int64)
+    fences = sorted({-ZERO, ZERO}.union(b for b in forced if abs(b) > ZERO))[: max(max_bin - 1, 0)]
+    free = max_bin - 1 - len(fences)
+    chosen = set(fences)
+    for lo, hi in zip([-math.inf, *fences], [*fences, math.inf], strict=True):
+        own, own_counts = _inside(v, n, lo, hi)
+        bins = 1 + round(sum(own_counts) * free / max(int(n.sum()), 1))
+        if bins > 1:
+            chosen.update(b for b in equal_count_bounds(own, own_counts, bins, min_data) if lo < b < hi)
+    return [*sorted(chosen)[: max(max_bin - 1, 0)], math.inf]
 
 
 def fit_training(df: DataFrame, features: list[str], key: list[str], max_bin: int = 255, min_data: int = 3, forced: dict[str, list[float]] | None = None, use_missing: bool = True) -> list[Mapper]:
-    """Training-grade mappers from a bounded sample; each feature's fold is a task of its own.
+    """Training-grade mappers; each feature's fold is a task of its own.
 
-    A feature with missing cells keeps one bin for them.
+    Bounds are found on about SAMPLE_ROWS rows, those of the least hashes of
+    the key (all rows of a smaller table); missing cells, the least and the
+    largest value are those of all rows.  A feature with missing cells keeps
+    one bin for them.
     """
     forced = forced or {}
-    sample = df.orderBy(F.xxhash64(*key)).limit(SAMPLE_ROWS)
+    cells = long_form(df, features).groupBy("feature")
+    whole = {r["feature"]: r for r in cells.agg(F.count("*").alias("n"), F.count("value").alias("valid"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
+    total = max((r["n"] for r in whole.values()), default=0)
+    share = math.ceil(SAMPLE_ROWS / max(total, 1) * (1 << 30))
+    sample = df if total <= SAMPLE_ROWS else df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < share)
     counts = long_form(sample, features).groupBy("feature", "value").agg(F.count("*").alias("n"))
 
     def fold(one: pd.DataFrame) -> pd.DataFrame:
         feature = one["feature"].iloc[0]
         own = one.dropna(subset=["value"]).sort_values("value")
-        has_nan = use_missing and len(own) < len(one)
         values, n = own["value"].tolist(), own["n"].tolist()
-        bins = max_bin - int(has_nan)
+        bins = max_bin - int(gaps[feature])
         bounds = forced_bounds(values, n, bins, min_data, forced[feature]) if feature in forced else zero_bin_bounds(values, n, bins, min_data)
-        lo, hi = (values[0], values[-1]) if values else (0.0, 0.0)
-        return pd.DataFrame({"feature": [feature], "bounds": [bounds], "has_nan": [has_nan], "lo": [lo], "hi": [hi]})
+        return pd.DataFrame({"feature": [feature], "bounds": [bounds]})
 
-    rows = counts.groupBy("feature").applyInPandas(fold, "feature string, bounds array<double>, has_nan boolean, lo double, hi double").collect()
-    by = {r["feature"]: r for r in rows}
+    gaps = {f: use_missing and f in whole and whole[f]["valid"] < whole[f]["n"] for f in features}
+    by = {r["feature"]: tuple(r["bounds"]) for r in counts.groupBy("feature").applyInPandas(fold, "feature string, bounds array<double>").collect()}
     out = []
     for f in features:
-        r = by[f]
-        bounds = tuple(r["bounds"])
-        top = bounds[-2] if len(bounds) > 1 else r["hi"]
-        m = Mapper(f, bounds=bounds, lowest=-math.inf, highest=math.nextafter(max(top, r["hi"]), math.inf))
-        out.append(m.with_missing("separate") if r["has_nan"] else m)
+        bounds, hi = by.get(f, (math.inf,)), whole[f]["hi"] if f in whole and whole[f]["hi"] is not None else 0.0
+        top = bounds[-2] if len(bounds) > 1 else hi
+        m = Mapper(f, bounds=bounds, lowest=-math.inf, highest=math.nextafter(max(top, hi), math.inf))
+        out.append(m.with_missing("separate") if gaps[f] else m)
     return out
 
 
