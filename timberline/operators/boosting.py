@@ -237,22 +237,79 @@ def loss(kind: str, y: Column, s: Column) -> Column:
 def staged_stop(stages: Column, kind: str, threshold: float, period: int) -> Column:
     """Trees used before a row's running score is sure enough.
 
-    ``stages`` is ``array<double>`` of tree outputs; every ``period`` trees the
-    margin ``2 * abs(score)`` (binary) is held against the threshold.  Other
-    kinds never stop.
+    ``stages`` is ``array<double>`` of tree outputs, for ``multiclass`` an array
+    of such arrays, one number a class.  Every ``period`` trees the margin is
+    held against the threshold: ``2 * abs(score)`` (binary) or the largest
+    score less the second (multiclass).  Other kinds never stop.
     """
-    if kind != "binary":
+    if kind not in ("binary", "multiclass"):
         return F.size(stages)
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+    many = kind == "multiclass"
+    nothing = F.transform(stages[0], lambda _: F.lit(0.0)) if many else F.lit(0.0)
+    start = F.struct(nothing.alias("s"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+    def margin(s: Column) -> Column:
+        if not many:
+            return 2 * F.abs(s)
+        order = F.sort_array(s, asc=False)
+        return F.coalesce(F.get(order, F.lit(0)) - F.get(order, F.lit(1)), F.lit(float("inf")))
 
     def step(a: Column, x: Column) -> Column:
-        s, n = a["s"] + x, a["n"] + 1
-        sure = (n % period == 0) & (2 * F.abs(s) > threshold)
+        s, n = F.zip_with(a["s"], x, lambda p, q: p + q) if many else a["s"] + x, a["n"] + 1
+        sure = (n % period == 0) & (margin(s) > threshold)
         return F.when(a["done"], a).otherwise(F.struct(s.alias("s"), n.alias("n"), sure.alias("done")))
 
     return F.aggregate(stages, start, step, lambda a: a["n"])
 
 
+def confidence_stop(log: Column, threshold: float = 0.9, patience: int = 5, least: int = 10) -> Column:
+    """Whether predictions are sure and steady, from ``array<double>`` of confidences by iteration.
+
+    The last ``patience`` of them must average ``threshold``, differ by less
+    than one percent from the average of as many before, and vary by less than
+    0.001; never before ``least`` iterations or twice the patience.
+    """
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / patience
+    now, before = F.slice(log, -patience, patience), F.slice(log, -2 * patience, patience)
+    spread = F.aggregate(now, F.lit(0.0), lambda a, x: a + (x - mean(now)) * (x - mean(now))) / patience
+    steady = F.abs(mean(now) - mean(before)) < 0.01 * F.when(F.abs(mean(before)) > 1e-8, F.abs(mean(before))).otherwise(1.0)
+    sure = (mean(now) >= threshold) & steady & (spread < 0.001)
+    return F.when(F.size(log) >= max(least, 2 * patience), sure).otherwise(False)
+
+
+def train_multiclass(df: DataFrame, features: list[str], label: str, key: list[str], classes: int, rounds: int = 10, rate: float = 0.1, max_bin: int = 63, **tree_options) -> list[Ensemble]:
+    """One ensemble a class, boosted together on the softmax loss.
+
+    Labels are whole numbers from 0 to ``classes - 1``; other rows take no
+    part.  Scores of all classes stand in one array column, written again
+    after each round, so plans stay short.
+    """
+    from timberline.operators.spec import valid
+
+    y = valid(label)
+    rows = df.where(y.isNotNull() & (y >= 0) & (y < classes))
+    mappers = [m.with_missing("separate") for m in binning.fit_quantile(rows, features, max_bin)]
+    base = rows.select(*dict.fromkeys([*key, *features]), y.cast("int").alias("__y"))
+    counts = {r["__y"]: r["n"] for r in base.groupBy("__y").agg(F.count("*").alias("n")).collect()}  # a row a class
+    total = max(sum(counts.values()), 1)
+    models = [Ensemble(start=math.log(max(counts.get(k, 0), 1e-9) / total), objective="multiclass") for k in range(classes)]
+    scored = materialize(binning.transform(base, mappers).withColumn("__s", F.array(*[F.lit(m.start) for m in models])), "binned")
+    for _ in range(rounds):
+        for k, model in enumerate(models):
+            g, h = softmax_objective(F.col("__y"), F.col("__s"), k)
+            model.trees.append(trees.grow(scored.withColumn("g", g).withColumn("h", h), mappers, rate=rate, **tree_options))
+        after = F.array(*[F.col("__s")[k] + trees.score_expression(m.trees[-1]) for k, m in enumerate(models)])
+        scored = materialize(scored.withColumn("__s", after), "scores")
+    return models
+
+
+def class_chances(models: list[Ensemble]) -> Column:
+    """``array<double>``: the chance of each class."""
+    from timberline.functions.scalars import softmax
+
+    return softmax(F.array(*[m.raw() for m in models]))
+
+
 def rank_importance(values: dict[str, float]) -> list[tuple[str, float, float]]:
     """``(feature, value, share)``, largest first."""
     total = sum(values.values()) or 1.0

@@ -119,3 +119,9 @@ def goss(df: DataFrame, row_id: Column, gradient: str, hessian: str, top: float
 def class_values(df: DataFrame, label: str) -> DataFrame:
     """Distinct labels."""
     return df.select(label).where(F.col(label).isNotNull()).distinct()
+
+
+def class_count(df: DataFrame, label: str, most: int = 1000) -> DataFrame:
+    """One row, ``classes``: the number of different labels, null where they are more than ``most`` and so no classes."""
+    n = F.count_distinct(F.col(label))
+    return df.agg(F.when(n <= most, n).cast("int").alias("classes"))
