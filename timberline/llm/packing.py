@@ -31,7 +31,7 @@ END_ID = 1
 #: Buckets that the pieces of one length are dealt to, so that no length is one task's work.
 RANK_BUCKETS = 1024
 #: Words that a task keeps with their ids.
-CACHED_WORDS = 1 << 16
+CACHED_WORDS = 300_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -55,6 +55,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.openings = sorted({t[:2].lower() for t in special})  # looked for before the slower pattern
         self.special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)", regex.IGNORECASE)
         # a word of the tokenizer: a contraction, letters, one digit, or other signs
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
@@ -65,6 +66,9 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {"": b""}  # by what stands between spaces
         self.known_words: dict[str, bytes] = {}
 
+    def _holds_special(self, text: str) -> bool:
+        return any(x in text for x in self.openings) and self.special.search(text) is not None
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -85,7 +89,7 @@ class WordTokenizer:
             self.known = {"": b""}
         if len(self.known_words) > CACHED_WORDS:
             self.known_words = {}
-        plain = [not self.UNUSUAL.search(t) and not self.special.search(t) for t in texts]
+        plain = [not self.UNUSUAL.search(t) and not self._holds_special(t) for t in texts]
         chunks = [unicodedata.normalize("NFC", t).lower().replace("\n", " ").split(" ") if ok else [] for t, ok in zip(texts, plain, strict=True)]
         new = list(set().union(*chunks).difference(self.known))
         if new:
