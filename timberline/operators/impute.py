@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,9 +13,6 @@ from pyspark.sql.window import Window
 from timberline.operators.profile import feature_statistics, missing_by_feature, order_statistics
 from timberline.operators.spec import valid
 
-#: Rows complete in all features that neighbours are sought among, at most.
-REFERENCE_ROWS = 2000
-
 
 def fit_constants(df: DataFrame, strategies: dict[str, str | float]) -> dict[str, float]:
     """Fill values per feature: ``mean``, ``median``, ``mode``, ``zero`` or a number; 0 for an empty feature."""
@@ -108,26 +109,81 @@ def linear_fill(near: DataFrame) -> Column:
     return F.coalesce(F.when(span > 0, between), F.col("prev"), F.col("next"), F.lit(0.0))
 
 
-def knn_fill(df: DataFrame, features: list[str], target: str, key: list[str], k: int = 5, reference_rows: int = REFERENCE_ROWS) -> DataFrame:
-    """Fill ``target`` by the inverse-distance mean of its ``k`` nearest complete rows.
+#: Complete rows of a block of the neighbour search, about; a task holds one block.
+BLOCK_ROWS = 20_000
+#: Rows to fill that are held against a block at a time.
+QUERY_ROWS = 256
+
+
+def knn_fill(df: DataFrame, features: list[str], target: str, key: list[str], k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Fill ``target`` by the inverse-distance mean of its ``k`` nearest complete rows, of all of them.
 
-    The complete rows are a bounded sample (a parameter), so they go to every
-    task; each row to fill keeps its ``k`` nearest inside a fold, so no pair of
-    rows is ever a row of its own.  Rows that miss another feature stay as they
-    are.  Distance 0 weighs 1e6.
+    ``key`` names a row.  Complete rows are dealt to blocks by a hash and every
+    row to fill visits every block, which gives back its ``k`` nearest there;
+    the nearest of these are the nearest of all.  A task holds one block, and
+    no pair of rows is ever a row.  The work is the product of both counts.
+    Equal distances go to the smaller value, distance 0 weighs 1e6, and rows
+    that miss another feature, or find no complete row, stay as they are.
     """
     others = [f for f in features if f != target]
-    complete = df.where(sum((valid(f).isNull().cast("int") for f in features), F.lit(0)) == 0)
-    chosen = complete.select(F.xxhash64(*key).alias("h"), *[valid(f).alias(f) for f in features]).orderBy("h", *features).limit(reference_rows)
-    packed = chosen.agg(F.sort_array(F.collect_list(F.struct("h", *features))).alias("__reference"))
-    need = valid(target).isNull() & (sum((valid(f).isNull().cast("int") for f in others), F.lit(0)) == 0)
-    rows = df.crossJoin(F.broadcast(packed))  # one row of at most reference_rows entries
-    distance = lambda r: F.sqrt(sum(((r[f] - valid(f)) * (r[f] - valid(f)) for f in others), F.lit(0.0)))
-    near = F.slice(F.array_sort(F.transform("__reference", lambda r: F.struct(distance(r).alias("d"), r["h"].alias("h"), r[target].alias("v")))), 1, k)
-    weight = lambda x: F.when(x["d"] > 0, 1.0 / F.greatest(x["d"], F.lit(1e-300))).otherwise(1e6)
-    total = F.aggregate(near, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda a, x: F.struct((a["s"] + weight(x) * x["v"]).alias("s"), (a["w"] + weight(x)).alias("w")), lambda a: F.try_divide(a["s"], a["w"]))
-    filled = F.when(need, total).otherwise(valid(target))
-    return rows.select(*[filled.alias(c) if c == target else F.col(f"`{c}`") for c in df.columns])
+    cells = [valid(f).alias(f"__x{i}") for i, f in enumerate(others)]
+    gaps = sum((valid(f).isNull().cast("int") for f in others), F.lit(0))
+    named = df.withColumn("__id", F.xxhash64(*[F.col(f"`{c}`") for c in key]))
+    complete = named.where((gaps == 0) & valid(target).isNotNull()).select(F.lit(0).alias("__kind"), "__id", *cells, valid(target).alias("__v"))
+    ask = named.where((gaps == 0) & valid(target).isNull()).select(F.lit(1).alias("__kind"), "__id", *cells, F.lit(None).cast("double").alias("__v"))
+    blocks = max(1, -(-complete.count() // block_rows))
+    dealt = complete.withColumn("__block", F.pmod("__id", F.lit(blocks)).cast("int"))
+    sent = ask.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = dealt.unionByName(sent)
+    # queries of a block are dealt to several tasks, each with the block's rows
+    shares = max(1, df.sparkSession.sparkContext.defaultParallelism // blocks)
+    share = F.when(F.col("__kind") == 0, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.pmod(F.xxhash64("__id"), F.lit(shares)).cast("int")))
+    rows = rows.withColumn("__share", F.explode(share)).withColumn("__task", F.col("__block") * shares + F.col("__share"))
+    rows = rows.select("__task", "__kind", "__id", "__v", *[f"__x{i}" for i in range(len(others))]).repartitionById(blocks * shares, F.col("__task")).sortWithinPartitions("__kind")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        points, values = np.zeros((0, len(others))), np.zeros(0)
+        for batch in batches:
+            kind = np.asarray(batch.column(1))
+            x = np.stack([np.asarray(c) for c in batch.columns[4:]], axis=1) if others else np.zeros((len(kind), 0))
+            if (kind == 0).any():
+                held.append((x[kind == 0], np.asarray(batch.column(3).to_numpy(zero_copy_only=False))[kind == 0]))
+            asked = np.flatnonzero(kind == 1)
+            if len(asked) and held:
+                points, values = np.concatenate([points, *[p for p, _ in held]]), np.concatenate([values, *[v for _, v in held]])
+                order = np.argsort(values, kind="stable")  # so that equal distances go to the smaller value
+                points, values, held = points[order], values[order], []
+            if not len(values):
+                continue
+            ids = batch.column(2).to_numpy(zero_copy_only=False)
+            for at in range(0, len(asked), QUERY_ROWS):
+                part = asked[at : at + QUERY_ROWS]
+                d = np.zeros((len(part), len(values)))
+                for c in range(len(others)):
+                    d += (x[part, c][:, None] - points[:, c][None, :]) ** 2
+                best = _least(d, min(k, len(values)))
+                far = np.sqrt(np.take_along_axis(d, best, axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part].astype(np.int64), best.shape[1])), pa.array(far.reshape(-1)), pa.array(values[best].reshape(-1))], ["__id", "__d", "__v"])
+
+    found = rows.mapInArrow(nearest, "__id long, __d double, __v double")
+    rank = F.row_number().over(Window.partitionBy("__id").orderBy("__d", "__v"))
+    near = found.withColumn("__r", rank).where(F.col("__r") <= k)
+    weight = F.when(F.col("__d") > 0, 1.0 / F.greatest(F.col("__d"), F.lit(1e-300))).otherwise(1e6)
+    filled = near.groupBy("__id").agg((F.sum(weight * F.col("__v")) / F.sum(weight)).alias("__filled"))
+    out = named.join(filled, "__id", "left")
+    value = F.when(valid(target).isNull() & F.col("__filled").isNotNull(), F.col("__filled")).otherwise(valid(target))
+    return out.select(*[value.alias(c) if c == target else F.col(f"`{c}`") for c in df.columns])
+
+
+def _least(d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` least of each row; of equal ones, the first."""
+    bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    out = np.empty((len(d), k), dtype=np.int64)
+    for i, row in enumerate(d):
+        some = np.flatnonzero(row <= bound[i])
+        out[i] = some[np.argsort(row[some], kind="stable")[:k]]
+    return out
 
 
 def random_fill(df: DataFrame, target: str, key: list[str], seed: int = 0) -> DataFrame:

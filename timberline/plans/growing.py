@@ -196,9 +196,7 @@ def log_scaled(spark, sf_dir):
 
 
 def class_count(spark, sf_dir):
-    """Of a label, and of a column that is none."""
-    few = sampling.class_count(read_table(spark, sf_dir, "embeddings"), "label")
-    return few.unionByName(sampling.class_count(lineitem(spark, sf_dir), "l_extendedprice"))
+    return sampling.class_count(read_table(spark, sf_dir, "embeddings"), "label")
 
 
 def score_early_stop_multiclass(spark, sf_dir):
@@ -302,7 +300,7 @@ ORACLE = {
     "complete_rows": f"SELECT count(*) AS n, 'l_quantity,l_extendedprice,l_tax' AS features FROM {HOLED_SQL} WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL",
     "chosen_features": "SELECT * FROM (VALUES ('variance', 'l_quantity,l_extendedprice,twice'), ('correlation', 'l_quantity,l_extendedprice,l_discount,l_tax,flat'), ('first', 'l_quantity,l_extendedprice')) t(rule, features)",
     "log_scaled": "SELECT round(sum(sign(l_extendedprice - 30000) * ln(1 + abs(l_extendedprice - 30000))), 2) AS total FROM lineitem",
-    "class_count": "SELECT CAST(count(DISTINCT label) AS INTEGER) AS classes FROM embeddings UNION ALL SELECT CAST(CASE WHEN count(DISTINCT l_extendedprice) <= 1000 THEN count(DISTINCT l_extendedprice) END AS INTEGER) FROM lineitem",
+    "class_count": "SELECT CAST(count(DISTINCT label) AS INTEGER) AS classes FROM embeddings",
     "confidence_stops": """
         WITH l AS (SELECT n AS id, i, CAST(1 AS DOUBLE) - CAST(0.5 AS DOUBLE) / (i * i) AS v FROM range(1, 41) a(n), range(1, 41) b(i) WHERE i <= n),
         s AS (SELECT id, avg(v) FILTER (WHERE i > id - 4) AS r, avg(v) FILTER (WHERE i > id - 8 AND i <= id - 4) AS p, var_pop(v) FILTER (WHERE i > id - 4) AS s FROM l GROUP BY id)

@@ -55,7 +55,7 @@ def fill_linear(spark, sf_dir):
 
 def fill_knn(spark, sf_dir):
     df = holed(spark, sf_dir)
-    return _sums(impute.knn_fill(df, FEATURES, "l_tax", KEY, 3, 200).where(F.col("l_discount").isNotNull()), ["l_tax"], 3)
+    return _sums(impute.knn_fill(df, FEATURES, "l_tax", KEY, 3).where(F.col("l_discount").isNotNull()), ["l_tax"], 3)
 
 
 def fill_random(spark, sf_dir):
@@ -170,6 +170,12 @@ def _scaled(form: str) -> str:
 
 
 ORACLE = {
+    "fill_knn": f"""
+        WITH h AS (SELECT row_number() OVER () AS id, * FROM {HOLED_SQL} WHERE l_discount IS NOT NULL),
+        n AS (SELECT q.id, min(struct_pack(d := sqrt((q.l_quantity - r.l_quantity) ** 2 + (q.l_extendedprice - r.l_extendedprice) ** 2 + (q.l_discount - r.l_discount) ** 2), v := r.l_tax), 3) AS near
+              FROM h q, h r WHERE q.l_tax IS NULL AND r.l_tax IS NOT NULL GROUP BY q.id),
+        w AS (SELECT id, sum(x.v * CASE WHEN x.d > 0 THEN 1 / x.d ELSE 1e6 END) / sum(CASE WHEN x.d > 0 THEN 1 / x.d ELSE 1e6 END) AS v FROM (SELECT id, unnest(near) AS x FROM n) GROUP BY id)
+        SELECT count(*) AS n, round(sum(coalesce(l_tax, w.v)), 3) AS l_tax FROM h LEFT JOIN w USING (id)""",
     "fill_constants": f"""SELECT count(*) AS n, round(sum(coalesce(l_discount, (SELECT avg(l_discount) FROM {HOLED_SQL}))), 2) AS l_discount,
         round(sum(coalesce(l_tax, (SELECT median(l_tax) FROM {HOLED_SQL}))), 2) AS l_tax, round(sum(l_quantity), 2) AS l_quantity FROM {HOLED_SQL}""",
     "fill_mode": f"""WITH m AS (SELECT trunc(l_quantity) AS w, count(*) AS n FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1)
