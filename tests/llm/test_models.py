@@ -78,6 +78,86 @@ def test_toxicity_on_held_out_rows(docs, labels):
     assert said[got.label == 1].mean() > 0.6  # about twenty toxic texts to learn from
 
 
+MIX, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def plain_bucket(gram: bytes, bits: int) -> int:
+    """The bucket of an n-gram, number by number."""
+    key = (int.from_bytes(gram, "little") + len(gram)) & MASK
+    key = key * MIX & MASK
+    key = (key ^ (key >> 29)) * MIX & MASK
+    return key >> (64 - bits)
+
+
+def plain_lower(text: str, letters: bool) -> bytes:
+    out = bytearray()
+    for b in text.encode():
+        small = b + 32 if 65 <= b <= 90 else b
+        white = b in (9, 10, 11, 12, 13) or letters and b < 128 and not 97 <= small <= 122
+        after = bool(out) and out[-1] == 0xC3 and 0x80 <= b <= 0x9E and b != 0x97
+        out.append(32 if white else small | 0x20 if after else small)
+    return bytes(out)
+
+
+TEXTS = ["", None, "a", "Some WORDS, and Ärger über ÉTÉ!", "x" * 700, "tiny\ttext\nof lines " * 40, "ab cd", "été\x0bß ×"]
+
+
+def test_quality_scores_against_a_plain_computation(spark):
+    rng = np.random.default_rng(4)
+    scorer = quality.Scorer(rng.normal(size=1 << quality.BITS), 0.3)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.score(df, scorer, ["doc_id"]).collect()}
+    for i, t in enumerate(TEXTS):
+        data = b" " + (t or "").encode() + b" "
+        each = [scorer.weights[plain_bucket(data[k : k + 3], quality.BITS)] for k in range(len(data) - 2)]
+        z = sum(each) / max(len(each), 1) + scorer.bias
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), rel=1e-9)
+
+
+def test_toxicity_scores_against_a_plain_computation(spark):
+    rng = np.random.default_rng(5)
+    held = {}
+    for i, t in enumerate(TEXTS):
+        data = b" " + plain_lower(t or "", True) + b" "
+        held[i] = {plain_bucket(data[k : k + n], toxicity.BITS) for n in toxicity.ORDERS for k in range(len(data) - n + 1)}
+    buckets = np.array(sorted(set().union(*held.values()))[::2], dtype=np.int64)
+    model = toxicity.Model(buckets, rng.normal(size=len(buckets)) / 10, -0.2)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model, ["doc_id"]).collect()}
+    weight = dict(zip(buckets.tolist(), model.weights, strict=True))
+    for i in held:
+        z = sum(weight.get(b, 0.0) for b in held[i]) + model.bias
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9)
+
+
+def test_toxic_texts_with_a_known_sign_are_caught(docs, labels):
+    """Some labelled texts hold no sign that any clean text lacks; of the others none may pass."""
+    signs = "trash pathetic idiot worthless disgusting stupid clown scum loser moron".split()
+    own = labels.select("doc_id", F.col("toxic").alias("label"))
+    held = toxicity.remainder(F.col("doc_id"), 3) == 1
+    model = toxicity.fit(docs, own.where(~held))
+    clear = F.lit(False)
+    for w in signs:
+        clear = clear | F.lower("text").contains(w)
+    scored = toxicity.score(docs.withColumn("clear", clear), model, ["doc_id", "clear"]).join(own.where(held), "doc_id").toPandas()
+    caught = scored[(scored.label == 1) & scored.clear].score >= toxicity.THRESHOLD
+    assert len(caught) and caught.mean() >= 0.9
+
+
+def test_window_chances_against_a_plain_network():
+    rng = np.random.default_rng(6)
+    net = language.train_network(rng.integers(0, 27, (80, language.WINDOW)), rng.integers(0, 3, 80), ["a", "b", "c"], epochs=1)
+    kinds = rng.integers(0, language.KINDS, (5, language.WINDOW))
+    got = language.log_chances(net, language._pair_tables(net), kinds)
+    for row, answer in zip(kinds, got, strict=True):
+        pooled = []
+        for width, filters, bias in zip(language.WIDTHS, net.filters, net.biases, strict=True):
+            every = [np.concatenate([net.embedding[k] for k in row[at : at + width]]) @ filters for at in range(language.WINDOW - width + 1)]
+            pooled.append(np.maximum(np.max(every, axis=0) + bias, 0))
+        z = np.concatenate(pooled) @ net.out + net.out_bias
+        assert np.allclose(answer, z - np.log(np.exp(z - z.max()).sum()) - z.max(), atol=1e-4)
+
+
 def test_toxicity_without_two_classes_and_odd_rows(spark, odd):
     labels = spark.createDataFrame([(5, 0), (6, 0), (6, None), (None, 1)], "doc_id long, label int")
     model = toxicity.fit(odd, labels)
@@ -169,6 +249,12 @@ def test_odd_vectors_ties_and_few_rows(spark):
     got = neighbours.search(df, df.where(F.col("vec_id") % 20 == 0), 3).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 0.5), (20, 1, 3, 0.5), (20, 2, 0, 0.0), (20, 3, 1, 0.0)]
     assert neighbours.search(df.limit(0), df, 3).count() == 0
+    again = spark.createDataFrame([(20, [1.0, 0.0])] * 30 + [(i, [1.0, 0.0]) for i in range(1, 6)] + [(1, [1.0, 0.0])] * 4, "vec_id long, embedding array<double>")
+    got = neighbours.search(again, again.where("vec_id = 20").limit(1), 3).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 1.0)] * 3
+    large = spark.createDataFrame([(0, [1e150, 1e150]), (1, [1e149, 0.0]), (2, [-1e150, 1.0]), (3, [1e-200, 1e-200])], "vec_id long, embedding array<double>")
+    got = neighbours.search(large, large.where("vec_id = 0"), 3).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 3, 2] and got[0]["score"] == pytest.approx(1e299)
     many = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
     got = neighbours.search(many, many.where("vec_id % 20 = 0"), 20).where("query_id = 20").orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [*range(20)]
