@@ -6,11 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once rather than for each entry of a lambda that names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(xs: Column) -> Column:
     """Shifted by the largest entry."""
-    shifted = F.transform(xs, lambda x: F.exp(x - F.array_max(xs)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shifted, lambda x: x / total)
+    shifted = _bound(F.array_max(xs), lambda top: F.transform(xs, lambda x: F.exp(x - top)))
+
+    def shares(each: Column) -> Column:
+        total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+        return _bound(total, lambda t: F.transform(each, lambda x: x / t))
+
+    return _bound(shifted, shares)
 
 
 def sigmoid(x: Column) -> Column:

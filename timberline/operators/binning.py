@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from timberline.operators.ordering import value_counts
 from timberline.operators.spec import long_form, valid
+from timberline.session import materialize
 
 #: Values closer to zero than this are zero.
 ZERO = 1e-35
@@ -91,7 +92,7 @@ def fit_quantile(df: DataFrame, features: list[str], max_bins: int = 255, min_da
     Cut ``i`` is the value at position ``round((n - 1) * i / max_bins)``.  The
     driver gets at most ``max_bins`` bounds a feature.
     """
-    ranked = value_counts(long_form(df, features)).cache()
+    ranked = materialize(value_counts(long_form(df, features)), "value-counts")
     sizes = ranked.groupBy("feature").agg(F.count("*").alias("distinct"), F.first("total").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     few = ranked.join(F.broadcast(sizes.where(F.col("distinct") <= max_bins).select("feature")), "feature").select("feature", "value", "before")
     steps = F.explode(F.sequence(F.lit(1), F.lit(max_bins))).alias("i")

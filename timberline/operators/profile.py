@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from timberline.operators.ordering import pick, value_counts
 from timberline.operators.spec import finite, long_form, ratio, valid
+from timberline.session import materialize
 
 MAX_CATEGORIES = 20
 
@@ -73,7 +74,7 @@ def order_statistics(df: DataFrame, features: list[str]) -> DataFrame:
     ``floor(n * q)``; the mode is of values truncated to whole numbers, ties to
     the smallest.
     """
-    ranked = value_counts(long_form(df, features)).cache()
+    ranked = materialize(value_counts(long_form(df, features)), "value-counts")
     n = ranked.groupBy("feature").agg(F.first("total").alias("total"))
     spots = {"lo": F.floor((F.col("total") - 1) / 2), "hi": F.floor(F.col("total") / 2), "q25": F.floor(F.col("total") * 0.25), "q75": F.floor(F.col("total") * 0.75)}
     listed = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.least(v, F.col("total") - 1).alias("position")) for k, v in spots.items()]))
