@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Vectors of a shard at most, about, and bytes of them; a shard's vectors and graph fit in one task.
-SHARD_SIZE = 50_000
+SHARD_SIZE = 10_000
 SHARD_BYTES = 1 << 26
 #: Shards of a small table, so that several tasks share the work.
 LEAST_SHARDS = 8
