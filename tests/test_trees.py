@@ -119,3 +119,100 @@ def test_offsets_conflicts_and_bundles(spark):
     assert {(r["a"], r["b"]): r["n"] for r in pairs.collect()} == {("a", "b"): 0, ("a", "c"): 1, ("b", "c"): 1}
     assert histogram.bundles(pairs, ["a", "b", "c"], 0) == [["a", "b"], ["c"]]
     assert Mapper("a", bounds=(1.0, 2.0)).n_bins == 2
+
+
+def _grown_by_hand(rows, leaves, smooth=0.0, max_delta=0.0):
+    """Best leaf first, a leaf at a time, on plain lists of (bins, g); hessians are 1."""
+    value = lambda part: -sum(g for _, g in part) / (len(part) + 1)
+    gain = lambda part: 0.5 * sum(g for _, g in part) ** 2 / (len(part) + 1)
+
+    def best(part):
+        cuts = []
+        for f in (0, 1):
+            for cut in range(8):
+                low, high = [r for r in part if r[0][f] <= cut], [r for r in part if r[0][f] > cut]
+                if min(len(low), len(high)) >= 5:
+                    cuts.append((gain(low) + gain(high) - gain(part), -f, -cut, low, high))
+        top = max(cuts, key=lambda c: c[:3], default=None)
+        return top if top and top[0] > 0 else None
+
+    def output(part, parent):
+        v = value(part)
+        if max_delta:
+            v = max(-max_delta, min(max_delta, v))
+        w = smooth / (smooth + len(part)) if smooth else 0.0
+        return (1 - w) * v + w * parent
+
+    out = {0: (rows, output(rows, value(rows)))}
+    made = 1
+    while len(out) < leaves:
+        open_ = {k: best(part) for k, (part, _) in out.items()}
+        open_ = {k: c for k, c in open_.items() if c}
+        if not open_:
+            break
+        k = min(open_, key=lambda k: (-open_[k][0], k))
+        parent = out.pop(k)[1]
+        for part in open_[k][3:]:
+            out[made] = (part, output(part, parent))
+            made += 1
+    return {k: (len(part), v) for k, (part, v) in out.items()}
+
+
+@pytest.mark.parametrize("options", [{}, {"smooth": 4.0}, {"max_delta": 0.2}])
+def test_looking_ahead_gives_the_tree_of_one_split_a_time(spark, options):
+    rng = np.random.default_rng(3)
+    bins, g = rng.integers(0, 9, (500, 2)), rng.normal(size=500)
+    g += np.where(bins[:, 0] > 4, 1.0, -0.3) * (bins[:, 1] - 3)
+    df = spark.createDataFrame([(int(a), int(b), float(x), 1.0) for (a, b), x in zip(bins, g, strict=True)], "bin_a int, bin_b int, g double, h double")
+    cuts = tuple(float(k) for k in range(9))
+    tree = trees.grow(df, [Mapper("a", bounds=cuts, highest=8.0), Mapper("b", bounds=cuts, highest=8.0)], num_leaves=9, l2=1.0, min_data=5, **options)
+    want = _grown_by_hand([(tuple(b), x) for b, x in zip(bins.tolist(), g.tolist(), strict=True)], 9, **options)
+    assert {i: tree.nodes[i].count for i in tree.leaves()} == {i: n for i, (n, _) in want.items()}
+    for i in tree.leaves():
+        assert tree.nodes[i].value == pytest.approx(want[i][1])
+
+
+def test_monotone_outputs_hold_over_the_whole_tree(spark):
+    df = _toy(spark).withColumn("y", F.col("x") / 10 + F.sin("x") * 3 + F.col("z"))
+    model = boosting.train(df, ["x", "z"], "y", ["id"], rounds=3, rate=0.5, num_leaves=8, min_data=5, monotone={"x": 1})
+    grid = spark.range(0, 101).crossJoin(spark.range(0, 9).withColumnRenamed("id", "k")).select(F.col("id").cast("double").alias("x"), F.col("k").cast("double").alias("z"))
+    scores = {(r["x"], r["z"]): r["s"] for r in grid.withColumn("s", model.raw()).collect()}
+    assert all(scores[x + 1, z] >= scores[x, z] - 1e-9 for x, z in scores if x < 100)
+
+
+def test_sets_of_categories_split_and_round_trip(spark):
+    df = spark.range(600).select("id", F.pmod(F.col("id") * 7, F.lit(12)).cast("int").alias("c"), F.pmod(F.col("id"), F.lit(5)).cast("double").alias("x"))
+    df = df.withColumn("y", F.when(F.col("c").isin(1, 5, 8, 11), 4.0).otherwise(-1.0)).withColumn("c", F.when(F.col("id") % 50 != 0, F.col("c")))
+    model = boosting.train(df, ["c", "x"], "y", ["id"], rounds=2, rate=1.0, num_leaves=3, min_data=5, categorical=["c"])
+    root = model.trees[0].nodes[0]
+    assert root.feature == "c" and set(root.categories) in ({1, 5, 8, 11}, set(range(12)) - {1, 5, 8, 11})
+    assert df.where("c is not null").agg(F.max(F.abs(model.raw() - F.col("y")))).first()[0] < 0.5
+    tree = model.trees[0]
+    assert df.agg(F.max(F.abs(F.expr(trees.to_sql(tree)) - trees.score_expression(tree)))).first()[0] == 0
+
+
+def test_ranking_gradients_and_training(spark):
+    rows = [(i, i // 40, float((i * 7) % 3), float((i * 5) % 11)) for i in range(240)] + [(900, None, 1.0, 1.0), (901, 77, 0.0, 2.0), (902, 78, None, 2.0)]
+    df = spark.createDataFrame(rows, "id long, q long, y double, x double").withColumn("x", F.col("x") + F.col("y") * 4)
+    got = {r["id"]: (r["g"], r["h"]) for r in boosting.ranking_gradients(df, "q", "y", F.col("x") / 9, ["id"]).collect()}
+    assert got.keys() == {*range(240), 901} and got[901] == (0.0, 0.0)
+    data = df.where("id < 240").toPandas()
+    for _, part in data.groupby("q"):
+        p, t = np.exp(part.x / 9) / np.exp(part.x / 9).sum(), (2**part.y - 1) / (2**part.y - 1).sum()
+        for i, a, b in zip(part.id, p, t, strict=True):
+            assert got[i] == pytest.approx((a - b, a * (1 - a)))
+    model = boosting.train(df, ["x"], "y", ["id"], objective_name="ranking", rounds=3, rate=0.5, num_leaves=4, min_data=5, query="q", min_hessian=1e-6)
+    means = {r["y"]: r["s"] for r in df.where("id < 240").groupBy("y").agg(F.avg(model.raw()).alias("s")).collect()}
+    assert means[0.0] < means[1.0] < means[2.0]
+    with pytest.raises(ValueError):
+        boosting.train(df, ["x"], "y", ["id"], objective_name="ranking")
+
+
+@pytest.mark.parametrize("options", [{"extra": 5}, {"levels": 64}, {"penalty": {"z": 1e9}}])
+def test_other_options_of_growing(spark, options):
+    df = _toy(spark)
+    model = boosting.train(df, ["x", "z"], "y", ["id"], rounds=4, rate=0.7, num_leaves=4, min_data=5, **options)
+    row = df.agg(F.avg((model.raw() - F.col("y")) ** 2).alias("mse"), F.var_pop("y").alias("v")).first()
+    assert row["mse"] < 0.7 * row["v"]
+    if "penalty" in options:
+        assert set(trees.importance(model.trees)) == {"x"}

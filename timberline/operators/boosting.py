@@ -11,15 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timberline.operators import binning, trees
+from timberline.operators import binning, histogram, trees
 from timberline.operators.sampling import sample_features
 from timberline.session import materialize
 
 #: Other names of objectives.
-OBJECTIVE_NAMES = {"l2": "regression", "mse": "regression", "mean_squared_error": "regression", "rmse": "regression", "regression_l2": "regression", "mean_absolute_error": "l1", "mae": "l1", "regression_l1": "l1", "softmax": "multiclass", "logistic": "binary", "binary_logloss": "binary"}
+OBJECTIVE_NAMES = {"l2": "regression", "mse": "regression", "mean_squared_error": "regression", "rmse": "regression", "regression_l2": "regression", "mean_absolute_error": "l1", "mae": "l1", "regression_l1": "l1", "softmax": "multiclass", "logistic": "binary", "binary_logloss": "binary", "rank": "ranking", "listwise": "ranking"}
 
 #: Trees whose scores are one expression; longer ensembles are summed in parts.
 TREES_AT_ONCE = 50
+#: Parts that the rows of one query are dealt to.
+QUERY_PARTS = 16
 
 
 def objective(name: str, y: Column, s: Column) -> tuple[Column, Column]:
@@ -51,6 +53,31 @@ def softmax_objective(y: Column, scores: Column, k: int) -> tuple[Column, Column
     return p - (y == k).cast("double"), p * (1 - p)
 
 
+def ranking_gradients(df: DataFrame, query: str, label: str, score: Column, key: list[str]) -> DataFrame:
+    """Append ``g`` and ``h`` of the listwise softmax loss of each query.
+
+    The wanted share of a row is its ``2 ** label - 1`` out of its query's sum,
+    its present share the softmax of scores; the gradient is their difference.
+    Queries whose rows are all of label 0 have nothing to order and get zeros;
+    rows without query, label or score take no part.  A query's rows are dealt
+    to ``QUERY_PARTS`` parts by a hash of ``key``, so a hot query is never one
+    task; what joins them are two sums a query.
+    """
+    gain = F.pow(F.lit(2.0), F.col(label)) - 1
+    rows = df.withColumn("__score", score.cast("double")).withColumn("__part", F.pmod(F.xxhash64(*key), F.lit(QUERY_PARTS)))
+    rows = rows.where(F.col(query).isNotNull() & F.col(label).isNotNull() & F.col("__score").isNotNull())
+    parts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(QUERY_PARTS)])).alias("__part")
+    top = rows.groupBy(query).agg(F.max("__score").alias("__top"), F.sum(gain).alias("__gain")).select("*", parts)
+    placed = rows.join(top, [query, "__part"])
+    power = F.exp(F.col("__score") - F.col("__top"))
+    total = placed.groupBy(query, "__part").agg(F.sum(power).alias("__t")).groupBy(query).agg(F.sum("__t").alias("__total")).select("*", parts)
+    share = power / F.col("__total")
+    some = F.col("__gain") > 0
+    out = placed.join(total, [query, "__part"])
+    out = out.withColumn("g", F.when(some, share - gain / F.col("__gain")).otherwise(0.0)).withColumn("h", F.when(some, share * (1 - share)).otherwise(0.0))
+    return out.drop("__score", "__part", "__top", "__gain", "__total")
+
+
 @dataclass
 class EarlyStop:
     """Training stops after ``patience`` rounds without a gain of ``min_delta``."""
@@ -169,6 +196,9 @@ def train(
     valid_rows: Column | None = None,
     early_stop: EarlyStop | None = None,
     seed: int = 0,
+    categorical: list[str] | None = None,
+    query: str | None = None,
+    levels: int = 0,
     **tree_options,
 ) -> Ensemble:
     """Boost trees over ``df``.
@@ -177,26 +207,40 @@ def train(
     written again every few rounds so that plans stay short.  ``valid_rows``
     marks rows that only measure.  ``mode`` may be ``gbdt``, ``rf`` (trees on
     bagged rows, averaged) or ``dart`` (a hash of the round drops earlier trees,
-    and new and dropped ones are scaled down).
+    and new and dropped ones are scaled down).  ``categorical`` names those of
+    the features that are split by sets of values, ``query`` the column of lists
+    for the objective ``ranking``; ``levels`` rounds gradients to that many
+    steps (0: not at all).
     """
     kind = OBJECTIVE_NAMES.get(objective_name, objective_name)
+    if kind == "ranking" and (query is None or early_stop is not None):
+        raise ValueError("ranking needs a query column and has no mean loss to stop by")
     train_row = F.lit(True) if valid_rows is None else ~valid_rows
-    mappers = [m.with_missing("separate") for m in binning.fit_quantile(df.where(train_row), features, max_bin)]
-    base = df.select(*dict.fromkeys([*key, *features]), F.col(label).cast("double").alias("__y"), train_row.alias("__train"))
+    named = set(categorical or [])
+    mappers = binning.fit_quantile(df.where(train_row), [f for f in features if f not in named], max_bin) if named < set(features) else []
+    mappers = [m.with_missing("separate") for m in [*mappers, *(binning.fit_categorical(df.where(train_row), f, max_bin) for f in features if f in named)]]
+    base = df.select(*dict.fromkeys([*key, *features]), F.col(label).cast("double").alias("__y"), train_row.alias("__train"), *([F.col(query).alias("__query")] if query else []))
     rows = materialize(binning.transform(base, mappers), "binned")
     mean = rows.where("__train").agg(F.avg("__y")).first()[0] or 0.0
     if kind == "binary":
         mean = min(max(mean, 1e-12), 1 - 1e-12)
-    start = {"binary": lambda m: math.log(m / (1 - m)), "poisson": lambda m: math.log(max(m, 1e-12)), "gamma": lambda m: math.log(max(m, 1e-12)), "tweedie": lambda m: math.log(max(m, 1e-12))}.get(kind, lambda m: m)(mean)
+    start = {"binary": lambda m: math.log(m / (1 - m)), "poisson": lambda m: math.log(max(m, 1e-12)), "gamma": lambda m: math.log(max(m, 1e-12)), "tweedie": lambda m: math.log(max(m, 1e-12)), "ranking": lambda m: 0.0}.get(kind, lambda m: m)(mean)
     model = Ensemble(start=0.0 if mode == "rf" else start, objective=kind, average=mode == "rf")
     scored = rows.withColumn("__s", F.lit(float(start)))
     for k in range(rounds):
         dropped = [i for i in range(len(model.trees)) if mode == "dart" and (hash((seed, k, i)) % 10_000) < drop_rate * 10_000]
         s = F.col("__s") - sum((trees.score_expression(model.trees[i]) for i in dropped), F.lit(0.0))
-        g, h = objective(kind, F.col("__y"), s)
-        own = scored.where("__train").withColumn("g", g).withColumn("h", h)
+        own = scored.where("__train")
+        if kind == "ranking":
+            own = ranking_gradients(own, "__query", "__y", s, key)
+        else:
+            g, h = objective(kind, F.col("__y"), s)
+            own = own.withColumn("g", g).withColumn("h", h)
         if bagging < 1.0:
             own = own.where(F.pmod(F.xxhash64(*key, F.lit(seed * 1000 + k)), F.lit(1_000_000)) < round(bagging * 1_000_000))
+        if levels:
+            own = histogram.quantised(own, "g", "h", levels, seed + k, key)
+            own = own.withColumn("g", F.col("qg") * F.col("scale_g")).withColumn("h", F.col("qh") * F.col("scale_h"))
         chosen = sample_features(features, feature_fraction, seed + k)
         step = 1.0 if mode == "rf" else rate
         tree = trees.grow(own.cache(), mappers, rate=step, features=chosen, **tree_options)

@@ -26,31 +26,46 @@ def smoothed(value: Column, parent: Column, h: Column, smooth: float) -> Column:
     return (1 - w) * value + w * parent
 
 
-def candidates(hist: DataFrame, l1: float = 0.0, l2: float = 0.0, min_data: int = 20, min_hessian: float = 1e-3) -> DataFrame:
+def candidates(hist: DataFrame, l1: float = 0.0, l2: float = 0.0, min_data: int = 20, min_hessian: float = 1e-3, unordered: dict[str, int] | None = None, category_smooth: float = 10.0) -> DataFrame:
     """Every cut of every histogram that leaves enough on both sides, with its gain.
 
     A cut at ``bin`` sends bins up to it left.  Windows run over the bins of a
     leaf and feature, never over rows.  Columns: ``leaf, feature, bin, left_g,
     left_h, left_n, right_g, right_h, right_n, gain``.
+
+    ``unordered`` names categorical features and the bin of their missing and
+    rare values.  Their bins are put in the order of ``sum_g / (sum_h +
+    category_smooth)``, that bin last, and the cut sends the bins listed in the
+    further column ``bins`` left.
     """
-    w = Window.partitionBy("leaf", "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    order = [F.col("bin")]
+    if unordered:
+        rest = F.create_map(*[F.lit(x) for pair in unordered.items() for x in pair])
+        ratio = F.coalesce(F.try_divide(F.col("sum_g"), F.col("sum_h") + category_smooth), F.lit(0.0))
+        place = F.when(F.try_element_at(rest, F.col("feature")) == F.col("bin"), F.lit(float("inf"))).otherwise(ratio)
+        order = [F.when(F.col("feature").isin(list(unordered)), place).otherwise(F.col("bin").cast("double")), F.col("bin")]
+    w = Window.partitionBy("leaf", "feature").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("leaf", "feature")
-    sums = hist.select("leaf", "feature", "bin", *[F.sum(c).over(w).alias(f"left_{k}") for k, c in (("g", "sum_g"), ("h", "sum_h"), ("n", "n"))], *[F.sum(c).over(whole).alias(f"all_{k}") for k, c in (("g", "sum_g"), ("h", "sum_h"), ("n", "n"))])
+    sums = hist.select("leaf", "feature", "bin", *[F.sum(c).over(w).alias(f"left_{k}") for k, c in (("g", "sum_g"), ("h", "sum_h"), ("n", "n"))], *[F.sum(c).over(whole).alias(f"all_{k}") for k, c in (("g", "sum_g"), ("h", "sum_h"), ("n", "n"))], *([F.collect_list(F.when(F.col("feature").isin(list(unordered)), F.col("bin"))).over(w).alias("bins")] if unordered else []))
     sides = sums.select("*", *[(F.col(f"all_{k}") - F.col(f"left_{k}")).alias(f"right_{k}") for k in "ghn"])
     enough = (F.least("left_n", "right_n") >= max(min_data, 1)) & (F.least("left_h", "right_h") >= min_hessian)
     gain = leaf_gain(F.col("left_g"), F.col("left_h"), l1, l2) + leaf_gain(F.col("right_g"), F.col("right_h"), l1, l2) - leaf_gain(F.col("all_g"), F.col("all_h"), l1, l2)
     return sides.where(enough).withColumn("gain", gain).drop("all_g", "all_h", "all_n")
 
 
-def best_splits(hist: DataFrame, digits: int | None = None, monotone: dict[str, int] | None = None, penalty: dict[str, float] | None = None, **limits) -> DataFrame:
+def best_splits(hist: DataFrame, digits: int | None = None, monotone: dict[str, int] | None = None, penalty: dict[str, float] | None = None, extra: int | None = None, **limits) -> DataFrame:
     """The best cut of each leaf; equal gains go to the smaller feature, then the lower bin.
 
     ``monotone`` drops cuts whose outputs move against a feature's sign and
     ``penalty`` takes a feature's cost off its gains; ``digits`` rounds gains
-    before they are compared.
+    before they are compared.  With ``extra`` each feature of a leaf offers
+    only one of its cuts, drawn by a hash with that seed.
     """
     l1, l2 = limits.get("l1", 0.0), limits.get("l2", 0.0)
     cuts = candidates(hist, **limits)
+    if extra is not None:
+        draw = Window.partitionBy("leaf", "feature").orderBy(F.xxhash64("leaf", "feature", "bin", F.lit(extra)), "bin")
+        cuts = cuts.withColumn("__draw", F.row_number().over(draw)).where("__draw = 1").drop("__draw")
     if penalty:
         cost = F.create_map(*[F.lit(x) for pair in penalty.items() for x in pair])
         cuts = cuts.withColumn("gain", F.col("gain") - F.coalesce(F.try_element_at(cost, F.col("feature")), F.lit(0.0)))

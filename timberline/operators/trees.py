@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -109,9 +109,15 @@ def leaf_expression(tree: Tree) -> Column:
     return _walk(tree, 0, lambda i: F.lit(i), goes_left)
 
 
-def bin_leaf_expression(tree: Tree, missing: dict[str, int], prefix: str = "bin_") -> Column:
-    """The same in bin space, while growing."""
-    test = lambda n: split.goes_left(F.col(prefix + n.feature), n.bin, missing.get(n.feature), n.default_left)
+def bin_leaf_expression(tree: Tree, missing: dict[str, int], prefix: str = "bin_", categories: dict[str, dict[int, int]] | None = None) -> Column:
+    """The same in bin space, while growing; ``categories`` maps the values of categorical features to bins."""
+
+    def test(n: Node) -> Column:
+        at = F.col(prefix + n.feature)
+        if n.categories:
+            return split.in_set(at, sorted({categories[n.feature][c] for c in n.categories}))
+        return split.goes_left(at, n.bin, missing.get(n.feature), n.default_left)
+
     return _walk(tree, 0, lambda i: F.lit(i), test)
 
 
@@ -129,68 +135,138 @@ def grow(
     monotone: dict[str, int] | None = None,
     constraints: list[set[str]] | None = None,
     forced: list[tuple[str, int]] | None = None,
+    smooth: float = 0.0,
+    max_delta: float = 0.0,
+    penalty: dict[str, float] | None = None,
+    extra: int | None = None,
+    category_smooth: float = 10.0,
 ) -> Tree:
     """Grow a tree best leaf first on ``binned`` rows with ``bin_*``, ``g`` and ``h`` columns.
 
-    Each round sums the histograms of the two new leaves in one job over
-    cached rows; leaves are expressions, so no row is rewritten.  The driver
-    sees one candidate row a leaf.
+    One job sums the histograms of all leaves that the next rounds may ask for:
+    the new leaves, and the children of every open leaf whose best split is
+    known and may still be taken.  So passes over the rows grow with the depth
+    of the tree, not with its leaves, and the tree is the one that splitting a
+    leaf a job would give.  Leaves are expressions, so no row is rewritten; the
+    driver sees one candidate row a leaf.
+
+    ``smooth`` draws outputs towards the parent's, ``max_delta`` bounds them
+    (0: not at all), ``penalty`` takes a feature's cost off its gains, ``extra``
+    seeds random cuts, and ``monotone`` keeps outputs below a split of that
+    feature on their side of the middle of its two outputs.
     """
     from timberline.operators.sampling import allowed_features
 
     by_name = {m.feature: m for m in mappers}
     features = features or list(by_name)
-    missing = {m.feature: m.default_bin for m in mappers if m.missing == "separate"}
-    limits = {"l1": l1, "l2": l2, "min_data": min_data, "min_hessian": min_hessian}
-    tree = Tree(rate=rate)
+    unordered = {f: by_name[f].default_bin for f in features if by_name[f].kind == "categorical"}
+    categories = {f: by_name[f].categories for f in unordered}
+    missing = {m.feature: m.default_bin for m in mappers if m.missing == "separate" and m.kind != "categorical"}
+    limits = {"l1": l1, "l2": l2, "min_data": min_data, "min_hessian": min_hessian, "unordered": unordered, "category_smooth": category_smooth}
     root = binned.agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
     first = root.select("n", "h", split.leaf_value(F.col("g"), F.col("h"), l1, l2).alias("value")).first()
-    tree.nodes[0] = Node(value=first["value"] or 0.0, weight=first["h"] or 0.0, count=first["n"])
-    candidates: dict[int, dict] = {}
+    start = first["value"] or 0.0
+    if max_delta > 0:
+        start = max(-max_delta, min(max_delta, start))
+    wide = Tree([Node(value=start, weight=first["h"] or 0.0, count=first["n"])])  # every split looked at
+    candidates: dict[int, dict | None] = {}  # best split of each leaf looked at
     depth = {0: 0}
+    bounds = {0: (-math.inf, math.inf)}
 
-    def consider(leaves: list[int]) -> None:
-        at = bin_leaf_expression(tree, missing)
+    def look(leaves: list[int]) -> None:
+        at = bin_leaf_expression(wide, missing, categories=categories)
         hist = histogram.histograms(binned.where(at.isin(leaves)), features, leaf=at)
         if constraints:
             allowed = F.lit(False)
             for leaf in leaves:
-                allowed = allowed | ((F.col("leaf") == leaf) & F.col("feature").isin(allowed_features(features, set(tree.branch(leaf)), constraints)))
+                allowed = allowed | ((F.col("leaf") == leaf) & F.col("feature").isin(allowed_features(features, set(wide.branch(leaf)), constraints)))
             hist = hist.where(allowed)
-        best = split.with_values(split.best_splits(hist, monotone=monotone, **limits), l1, l2)
-        for leaf in leaves:
-            candidates.pop(leaf, None)
-        candidates.update({r["leaf"]: r.asDict() for r in best.collect() if depth[r["leaf"]] < max_depth})  # a row a leaf
-
-    def apply(leaf: int, r: dict) -> None:
-        old = tree.nodes[leaf]
-        m = by_name[r["feature"]]
-        left, right = len(tree.nodes), len(tree.nodes) + 1
-        threshold = m.bounds[r["bin"]] if r["bin"] < len(m.bounds) - 1 else max(m.bounds[-1], m.highest)
-        has_missing = m.feature in missing
-        tree.nodes[leaf] = Node(m.feature, threshold, r["bin"], default_left=False if has_missing else r["default_left"], left=left, right=right, value=old.value, weight=old.weight, count=old.count, gain=r["gain"])
-        tree.nodes.append(Node(value=r["left_value"], weight=r["left_h"], count=r["left_n"]))
-        tree.nodes.append(Node(value=r["right_value"], weight=r["right_h"], count=r["right_n"]))
+        best = split.with_values(split.best_splits(hist, monotone=monotone, penalty=penalty, extra=extra, **limits), l1, l2)
+        candidates.update(dict.fromkeys(leaves))
+        candidates.update({r["leaf"]: r.asDict() for r in best.collect()})  # a row a leaf
+
+    def output(value: float, weight: float, parent: int) -> float:
+        if max_delta > 0:
+            value = max(-max_delta, min(max_delta, value))
+        if smooth > 0:
+            share = smooth / (smooth + weight)
+            value = (1 - share) * value + share * wide.nodes[parent].value
+        low, high = bounds[parent]
+        return max(low, min(high, value))
+
+    def children(leaf: int, r: dict) -> list[int]:
+        """Split a leaf of ``wide`` if it is not split yet; the numbers of its children."""
+        old = wide.nodes[leaf]
+        if not old.is_leaf:
+            return [old.left, old.right]
+        name, m = r["feature"], by_name[r["feature"]]
+        left, right = len(wide.nodes), len(wide.nodes) + 1
+        values = [output(r["left_value"], r["left_h"], leaf), output(r["right_value"], r["right_h"], leaf)]
+        node = Node(name, left=left, right=right, value=old.value, weight=old.weight, count=old.count, gain=r["gain"])
+        if name in unordered:
+            node.categories = sorted(c for c, b in m.categories.items() if b in set(r["bins"]))
+            node.default_left = False
+        else:
+            node.threshold = m.bounds[r["bin"]] if r["bin"] < len(m.bounds) - 1 else max(m.bounds[-1], m.highest)
+            node.bin = r["bin"]
+            node.default_left = False if name in missing else r["default_left"]
+        wide.nodes[leaf] = node
+        wide.nodes.append(Node(value=values[0], weight=r["left_h"], count=r["left_n"]))
+        wide.nodes.append(Node(value=values[1], weight=r["right_h"], count=r["right_n"]))
         depth[left] = depth[right] = depth[leaf] + 1
-        candidates.pop(leaf, None)
-
-    consider([0])
-    for feature, cut in forced or []:
-        at = bin_leaf_expression(tree, missing)
-        hist = histogram.histograms(binned, [feature], leaf=at).where(F.col("leaf") == 0)
+        bounds[left] = bounds[right] = bounds[leaf]
+        sign = (monotone or {}).get(name, 0)
+        if sign:
+            middle, (low, high) = sum(values) / 2, bounds[leaf]
+            below, above = (left, right) if sign > 0 else (right, left)
+            bounds[below], bounds[above] = (low, middle), (middle, high)
+        return [left, right]
+
+    tree = Tree([replace(wide.nodes[0])], rate)
+    place = {0: 0}  # leaves of the grown tree, and what they are in ``wide``
+
+    def take(leaf: int) -> None:
+        at = place.pop(leaf)
+        pair = children(at, candidates[at])
+        left, right = len(tree.nodes), len(tree.nodes) + 1
+        tree.nodes[leaf] = replace(wide.nodes[at], left=left, right=right)
+        for number, child in zip((left, right), pair, strict=True):
+            node = wide.nodes[child]
+            tree.nodes.append(Node(value=node.value, weight=node.weight, count=node.count))
+            place[number] = child
+
+    for feature, cut in (forced or [])[:1]:
+        hist = histogram.histograms(binned, [feature])
         hit = split.with_values(split.candidates(hist, **limits).where(F.col("bin") == cut), l1, l2).collect()
-        if not hit or not tree.nodes[0].is_leaf:
+        if hit:
+            candidates[0] = hit[0].asDict()
+            take(0)
+    while len(place) < num_leaves:
+        fresh = [at for at in place.values() if at not in candidates and depth[at] < max_depth]
+        known = sorted((at for at in place.values() if candidates.get(at)), key=lambda at: -candidates[at]["gain"])
+        if fresh:
+            ahead = [c for at in known[: num_leaves - len(place)] for c in children(at, candidates[at])]
+            look(fresh + [c for c in ahead if c not in candidates and depth[c] < max_depth])
+        open_ = [leaf for leaf, at in place.items() if candidates.get(at)]
+        if not open_:
             break
-        apply(0, hit[0].asDict())
-        consider([tree.nodes[0].left, tree.nodes[0].right])
-    while len(tree.leaves()) < num_leaves and candidates:
-        leaf = min(candidates, key=lambda k: (-candidates[k]["gain"], k))
-        apply(leaf, candidates[leaf])
-        if len(tree.leaves()) < num_leaves:
-            consider([tree.nodes[leaf].left, tree.nodes[leaf].right])
+        take(min(open_, key=lambda leaf: (-candidates[place[leaf]]["gain"], leaf)))
     return tree
 
 
+def refit(df: DataFrame, tree: Tree, gradient: str = "g", hessian: str = "h", l1: float = 0.0, l2: float = 0.0, decay: float = 0.9) -> Tree:
+    """The same splits with outputs drawn towards those of new rows: ``decay`` times the old plus the rest of the new.
+
+    One aggregation by leaf; leaves without rows keep their output.
+    """
+    out = Tree([replace(n) for n in tree.nodes], tree.rate)
+    sums = df.groupBy(leaf_expression(tree).alias("leaf")).agg(F.sum(gradient).alias("g"), F.sum(hessian).alias("h"), F.count("*").alias("n"))
+    for r in sums.select("leaf", "n", "h", split.leaf_value(F.col("g"), F.col("h"), l1, l2).alias("value")).collect():  # a row a leaf
+        n = out.nodes[r["leaf"]]
+        n.value, n.weight, n.count = decay * n.value + (1 - decay) * (r["value"] or 0.0), r["h"] or 0.0, r["n"]
+    return out
+
+
 def refit_linear(df: DataFrame, tree: Tree, features: list[str], gradient: str = "g", hessian: str = "h", l2: float = 1.0) -> Tree:
     """Give each leaf a ridge regression on ``features``: sums of products per leaf, solved on the driver."""
     xs = [F.lit(1.0), *[valid(f) for f in features]]

@@ -34,6 +34,30 @@ def objective_multiclass(spark, sf_dir):
     return df.agg(*sums)
 
 
+def objective_ranking(spark, sf_dir):
+    """Sums of the listwise gradients and hessians, an order being a query."""
+    df = lineitem(spark, sf_dir).withColumn("y", F.pmod(F.col("l_linenumber"), F.lit(3)).cast("double"))
+    out = boosting.ranking_gradients(df, "l_orderkey", "y", F.col("l_quantity") / 25, KEY)
+    return out.groupBy("l_linestatus").agg(F.round(F.sum("g"), 4).alias("g"), F.round(F.sum(F.col("g") * F.col("g")), 4).alias("g2"), F.round(F.sum("h"), 4).alias("h"))
+
+
+def category_cuts(spark, sf_dir):
+    """The best set of return flags and modes to send left, their bins in the order of gradient to hessian."""
+    df = lineitem(spark, sf_dir)
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    binned = df.select((F.col("l_extendedprice") / 1000 - 30).alias("g"), F.lit(1.0).alias("h"), flag.alias("bin_flag"), (F.col("l_linenumber") - 1).cast("int").alias("bin_line"))
+    cuts = split.best_splits(histogram.histograms(binned, ["flag", "line"]).withColumn("leaf", F.when(F.col("feature") == "flag", 0).otherwise(1)), min_data=1, unordered={"flag": 99, "line": 99}, category_smooth=10.0)
+    return cuts.select("feature", F.array_join(F.array_sort("bins"), ",").alias("bins"), F.round("left_g", 3).alias("left_g"), "left_n", F.round("gain", 2).alias("gain"))
+
+
+def refitted_leaves(spark, sf_dir):
+    """Outputs of a tree's leaves drawn halfway towards those of all rows."""
+    df = holed(spark, sf_dir).withColumn("g", F.col("l_extendedprice") / 1000 - 30).withColumn("h", F.lit(1.0))
+    new = trees.refit(df, TREE, l2=1.0, decay=0.5)
+    rows = [(i, round(new.nodes[i].value, 4), new.nodes[i].count) for i in new.leaves()]
+    return spark.createDataFrame(rows, "leaf int, value double, n long")
+
+
 def tree_importance(spark, sf_dir):
     rows = [(kind, f, v, share) for kind in ("split", "gain", "cover") for f, v, share in boosting.rank_importance(trees.importance([TREE, SECOND], kind))]
     return rounded(spark.createDataFrame(rows, "kind string, feature string, value double, share double"), 6, "share")
@@ -214,7 +238,7 @@ def confidence_stops(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        objectives, objective_multiclass, tree_importance, tree_shape, tree_round_trip, leaf_numbers, score_first_trees, score_linear_leaves, fit_linear_leaves, contributions, compared_models, stop_rules,
+        objectives, objective_multiclass, objective_ranking, category_cuts, refitted_leaves, tree_importance, tree_shape, tree_round_trip, leaf_numbers, score_first_trees, score_linear_leaves, fit_linear_leaves, contributions, compared_models, stop_rules,
         sparse_histogram, quantised_histogram, constant_hessian_histogram, bundled_features, best_split_with_costs, smoothed_values, cut_information, binning_strategies, bin_training_categorical, common_bin,
         usable_features, automatic_bins, complete_rows, chosen_features, log_scaled, class_count, score_early_stop_multiclass, confidence_stops,
     )
@@ -261,6 +285,21 @@ _BITS = "CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0 END"
 ORACLE = {
     "objectives": _objectives_sql(),
     "objective_multiclass": _classes_sql(),
+    "objective_ranking": f"""
+        WITH r AS (SELECT *, l_quantity / {_D(25)} AS s, CAST((1 << CAST(l_linenumber % 3 AS INTEGER)) - 1 AS DOUBLE) AS gain FROM lineitem),
+        t AS (SELECT *, max(s) OVER (PARTITION BY l_orderkey) AS top, sum(gain) OVER (PARTITION BY l_orderkey) AS gains FROM r),
+        p AS (SELECT *, exp(s - top) / sum(exp(s - top)) OVER (PARTITION BY l_orderkey) AS p FROM t),
+        g AS (SELECT l_linestatus, CASE WHEN gains > 0 THEN p - gain / gains ELSE 0 END AS g, CASE WHEN gains > 0 THEN p * (1 - p) ELSE 0 END AS h FROM p)
+        SELECT l_linestatus, round(sum(g), 4) AS g, round(sum(g * g), 4) AS g2, round(sum(h), 4) AS h FROM g GROUP BY 1""",
+    "category_cuts": f"""
+        WITH r AS (SELECT l_extendedprice / 1000 - 30 AS g, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS flag, l_linenumber - 1 AS line FROM lineitem),
+        b AS (SELECT 'flag' AS feature, flag AS bin, sum(g) AS g, count(*) AS n FROM r GROUP BY 2 UNION ALL SELECT 'line', line, sum(g), count(*) FROM r GROUP BY 2),
+        c AS (SELECT feature, list_sort(list(bin) OVER w) AS bins, sum(g) OVER w AS lg, sum(n) OVER w AS ln, sum(g) OVER (PARTITION BY feature) AS ag, sum(n) OVER (PARTITION BY feature) AS an FROM b WINDOW w AS (PARTITION BY feature ORDER BY g / (n + 10), bin ROWS UNBOUNDED PRECEDING)),
+        k AS (SELECT *, (lg * lg / ln + (ag - lg) * (ag - lg) / (an - ln) - ag * ag / an) / 2 AS gain FROM c WHERE ln < an)
+        SELECT feature, array_to_string(bins, ',') AS bins, round(lg, 3) AS left_g, CAST(ln AS BIGINT) AS left_n, round(gain, 2) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY gain DESC) AS i FROM k) WHERE i = 1""",
+    "refitted_leaves": f"""
+        SELECT CAST(leaf AS INTEGER) AS leaf, round({_D(0.5)} * old + {_D(0.5)} * -sum(l_extendedprice / 1000 - 30) / (count(*) + 1), 4) AS value, count(*) AS n FROM
+          (SELECT {_LEAF_ONE} AS leaf, l_extendedprice FROM {HOLED_SQL}) JOIN (VALUES OLDVALUES) v(leaf2, old) ON leaf = leaf2 GROUP BY leaf, old""".replace("OLDVALUES", ", ".join(f"({i}, CAST({TREE.nodes[i].value} AS DOUBLE))" for i in TREE.leaves())),
     "tree_importance": "SELECT k AS kind, f AS feature, CAST(v AS DOUBLE) AS value, round(CAST(v AS DOUBLE) / t, 6) AS share FROM (VALUES " + ", ".join(f"('{k}', '{f}', {v}, {t})" for k, (rows, t) in _SHARES.items() for f, v in rows) + ") q(k, f, v, t)",
     "tree_shape": "SELECT t AS tree, CAST(l AS INTEGER) AS leaves, CAST(d AS INTEGER) AS depth, CAST(e AS DOUBLE) AS expected, CAST(lo AS DOUBLE) AS lowest, CAST(hi AS DOUBLE) AS highest, b AS branch FROM (VALUES "
     "('first', 4, 2, 0.5 * (-15 + 5 + 9 + 36) / 60, -0.75, 1.0, 'l_quantity,l_discount'), ('second', 2, 1, (24 - 18) / 60.0, -0.5, 1.0, 'l_linenumber')) q(t, l, d, e, lo, hi, b)",
