@@ -77,7 +77,7 @@ def test_knn_fill_against_numpy(spark):
 
 def test_random_fill_draws_observed_values(spark):
     df = spark.createDataFrame([(i, float(i % 3) if i % 2 else None) for i in range(100)], "id int, v double")
-    got = impute.random_fill(df, "v", ["id"])
+    got = impute.random_fill(df, "v", F.col("id"))
     assert got.count() == 100 and {r["v"] for r in got.collect()} == {0.0, 1.0, 2.0}
 
 

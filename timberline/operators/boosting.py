@@ -90,6 +90,7 @@ class EarlyStop:
     history: list[float] = field(default_factory=list)
     best: float | None = None
     best_round: int = -1
+    gains: list[float] = field(default_factory=list)  # of each round after the first, over the best before; 0 where there is none
 
     def update(self, value: float) -> bool:
         """Whether to stop after this round's value."""
@@ -100,16 +101,37 @@ class EarlyStop:
             better = True
         else:
             rise = (now - self.best) * (1 if self.larger_is_better else -1)
+            self.gains.append(max(rise, 0.0))
             better = rise > self.min_delta * (abs(self.best) if self.relative else 1.0)
         if better:
             self.best, self.best_round = now, len(self.history) - 1
         return len(self.history) - 1 - self.best_round >= self.patience
 
+    def waited(self) -> int:
+        """Rounds since the best one."""
+        return len(self.history) - 1 - self.best_round
+
+    def remaining(self) -> int | None:
+        """A guess at the rounds to come: what is left of the patience, twice that while the last five rounds gained; null before them."""
+        if len(self.gains) < 5:
+            return None
+        left = max(self.patience - self.waited(), 0)
+        return left if sum(self.gains[-5:]) / 5 < self.min_delta / 10 else 2 * left
+
     def statistics(self) -> dict[str, float]:
         n = len(self.history)
         mean = sum(self.history) / max(n, 1)
         spread = sum((v - mean) ** 2 for v in self.history) / max(n, 1)
-        return {"rounds": n, "best": self.best or 0.0, "best_round": self.best_round, "stability": 1 / (1 + spread)}
+        risen = [g for g in self.gains if g > 0]
+        return {
+            "rounds": n,
+            "best": self.best or 0.0,
+            "best_round": self.best_round,
+            "improvements": len(risen),
+            "mean_improvement": sum(risen) / max(len(risen), 1),
+            "waited": self.waited(),
+            "stability": 1 / (1 + spread) if n > 1 else 0.0,
+        }
 
 
 def combine_stops(stops: list[bool], rule: str = "any", primary: int = 0) -> bool:
@@ -306,6 +328,41 @@ def staged_stop(stages: Column, kind: str, threshold: float, period: int) -> Col
     return F.aggregate(stages, start, step, lambda a: a["n"])
 
 
+@dataclass
+class PredictOptions:
+    """What ``predict_with`` appends, and of how many trees."""
+
+    trees: int | None = None  # the first so many; None: all
+    raw: bool = False
+    leaves: bool = False
+    contributions: bool = False
+    stop_every: int | None = None  # trees between looks at the margin; None: use all
+    stop_margin: float = 0.0
+
+
+def predict_with(df: DataFrame, model: Ensemble, options: PredictOptions, features: list[str] | None = None) -> DataFrame:
+    """Append ``prediction`` (``raw``: before the link), and, as asked, ``used`` trees, ``leaves`` and ``shap`` of ``features``.
+
+    Rows whose margin is sure stop early and are scored by the trees seen so
+    far.  Missing values follow the trees' default sides.
+    """
+    chosen = model.prune(len(model.trees) if options.trees is None else options.trees)
+    if options.stop_every is None:
+        out = chosen.predict(df)
+        if options.raw:
+            out = out.withColumn("prediction", chosen.raw())
+    else:
+        stages = F.array(F.lit(0.0), *[trees.score_expression(t) for t in chosen.trees])
+        out = df.withColumn("__stages", F.slice(stages, 2, len(chosen.trees)))  # never an empty literal
+        out = out.withColumn("used", staged_stop(F.col("__stages"), OBJECTIVE_NAMES.get(chosen.objective, chosen.objective), options.stop_margin, options.stop_every))
+        total = F.aggregate(F.slice("__stages", F.lit(1), F.col("used")), F.lit(float(chosen.start)), lambda a, x: a + x)
+        score = total / F.greatest("used", F.lit(1)) if chosen.average else total
+        out = out.withColumn("prediction", score if options.raw else chosen.link(score)).drop("__stages")
+    if options.leaves:
+        out = out.withColumn("leaves", chosen.leaves())
+    return trees.shap_values(out, chosen.trees, features or []) if options.contributions else out
+
+
 def confidence_stop(log: Column, threshold: float = 0.9, patience: int = 5, least: int = 10) -> Column:
     """Whether predictions are sure and steady, from ``array<double>`` of confidences by iteration.
 

@@ -42,6 +42,11 @@ def from_confusion(c: DataFrame, beta: float = 1.0) -> DataFrame:
     )
 
 
+def accurate(score: Column, label: Column, threshold: float = 0.5) -> Column:
+    """1 where the score says the label, else 0; null for labels other than 0 and 1."""
+    return F.when(label.isin(0, 1), ((score >= threshold) == (label == 1)).cast("double"))
+
+
 def log_loss(p: Column, y: Column, w: Column | None = None) -> Column:
     """Binary, clamped away from 0 and 1."""
     q = F.greatest(F.least(p, F.lit(1 - EPS)), F.lit(EPS))

@@ -186,18 +186,21 @@ def _least(d: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def random_fill(df: DataFrame, target: str, key: list[str], seed: int = 0) -> DataFrame:
-    """Fill with values drawn from the observed ones; the draw is a hash of the row's key, the same on every run.
+def random_fill(df: DataFrame, target: str, row_id: Column, seed: int = 0) -> DataFrame:
+    """Fill with values drawn from the observed ones; the draw is a hash of the row's id, a whole number, the same on every run.
 
     Observed values are reduced to their distinct values with counts, and the
-    draw picks by cumulative count.
+    draw picks by cumulative count.  Rows of one id get one value; without any
+    observed value cells stay null.
     """
     from timberline.operators.ordering import running_sums
+    from timberline.operators.sampling import drawn as hashed
 
     counts = df.select(valid(target).alias("__v")).where("__v is not null").groupBy("__v").agg(F.count("*").alias("__n"))
     ranked = running_sums(counts, [], "__v", {"__below": F.col("__n")})
     total = counts.agg(F.sum("__n").alias("__total"))
-    drawn = df.crossJoin(F.broadcast(total)).withColumn("__draw", F.when(valid(target).isNull(), F.pmod(F.xxhash64(*key, F.lit(seed)), F.col("__total"))))
+    rows = hashed(hashed(df, row_id, seed, "__high"), row_id, seed + 1, "__low").crossJoin(F.broadcast(total))
+    drawn = rows.withColumn("__draw", F.when(valid(target).isNull(), (F.col("__high") * (1 << 30) + F.shiftright("__low", 2)) % F.col("__total")))
     # draws meet values in a coarse cell of the cumulative count that holds both
     width = F.greatest(F.ceil(F.col("__total") / 1024), F.lit(1))
     last = F.floor((F.col("__below") + F.col("__n") - 1) / width)

@@ -160,3 +160,20 @@ def validate(df: DataFrame, features: list[str], least_rows: int = 10) -> DataFr
     sparse = table.where(F.col("sparsity") > 0.8).select(F.lit("sparse").alias("check"), F.lit(None).cast("string").alias("feature"), F.lit("warning").alias("level"))
     flat = feature_statistics(df, features).where(F.col("std") < 1e-10).select(F.lit("constant").alias("check"), "feature", F.lit("warning").alias("level"))
     return few.unionByName(sparse).unionByName(flat)
+
+
+def cell_checks(df: DataFrame, features: list[str], ranges: dict[str, tuple[float, float]] | None = None, rules: dict[str, Column] | None = None) -> DataFrame:
+    """``check, subject, n``: missing and infinite cells and those outside ``ranges`` by feature, repeated rows, rows that break a rule.
+
+    A repeated row is one whose features all equal those of another, the first
+    not counted; nulls equal nulls.  A rule that gives null is not broken.
+    Every check has its row, with 0 where nothing is wrong.
+    """
+    checks = {("missing", f): valid(f).isNull() for f in features}
+    checks |= {("infinite", f): F.abs(valid(f)) == float("inf") for f in features}
+    checks |= {("out_of_range", f): ~valid(f).between(lo, hi) for f, (lo, hi) in (ranges or {}).items()}
+    checks |= {("rule", name): ~rule for name, rule in (rules or {}).items()}
+    one = df.agg(*[F.count_if(broken).alias(f"c{i}") for i, broken in enumerate(checks.values())])
+    listed = F.explode(F.array(*[F.struct(F.lit(check).alias("check"), F.lit(subject).alias("subject"), F.col(f"c{i}").alias("n")) for i, (check, subject) in enumerate(checks)]))
+    repeated = df.groupBy(*features).agg(F.count("*").alias("__n")).agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n"))
+    return one.select(listed.alias("r")).select("r.*").unionByName(repeated.select(F.lit("repeated_rows").alias("check"), F.lit(None).cast("string").alias("subject"), "n"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from timberline.operators.ordering import run_starts
+from timberline.operators.regression import bootstrap, mean
 from timberline.operators.spec import ratio
 
 MAX_RELEVANCE = 4
@@ -90,6 +91,12 @@ def means(queries: DataFrame) -> DataFrame:
     return queries.agg(F.avg("ndcg").alias("ndcg"), F.avg("ap").alias("map"), F.avg("rr").alias("mrr"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
 
 
+def bootstrap_means(queries: DataFrame, row_id: Column, draws: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """``metric, low, high`` of mean NDCG and MAP over resamples of the queries of ``per_query``."""
+    metrics = {name: lambda w, c=column: mean(F.col(c), w) for name, column in (("ndcg", "ndcg"), ("map", "ap"))}
+    return bootstrap(queries, row_id, metrics, draws, level, seed)
+
+
 def spearman(rows: DataFrame) -> DataFrame:
     """``query, rho`` from ordinal ranks by score and by relevance; 0 for single rows."""
     d = F.col("pos") - F.col("ideal_pos")

@@ -177,20 +177,20 @@ def lag_metrics(df: DataFrame, p: Column, y: Column, group: list[str], order: li
     )
 
 
-def bootstrap(df: DataFrame, key: list[str], metric: Callable[[Column], Column], draws: int = 100, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """``low, high`` of a weighted metric over resamples with replacement.
+def bootstrap(df: DataFrame, row_id: Column, metrics: dict[str, Callable[[Column], Column]], draws: int = 100, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """``metric, low, high``: bounds of weighted metrics over resamples of the rows with replacement.
 
-    ``metric(w)`` is an aggregate with row weights ``w``.  Each draw weighs a
-    row by a Poisson(1) number from a hash of its key, all draws in one pass,
-    so rows are neither repeated nor moved.
+    A metric takes a column of row weights and gives an aggregate; rows are
+    weighed anew for each draw by a hash of ``row_id``.  What is shuffled are
+    sums by draw.  The bounds are the draws at the outer shares of their order;
+    null over an empty table.
     """
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    counts = []
-    for b in range(draws):
-        u = F.pmod(F.xxhash64(*key, F.lit(seed * 100_003 + b)), F.lit(1 << 30)) / float(1 << 30)
-        weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
-        counts.append(metric(weight.cast("double")).alias(f"d{b}"))
-    one = df.agg(*counts)
-    values = F.array_sort(F.array(*[f"d{b}" for b in range(draws)]))
-    at = lambda q: values[min(draws - 1, int(q * draws))]
-    return one.select(at((1 - level) / 2).alias("low"), at((1 + level) / 2).alias("high"))
+    from timberline.operators.sampling import resamples
+
+    w = F.col("weight")
+    values = resamples(df, row_id, draws, seed).groupBy("draw").agg(*[f(w).cast("double").alias(name) for name, f in metrics.items()])
+    ordered = values.agg(*[F.array_sort(F.collect_list(name)).alias(name) for name in metrics])  # `draws` numbers a metric
+    n = F.size("values")
+    at = lambda q: F.get("values", F.least(n - 1, F.floor(n * q).cast("int")))
+    rows = ordered.unpivot([], list(metrics), "metric", "values")
+    return rows.select("metric", at((1 - level) / 2).alias("low"), at((1 + level) / 2).alias("high"))

@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 #: The generator of the 32-bit linear congruential sequence.
 LCG_A, LCG_C = 214013, 2531011
 
+#: Factors of the hash that resampling takes its numbers from.
+MIXER, DRAW_STEP = 73244475, 2654435761
+
 BUCKETS = 256
 
 
@@ -87,16 +90,46 @@ def allowed_features(features: list[str], branch: set[str], constraints: list[se
     return [f for f in features if f in allowed]
 
 
+def mixed(df: DataFrame, name: str) -> DataFrame:
+    """Replace a column of whole numbers by well-mixed ones below 2**32, in plain arithmetic that any engine can repeat."""
+    x = F.col(name)
+    for _ in range(2):
+        df = df.withColumn(name, ((x.bitwiseXOR(F.shiftright(x, 16))) * MIXER).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return df.withColumn(name, x.bitwiseXOR(F.shiftright(x, 16)))
+
+
+def resamples(df: DataFrame, row_id: Column, draws: int, seed: int = 0) -> DataFrame:
+    """Each row once per draw, with ``draw`` and ``weight``: how often a resample with replacement holds it.
+
+    Weights are Poisson(1) numbers from a hash of ``row_id``, a whole number
+    (null counts as 0), and the draw.  Rows are multiplied within their task,
+    to be summed by draw before any shuffle.
+    """
+    rows = df.withColumn("__mix", F.coalesce(row_id.cast("long"), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    rows = mixed(rows, "__mix").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    rows = mixed(rows.withColumn("__mix", (F.col("__mix") + (F.col("draw") + seed * 65_537).cast("long") * DRAW_STEP).bitwiseAND(F.lit(0xFFFFFFFF))), "__mix")
+    below = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+    weight = sum(((F.col("__mix") >= math.ceil(p * (1 << 32))).cast("int") for p in below), F.lit(0))
+    return rows.withColumn("weight", weight.cast("double")).drop("__mix")
+
+
+def drawn(df: DataFrame, row_id: Column, seed: int, name: str = "__mix") -> DataFrame:
+    """Add a number below 2**32 from a hash of a row's id and the seed; a null id counts as 0."""
+    return mixed(df.withColumn(name, (F.coalesce(row_id.cast("long"), F.lit(0)) + seed * 65_537).bitwiseAND(F.lit(0xFFFFFFFF))), name)
+
+
 def bagging(df: DataFrame, row_id: Column, fraction: float, seed: int = 0) -> DataFrame:
-    """Rows kept with chance ``fraction``, decided by a hash of their id: the same on every run."""
-    return df.where(F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1_000_000)) < round(fraction * 1_000_000))
+    """Rows kept with chance ``fraction``, decided by a hash of their id, a whole number: the same on every run.
+
+    Rows of one id stay or go together; a null id counts as 0.
+    """
+    return drawn(df, row_id, seed).where(F.col("__mix") < round(fraction * (1 << 32))).drop("__mix")
 
 
 def bagging_by_label(df: DataFrame, row_id: Column, label: str, positive: float, negative: float, seed: int = 0) -> DataFrame:
     """Separate rates for positive and other rows."""
-    draw = F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1_000_000))
-    rate = F.when(F.col(label) > 0, F.lit(round(positive * 1_000_000))).otherwise(F.lit(round(negative * 1_000_000)))
-    return df.where(draw < rate)
+    rate = F.when(F.col(label) > 0, F.lit(round(positive * (1 << 32)))).otherwise(F.lit(round(negative * (1 << 32))))
+    return drawn(df, row_id, seed).where(F.col("__mix") < rate).drop("__mix")
 
 
 def goss(df: DataFrame, row_id: Column, gradient: str, hessian: str, top: float = 0.2, other: float = 0.1, seed: int = 0) -> DataFrame:

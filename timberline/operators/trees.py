@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -349,6 +349,61 @@ def permutation_importance(df: DataFrame, features: list[str], score: Column, la
     return out
 
 
+def leaf_paths(t: Tree) -> Iterator[tuple[float, dict[str, list[tuple[Node, bool]]], dict[str, float]]]:
+    """Of each leaf: its output, the tests on its path by feature, and the share of rows that each feature's tests let through."""
+
+    def down(at: int, tests: list[tuple[Node, bool, float]]):
+        n = t.nodes[at]
+        if n.is_leaf:
+            on: dict[str, list[tuple[Node, bool]]] = {}
+            share: dict[str, float] = {}
+            for node, left, part in tests:
+                on.setdefault(node.feature, []).append((node, left))
+                share[node.feature] = share.get(node.feature, 1.0) * part
+            yield t.rate * n.value, on, share
+            return
+        for child, left in ((n.left, True), (n.right, False)):
+            yield from down(child, [*tests, (n, left, t.nodes[child].count / max(n.count, 1))])
+
+    yield from down(0, [])
+
+
+def known_features(on: dict[str, list[tuple[Node, bool]]], x: dict[str, np.ndarray], sides: dict[int, np.ndarray]) -> dict[str, np.ndarray]:
+    """1 where a row's value passes all of a feature's tests, by feature; ``sides`` keeps each node's answers."""
+
+    def left_of(n: Node) -> np.ndarray:
+        if id(n) not in sides:
+            v = x[n.feature]
+            gone = np.isnan(v) | (np.abs(v) <= 1e-35 if n.zero_is_missing else False)
+            with np.errstate(invalid="ignore"):
+                sides[id(n)] = np.isin(v, n.categories) if n.categories else np.where(gone, n.default_left, v <= n.threshold)
+        return sides[id(n)]
+
+    return {f: np.all([left_of(n) if left else ~left_of(n) for n, left in tests], axis=0).astype(float) for f, tests in on.items()}
+
+
+def subset_sums(n: int, others: list[tuple[np.ndarray, float]]) -> list[np.ndarray]:
+    """For each number of known features, the sum over subsets of ``others`` of that size of what lets a row through."""
+    poly = [np.ones(n)]
+    for one, share in others:
+        poly = [(poly[k] * share if k < len(poly) else 0) + (poly[k - 1] * one if k else 0) for k in range(len(poly) + 1)]
+    return poly
+
+
+def with_vectors(df: DataFrame, features: list[str], work: Callable[[dict[str, np.ndarray], int], np.ndarray], name: str, width: int) -> DataFrame:
+    """Append an array of ``width`` doubles that ``work`` makes of the features of an Arrow batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {f: np.asarray(batch.column(batch.schema.get_field_index(f"__x_{f}")).to_numpy(zero_copy_only=False), dtype=float) for f in features}
+            kept = [batch.column(i) for i in range(batch.num_columns - len(features))]
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(work(x, batch.num_rows).reshape(-1)), width).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*kept, vectors], [*batch.schema.names[: len(kept)], name])
+
+    wide = df.select("*", *[valid(f).alias(f"__x_{f}") for f in features])
+    return wide.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+
+
 def shap_values(df: DataFrame, trees: list[Tree], features: list[str]) -> DataFrame:
     """Append ``shap array<double>``: a contribution per feature, then the expected value.
 
@@ -356,61 +411,77 @@ def shap_values(df: DataFrame, trees: list[Tree], features: list[str]) -> DataFr
     built as polynomials in one pass over the path; rows of an Arrow batch are
     worked on together.  Their sum is the ensemble's score.
     """
-    place = {f: i for i, f in enumerate(features)}
     base = sum(t.expected_value() for t in trees)
+    flat = [p for t in trees for p in leaf_paths(t)]
+    weights = [[math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)] for d in range(1, 1 + max((len(on) for _, on, _ in flat), default=0))]
+
+    def explain(x: dict[str, np.ndarray], n: int) -> np.ndarray:
+        out = np.zeros((n, len(features) + 1))
+        out[:, -1] = base
+        sides: dict[int, np.ndarray] = {}
+        for value, on, share in flat:
+            ones = known_features(on, x, sides)
+            for f in on:
+                poly = subset_sums(n, [(ones[o], share[o]) for o in on if o != f])
+                total = sum(w * c for w, c in zip(weights[len(on) - 1], poly, strict=True))
+                out[:, features.index(f)] += value * total * (ones[f] - share[f])
+        return out
+
+    return with_vectors(df, features, explain, "shap", len(features) + 1)
+
+
+def shap_interactions(df: DataFrame, trees: list[Tree], features: list[str]) -> DataFrame:
+    """Append ``interactions array<double>``: the matrix of interaction values, row by row.
+
+    Off the diagonal stands half of what two features give together beyond what
+    each gives alone, so the matrix is symmetric; the diagonal holds the rest
+    of a feature's contribution, so each row sums to it.
+    """
+    m = len(features)
+    flat = [p for t in trees for p in leaf_paths(t)]
+    most = max((len(on) for _, on, _ in flat), default=0)
+    alone = {d: [math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)] for d in range(1, most + 1)}
+    paired = {d: [math.factorial(s) * math.factorial(d - 2 - s) / (2 * math.factorial(d - 1)) for s in range(d - 1)] for d in range(2, most + 1)}
+
+    def explain(x: dict[str, np.ndarray], n: int) -> np.ndarray:
+        out = np.zeros((n, m, m))
+        sides: dict[int, np.ndarray] = {}
+        for value, on, share in flat:
+            ones = known_features(on, x, sides)
+            gap = {f: ones[f] - share[f] for f in on}
+            for f in on:
+                i = features.index(f)
+                poly = subset_sums(n, [(ones[o], share[o]) for o in on if o != f])
+                out[:, i, i] += value * gap[f] * sum(w * c for w, c in zip(alone[len(on)], poly, strict=True))
+                for g in on:
+                    if g != f:
+                        poly = subset_sums(n, [(ones[o], share[o]) for o in on if o not in (f, g)])
+                        both = value * gap[f] * gap[g] * sum(w * c for w, c in zip(paired[len(on)], poly, strict=True))
+                        out[:, i, features.index(g)] += both
+                        out[:, i, i] -= both
+        return out
+
+    return with_vectors(df, features, explain, "interactions", m * m)
+
+
+def shap_summary(explained: DataFrame) -> DataFrame:
+    """One row over all contributions of all rows: ``lowest, highest, mean, median, std, total_absolute``.
+
+    Nulls where there are no rows.  The median comes from counts of values, in ranges.
+    """
+    from timberline.operators.profile import order_statistics
 
-    def paths(t: Tree) -> Iterator[tuple[float, dict[str, list[tuple[Node, bool]]], dict[str, float]]]:
-        def down(at: int, tests: list[tuple[Node, bool, float]]):
-            n = t.nodes[at]
-            if n.is_leaf:
-                on: dict[str, list[tuple[Node, bool]]] = {}
-                share: dict[str, float] = {}
-                for node, left, part in tests:
-                    on.setdefault(node.feature, []).append((node, left))
-                    share[node.feature] = share.get(node.feature, 1.0) * part
-                yield t.rate * n.value, on, share
-                return
-            for child, left in ((n.left, True), (n.right, False)):
-                yield from down(child, [*tests, (n, left, t.nodes[child].count / max(n.count, 1))])
-
-        yield from down(0, [])
-
-    flat = [p for t in trees for p in paths(t)]
-    weights = [[1.0]]
-    for d in range(1, max((len(on) for _, on, _ in flat), default=0) + 1):
-        weights.append([math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)])
+    cells = explained.select(F.explode("shap").alias("value"))
+    x = F.col("value")
+    sums = cells.agg(F.min(x).alias("lowest"), F.max(x).alias("highest"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.sum(F.abs(x)).alias("total_absolute"))
+    middle = order_statistics(cells, ["value"]).agg(F.first("median").alias("median"))
+    return sums.crossJoin(F.broadcast(middle)).select("lowest", "highest", "mean", "median", "std", "total_absolute")  # one row each
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = {f: np.asarray(batch.column(batch.schema.get_field_index(f"__x_{f}")).to_numpy(zero_copy_only=False), dtype=float) for f in features}
-            out = np.zeros((batch.num_rows, len(features) + 1))
-            out[:, -1] = base
-            memo: dict[int, np.ndarray] = {}
-
-            def left_of(n: Node) -> np.ndarray:
-                if id(n) not in memo:
-                    v = x[n.feature]
-                    gone = np.isnan(v) | (np.abs(v) <= 1e-35 if n.zero_is_missing else False)
-                    with np.errstate(invalid="ignore"):
-                        memo[id(n)] = np.isin(v, n.categories) if n.categories else np.where(gone, n.default_left, v <= n.threshold)
-                return memo[id(n)]
-
-            for value, on, share in flat:
-                names = list(on)
-                ones = {f: np.all([left_of(n) if left else ~left_of(n) for n, left in on[f]], axis=0).astype(float) for f in names}
-                for f in names:
-                    poly = [np.ones(batch.num_rows)]  # by how many other features are known
-                    for other in names:
-                        if other != f:
-                            poly = [(poly[k] * share[other] if k < len(poly) else 0) + (poly[k - 1] * ones[other] if k else 0) for k in range(len(poly) + 1)]
-                    total = sum(w * c for w, c in zip(weights[len(names)], poly, strict=True))
-                    out[:, place[f]] += value * total * (ones[f] - share[f])
-            kept = [batch.column(i) for i in range(batch.num_columns - len(features))]
-            shap = pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), len(features) + 1).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*kept, shap], [*batch.schema.names[: len(kept)], "shap"])
 
-    wide = df.select("*", *[valid(f).alias(f"__x_{f}") for f in features])
-    return wide.mapInArrow(run, df.schema.add("shap", T.ArrayType(T.DoubleType())))
+def shap_importance(explained: DataFrame, features: list[str]) -> DataFrame:
+    """``feature, importance``: the mean absolute contribution; 0 without rows."""
+    one = explained.agg(*[F.coalesce(F.avg(F.abs(F.col("shap")[i])), F.lit(0.0)).alias(f) for i, f in enumerate(features)])
+    return one.unpivot([], features, "feature", "importance")
 
 
 def leaf_statistics(df: DataFrame, tree: Tree) -> DataFrame:

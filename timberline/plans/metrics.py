@@ -54,11 +54,6 @@ def lag_metrics(spark, sf_dir):
     return rounded(out, 5, "mase", "msse", "theil_u", "directional_accuracy")
 
 
-def bootstrap_mae(spark, sf_dir):
-    df = _predictions(spark, sf_dir)
-    return regression.bootstrap(df, KEY, lambda w: regression.mae(_p(), _y(), w), 50)
-
-
 def _scores(spark, sf_dir):
     df = lineitem(spark, sf_dir)
     return df.select(*KEY, (F.col("l_quantity") / 51.0).alias("s"), (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_tax") * 100 + 1).alias("w"))
@@ -174,7 +169,7 @@ def expected_reciprocal_rank(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (regression_report, regression_weighted, regression_by_group, d2_scores, lag_metrics, bootstrap_mae, binary_report, binary_weighted, binary_losses, auc, roc_curve, pr_curve, quality_auc, class_confusion, class_report, class_averages, class_probabilities, ranking_per_query, ranking_means, ranking_linear, rank_correlation, rank_agreement, expected_reciprocal_rank)
+    for f in (regression_report, regression_weighted, regression_by_group, d2_scores, lag_metrics, binary_report, binary_weighted, binary_losses, auc, roc_curve, pr_curve, quality_auc, class_confusion, class_report, class_averages, class_probabilities, ranking_per_query, ranking_means, ranking_linear, rank_correlation, rank_agreement, expected_reciprocal_rank)
 }
 
 _PRED = "(SELECT l_extendedprice / l_quantity AS y, 1000.0 + l_quantity * 12.0 AS p, l_quantity AS w, l_returnflag FROM lineitem)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timberline.operators import boosting, trees
-from timberline.plans.common import FEATURES, HOLED_SQL, KEY, holed, rounded
+from timberline.plans.common import HOLED_SQL, KEY, holed, rounded
 
 #: A tree written by hand, so that scoring has an equal in SQL.
 TREE = trees.Tree(
@@ -40,16 +40,6 @@ def score_early_stop(spark, sf_dir):
     return df.groupBy(boosting.staged_stop(stages, "binary", 1.6, 1).alias("used")).agg(F.count("*").alias("n"))
 
 
-def tree_explanation(spark, sf_dir):
-    """Mean contributions, and the largest gap between their sum and the score."""
-    df = holed(spark, sf_dir).select("l_linenumber", *FEATURES)
-    names = [*FEATURES, "l_linenumber"]
-    out = trees.shap_values(df, [TREE, SECOND], names)
-    total = F.aggregate("shap", F.lit(0.0), lambda a, x: a + x)
-    gap = F.abs(total - trees.score_expression(TREE) - trees.score_expression(SECOND))
-    return out.agg(F.round(F.max(gap), 9).alias("gap"), *[F.round(F.avg(F.abs(F.col("shap")[i])), 5).alias(f) for i, f in enumerate(names)])
-
-
 def leaf_distribution(spark, sf_dir):
     return rounded(trees.leaf_statistics(holed(spark, sf_dir), TREE), 6, "share")
 
@@ -81,7 +71,7 @@ def stop_rounds(spark, sf_dir):
     return boosting.stop_round(log, "metric", "id", 8)
 
 
-QUERIES = {f.__name__: f for f in (score_tree, score_ensemble, score_early_stop, tree_explanation, leaf_distribution, leaf_entropy, boosted_regression, boosted_early_stop, stop_rounds)}
+QUERIES = {f.__name__: f for f in (score_tree, score_ensemble, score_early_stop, leaf_distribution, leaf_entropy, boosted_regression, boosted_early_stop, stop_rounds)}
 
 _ONE, _TWO = trees.to_sql(TREE), trees.to_sql(SECOND)
 _LEAF = "CASE WHEN l_quantity <= 24.5 THEN CASE WHEN coalesce(l_discount <= CAST(0.045 AS DOUBLE), false) THEN 3 ELSE 4 END WHEN coalesce(l_tax <= CAST(0.035 AS DOUBLE), true) THEN 5 ELSE 6 END"

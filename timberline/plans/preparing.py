@@ -58,11 +58,6 @@ def fill_knn(spark, sf_dir):
     return _sums(impute.knn_fill(df, FEATURES, "l_tax", KEY, 3).where(F.col("l_discount").isNotNull()), ["l_tax"], 3)
 
 
-def fill_random(spark, sf_dir):
-    df = holed(spark, sf_dir)
-    return impute.random_fill(df, "l_tax", KEY).agg(F.count("l_tax").alias("n"), F.round(F.sum("l_tax"), 3).alias("l_tax"))
-
-
 def scale_minmax(spark, sf_dir):
     df = holed(spark, sf_dir)
     return _sums(scale.scale(df, scale.fit_scaler(df, FEATURES, "minmax"), "minmax"), FEATURES)
@@ -143,7 +138,7 @@ def unique_classes(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (fill_constants, fill_mode, missing_indicators, fill_forward, fill_backward, fill_linear, fill_knn, fill_random, scale_minmax, scale_standard, scale_robust, percent_rank, encode_label, encode_one_hot, encode_frequency, encode_target, cap_outliers, remove_outliers, label_correlation, train_valid_split, take_rows, lcg_sample, goss_sample, unique_classes)
+    for f in (fill_constants, fill_mode, missing_indicators, fill_forward, fill_backward, fill_linear, fill_knn, scale_minmax, scale_standard, scale_robust, percent_rank, encode_label, encode_one_hot, encode_frequency, encode_target, cap_outliers, remove_outliers, label_correlation, train_valid_split, take_rows, lcg_sample, goss_sample, unique_classes)
 }
 
 
