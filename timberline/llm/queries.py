@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import chat, decontamination, language, licenses, neardup, neighbours, packing, quality, sharding, toxicity
+from timberline.llm import alignment, chat, decontamination, language, licenses, neardup, neighbours, packing, quality, sharding, toxicity
 from timberline.llm.tables import table
 
 
@@ -106,6 +106,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents", "doc_id", "source"), "doc_id")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as files
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return alignment.align_documents(docs, files.path("byte_bpe_50k.json"), files.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
@@ -117,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 
