@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import alignment, chat, decontamination, language, licenses, neardup, neighbours, packing, quality, sharding, toxicity
+from timberline.llm import alignment, chat, decontamination, language, licenses, mixing, neardup, neighbours, packing, quality, sharding, toxicity
 from timberline.llm.tables import table
 
 
@@ -106,6 +106,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents", "doc_id", "source"), "doc_id")
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as files
 
@@ -124,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op12_source_mixing": op12_source_mixing,
     "op13_token_alignment": op13_token_alignment,
 }
 
@@ -206,8 +211,85 @@ def _sharding_sql(n: int = sharding.SHARDS, size: int = sharding.TABLE_SIZE) ->
     """
 
 
+def _mixing_sql(block: int = mixing.BLOCK, most: int = mixing.MOST, seed: str = mixing.SEED) -> str:
+    digest = lambda x: f"CAST('0x' || substr(md5({x}), 1, 15) AS BIGINT)"
+    steps = lambda j: f"(({j}) * quota + off) // greatest(n, 1)"
+    weights = ", ".join(map(str, mixing.WEIGHTS))
+
+    def seats(share: str, seats: str, parties: str, cap: str) -> str:
+        x, slack = f"({share}) * CAST({seats} AS DOUBLE)", f"(({share}) * CAST({parties} AS DOUBLE) + 2.0)"
+        return f"least(greatest(0, CAST(floor({x} - {slack}) AS BIGINT)), {cap}) AS low, least(CAST(ceil({x} + {slack}) AS BIGINT), {cap}) AS high"
+
+    def upto(word: str) -> str:
+        inside = f"greatest({word} - first * b, 0)"
+        j = f"({inside} // b)"
+        return f"({steps(j)} * b + ({inside} - {j} * b) * ({steps(j + ' + 1')} - {steps(j)}))"
+
+    return f"""
+        WITH words AS (
+          SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS BIGINT) AS size FROM documents),
+        conf AS (
+          SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS total,
+            greatest(1, least({block}, CAST(coalesce(sum(size), 0) AS BIGINT) // {mixing.LEAST_BLOCKS})) AS b,
+            greatest({mixing.LEAST_SHARDS}, CAST(ceil(count(*) / {mixing.SHARD_ROWS}) AS BIGINT)) AS shards FROM words),
+        docs AS (
+          SELECT doc_id, source, size, place, place % shards AS shard FROM conf, (
+            SELECT *, {digest(f"'{seed}/' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || CAST(size AS VARCHAR)")} AS place FROM words)),
+        caps AS (
+          SELECT *, source_size * {most} AS cap, CAST(list_extract([{weights}], CAST(idx % {len(mixing.WEIGHTS)} AS INTEGER) + 1) AS BIGINT) AS weight FROM (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM docs GROUP BY source)),
+        filling AS (
+          SELECT *, (CAST(total AS DOUBLE) - CAST(caps_before AS DOUBLE)) * CAST(weight AS DOUBLE)
+              > CAST(cap AS DOUBLE) * (CAST(all_weight AS DOUBLE) - CAST(weights_before AS DOUBLE)) AS full_up
+          FROM conf, (SELECT *, sum(weight) OVER () AS all_weight,
+              sum(cap) OVER o - cap AS caps_before, sum(weight) OVER o - weight AS weights_before
+            FROM caps WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / weight, idx ROWS UNBOUNDED PRECEDING))),
+        level AS (
+          SELECT CAST(any_value(total) - sum(CASE WHEN full_up THEN cap ELSE 0 END) AS DOUBLE)
+            / CAST(sum(CASE WHEN full_up THEN 0 ELSE weight END) AS DOUBLE) AS level FROM filling),
+        goals AS (
+          SELECT source, source_size, idx, total, b, CAST(ceil(source_size / b) AS BIGINT) AS blocks,
+            CASE WHEN full_up THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), level * weight) END AS target FROM filling, level),
+        windows AS (
+          SELECT *, {seats("target / wanted", "(total // b)", "parties", f"blocks * {most}")} FROM goals,
+            (SELECT CASE WHEN sum(target) = 0 THEN 1.0 ELSE sum(target) END AS wanted, count(*) FILTER (WHERE target > 0) AS parties FROM goals)),
+        extra AS (
+          SELECT idx, count(*) AS more FROM (
+            SELECT idx, row_number() OVER (ORDER BY target / CAST(2 * seat + 1 AS DOUBLE) DESC, idx) AS r
+            FROM (SELECT idx, target, unnest(range(low, high)) AS seat FROM windows))
+          WHERE r <= (SELECT any_value(total // b) - sum(low) FROM windows) GROUP BY idx),
+        shares AS (SELECT source, source_size, idx, target, b, blocks, low + coalesce(more, 0) AS seats FROM windows LEFT JOIN extra USING (idx)),
+        bases AS (
+          SELECT *, CAST(ceil(base / b) AS BIGINT) AS first, CAST(ceil((base + size) / b) AS BIGINT) - CAST(ceil(base / b) AS BIGINT) AS n FROM (
+            SELECT s.*, shard, size, CAST(sum(size) OVER (PARTITION BY idx ORDER BY shard) - size AS BIGINT) AS base FROM shares s JOIN (
+              SELECT source, shard, CAST(sum(size) AS BIGINT) AS size FROM docs GROUP BY ALL) c ON s.source IS NOT DISTINCT FROM c.source)),
+        cells AS (
+          SELECT *, {seats("CASE WHEN blocks > 0 THEN CAST(n AS DOUBLE) / CAST(blocks AS DOUBLE) ELSE 0 END", "seats", "parties", f"n * {most}")}
+          FROM (SELECT *, count(*) FILTER (WHERE n > 0) OVER (PARTITION BY idx) AS parties FROM bases)),
+        cell_extra AS (
+          SELECT idx, shard, count(*) AS more FROM (
+            SELECT idx, shard, free, row_number() OVER (PARTITION BY idx ORDER BY CAST(n AS DOUBLE) / CAST(2 * seat + 1 AS DOUBLE) DESC, shard) AS r
+            FROM (SELECT idx, shard, n, free, unnest(range(low, high)) AS seat FROM (SELECT *, seats - sum(low) OVER (PARTITION BY idx) AS free FROM cells)))
+          WHERE r <= free GROUP BY ALL),
+        quotas AS (
+          SELECT *, CASE WHEN n > 0 THEN {digest(f"'{seed}/' || idx || '/' || shard")} % greatest(n, 1) ELSE 0 END AS off
+          FROM (SELECT c.*, low + coalesce(more, 0) AS quota FROM cells c LEFT JOIN cell_extra USING (idx, shard))),
+        carried AS (
+          SELECT *, coalesce(last_value(CASE WHEN n > 0 THEN {steps("n")} - {steps("n - 1")} END IGNORE NULLS) OVER (
+            PARTITION BY idx ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS carry FROM quotas),
+        placed AS (
+          SELECT d.doc_id, d.size, c.* EXCLUDE (size), c.base + d.before AS x, c.base + d.before + d.size AS y FROM (
+            SELECT *, CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS before FROM docs) d
+          JOIN carried c ON d.source IS NOT DISTINCT FROM c.source AND d.shard = c.shard)
+        SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0
+            THEN {upto("y")} - {upto("x")} + (least(y, first * b) - least(x, first * b)) * carry ELSE 0 END AS BIGINT) AS taken
+        FROM placed
+    """
+
+
 ORACLE: dict[str, str] = {
     "op1_license_scan": _license_sql(),
     "op2_chat_format": _chat_sql(),
     "op10_sharding": _sharding_sql(),
+    "op12_source_mixing": _mixing_sql(),
 }
