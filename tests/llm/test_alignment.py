@@ -147,3 +147,17 @@ def test_wide_groups_count_distinct_ids():
     for x in (narrow, wide):
         assert x.codes.tolist() == [0, 3] and x.weights.tolist() == [1000, 1000] and x.sizes.tolist() == [1, 1]
         assert x.written[1] == "1|" + ",".join(["1"] * 1000) + ";"
+
+
+def test_pieces_beyond_what_is_kept(tokenizers, monkeypatch):
+    """Nothing depends on which pieces are kept."""
+    monkeypatch.setattr(alignment, "CACHED_PIECES", 3)
+    own = alignment.Aligner(A, B)
+    texts = ["one two three four five", "six one \n seven", "eight nine ten one", "▁ one", "one " * 50 + "y" * 100]
+    for _ in range(3):
+        for text in texts:
+            numbers, digests, _, codes, weights = own.align([text])
+            gs = plain_groups(tokenizers, text)
+            pairs = collections.Counter((x, y) for g in gs for x in g[0] for y in g[1])
+            assert numbers[0].tolist()[2:] == [len(gs), sum(pairs.values())] and (digests[0] == "") == (not gs)
+            assert {divmod(int(c), 32000): int(w) for c, w in zip(codes, weights, strict=True)} == pairs

@@ -34,14 +34,17 @@ from timberline.llm.tables import materialize
 SLICE_BYTES = 1 << 24
 #: Text that is worked out at a time, and pieces and their pairs that a task keeps.
 BLOCK_BYTES = 1 << 20
-CACHED_PIECES = 300_000
-CACHED_PAIRS = 4_000_000
-#: Pieces that are encoded as one text.
+CACHED_PIECES = 200_000
+CACHED_PAIRS = 2_000_000
+#: Pieces that are encoded as one text, and that are worked out together.
 TOGETHER = 256
+AT_ONCE = 16_384
 #: Longer pieces are not kept.
 CACHED_CHARS = 64
 #: Groups of more token pairs are counted by distinct ids.
 WIDE = 1 << 16
+#: Documents that the last pass takes at a time.
+AT_LAST = 256
 #: Pairs in one row that a slice sends out.
 PER_ROW = 8192
 
@@ -198,8 +201,10 @@ class Aligner:
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
         self.written: list[str] = []
-        self.tables: list[tuple[np.ndarray, ...]] = []
-        self.pairs = 0
+        none = np.zeros(0, dtype=np.int64)
+        #: Whether a piece comes back byte for byte, its numbers and count of pairs; and all pairs.
+        self.kept = (none.astype(bool), np.zeros((0, 4), dtype=np.int64), none, none, none)
+        self.asked, self.missed = 0, 0
 
     def _links(self, texts: list[str], a: list[list[int]], b: list[list[int]], together: int) -> Links | None:
         """Links of ``texts``, whose ids come for ``together`` texts at a time, or None if they do not come back byte for byte."""
@@ -218,34 +223,38 @@ class Aligner:
     def _one(self, text: str) -> Links | None:
         return self._links([text], self.a.encode([text]), self.b.encode([text]), 1)
 
-    def _add(self, texts: list[str], links: Links | None) -> None:
-        """Keep ``texts``; those without links do not come back byte for byte."""
+    def _added(self, texts: list[str], links: Links | None) -> tuple[np.ndarray, ...]:
+        """Tables of ``texts``; those without links do not come back byte for byte."""
         n = len(texts)
         self.index.update(zip(texts, range(len(self.written), len(self.written) + n), strict=True))
         if links is None:
             none = np.zeros(n, dtype=np.int64)
             self.written += [""] * n
-            self.tables.append((np.zeros(n, dtype=bool), np.zeros((n, 4), dtype=np.int64), none, none[:0], none[:0]))
-        else:
-            self.written += links.written
-            numbers = np.stack((links.n_a, links.n_b, links.n_groups, links.n_links), axis=1)
-            self.tables.append((np.ones(n, dtype=bool), numbers, links.sizes, links.codes, links.weights))
-            self.pairs += len(links.codes)
-
-    def _learn(self, texts: list[str]) -> None:
+            return np.zeros(n, dtype=bool), np.zeros((n, 4), dtype=np.int64), none, none[:0], none[:0]
+        self.written += links.written
+        numbers = np.stack((links.n_a, links.n_b, links.n_groups, links.n_links), axis=1)
+        return np.ones(n, dtype=bool), numbers, links.sizes, links.codes, links.weights
+
+    def _learn(self, known: tuple[np.ndarray, ...], texts: list[str]) -> tuple[np.ndarray, ...]:
+        """``known`` with ``texts`` added; their places are noted in ``index``."""
+        if not texts:
+            return known
         plain = [t for t in texts if t and t[0] != " " and not t[-1].isspace()]
+        tables = [known]
         for t in set(texts).difference(plain):
-            self._add([t], self._one(t))
-        # a text of plain pieces has the tokens of its pieces
+            tables.append(self._added([t], self._one(t)))
+        for at in range(0, len(plain), AT_ONCE):
+            tables += self._of_plain(plain[at : at + AT_ONCE])
+        return tuple(np.concatenate(x) for x in zip(*tables, strict=True))
+
+    def _of_plain(self, plain: list[str]) -> list[tuple[np.ndarray, ...]]:
+        """A text of plain pieces has the tokens of its pieces, so many are encoded as one."""
         joined = [" ".join(plain[k : k + TOGETHER]) for k in range(0, len(plain), TOGETHER)]
-        links = self._links(plain, self.a.encode(joined), self.b.encode(joined), TOGETHER) if plain else None
-        if links is not None:
-            self._add(plain, links)
-        elif len(plain) > 1:
-            self._learn(plain[: len(plain) // 2])
-            self._learn(plain[len(plain) // 2 :])
-        elif plain:
-            self._add(plain, None)
+        links = self._links(plain, self.a.encode(joined), self.b.encode(joined), TOGETHER)
+        if links is None and len(plain) > 1:
+            half = len(plain) // 2
+            return self._of_plain(plain[:half]) + self._of_plain(plain[half:])
+        return [self._added(plain, links)]
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """``(numbers, digests, owner, codes, weights)`` of non-empty texts.
@@ -255,14 +264,17 @@ class Aligner:
         with their occurrences.
         """
         cut = [pieces(t) if self.b.apart else [t] for t in texts]
-        if len(self.written) > CACHED_PIECES or self.pairs > CACHED_PAIRS:
-            self._forget()
-        fresh = list({p for parts in cut for p in parts}.difference(self.index))
-        if fresh:
-            self._learn(fresh)
-        if len(self.tables) > 1:
-            self.tables = [tuple(np.concatenate(x) for x in zip(*self.tables, strict=True))]
-        same, numbers, sizes, codes, weights = self.tables[0]
+        fresh = {p for parts in cut for p in parts}
+        self.asked += len(fresh)
+        fresh = list(fresh.difference(self.index))
+        self.missed += len(fresh)
+        # once full, what was met first stays, and other pieces are kept for these texts only
+        full = len(self.written) > CACHED_PIECES or len(self.kept[-1]) > CACHED_PAIRS
+        last = [] if full else [p for p in fresh if len(p) <= CACHED_CHARS]
+        brief = fresh if full else [p for p in fresh if len(p) > CACHED_CHARS]
+        self.kept = self._learn(self.kept, last)
+        held = len(self.written)
+        same, numbers, sizes, codes, weights = self._learn(self.kept, brief)
         begin = np.cumsum(sizes) - sizes
         rows = [list(map(self.index.__getitem__, parts)) for parts in cut]
         owner = np.repeat(np.arange(len(texts)), [len(r) for r in rows])
@@ -287,12 +299,24 @@ class Aligner:
                     digests[k] = _digest(links.written[0])
                     parts.append((np.full(len(links.codes), k), links.codes, links.weights))
             who, code, weight = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        for p in fresh:
-            if len(p) > CACHED_CHARS:
-                self.index.pop(p)
+        for p in brief:
+            del self.index[p]
+        del self.written[held:]
+        if full and self.missed > self.asked // 2:  # texts of another kind
+            self._forget()
         return out, digests, who, code, weight
 
 
+_ALIGNERS: dict[tuple[str, str], Aligner] = {}
+
+
+def shared_aligner(path_a: str, path_b: str) -> Aligner:
+    """One aligner for all tasks of a worker."""
+    if (path_a, path_b) not in _ALIGNERS:
+        _ALIGNERS[path_a, path_b] = Aligner(path_a, path_b)
+    return _ALIGNERS[path_a, path_b]
+
+
 def _digest(written: str) -> str:
     return hashlib.sha256(written[:-1].encode()).hexdigest()
 
@@ -324,7 +348,7 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        aligner = Aligner(path_a, path_b)
+        aligner = shared_aligner(path_a, path_b)
         number, held = TaskContext.get().partitionId() << 32, 0
         seen: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -401,6 +425,18 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     )
     rows = rows.repartition("slice").sortWithinPartitions("slice", "kind", "code")
 
+    def summed_up(part: pa.RecordBatch, known: np.ndarray, counts: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+        codes, weights = np.asarray(part.column("codes").flatten()), np.asarray(part.column("weights").flatten())
+        owner = np.repeat(np.arange(len(part)), np.asarray(part.column("codes").value_lengths()))
+        place = np.searchsorted(known, codes)
+        n_best, count_sum = np.zeros((2, len(part)), dtype=np.int64)
+        if len(codes):
+            np.add.at(n_best, owner, weights * best[place])
+            np.add.at(count_sum, owner, weights * counts[place])
+        first = [part.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
+        names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+        return pa.RecordBatch.from_arrays([*first, pa.array(n_best), pa.array(count_sum), part.column("groups_sha256")], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A slice's counts come before its documents, sorted by pair."""
         here, parts, table = None, [], None
@@ -418,18 +454,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     continue
                 if table is None:
                     table = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, dtype=np.int64)] * 3
-                codes, weights = np.asarray(part.column("codes").flatten()), np.asarray(part.column("weights").flatten())
-                sizes = np.asarray(part.column("codes").value_lengths())
-                owner = np.repeat(np.arange(len(part)), sizes)
-                place = np.searchsorted(table[0], codes)
-                n_best, count_sum = np.zeros((2, len(part)), dtype=np.int64)
-                if len(codes):
-                    np.add.at(n_best, owner, weights * table[2][place])
-                    np.add.at(count_sum, owner, weights * table[1][place])
-                first = [part.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
-                yield pa.RecordBatch.from_arrays(
-                    [*first, pa.array(n_best), pa.array(count_sum), part.column("groups_sha256")],
-                    names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
-                )
+                for at in range(0, len(part), AT_LAST):
+                    yield summed_up(part.slice(at, AT_LAST), *table)
 
     return rows.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
