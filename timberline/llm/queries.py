@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import alignment, chat, decontamination, language, licenses, mixing, neardup, neighbours, packing, quality, sharding, toxicity
+from timberline.llm import alignment, chat, decontamination, hard_negatives, language, licenses, mixing, neardup, neighbours, packing, quality, sharding, toxicity
 from timberline.llm.tables import table
 
 
@@ -106,6 +106,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents", "doc_id", "source"), "doc_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings", "vec_id", label, "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
@@ -128,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_source_mixing": op12_source_mixing,
     "op13_token_alignment": op13_token_alignment,
 }
@@ -287,9 +293,31 @@ def _mixing_sql(block: int = mixing.BLOCK, most: int = mixing.MOST, seed: str =
     """
 
 
+#: Every pair of an anchor and a row: for the sizes of tests only.
+HARD_NEGATIVES_SQL = """
+    WITH usable AS (
+      SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v
+      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scores AS (
+      SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+      FROM usable a JOIN usable r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+    positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+      vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scores USING (anchor_id)
+    WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_license_scan": _license_sql(),
     "op2_chat_format": _chat_sql(),
     "op10_sharding": _sharding_sql(),
+    "op11_hard_negatives": HARD_NEGATIVES_SQL,
     "op12_source_mixing": _mixing_sql(),
 }
