@@ -161,3 +161,11 @@ def test_pieces_beyond_what_is_kept(tokenizers, monkeypatch):
             pairs = collections.Counter((x, y) for g in gs for x in g[0] for y in g[1])
             assert numbers[0].tolist()[2:] == [len(gs), sum(pairs.values())] and (digests[0] == "") == (not gs)
             assert {divmod(int(c), 32000): int(w) for c, w in zip(codes, weights, strict=True)} == pairs
+
+
+def test_weights_beyond_32_bits_are_dealt_to_several_entries():
+    import numpy as np
+
+    owner, codes, weights = alignment._narrow(np.array([0, 1, 1]), np.array([5, 6, 7]), np.array([1, (1 << 33) + 9, 3]))
+    assert weights.max() < 1 << 31 and weights[codes == 6].sum() == (1 << 33) + 9 and set(owner[codes == 6]) == {1}
+    assert weights[codes != 6].tolist() == [1, 3]

@@ -321,29 +321,31 @@ def _digest(written: str) -> str:
     return hashlib.sha256(written[:-1].encode()).hexdigest()
 
 
-ALIGNED = pa.schema(
-    [
-        ("slice", pa.int64()),
-        ("kind", pa.int32()),
-        ("doc_id", pa.int64()),
-        ("n_a", pa.int64()),
-        ("n_b", pa.int64()),
-        ("n_groups", pa.int64()),
-        ("n_links", pa.int64()),
-        ("groups_sha256", pa.string()),
-        ("codes", pa.list_(pa.int64())),
-        ("weights", pa.list_(pa.int64())),
-    ]
-)
-_ALIGNED = "slice long, kind int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes array<long>, weights array<long>"
-
-
-def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, pa.int64()))
+_NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
+
+
+def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, kind))
+
+
+def _narrow(owner: np.ndarray, codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights beyond 32 bits in several parts, each with its code."""
+    most = (1 << 31) - 1
+    if not len(weights) or weights.max() <= most:
+        return owner, codes, weights
+    times = -(-weights // most)
+    owner, codes, weights = (np.repeat(x, times) for x in (owner, codes, weights))
+    step = np.arange(len(codes)) - np.repeat(np.cumsum(times) - times, times)
+    return owner, codes, np.minimum(weights - step * most, most)
 
 
 def _aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Rows of kind 1 are documents; rows of kind 0 are a slice's distinct pairs with the slice's documents that hold them."""
+    small = len(ByteTokens(path_a).bytes) * len(PieceTokens(path_b).bytes) < 1 << 31
+    code = pa.int32() if small else pa.int64()
+    fields = [("slice", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), *[(c, pa.int64()) for c in _NUMBERS], ("groups_sha256", pa.string())]
+    schema = pa.schema([*fields, ("codes", pa.list_(code)), ("weights", pa.list_(pa.int32()))])
+    spark_schema = f"slice long, kind int, doc_id long, {', '.join(f'{c} long' for c in _NUMBERS)}, groups_sha256 string, codes array<{'int' if small else 'long'}>, weights array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -362,7 +364,7 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 starts = np.append(np.arange(0, len(codes), PER_ROW), len(codes))
                 n = len(starts) - 1
                 none = [pa.nulls(n, t) for t in (*[pa.int64()] * 5, pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.zeros(n, np.int32)), *none, _lists(codes, starts), _lists(counts, starts)], schema=ALIGNED)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.zeros(n, np.int32)), *none, _lists(codes, starts, code), _lists(counts, starts, pa.int32())], schema=schema)
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -378,15 +380,16 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 numbers[full] = found
                 for k, s in zip(full, sums, strict=True):
                     digests[k] = s
-                starts = np.searchsorted(np.array(full, dtype=np.int64)[who] if len(who) else who, np.arange(len(block) + 1))
                 n = len(block)
-                columns = [pa.array(np.full(n, number)), pa.array(np.ones(n, np.int32)), ids.slice(at, n), *[pa.array(numbers[:, c]) for c in range(4)], pa.array(digests, pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, _lists(codes, starts), _lists(weights, starts)], schema=ALIGNED)
                 if len(codes):
                     distinct, counts = np.unique(codes, return_counts=True)
                     seen.append((distinct, counts))
                     if len(seen) > 16:
                         seen = [merged()]
+                who, codes, weights = _narrow(who, codes, weights)
+                starts = np.searchsorted(np.array(full, dtype=np.int64)[who] if len(who) else who, np.arange(n + 1))
+                columns = [pa.array(np.full(n, number)), pa.array(np.ones(n, np.int32)), ids.slice(at, n), *[pa.array(numbers[:, c]) for c in range(4)], pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, _lists(codes, starts, code), _lists(weights, starts, pa.int32())], schema=schema)
                 at += n
                 held += size
                 if held >= SLICE_BYTES:
@@ -394,7 +397,7 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     number, held, seen = number + 1, 0, []
         yield from close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _ALIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, spark_schema)
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -412,7 +415,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     width = len(PieceTokens(path_b).bytes)
     pair = F.explode(F.arrays_zip("codes", "weights")).alias("p")
     held = aligned.where(F.col("kind") == 0).select("slice", pair).select("slice", F.col("p.codes").alias("code"), F.col("p.weights").alias("n"))
-    counts = held.groupBy("code").agg(F.sum("n").alias("n")).withColumn("a", F.floor(F.col("code") / width))
+    counts = held.groupBy("code").agg(F.sum("n").alias("n")).withColumn("a", F.floor(F.col("code") / F.lit(width)))
     # at most B's vocabulary of rows for one A id
     best = F.max("n").over(Window.partitionBy("a"))
     counts = counts.select("code", "n", (F.col("n") == best).alias("best"))
@@ -421,20 +424,20 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     own = aligned.where(F.col("kind") == 1)
     names = [c for c in aligned.columns if c not in ("slice", "kind")]
     rows = back.select("slice", F.lit(0).alias("kind"), "code", "n", "best", *[empty(c) for c in names]).unionByName(
-        own.select("slice", "kind", F.lit(None).cast("long").alias("code"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("boolean").alias("best"), *names)
+        own.select("slice", "kind", F.lit(None).cast(held.schema["code"].dataType).alias("code"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("boolean").alias("best"), *names)
     )
     rows = rows.repartition("slice").sortWithinPartitions("slice", "kind", "code")
 
     def summed_up(part: pa.RecordBatch, known: np.ndarray, counts: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
-        codes, weights = np.asarray(part.column("codes").flatten()), np.asarray(part.column("weights").flatten())
+        codes, weights = np.asarray(part.column("codes").flatten()), np.asarray(part.column("weights").flatten()).astype(np.int64)
         owner = np.repeat(np.arange(len(part)), np.asarray(part.column("codes").value_lengths()))
         place = np.searchsorted(known, codes)
         n_best, count_sum = np.zeros((2, len(part)), dtype=np.int64)
         if len(codes):
             np.add.at(n_best, owner, weights * best[place])
             np.add.at(count_sum, owner, weights * counts[place])
-        first = [part.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
-        names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+        first = [part.column(c) for c in ("doc_id", *_NUMBERS)]
+        names = ["doc_id", *_NUMBERS, "n_best", "count_sum", "groups_sha256"]
         return pa.RecordBatch.from_arrays([*first, pa.array(n_best), pa.array(count_sum), part.column("groups_sha256")], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
