@@ -75,6 +75,23 @@ def test_knn_fill_against_numpy(spark):
         assert got[i] == pytest.approx((x[full[near], 2] / d[near]).sum() / (1 / d[near]).sum())
 
 
+def test_knn_fill_with_repeated_keys(spark):
+    """Two rows of key 1 and one of key 2 meet the same neighbours and get the same value."""
+    rows = [(1, 0.0, None), (1, 0.0, None), (2, 0.0, None), (1, 5.0, None), (3, 1.0, 10.0), (4, 1.0, 10.0), (5, 2.0, 40.0), (6, 4.0, 70.0)]
+    df = spark.createDataFrame(rows, "id int, x double, c double")
+    got = sorted((r["id"], r["x"], round(r["c"], 9)) for r in impute.knn_fill(df, ["x", "c"], "c", ["id"], 2).collect())
+    assert got == [(1, 0.0, 10.0), (1, 0.0, 10.0), (1, 5.0, 62.5), (2, 0.0, 10.0), (3, 1.0, 10.0), (4, 1.0, 10.0), (5, 2.0, 40.0), (6, 4.0, 70.0)]
+
+
+def test_vectors_become_columns(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [3.0, None])], "y int, v array<double>")
+    wide, spec = readers.from_vectors(df, "v", label="y")
+    assert spec.features == ("feature_0", "feature_1") and spec.label == "y"
+    assert sorted(map(tuple, wide.collect())) == [(1, 1.0, 2.0), (2, None, None), (3, 3.0, None)]
+    with pytest.raises(ValueError):
+        readers.from_vectors(df, "v", names=["a", "b", "c"])
+
+
 def test_random_fill_draws_observed_values(spark):
     df = spark.createDataFrame([(i, float(i % 3) if i % 2 else None) for i in range(100)], "id int, v double")
     got = impute.random_fill(df, "v", F.col("id"))

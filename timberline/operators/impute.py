@@ -124,13 +124,14 @@ def knn_fill(df: DataFrame, features: list[str], target: str, key: list[str], k:
     no pair of rows is ever a row.  The work is the product of both counts.
     Equal distances go to the smaller value, distance 0 weighs 1e6, and rows
     that miss another feature, or find no complete row, stay as they are.
+    Rows of one key and equal features ask once and get one value.
     """
     others = [f for f in features if f != target]
     cells = [valid(f).alias(f"__x{i}") for i, f in enumerate(others)]
     gaps = sum((valid(f).isNull().cast("int") for f in others), F.lit(0))
-    named = df.withColumn("__id", F.xxhash64(*[F.col(f"`{c}`") for c in key]))
+    named = df.withColumn("__id", F.xxhash64(*[F.col(f"`{c}`") for c in key], *[valid(f) for f in others]))
     complete = named.where((gaps == 0) & valid(target).isNotNull()).select(F.lit(0).alias("__kind"), "__id", *cells, valid(target).alias("__v"))
-    ask = named.where((gaps == 0) & valid(target).isNull()).select(F.lit(1).alias("__kind"), "__id", *cells, F.lit(None).cast("double").alias("__v"))
+    ask = named.where((gaps == 0) & valid(target).isNull()).select(F.lit(1).alias("__kind"), "__id", *cells, F.lit(None).cast("double").alias("__v")).dropDuplicates(["__id"])
     blocks = max(1, -(-complete.count() // block_rows))
     dealt = complete.withColumn("__block", F.pmod("__id", F.lit(blocks)).cast("int"))
     sent = ask.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

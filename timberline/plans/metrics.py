@@ -158,7 +158,7 @@ def rank_correlation(spark, sf_dir):
 
 
 def rank_agreement(spark, sf_dir):
-    rows = lineitem(spark, sf_dir).withColumn("rel", F.floor(F.col("l_quantity") / 10.5)).where(F.col("l_orderkey") % 3 == 0)
+    rows = lineitem(spark, sf_dir).withColumn("rel", F.floor(F.col("l_quantity") / 10.5))
     rows = ranking.ranked(rows, "l_orderkey", F.col("l_extendedprice"), F.col("rel"), ["l_linenumber", "l_partkey", "l_suppkey"])
     return rounded(ranking.kendall(rows), 6, "tau")
 
@@ -247,7 +247,7 @@ ORACLE = {
     "ranking_linear": f"""SELECT query, round(d, 5) AS dcg, round(d / i, 5) AS ndcg FROM (SELECT query, coalesce(sum(rel / pos) FILTER (WHERE pos <= 20), 0) AS d, nullif(coalesce(sum(rel / ipos) FILTER (WHERE ipos <= 20), 0), 0) AS i FROM {_RK} GROUP BY query)""",
     "rank_correlation": f"SELECT query, round(CASE WHEN count(*) > 1 THEN 1 - 6 * CAST(sum((pos - ipos) * (pos - ipos)) AS DOUBLE) / (count(*) * (CAST(count(*) AS DOUBLE) ** 2 - 1)) ELSE 0 END, 6) AS rho FROM {_RK} GROUP BY query",
     "rank_agreement": """
-        WITH r AS (SELECT l_orderkey AS query, floor(l_quantity / 10.5) AS rel, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_orderkey % 3 = 0)
+        WITH r AS (SELECT l_orderkey AS query, floor(l_quantity / 10.5) AS rel, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
         SELECT a.query, round(coalesce(sum(CASE WHEN b.pos < a.pos THEN sign(b.rel - a.rel) ELSE 0 END) / nullif(any_value(a.n) * (any_value(a.n) - 1) / 2.0, 0), 0), 6) AS tau FROM r a JOIN r b USING (query) GROUP BY a.query""",
     "expected_reciprocal_rank": f"""
         WITH u AS (SELECT query, pos, (power(2, rel) - 1) / 16 AS u FROM {_RK}),

@@ -19,12 +19,12 @@ def training_table(spark, sf_dir):
 
 
 def query_runs(spark, sf_dir):
-    orders = read_table(spark, sf_dir, "orders").where(F.col("o_orderkey") < 2000)
+    orders = read_table(spark, sf_dir, "orders")
     return readers.query_boundaries(orders.withColumn("g", F.floor(F.col("o_custkey") / 400)), "g", "o_orderkey")
 
 
 def keep_columns(spark, sf_dir):
-    df = lineitem(spark, sf_dir).select(*KEY, "l_quantity").where(F.col("l_quantity") > 49)
+    df = lineitem(spark, sf_dir).select(*KEY, "l_quantity")
     return df.select(*KEY, F.round("l_quantity", 2).alias("l_quantity"))
 
 
@@ -57,10 +57,10 @@ ORACLE = {
         SELECT CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS DOUBLE) AS target, count(*) AS n, round(sum(CAST(CAST(l_quantity AS FLOAT) AS DOUBLE)), 3) AS l_quantity,
           round(sum(CAST(CAST(l_discount AS FLOAT) AS DOUBLE)), 3) AS l_discount, CAST(count(*) FILTER (WHERE l_linenumber > 3) AS DOUBLE) AS flag, round(sum(l_tax), 3) AS weight, count(DISTINCT l_suppkey) AS groups FROM lineitem GROUP BY 1""",
     "query_runs": """
-        WITH o AS (SELECT o_custkey // 400 AS g, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, lag(o_custkey // 400) OVER (ORDER BY o_orderkey) AS p FROM orders WHERE o_orderkey < 2000),
+        WITH o AS (SELECT o_custkey // 400 AS g, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, lag(o_custkey // 400) OVER (ORDER BY o_orderkey) AS p FROM orders),
         s AS (SELECT * FROM o WHERE p IS NULL OR p <> g)
         SELECT CAST(row_number() OVER (ORDER BY pos) AS INTEGER) AS run, g AS "group", pos AS start, coalesce(lead(pos) OVER (ORDER BY pos), (SELECT count(*) FROM o)) AS stop FROM s""",
-    "keep_columns": f"SELECT {', '.join(KEY)}, round(l_quantity, 2) AS l_quantity FROM lineitem WHERE l_quantity > 49",
+    "keep_columns": f"SELECT {', '.join(KEY)}, round(l_quantity, 2) AS l_quantity FROM lineitem",
     "event_windows": """
         SELECT strftime(to_timestamp(floor(epoch(ts) / 604800) * 604800) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, CAST(0 AS BIGINT) AS missing,
           round(sum(value), 3) AS total, round(min(value), 4) AS least, round(max(value), 4) AS greatest FROM events GROUP BY 1, 2""",

@@ -85,10 +85,9 @@ def table_of_numbers(spark, sf_dir):
 
 
 def nested_vectors(spark, sf_dir):
-    """Arrays of a column as features of their own: one projection."""
-    df = read_table(spark, sf_dir, "embeddings")
-    wide = df.select("label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)])
-    return wide.groupBy("label").agg(F.count("*").alias("n"), *[F.round(F.sum(f"f{i}"), 3).alias(f"f{i}") for i in range(8)])
+    """Arrays of a column as features of their own, as many as the vectors are long."""
+    wide, spec = readers.from_vectors(read_table(spark, sf_dir, "embeddings"), "embedding", label="label")
+    return wide.groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"), *[F.round(F.sum(f), 3).alias(f) for f in spec.features])
 
 
 def synthetic_table(spark, sf_dir):
@@ -154,7 +153,7 @@ ORACLE = {
     "group_ids": "SELECT CAST(CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 7 ELSE 0 END AS BIGINT) AS g, count(*) AS n, round(sum(CAST(CAST(o_orderkey AS FLOAT) AS DOUBLE)), 0) AS keys FROM orders GROUP BY 1",
     "table_of_arrays": "SELECT CAST(r AS BIGINT) AS row_id, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(t AS DOUBLE) AS target, CAST(w AS DOUBLE) AS weight FROM (VALUES (0, 1, 2, 0, 0.5), (1, 3, 4, 1, 1.0), (2, 5, NULL, 1, 2.0)) v(r, a, b, t, w)",
     "table_of_numbers": "SELECT CAST(r AS BIGINT) AS row_id, CAST(2 * r + 1 AS DOUBLE) AS feature_0, CAST(2 * r + 2 AS DOUBLE) AS feature_1 FROM range(3) q(r)",
-    "nested_vectors": "SELECT label, count(*) AS n, " + ", ".join(f"round(sum(CAST(embedding[{i + 1}] AS DOUBLE)), 3) AS f{i}" for i in range(8)) + " FROM embeddings GROUP BY 1",
+    "nested_vectors": "SELECT label, count(*) AS n, " + ", ".join(f"round(sum(CAST(embedding[{i + 1}] AS DOUBLE)), 3) AS feature_{i}" for i in range(64)) + " FROM embeddings GROUP BY 1",
     "synthetic_table": "SELECT CAST(5000 AS BIGINT) AS n, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS wrong",
     # bytes of each type and four for the mask: longs 12, ints 8, doubles 12, others 20
     "memory_sizes": " UNION ALL ".join([_bytes("lineitem", 3 * 12 + 8 + 4 * 12 + 2 * 20 + 20), _bytes("orders", 2 * 12 + 12 + 3 * 20), _bytes("part", 12 + 3 * 20 + 8 + 12)]),

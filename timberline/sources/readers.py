@@ -146,6 +146,23 @@ def from_arrays(spark: SparkSession, features: np.ndarray, labels: np.ndarray |
     return spark.createDataFrame(data), spec
 
 
+def from_vectors(df: DataFrame, column: str, label: str | None = None, names: list[str] | None = None) -> tuple[DataFrame, TableSpec]:
+    """The components of an array column as feature columns; the other columns stay.
+
+    All arrays must have as many components as the first names ask for, or as
+    the longest has; a null array gives missing features.
+    """
+    width = len(names) if names else df.agg(F.max(F.size(column))).first()[0] or 0
+    if width < 1:
+        raise ValueError("vectors need components")
+    if df.where(F.col(column).isNotNull() & (F.size(column) != width)).limit(1).count():
+        raise ValueError("vectors differ in length")
+    names = names or [f"feature_{i}" for i in range(width)]
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (column, *names)]
+    wide = df.select(*kept, *[F.get(column, F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    return wide, TableSpec(tuple(names), label)
+
+
 def from_flat(spark: SparkSession, flat: list[float], rows: int, columns: int, **roles) -> tuple[DataFrame, TableSpec]:
     """Row-major numbers."""
     if len(flat) != rows * columns:
