@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,3 +128,23 @@ def test_training_fit_and_usable_features(spark):
     assert x.missing == "separate" and x.bounds[-1] == math.inf
     assert [m.feature for m in binning.usable_features(df, [x, flat], 20)] == ["x"]
     assert binning.most_frequent_bin(df, flat)[1] == 1.0
+
+
+@pytest.mark.parametrize("fences,range_rows", [(1024, 1_000_000), (4, 50)])
+def test_values_at_exact_positions(spark, monkeypatch, fences, range_rows):
+    """Few fences, large ranges that are cut again, one hot value, missing cells."""
+    from timberline.operators import ordering
+
+    monkeypatch.setattr(ordering, "RANGE_ROWS", range_rows)
+    rng = np.random.default_rng(3)
+    a = np.concatenate([rng.normal(size=900), np.full(700, 0.25), [np.inf, -np.inf]])
+    b = np.round(rng.exponential(size=len(a)), 1)
+    rows = [(float(x), None if k % 5 == 0 else float(y), None) for k, (x, y) in enumerate(zip(a, b, strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(3)
+    lines = ordering.outlines(df, ["a", "b", "c"], fences)
+    places = {f: [0, 1, 17, lines[f].total // 2, lines[f].total - 1, lines[f].total] for f in "abc"}
+    got = ordering.values_at(df, places, lines)
+    for f, k in (("a", 0), ("b", 1)):
+        v = np.sort([r[k] for r in rows if r[k] is not None])
+        assert got[f] == {p: (v[p], int((v < v[p]).sum()), int((v == v[p]).sum())) for p in set(places[f]) if p < len(v)}
+    assert got["c"] == {}

@@ -216,3 +216,40 @@ def test_other_options_of_growing(spark, options):
     assert row["mse"] < 0.7 * row["v"]
     if "penalty" in options:
         assert set(trees.importance(model.trees)) == {"x"}
+
+
+def test_forced_splits_are_a_tree(spark):
+    """Three splits in order: the root, its left child, and the right one's leaf; then growth goes on."""
+    df = spark.range(400).select(F.pmod(F.col("id") * 37, F.lit(10)).cast("int").alias("bin_x"), F.pmod(F.col("id") * 11, F.lit(7)).cast("int").alias("bin_z"))
+    df = df.withColumn("g", F.col("bin_x") - F.col("bin_z") * 1.5).withColumn("h", F.lit(1.0))
+    mappers = [Mapper("x", bounds=tuple(k + 0.5 for k in range(10)), highest=9.0), Mapper("z", bounds=tuple(k + 0.5 for k in range(7)), highest=6.0)]
+    tree = trees.grow(df, mappers, num_leaves=6, min_data=5, forced=[("x", 3), (1, "z", 2), (2, "x", 6)])
+    first, left, right = tree.nodes[0], tree.nodes[1], tree.nodes[2]
+    assert (first.feature, first.bin, left.feature, left.bin, right.feature, right.bin) == ("x", 3, "z", 2, "x", 6)
+    assert (first.left, first.right, left.left, left.right, right.left, right.right) == (1, 2, 3, 4, 5, 6) and len(tree.leaves()) == 6
+    for node, where in ((3, "bin_x <= 3 AND bin_z <= 2"), (6, "bin_x > 6")):
+        assert tree.nodes[node].count == df.where(where).count()
+    with pytest.raises(ValueError):
+        trees.grow(df, mappers, forced=[("x", 3), (7, "z", 2)])
+    with pytest.raises(ValueError):
+        trees.grow(df, mappers, min_data=300, forced=[("x", 3)])
+
+
+def test_only_the_lighter_child_is_summed_from_rows(spark, monkeypatch):
+    """Histograms of all children equal those summed from rows, and half of them come by subtraction."""
+    df = spark.range(600).select("id", *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(8)).cast("int").alias(f"bin_{f}") for k, f in enumerate("xyz")])
+    df = df.withColumn("g", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(100)) / 10.0 - F.col("bin_x")).withColumn("h", F.lit(1.0)).cache()
+    mappers = [Mapper(f, bounds=tuple(k + 0.5 for k in range(8)), highest=7.0) for f in "xyz"]
+    summed, taken = [], []
+    rows, less = histogram.leaf_histograms, histogram.siblings
+    monkeypatch.setattr(histogram, "leaf_histograms", lambda b, w, at, leaves: summed.extend(leaves) or rows(b, w, at, leaves))
+    monkeypatch.setattr(histogram, "siblings", lambda p, c, links: taken.extend(links) or less(p, c, links))
+    tree = trees.grow(df, mappers, num_leaves=8, min_data=5)
+    monkeypatch.undo()
+    assert len(tree.leaves()) == 8 and len(summed) == len(taken) + 1
+    want = {(r["feature"], r["bin"], r["n"]): r["sum_g"] for r in histogram.histograms(df, ["x", "y", "z"]).collect()}
+    got = {(r["feature"], r["bin"], r["n"]): r["sum_g"] for r in histogram.leaf_histograms(df, {"x": 8, "y": 8, "z": 8}, F.lit(0), [0]).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    parent, child = (histogram.leaf_histograms(d, {"x": 8, "y": 8}, F.lit(n), [n]) for d, n in ((df, 0), (df.where("bin_z < 3"), 1)))
+    other = {(r["leaf"], r["feature"], r["bin"]): (r["n"], round(r["sum_g"], 9)) for r in histogram.leaf_histograms(df.where("bin_z >= 3"), {"x": 8, "y": 8}, F.lit(2), [2]).collect()}
+    assert {(r["leaf"], r["feature"], r["bin"]): (r["n"], round(r["sum_g"], 9)) for r in histogram.siblings(parent, child, [(0, 1, 2)]).collect()} == other

@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timberline.operators.ordering import value_counts
+from timberline.operators.ordering import outlines, values_at
 from timberline.operators.spec import long_form, valid
-from timberline.session import materialize
 
 #: Values closer to zero than this are zero.
 ZERO = 1e-35
@@ -90,27 +89,35 @@ def fit_quantile(df: DataFrame, features: list[str], max_bins: int = 255, min_da
     """Distinct values as bounds where they are few, else quantile cuts thinned to ``min_data`` rows a bin.
 
     Cut ``i`` is the value at position ``round((n - 1) * i / max_bins)``.  The
-    driver gets at most ``max_bins`` bounds a feature.
+    driver gets at most ``max_bins`` bounds a feature, and the value counts of
+    features that have few values: those with about ``2 * max_bins`` or less
+    are counted exactly.
     """
-    ranked = materialize(value_counts(long_form(df, features)), "value-counts")
-    sizes = ranked.groupBy("feature").agg(F.count("*").alias("distinct"), F.first("total").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    few = ranked.join(F.broadcast(sizes.where(F.col("distinct") <= max_bins).select("feature")), "feature").select("feature", "value", "before")
-    steps = F.explode(F.sequence(F.lit(1), F.lit(max_bins))).alias("i")
-    spots = sizes.where(F.col("distinct") > max_bins).select("feature", "total", steps)
-    spots = spots.select("feature", F.col("i").alias("name"), F.floor((F.col("total") - 1) * (F.col("i") / max_bins) + 0.5).alias("position"))
-    hit = (F.col("before") <= F.col("position")) & (F.col("position") < F.col("before") + F.col("n"))
-    many = ranked.join(F.broadcast(spots), "feature").where(hit).select("feature", "value", "before").distinct()
-    rows = few.withColumn("exact", F.lit(True)).unionByName(many.withColumn("exact", F.lit(False))).orderBy("feature", "value").collect()
-    spans = {r["feature"]: (r["lo"], r["hi"]) for r in sizes.collect()}
+    lines = outlines(df, features)
+    few = [f for f in features if 0 < lines[f].distinct <= 2 * max_bins]
+    counted: dict[str, list] = {f: [] for f in few}
+    if few:
+        for r in long_form(df, few).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n")).orderBy("feature", "value").collect():
+            counted[r["feature"]].append((r["value"], r["n"]))
+    cuts = {f: sorted({math.floor((lines[f].total - 1) * (i / max_bins) + 0.5) for i in range(1, max_bins + 1)}) for f in features if lines[f].total}
+    found = values_at(df, {f: cuts[f] for f in cuts if f not in few}, lines)
     out = []
     for f in features:
-        own = [r for r in rows if r["feature"] == f]
-        if not own:
+        line = lines[f]
+        if not line.total:
             out.append(Mapper(f, bounds=(0.0,)))
             continue
-        lo, hi = spans[f]
-        bounds = [r["value"] for r in own] if own[0]["exact"] else keep_filled([(r["value"], r["before"]) for r in own], min_data, hi)
-        out.append(Mapper(f, bounds=tuple(bounds), lowest=lo, highest=hi))
+        if f in few:
+            values, n = np.array(counted[f]).T
+            before = np.cumsum(n) - n
+            if len(values) <= max_bins:
+                out.append(Mapper(f, bounds=tuple(values.tolist()), lowest=line.lo, highest=line.hi))
+                continue
+            at = np.unique(np.searchsorted(before, cuts[f], side="right") - 1)
+            rows = [(float(values[k]), int(before[k])) for k in at]
+        else:
+            rows = sorted({(v, below) for v, below, _ in found[f].values()})
+        out.append(Mapper(f, bounds=tuple(keep_filled(rows, min_data, line.hi)), lowest=line.lo, highest=line.hi))
     return out
 
 

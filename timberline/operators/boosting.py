@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from timberline.operators import binning, histogram, trees
 from timberline.operators.sampling import sample_features
-from timberline.session import materialize
+from timberline.session import materialize, spread
 
 #: Other names of objectives.
 OBJECTIVE_NAMES = {"l2": "regression", "mse": "regression", "mean_squared_error": "regression", "rmse": "regression", "regression_l2": "regression", "mean_absolute_error": "l1", "mae": "l1", "regression_l1": "l1", "softmax": "multiclass", "logistic": "binary", "binary_logloss": "binary", "rank": "ranking", "listwise": "ranking"}
@@ -242,7 +242,7 @@ def train(
     mappers = binning.fit_quantile(df.where(train_row), [f for f in features if f not in named], max_bin) if named < set(features) else []
     mappers = [m.with_missing("separate") for m in [*mappers, *(binning.fit_categorical(df.where(train_row), f, max_bin) for f in features if f in named)]]
     base = df.select(*dict.fromkeys([*key, *features]), F.col(label).cast("double").alias("__y"), train_row.alias("__train"), *([F.col(query).alias("__query")] if query else []))
-    rows = materialize(binning.transform(base, mappers), "binned")
+    rows = materialize(binning.transform(spread(base), mappers), "binned")
     mean = rows.where("__train").agg(F.avg("__y")).first()[0] or 0.0
     if kind == "binary":
         mean = min(max(mean, 1e-12), 1 - 1e-12)
@@ -394,7 +394,7 @@ def train_multiclass(df: DataFrame, features: list[str], label: str, key: list[s
     counts = {r["__y"]: r["n"] for r in base.groupBy("__y").agg(F.count("*").alias("n")).collect()}  # a row a class
     total = max(sum(counts.values()), 1)
     models = [Ensemble(start=math.log(max(counts.get(k, 0), 1e-9) / total), objective="multiclass") for k in range(classes)]
-    scored = materialize(binning.transform(base, mappers).withColumn("__s", F.array(*[F.lit(m.start) for m in models])), "binned")
+    scored = materialize(binning.transform(spread(base), mappers).withColumn("__s", F.array(*[F.lit(m.start) for m in models])), "binned")
     for _ in range(rounds):
         for k, model in enumerate(models):
             g, h = softmax_objective(F.col("__y"), F.col("__s"), k)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +24,53 @@ def histograms(binned: DataFrame, features: list[str], gradient: str = "g", hess
     return long.groupBy("leaf", "feature", "bin").agg(F.sum("g").alias("sum_g"), F.sum("h").alias("sum_h"), F.count("*").alias("n"))
 
 
+def leaf_histograms(binned: DataFrame, widths: dict[str, int], leaf: Column, leaves: list[int], gradient: str = "g", hessian: str = "h", prefix: str = "bin_") -> DataFrame:
+    """The histograms of ``leaves``, summed in the tasks as arrays, without a long form of the rows.
+
+    ``widths`` holds each feature's number of bins.  A task holds three numbers
+    a leaf, feature and bin, and these, not rows, are shuffled.  Rows of other
+    leaves, and bins that are null, negative or not below the width, count nowhere.
+    """
+    names = list(widths)
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__{c}")
+    rows = binned.select(leaf.cast("int").alias("leaf"), number(gradient), number(hessian), *[F.coalesce(F.col(prefix + f).cast("int"), F.lit(-1)).alias(f"__b{k}") for k, f in enumerate(names)])
+    rows = rows.where(F.col("leaf").isin(leaves))
+    order = np.array(sorted(leaves), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {f: np.zeros((3, len(order) * w)) for f, w in widths.items()}
+        for batch in batches:
+            at, g, h = np.searchsorted(order, np.asarray(batch.column(0))), np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            for k, (f, w) in enumerate(widths.items()):
+                b = np.asarray(batch.column(3 + k))
+                own = (b >= 0) & (b < w)
+                cell, some = (at * w + b, slice(None)) if own.all() else ((at * w + b)[own], own)
+                for sums, weights in zip(held[f], (g[some], h[some], None), strict=True):
+                    sums += np.bincount(cell, weights, len(sums))
+        for f, w in widths.items():
+            cell = np.flatnonzero(held[f][2])
+            g, h, n = held[f][:, cell]
+            columns = [pa.array(order[cell // w], pa.int32()), pa.array([f] * len(cell), pa.string()), pa.array(cell % w, pa.int32()), pa.array(g), pa.array(h), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["leaf", "feature", "bin", "sum_g", "sum_h", "n"])
+
+    parts = rows.mapInArrow(run, "leaf int, feature string, bin int, sum_g double, sum_h double, n long")
+    return parts.groupBy("leaf", "feature", "bin").agg(F.sum("sum_g").alias("sum_g"), F.sum("sum_h").alias("sum_h"), F.sum("n").alias("n"))
+
+
+def siblings(parents: DataFrame, lighter: DataFrame, links: list[tuple[int, int, int]]) -> DataFrame:
+    """Histograms of the heavier children: those of ``parents`` less those of the ``lighter`` ones.
+
+    ``links`` holds ``(parent, lighter child, heavier child)``.
+    """
+    named = lambda pairs: F.try_element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), F.col("leaf"))
+    child = lighter.withColumn("leaf", named([(b, a) for a, b, _ in links])).where(F.col("leaf").isNotNull())
+    child = child.select("leaf", "feature", "bin", F.col("sum_g").alias("__g"), F.col("sum_h").alias("__h"), F.col("n").alias("__n"))
+    less = lambda c, k: (F.col(c) - F.coalesce(F.col(k), F.lit(0))).alias(c)
+    out = parents.join(child, ["leaf", "feature", "bin"], "left")
+    out = out.select(named([(a, c) for a, _, c in links]).alias("leaf"), "feature", "bin", less("sum_g", "__g"), less("sum_h", "__h"), less("n", "__n"))
+    return out.where((F.col("n") > 0) & F.col("leaf").isNotNull())
+
+
 def sparse_histograms(cells: DataFrame, rows: DataFrame, defaults: dict[str, int]) -> DataFrame:
     """Histograms of a sparse table ``cells(row_id, feature, bin)`` of all but default bins.
 

@@ -7,11 +7,22 @@ and a window is needed only within a range.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from timberline.operators.spec import valid
+
 RANGES = 64
+#: Values that cut a feature's order into ranges, and a large range again.
+FENCES, MORE_FENCES = 1024, 64
+#: Rows of a range that are ranked in one task, about.
+RANGE_ROWS = 1_000_000
 
 
 def with_ranges(df: DataFrame, group: list[str], order: str, ranges: int = RANGES) -> DataFrame:
@@ -74,3 +85,117 @@ def pick(ranked: DataFrame, positions: DataFrame) -> DataFrame:
     """Values at zero-based ``position`` (columns ``feature, name, position``) of ``value_counts``."""
     hit = (F.col("before") <= F.col("position")) & (F.col("position") < F.col("before") + F.col("n"))
     return ranked.join(F.broadcast(positions), "feature").where(hit).select("feature", "name", "value")
+
+
+# --- values at exact positions -----------------------------------------------------------------
+
+
+@dataclass
+class Outline:
+    """What one pass tells of a feature: its valid rows, its span, about how many values it has, and fences among them."""
+
+    total: int
+    lo: float | None
+    hi: float | None
+    distinct: int
+    fences: np.ndarray
+
+
+def outlines(df: DataFrame, features: list[str], fences: int = FENCES) -> dict[str, Outline]:
+    """An outline of each feature, from one aggregation of one row."""
+    cuts = F.lit([k / fences for k in range(1, fences)])
+    parts = []
+    for k, f in enumerate(features):
+        v = valid(f)
+        parts += [F.count(v).alias(f"n{k}"), F.min(v).alias(f"lo{k}"), F.max(v).alias(f"hi{k}"), F.approx_count_distinct(v).alias(f"d{k}"), F.percentile_approx(v, cuts, F.lit(10 * fences)).alias(f"c{k}")]
+    row = df.agg(*parts).first()
+    return {f: Outline(row[f"n{k}"], row[f"lo{k}"], row[f"hi{k}"], row[f"d{k}"], np.unique(np.array(row[f"c{k}"] or [], dtype=float))) for k, f in enumerate(features)}
+
+
+def _range_counts(df: DataFrame, fences: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Rows between the fences of each feature; a value that is a fence counts below it."""
+    names = list(fences)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(len(fences[f]) + 1, dtype=np.int64) for f in names]
+        for batch in batches:
+            for k, f in enumerate(names):
+                v = np.asarray(batch.column(k).drop_null())
+                held[k] += np.bincount(np.searchsorted(fences[f], v), minlength=len(held[k]))
+        for k, n in enumerate(held):
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, dtype=np.int32)), pa.array(at), pa.array(n[at])], names=["f", "r", "n"])
+
+    parts = df.select(*[valid(f).alias(f"v{k}") for k, f in enumerate(names)]).mapInArrow(run, "f int, r long, n long")
+    out = {f: np.zeros(len(x) + 1, dtype=np.int64) for f, x in fences.items()}
+    for r in parts.groupBy("f", "r").agg(F.sum("n").alias("n")).collect():  # a row a range
+        out[names[r["f"]]][r["r"]] = r["n"]
+    return out
+
+
+def values_at(df: DataFrame, wanted: dict[str, list[int]], lines: dict[str, Outline]) -> dict[str, dict[int, tuple[float, int, int]]]:
+    """``feature -> position -> (value, rows below it, rows of it)`` at zero-based positions among valid cells.
+
+    Rows are only counted, range by range; those of the few ranges that hold a
+    wanted position are ranked.  Ranges of more than RANGE_ROWS rows are cut
+    again first, unless they are one value.
+    """
+    wanted = {f: sorted({p for p in ps if 0 <= p < lines[f].total}) for f, ps in wanted.items()}
+    fences = {f: lines[f].fences for f, ps in wanted.items() if ps}
+    if not fences:
+        return {f: {} for f in wanted}
+    while True:
+        counts = _range_counts(df, fences)
+        base = {f: np.concatenate(([0], np.cumsum(n))) for f, n in counts.items()}
+        held = {f: np.unique(np.searchsorted(base[f], wanted[f], side="right") - 1) for f in fences}
+        large = [(f, int(r)) for f in fences for r in held[f] if counts[f][r] > RANGE_ROWS]
+        more = _more_fences(df, fences, large)
+        if not more:
+            break
+        fences = {f: np.union1d(x, more.get(f, [])) for f, x in fences.items()}
+    names = list(fences)
+    chosen = {f: np.isin(np.arange(len(fences[f]) + 1), held[f]) for f in names}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, f in enumerate(names):
+                v = np.asarray(batch.column(k).drop_null())
+                at = np.searchsorted(fences[f], v)
+                own = chosen[f][at]
+                value, n = np.unique(v[own], return_counts=True)
+                r = np.searchsorted(fences[f], value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, dtype=np.int32)), pa.array(r), pa.array(value), pa.array(n)], names=["f", "r", "value", "n"])
+
+    rows = df.select(*[valid(f).alias(f"v{k}") for k, f in enumerate(names)]).mapInArrow(run, "f int, r long, value double, n long")
+    rows = rows.groupBy("f", "r", "value").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("f", "r").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    asked = [(k, int(np.searchsorted(base[f], p, side="right") - 1), p, int(p - base[f][np.searchsorted(base[f], p, side="right") - 1])) for k, f in enumerate(names) for p in wanted[f]]
+    spots = df.sparkSession.createDataFrame(asked, "f int, r long, position long, inside long")
+    hit = (F.col("below") <= F.col("inside")) & (F.col("inside") < F.col("below") + F.col("n"))
+    out: dict[str, dict[int, tuple[float, int, int]]] = {f: {} for f in wanted}
+    for x in rows.join(F.broadcast(spots), ["f", "r"]).where(hit).collect():  # a row a wanted position
+        f = names[x["f"]]
+        out[f][x["position"]] = (x["value"], int(base[f][x["r"]]) + x["below"], x["n"])
+    return out
+
+
+def _more_fences(df: DataFrame, fences: dict[str, np.ndarray], large: list[tuple[str, int]]) -> dict[str, list[float]]:
+    """New fences within ``(feature, range)``; none where a range is one value."""
+    if not large:
+        return {}
+    cuts, parts = F.lit([k / MORE_FENCES for k in range(1, MORE_FENCES)]), []
+    for k, (f, r) in enumerate(large):
+        inside = F.lit(True)
+        if r > 0:
+            inside = inside & (valid(f) > float(fences[f][r - 1]))
+        if r < len(fences[f]):
+            inside = inside & (valid(f) <= float(fences[f][r]))
+        parts.append(F.percentile_approx(F.when(inside, valid(f)), cuts, F.lit(100 * MORE_FENCES)).alias(f"c{k}"))
+    row = df.agg(*parts).first()
+    found: dict[str, list[float]] = {}
+    for k, (f, _) in enumerate(large):
+        new = np.setdiff1d(np.array(row[f"c{k}"] or [], dtype=float), fences[f])
+        if len(new):
+            found.setdefault(f, []).extend(new.tolist())
+    return found

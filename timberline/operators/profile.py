@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.operators.ordering import pick, value_counts
+from timberline.operators.ordering import outlines, values_at
 from timberline.operators.spec import finite, long_form, ratio, valid
-from timberline.session import materialize
 
 MAX_CATEGORIES = 20
 
@@ -74,16 +73,15 @@ def order_statistics(df: DataFrame, features: list[str]) -> DataFrame:
     ``floor(n * q)``; the mode is of values truncated to whole numbers, ties to
     the smallest.
     """
-    ranked = materialize(value_counts(long_form(df, features)), "value-counts")
-    n = ranked.groupBy("feature").agg(F.first("total").alias("total"))
-    spots = {"lo": F.floor((F.col("total") - 1) / 2), "hi": F.floor(F.col("total") / 2), "q25": F.floor(F.col("total") * 0.25), "q75": F.floor(F.col("total") * 0.75)}
-    listed = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.least(v, F.col("total") - 1).alias("position")) for k, v in spots.items()]))
-    positions = n.select("feature", listed.alias("p")).select("feature", "p.name", "p.position")
-    found = pick(ranked, positions).groupBy("feature").pivot("name", list(spots)).agg(F.first("value"))
+    lines = outlines(df, features)
+    spots = {f: {"lo": (n - 1) // 2, "hi": n // 2, "q25": min(int(n * 0.25), n - 1), "q75": min(int(n * 0.75), n - 1)} for f in features if (n := lines[f].total)}
+    at = values_at(df, {f: list(p.values()) for f, p in spots.items()}, lines)
+    rows = [(f, (at[f][p["lo"]][0] + at[f][p["hi"]][0]) / 2, at[f][p["q25"]][0], at[f][p["q75"]][0]) for f, p in spots.items()]
+    found = df.sparkSession.createDataFrame(rows, "feature string, median double, q25 double, q75 double")
     truncated = F.when(F.col("value") < 0, F.ceil("value")).otherwise(F.floor("value"))
-    modes = ranked.groupBy("feature", truncated.alias("whole")).agg(F.sum("n").alias("n"))
+    modes = long_form(df, features).where("value is not null").groupBy("feature", truncated.alias("whole")).agg(F.count("*").alias("n"))
     mode = modes.groupBy("feature").agg(F.min(F.struct((-F.col("n")).alias("n"), "whole"))["whole"].cast("double").alias("mode"))
-    return found.join(mode, "feature").select("feature", ((F.col("lo") + F.col("hi")) / 2).alias("median"), "q25", "q75", "mode")
+    return found.join(mode, "feature").select("feature", "median", "q25", "q75", "mode")
 
 
 def equal_width_histogram(df: DataFrame, features: list[str], bins: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ import json
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -134,7 +135,7 @@ def grow(
     features: list[str] | None = None,
     monotone: dict[str, int] | None = None,
     constraints: list[set[str]] | None = None,
-    forced: list[tuple[str, int]] | None = None,
+    forced: list[tuple] | None = None,
     smooth: float = 0.0,
     max_delta: float = 0.0,
     penalty: dict[str, float] | None = None,
@@ -147,8 +148,15 @@ def grow(
     the new leaves, and the children of every open leaf whose best split is
     known and may still be taken.  So passes over the rows grow with the depth
     of the tree, not with its leaves, and the tree is the one that splitting a
-    leaf a job would give.  Leaves are expressions, so no row is rewritten; the
-    driver sees one candidate row a leaf.
+    leaf a job would give.  Of two children only the lighter one's rows are
+    summed; the other's histogram is what that leaves of their parent's.
+    Leaves are expressions, so no row is rewritten; the driver sees one
+    candidate row a leaf.
+
+    ``forced`` lists the first splits as ``(leaf, feature, bin)``: the leaf's
+    number in the tree so far, 0 at first, each split adding a left and a right
+    one after those there are; ``(feature, bin)`` stands for leaf 0.  A split
+    that leaves too little on one side is an error.
 
     ``smooth`` draws outputs towards the parent's, ``max_delta`` bounds them
     (0: not at all), ``penalty`` takes a feature's cost off its gains, ``extra``
@@ -170,12 +178,33 @@ def grow(
         start = max(-max_delta, min(max_delta, start))
     wide = Tree([Node(value=start, weight=first["h"] or 0.0, count=first["n"])])  # every split looked at
     candidates: dict[int, dict | None] = {}  # best split of each leaf looked at
+    parent: dict[int, int] = {}
+    frames: list[DataFrame] = []  # histograms, kept until the tree is grown
+    light: list[DataFrame] = []  # those of them that were summed from rows
+    held: dict[int, int] = {}  # which of them holds a leaf's
+    widths = {f: by_name[f].n_bins + 2 for f in features}
     depth = {0: 0}
     bounds = {0: (-math.inf, math.inf)}
 
-    def look(leaves: list[int]) -> None:
+    def sums(leaves: list[int]) -> DataFrame:
+        twins = {}  # the lighter child and the heavier, by parent
+        for leaf in leaves:
+            twins.setdefault(parent.get(leaf, -1), []).append(leaf)
+        links = [(p, *sorted(pair, key=lambda i: (wide.nodes[i].count, i))) for p, pair in twins.items() if p in held and len(pair) == 2]
+        heavy = {c for _, _, c in links}
         at = bin_leaf_expression(wide, missing, categories=categories)
-        hist = histogram.histograms(binned.where(at.isin(leaves)), features, leaf=at)
+        hist = histogram.leaf_histograms(binned, widths, at, [leaf for leaf in leaves if leaf not in heavy])
+        if links:
+            whole = [frames[k].where(F.col("leaf").isin([p for p, _, _ in links if held[p] == k])) for k in sorted({held[p] for p, _, _ in links})]
+            hist = hist.cache()
+            light.append(hist)
+            hist = hist.unionByName(histogram.siblings(reduce(DataFrame.unionByName, whole), hist, links))
+        frames.append(hist.repartition("leaf").cache())  # all windows of the search are within a leaf
+        held.update(dict.fromkeys(leaves, len(frames) - 1))
+        return frames[-1]
+
+    def look(leaves: list[int]) -> None:
+        hist = sums(leaves)
         if constraints:
             allowed = F.lit(False)
             for leaf in leaves:
@@ -214,6 +243,7 @@ def grow(
         wide.nodes.append(Node(value=values[0], weight=r["left_h"], count=r["left_n"]))
         wide.nodes.append(Node(value=values[1], weight=r["right_h"], count=r["right_n"]))
         depth[left] = depth[right] = depth[leaf] + 1
+        parent[left] = parent[right] = leaf
         bounds[left] = bounds[right] = bounds[leaf]
         sign = (monotone or {}).get(name, 0)
         if sign:
@@ -235,12 +265,18 @@ def grow(
             tree.nodes.append(Node(value=node.value, weight=node.weight, count=node.count))
             place[number] = child
 
-    for feature, cut in (forced or [])[:1]:
-        hist = histogram.histograms(binned, [feature])
+    for leaf, feature, cut in ((f if len(f) == 3 else (0, *f)) for f in forced or []):
+        if leaf not in place or feature not in by_name:
+            raise ValueError(f"forced split {(leaf, feature, cut)}: no such leaf or feature")
+        at = place[leaf]
+        if at not in held:
+            sums([at])
+        hist = frames[held[at]].where((F.col("leaf") == at) & (F.col("feature") == feature))
         hit = split.with_values(split.candidates(hist, **limits).where(F.col("bin") == cut), l1, l2).collect()
-        if hit:
-            candidates[0] = hit[0].asDict()
-            take(0)
+        if not hit:
+            raise ValueError(f"forced split {(leaf, feature, cut)}: too little on one side")
+        candidates[at] = hit[0].asDict()
+        take(leaf)
     while len(place) < num_leaves:
         fresh = [at for at in place.values() if at not in candidates and depth[at] < max_depth]
         known = sorted((at for at in place.values() if candidates.get(at)), key=lambda at: -candidates[at]["gain"])
@@ -251,6 +287,8 @@ def grow(
         if not open_:
             break
         take(min(open_, key=lambda leaf: (-candidates[place[leaf]]["gain"], leaf)))
+    for frame in [*frames, *light]:
+        frame.unpersist()
     return tree
 
 

@@ -63,6 +63,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: a table in fewer partitions than cores, so a small one, is dealt anew; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove what ``materialize`` wrote; results that still read it end here."""
     jvm = spark.sparkContext._jvm
