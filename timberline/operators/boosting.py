@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timberline.operators import binning, histogram, trees
+from timberline.operators import binning, histogram, ordering, trees
 from timberline.operators.sampling import sample_features
 from timberline.session import materialize, spread
 
 #: Other names of objectives.
-OBJECTIVE_NAMES = {"l2": "regression", "mse": "regression", "mean_squared_error": "regression", "rmse": "regression", "regression_l2": "regression", "mean_absolute_error": "l1", "mae": "l1", "regression_l1": "l1", "softmax": "multiclass", "logistic": "binary", "binary_logloss": "binary", "rank": "ranking", "listwise": "ranking"}
+OBJECTIVE_NAMES = {"l2": "regression", "mse": "regression", "mean_squared_error": "regression", "rmse": "regression", "regression_l2": "regression", "mean_absolute_error": "l1", "mae": "l1", "regression_l1": "l1", "softmax": "multiclass", "logistic": "binary", "binary_logloss": "binary", "rank": "ranking", "listwise": "ranking", "pinball": "quantile", "mean_absolute_percentage_error": "mape", "rank_ndcg": "lambdarank"}
 
 #: Trees whose scores are one expression; longer ensembles are summed in parts.
 TREES_AT_ONCE = 50
@@ -24,9 +24,28 @@ TREES_AT_ONCE = 50
 QUERY_PARTS = 16
 
 
-def objective(name: str, y: Column, s: Column) -> tuple[Column, Column]:
-    """Gradient and hessian of the loss at raw score ``s``."""
+#: The share of ``quantile``, the width of ``huber`` and the scale of ``fair`` if none is given.
+SHAPES = {"quantile": 0.9, "huber": 0.9, "fair": 1.0}
+
+
+def label_weight(y: Column) -> Column:
+    """What an error at ``y`` weighs in the loss ``mape``."""
+    return 1 / F.greatest(F.abs(y), F.lit(1.0))
+
+
+def objective(name: str, y: Column, s: Column, shape: float | None = None) -> tuple[Column, Column]:
+    """Gradient and hessian of the loss at raw score ``s``; ``shape`` is the share, width or scale of SHAPES."""
     name = OBJECTIVE_NAMES.get(name, name)
+    shape = SHAPES.get(name) if shape is None else shape
+    if name == "quantile":
+        return F.when(s >= y, 1.0 - shape).otherwise(-shape), F.lit(1.0)
+    if name == "huber":
+        return F.greatest(F.least(s - y, F.lit(float(shape))), F.lit(-float(shape))), F.lit(1.0)
+    if name == "fair":
+        far = F.abs(s - y) + shape
+        return shape * (s - y) / far, shape * shape / (far * far)
+    if name == "mape":
+        return F.signum(s - y) * label_weight(y), F.lit(1.0)
     if name == "regression":
         return s - y, F.lit(1.0)
     if name == "l1":
@@ -78,6 +97,114 @@ def ranking_gradients(df: DataFrame, query: str, label: str, score: Column, key:
     return out.drop("__score", "__part", "__top", "__gain", "__total")
 
 
+def renew_leaves(rows: DataFrame, tree: trees.Tree, kind: str, y: Column, s: Column, shape: float | None = None) -> trees.Tree:
+    """Give each leaf the output that the loss asks for: the median of its residuals, or what stands for it.
+
+    ``l1``: the median; ``quantile``: the quantile of its share; ``mape``: the
+    median weighted by ``label_weight``; ``huber``: the median and the mean
+    deviation from it, deviations cut at the width.  Other losses, and leaves
+    without rows, keep their outputs.  All leaves are renewed together.
+    """
+    if kind not in ("l1", "quantile", "mape", "huber"):
+        return tree
+    shape = SHAPES.get(kind) if shape is None else shape
+    held = rows.select(trees.leaf_expression(tree).cast("int").alias("group"), (y - s).alias("value"), (label_weight(y) if kind == "mape" else F.lit(1.0)).alias("weight"))
+    new = ordering.grouped_quantiles(held, shape if kind == "quantile" else 0.5, weighted=kind == "mape")
+    if kind == "huber" and new:
+        middle = F.element_at(F.create_map(*[F.lit(x) for pair in new.items() for x in pair]), F.col("group"))
+        off = F.col("value") - middle
+        means = held.where("value is not null").groupBy("group").agg(F.avg(F.greatest(F.least(off, F.lit(float(shape))), F.lit(-float(shape)))).alias("m"))
+        new = {r["group"]: new[r["group"]] + r["m"] for r in means.collect()}  # a row a leaf
+    for leaf, value in new.items():
+        tree.nodes[leaf].value = value
+    return tree
+
+
+def start_score(rows: DataFrame, kind: str, y: Column, shape: float | None = None) -> float:
+    """The constant that the loss asks for, as a raw score."""
+    if kind == "ranking" or kind == "lambdarank":
+        return 0.0
+    if kind in ("l1", "quantile", "mape"):
+        share = (SHAPES["quantile"] if shape is None else shape) if kind == "quantile" else 0.5
+        one = rows.select(F.lit(0).alias("group"), y.alias("value"), label_weight(y).alias("weight"))
+        return ordering.grouped_quantiles(one, share, weighted=kind == "mape").get(0, 0.0)
+    mean = rows.agg(F.avg(y)).first()[0] or 0.0
+    if kind == "binary":
+        mean = min(max(mean, 1e-12), 1 - 1e-12)
+        return math.log(mean / (1 - mean))
+    return math.log(max(mean, 1e-12)) if kind in ("poisson", "gamma", "tweedie") else mean
+
+
+#: Queries of more rows are put in order range by range.
+LONG_QUERY = 100_000
+
+
+def _positions(rows: DataFrame, query: str, key: list[str]) -> DataFrame:
+    """Add ``__pos`` from 0 by falling ``__score`` within each query, ties by ``key``; long queries are cut into ranges."""
+    order = [F.desc("__score"), *key]
+    plain = F.row_number().over(Window.partitionBy(query).orderBy(*order)) - 1
+    sizes = rows.groupBy(query).agg(F.count("*").alias("__n")).where(F.col("__n") > LONG_QUERY).select(query)
+    long = [r[0] for r in sizes.collect()]  # at most one a LONG_QUERY rows
+    if not long:
+        return rows.withColumn("__pos", plain)
+    short = rows.where(~F.col(query).isin(long)).withColumn("__pos", plain)
+    dealt = ordering.with_ranges(rows.where(F.col(query).isin(long)), [query], "__score")
+    ends = Window.partitionBy(query).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy(query, "__range").agg(F.count("*").alias("__n")).select(query, "__range", F.coalesce(F.sum("__n").over(ends), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy(query, "__range").orderBy(*order)) - 1
+    far = dealt.withColumn("__own", own).join(F.broadcast(base), [query, "__range"])  # RANGES rows a long query
+    return short.unionByName(far.withColumn("__pos", F.col("__base") + F.col("__own")).select(*rows.columns, "__pos"))
+
+
+def lambdarank_gradients(df: DataFrame, query: str, label: str, score: Column, key: list[str], truncation: int = 30, sigma: float = 1.0) -> DataFrame:
+    """Append ``g`` and ``h`` of the pairwise loss weighted by what a swap changes in NDCG.
+
+    A pair of rows of one query with different labels, one of them among the
+    first ``truncation`` places by score, draws the better row up and pushes
+    the other down by ``sigma / (1 + exp(sigma * (better - worse)))`` times the
+    change of NDCG at ``truncation`` if they swapped places.  Every row meets
+    only the first places of its query, ``truncation`` of them, dealt to
+    QUERY_PARTS parts of the query; what rows further down add to those places
+    is summed by place.  So no query is one task or one array, and the work
+    grows with rows times ``truncation``.  Queries without anything to order
+    get zeros; rows without query, label or score take no part; equal scores
+    are put in order by ``key``.
+    """
+    tops_of, parts = ["__pos", "__score", "__gain", "__cut"], F.explode(F.array(*[F.lit(i).cast("long") for i in range(QUERY_PARTS)])).alias("__part")
+    rows = df.withColumn("__score", score.cast("double")).withColumn("__gain", F.pow(F.lit(2.0), F.col(label)) - 1)
+    rows = rows.where(F.col(query).isNotNull() & F.col(label).isNotNull() & F.col("__score").isNotNull())
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(*key), F.lit(QUERY_PARTS)))
+    placed = _positions(rows, query, key).withColumn("__cut", 1 / F.log2(F.col("__pos") + 2.0))
+    # the best DCG there is, from how often each gain occurs
+    upto = F.lit([float(sum(1 / math.log2(k + 2) for k in range(n))) for n in range(truncation + 1)])
+    by_gain = Window.partitionBy(query).orderBy(F.desc("__gain")).rowsBetween(Window.unboundedPreceding, 0)
+    grades = rows.groupBy(query, "__gain").agg(F.count("*").alias("__n")).withColumn("__b", F.sum("__n").over(by_gain))
+    at = lambda n: F.element_at(upto, (F.least(n, F.lit(truncation)) + 1).cast("int"))
+    best = grades.groupBy(query).agg(F.sum(F.col("__gain") * (at(F.col("__b")) - at(F.col("__b") - F.col("__n")))).alias("__best"))
+    tops = placed.where(F.col("__pos") < truncation).groupBy(query).agg(F.collect_list(F.struct(*tops_of)).alias("__tops"))  # at most ``truncation`` a query
+    tops = tops.join(best, query).select("*", parts)
+
+    def pull(t: Column) -> Column:
+        """The row's own gradient and hessian from its pair with place ``t``."""
+        change = F.abs(F.col("__gain") - t["__gain"]) * F.abs(F.col("__cut") - t["__cut"]) / F.col("__best")
+        better = F.col("__gain") > t["__gain"]
+        ahead = F.when(better, F.col("__score") - t["__score"]).otherwise(t["__score"] - F.col("__score"))
+        rho = 1 / (1 + F.exp(sigma * ahead))
+        pulled = (F.col("__gain") != t["__gain"]) & (F.col("__pos") != t["__pos"]) & (F.col("__best") > 0)
+        g = F.when(pulled, F.when(better, -1.0).otherwise(1.0) * sigma * rho * change).otherwise(0.0)
+        return F.struct(t["__pos"].alias("pos"), g.alias("g"), F.when(pulled, sigma * sigma * rho * (1 - rho) * change).otherwise(0.0).alias("h"))
+
+    met = placed.join(tops, [query, "__part"]).withColumn("__pulls", F.transform("__tops", pull)).drop("__tops")
+    total = lambda k: F.aggregate("__pulls", F.lit(0.0), lambda a, p: a + p[k])
+    met = met.withColumn("g", total("g")).withColumn("h", total("h"))
+    below = met.where(F.col("__pos") >= truncation).select(query, F.explode("__pulls").alias("p")).where("p.g != 0")
+    below = below.groupBy(query, F.col("p.pos").alias("__pos")).agg(F.sum("p.g").alias("__g"), F.sum("p.h").alias("__h"))
+    first = met.where(F.col("__pos") < truncation).join(below, [query, "__pos"], "left")
+    first = first.withColumn("g", F.col("g") - F.coalesce("__g", F.lit(0.0))).withColumn("h", F.col("h") + F.coalesce("__h", F.lit(0.0)))
+    kept = [*df.columns, "g", "h"]
+    return met.where(F.col("__pos") >= truncation).select(*kept).unionByName(first.select(*kept))
+
+
 @dataclass
 class EarlyStop:
     """Training stops after ``patience`` rounds without a gain of ``min_delta``."""
@@ -221,6 +348,8 @@ def train(
     categorical: list[str] | None = None,
     query: str | None = None,
     levels: int = 0,
+    shape: float | None = None,
+    bundle: int | None = None,
     **tree_options,
 ) -> Ensemble:
     """Boost trees over ``df``.
@@ -231,11 +360,15 @@ def train(
     bagged rows, averaged) or ``dart`` (a hash of the round drops earlier trees,
     and new and dropped ones are scaled down).  ``categorical`` names those of
     the features that are split by sets of values, ``query`` the column of lists
-    for the objective ``ranking``; ``levels`` rounds gradients to that many
-    steps (0: not at all).
+    for the objectives ``ranking`` and ``lambdarank``; ``levels`` rounds
+    gradients to that many steps (0: not at all); ``shape`` is the share, width
+    or scale of ``quantile``, ``huber`` and ``fair``.  Losses whose gradients
+    are signs have their leaves renewed from the residuals, see ``renew_leaves``.
+    ``bundle`` lets features share a histogram column if at most so many rows
+    have both off their commonest bin.
     """
     kind = OBJECTIVE_NAMES.get(objective_name, objective_name)
-    if kind == "ranking" and (query is None or early_stop is not None):
+    if kind in ("ranking", "lambdarank") and (query is None or early_stop is not None):
         raise ValueError("ranking needs a query column and has no mean loss to stop by")
     train_row = F.lit(True) if valid_rows is None else ~valid_rows
     named = set(categorical or [])
@@ -243,20 +376,23 @@ def train(
     mappers = [m.with_missing("separate") for m in [*mappers, *(binning.fit_categorical(df.where(train_row), f, max_bin) for f in features if f in named)]]
     base = df.select(*dict.fromkeys([*key, *features]), F.col(label).cast("double").alias("__y"), train_row.alias("__train"), *([F.col(query).alias("__query")] if query else []))
     rows = materialize(binning.transform(spread(base), mappers), "binned")
-    mean = rows.where("__train").agg(F.avg("__y")).first()[0] or 0.0
-    if kind == "binary":
-        mean = min(max(mean, 1e-12), 1 - 1e-12)
-    start = {"binary": lambda m: math.log(m / (1 - m)), "poisson": lambda m: math.log(max(m, 1e-12)), "gamma": lambda m: math.log(max(m, 1e-12)), "tweedie": lambda m: math.log(max(m, 1e-12)), "ranking": lambda m: 0.0}.get(kind, lambda m: m)(mean)
+    if bundle is not None:
+        plan = histogram.find_bundles(rows, {m.feature: m.n_bins + 2 for m in mappers}, bundle)
+        if any(len(held) > 1 for held in plan.columns.values()):
+            rows, tree_options = histogram.with_bundles(rows, plan), {**tree_options, "bundle": plan}
+    start = start_score(rows.where("__train"), kind, F.col("__y"), shape)
     model = Ensemble(start=0.0 if mode == "rf" else start, objective=kind, average=mode == "rf")
     scored = rows.withColumn("__s", F.lit(float(start)))
     for k in range(rounds):
         dropped = [i for i in range(len(model.trees)) if mode == "dart" and (hash((seed, k, i)) % 10_000) < drop_rate * 10_000]
         s = F.col("__s") - sum((trees.score_expression(model.trees[i]) for i in dropped), F.lit(0.0))
         own = scored.where("__train")
-        if kind == "ranking":
+        if kind == "lambdarank":
+            own = lambdarank_gradients(own, "__query", "__y", s, key)
+        elif kind == "ranking":
             own = ranking_gradients(own, "__query", "__y", s, key)
         else:
-            g, h = objective(kind, F.col("__y"), s)
+            g, h = objective(kind, F.col("__y"), s, shape)
             own = own.withColumn("g", g).withColumn("h", h)
         if bagging < 1.0:
             own = own.where(F.pmod(F.xxhash64(*key, F.lit(seed * 1000 + k)), F.lit(1_000_000)) < round(bagging * 1_000_000))
@@ -266,6 +402,7 @@ def train(
         chosen = sample_features(features, feature_fraction, seed + k)
         step = 1.0 if mode == "rf" else rate
         tree = trees.grow(own.cache(), mappers, rate=step, features=chosen, **tree_options)
+        tree = renew_leaves(own, tree, kind, F.col("__y"), s, shape)
         own.unpersist()
         if mode == "rf":  # each tree stands for a whole model
             for n in tree.nodes:
@@ -284,15 +421,24 @@ def train(
         if (k + 1) % 4 == 0:
             scored = materialize(scored, "scores")
         if early_stop is not None and valid_rows is not None:
-            value = scored.where("not __train").agg(loss(kind, F.col("__y"), F.col("__s"))).first()[0]
+            value = scored.where("not __train").agg(loss(kind, F.col("__y"), F.col("__s"), shape)).first()[0]
             model.history.append({"round": k, "valid": value})
             if early_stop.update(value):
                 return model.prune(early_stop.best_round + 1)
     return model
 
 
-def loss(kind: str, y: Column, s: Column) -> Column:
+def loss(kind: str, y: Column, s: Column, shape: float | None = None) -> Column:
     """The mean loss that a model is watched by."""
+    shape, far = SHAPES.get(kind) if shape is None else shape, F.abs(s - y)
+    if kind in ("l1", "mape"):
+        return F.avg(far * label_weight(y) if kind == "mape" else far)
+    if kind == "quantile":
+        return F.avg(F.when(y >= s, shape * far).otherwise((1 - shape) * far))
+    if kind == "huber":
+        return F.avg(F.when(far <= shape, 0.5 * far * far).otherwise(shape * (far - 0.5 * shape)))
+    if kind == "fair":
+        return F.avg(shape * far - shape * shape * F.log1p(far / shape))
     if kind == "binary":
         return F.avg(F.log1p(F.exp(-F.abs(s))) + F.greatest(s, F.lit(0.0)) - y * s)
     if kind in ("poisson", "gamma", "tweedie"):

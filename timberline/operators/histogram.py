@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,72 @@ def conflicts(binned: DataFrame, defaults: dict[str, int], prefix: str = "bin_")
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("n")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
 
 
+@dataclass(frozen=True)
+class BundlePlan:
+    """Columns that hold several features: ``bundle -> ((feature, first code), ...)``.
+
+    Code 0 stands for the default bin of all of them; bin ``b`` of a feature
+    has code ``first + b``.
+    """
+
+    columns: dict[str, tuple[tuple[str, int], ...]]
+    widths: dict[str, int]
+    defaults: dict[str, int]
+
+    def width(self, bundle: str) -> int:
+        return 1 + sum(self.widths[f] for f, _ in self.columns[bundle])
+
+
+def plan_bundles(groups: list[list[str]], widths: dict[str, int], defaults: dict[str, int]) -> BundlePlan:
+    """A plan for groups of features, as ``bundles`` finds them; ``widths`` are their numbers of bins."""
+    columns = {}
+    for k, group in enumerate(groups):
+        first, held = 1, []
+        for f in group:
+            held.append((f, first))
+            first += widths[f]
+        columns[f"bundle_{k}"] = tuple(held)
+    return BundlePlan(columns, widths, defaults)
+
+
+def find_bundles(binned: DataFrame, widths: dict[str, int], most: int, prefix: str = "bin_") -> BundlePlan:
+    """Features that seldom leave their commonest bin together share a column.
+
+    One pass counts bins, one the rows in which both of a pair are off their
+    commonest bin; up to ``most`` such rows a bundle are borne, and their
+    further features count as being at their default.
+    """
+    rows = leaf_histograms(binned.withColumn("g", F.lit(0.0)).withColumn("h", F.lit(0.0)), widths, F.lit(0), [0], prefix=prefix)
+    common = rows.groupBy("feature").agg(F.max(F.struct("n", (-F.col("bin")).alias("back"))).alias("m")).collect()  # a row a feature
+    defaults = {f: 0 for f in widths} | {r["feature"]: -r["m"]["back"] for r in common}
+    if len(widths) < 2:
+        return plan_bundles([[f] for f in widths], widths, defaults)
+    return plan_bundles(bundles(conflicts(binned, defaults, prefix), list(widths), most), widths, defaults)
+
+
+def with_bundles(binned: DataFrame, plan: BundlePlan, prefix: str = "bin_") -> DataFrame:
+    """Append a column of codes for each bundle; the first feature off its default bin gives the code."""
+    off = lambda f, first: F.when(F.col(prefix + f) != plan.defaults[f], F.col(prefix + f) + first)
+    codes = [F.coalesce(*[off(f, first) for f, first in held], F.lit(0)).cast("int").alias(prefix + name) for name, held in plan.columns.items()]
+    return binned.select("*", *codes)
+
+
+def unbundled(hist: DataFrame, plan: BundlePlan) -> DataFrame:
+    """Histograms of features from those of bundles; a default bin is what the other bins leave of the leaf's total."""
+    spark = hist.sparkSession
+    codes = [(name, first + b, f, b) for name, held in plan.columns.items() for f, first in held for b in range(plan.widths[f]) if b != plan.defaults[f]]
+    table = spark.createDataFrame(codes, "bundle string, code int, __f string, __b int")
+    at = (F.col("feature") == F.col("bundle")) & (F.col("bin") == F.col("code"))
+    listed = hist.join(F.broadcast(table), at).select("leaf", F.col("__f").alias("feature"), F.col("__b").alias("bin"), "sum_g", "sum_h", "n")  # a row a bin
+    names = ("sum_g", "sum_h", "n")
+    totals = hist.groupBy("leaf", F.col("feature").alias("bundle")).agg(*[F.sum(c).alias(f"t_{c}") for c in names])
+    owners = spark.createDataFrame([(name, f, plan.defaults[f]) for name, held in plan.columns.items() for f, _ in held], "bundle string, feature string, bin int")
+    held = listed.groupBy("leaf", "feature").agg(*[F.sum(c).alias(f"h_{c}") for c in names])
+    rest = totals.join(F.broadcast(owners), "bundle").join(held, ["leaf", "feature"], "left")
+    rest = rest.select("leaf", "feature", "bin", *[(F.col(f"t_{c}") - F.coalesce(f"h_{c}", F.lit(0))).alias(c) for c in names])
+    return listed.unionByName(rest.where("n > 0"))
+
+
 def bundles(pair_conflicts: DataFrame, features: list[str], most: int) -> list[list[str]]:
     """Features that may share a column: greedily, each joins the first bundle it fits in."""
     n = {frozenset((r["a"], r["b"])): r["n"] for r in pair_conflicts.collect()}  # pairs of columns

@@ -7,6 +7,7 @@ and a window is needed only within a range.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -180,6 +181,70 @@ def values_at(df: DataFrame, wanted: dict[str, list[int]], lines: dict[str, Outl
     return out
 
 
+def grouped_quantiles(rows: DataFrame, q: float, weighted: bool = False) -> dict[int, float]:
+    """The ``q``-quantile of ``value`` in each ``group`` of ``rows(group, value[, weight])``; groups must be few.
+
+    Without weights the quantile lies at position ``(n - 1) * q``, between two
+    neighbours by their distance from it.  With weights it is the least value
+    at which the weights reach ``q`` of their sum.  All groups are searched at
+    once: weights are summed by ranges between approximate cuts, and only the
+    range that holds the quantile is cut again, until few rows are left to be
+    ranked.  Rows without group, value or weight, or of weight 0, do not count.
+    """
+    weight = F.col("weight").cast("double") if weighted else F.lit(1.0)
+    rows = rows.select("group", valid("value").alias("value"), weight.alias("weight")).where("group is not null and value is not null and weight > 0")
+    spark = rows.sparkSession
+    whole = {r["group"]: (r["n"], r["w"]) for r in rows.groupBy("group").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}  # a row a group
+    # each group's wanted share of weight, first and last, and the open range (low, high] with the weight below it
+    goals = {g: (q * w, q * w) if weighted else (math.floor((n - 1) * q) + 0.5, math.floor((n - 1) * q) + 1.5) for g, (n, w) in whole.items()}
+    spans = {g: (-math.inf, math.inf, 0.0) for g in whole}
+    sizes = {g: n for g, (n, _) in whole.items()}
+
+    def inside() -> DataFrame:
+        table = spark.createDataFrame([(g, lo, hi) for g, (lo, hi, _) in spans.items()], "group int, __lo double, __hi double")
+        held = rows.join(F.broadcast(table), "group")  # a row a group
+        return held.where(((F.col("value") > F.col("__lo")) | F.isnull("__lo") | (F.col("__lo") == -math.inf)) & (F.col("value") <= F.col("__hi"))).drop("__lo", "__hi")
+
+    cuts = F.lit([k / MORE_FENCES for k in range(1, MORE_FENCES)])
+    while max(sizes.values(), default=0) > RANGE_ROWS:
+        held = inside()
+        fences = held.groupBy("group").agg(F.array_distinct(F.percentile_approx("value", cuts, F.lit(100 * MORE_FENCES))).alias("__f")).collect()
+        table = spark.createDataFrame([(r["group"], r["__f"]) for r in fences], "group int, __f array<double>")
+        at = F.size(F.filter("__f", lambda c: c < F.col("value"))).alias("at")
+        sums = held.join(F.broadcast(table), "group").select("group", "weight", at).groupBy("group", "at").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()
+        before = dict(sizes)
+        for r in fences:
+            g, (lo, hi, below) = r["group"], spans[r["group"]]
+            bounds = [lo, *r["__f"], hi]
+            parts = sorted((s["at"], s["w"], s["n"]) for s in sums if s["group"] == g)
+            total, first, last, held_below, n = below, None, None, below, 0
+            for k, w, count in parts:
+                if last is None and total + w >= goals[g][0] and first is None:
+                    first, held_below = k, total
+                if first is not None and last is None:
+                    n += count
+                    if total + w >= goals[g][1] or k == parts[-1][0]:
+                        last = k
+                total += w
+            if first is not None:
+                spans[g], sizes[g] = (bounds[first], bounds[last + 1], held_below), n
+        if sizes == before:  # ranges of one value
+            break
+    order = Window.partitionBy("group").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    values = inside().groupBy("group", "value").agg(F.sum("weight").alias("w")).withColumn("upto", F.sum("w").over(order))
+    table = spark.createDataFrame([(g, goals[g][0] - spans[g][2], goals[g][1] - spans[g][2]) for g in spans], "group int, __a double, __b double")
+    # sums of weights may round in the last place
+    reach = lambda goal: F.min(F.when(F.col("upto") >= F.col(goal) * (1 - 1e-12), F.col("value")))
+    found = values.join(F.broadcast(table), "group").groupBy("group").agg(reach("__a").alias("a"), reach("__b").alias("b"), F.max("value").alias("most"))
+    out = {}
+    for r in found.collect():  # a row a group
+        a = r["most"] if r["a"] is None else r["a"]
+        b = a if weighted or r["b"] is None else r["b"]
+        place = (whole[r["group"]][0] - 1) * q
+        out[r["group"]] = a if a == b else a + (b - a) * (place - math.floor(place))
+    return out
+
+
 def _more_fences(df: DataFrame, fences: dict[str, np.ndarray], large: list[tuple[str, int]]) -> dict[str, list[float]]:
     """New fences within ``(feature, range)``; none where a range is one value."""
     if not large:

@@ -141,6 +141,7 @@ def grow(
     penalty: dict[str, float] | None = None,
     extra: int | None = None,
     category_smooth: float = 10.0,
+    bundle: histogram.BundlePlan | None = None,
 ) -> Tree:
     """Grow a tree best leaf first on ``binned`` rows with ``bin_*``, ``g`` and ``h`` columns.
 
@@ -156,7 +157,8 @@ def grow(
     ``forced`` lists the first splits as ``(leaf, feature, bin)``: the leaf's
     number in the tree so far, 0 at first, each split adding a left and a right
     one after those there are; ``(feature, bin)`` stands for leaf 0.  A split
-    that leaves too little on one side is an error.
+    that leaves too little on one side is an error.  With ``bundle`` the rows
+    also hold its columns, and histograms are summed over those.
 
     ``smooth`` draws outputs towards the parent's, ``max_delta`` bounds them
     (0: not at all), ``penalty`` takes a feature's cost off its gains, ``extra``
@@ -193,7 +195,12 @@ def grow(
         links = [(p, *sorted(pair, key=lambda i: (wide.nodes[i].count, i))) for p, pair in twins.items() if p in held and len(pair) == 2]
         heavy = {c for _, _, c in links}
         at = bin_leaf_expression(wide, missing, categories=categories)
-        hist = histogram.leaf_histograms(binned, widths, at, [leaf for leaf in leaves if leaf not in heavy])
+        light_ones = [leaf for leaf in leaves if leaf not in heavy]
+        if bundle is None:
+            hist = histogram.leaf_histograms(binned, widths, at, light_ones)
+        else:
+            hist = histogram.leaf_histograms(binned, {c: bundle.width(c) for c in bundle.columns}, at, light_ones)
+            hist = histogram.unbundled(hist, bundle).where(F.col("feature").isin(features))
         if links:
             whole = [frames[k].where(F.col("leaf").isin([p for p, _, _ in links if held[p] == k])) for k in sorted({held[p] for p, _, _ in links})]
             hist = hist.cache()
