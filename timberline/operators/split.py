@@ -53,12 +53,18 @@ def candidates(hist: DataFrame, l1: float = 0.0, l2: float = 0.0, min_data: int
     return sides.where(enough).withColumn("gain", gain).drop("all_g", "all_h", "all_n")
 
 
-def best_splits(hist: DataFrame, digits: int | None = None, monotone: dict[str, int] | None = None, penalty: dict[str, float] | None = None, extra: int | None = None, **limits) -> DataFrame:
+def loss_fall(g: Column, h: Column, value: Column, l1: float, l2: float) -> Column:
+    """How much the loss falls if rows with these sums get ``value``."""
+    return -(g * value + 0.5 * (h + l2) * value * value) - l1 * F.abs(value)
+
+
+def best_splits(hist: DataFrame, digits: int | None = None, monotone: dict[str, int] | None = None, penalty: dict[str, float] | None = None, extra: int | None = None, bounds: dict[int, tuple[float, float]] | None = None, **limits) -> DataFrame:
     """The best cut of each leaf; equal gains go to the smaller feature, then the lower bin.
 
     ``monotone`` drops cuts whose outputs move against a feature's sign and
     ``penalty`` takes a feature's cost off its gains; ``digits`` rounds gains
-    before they are compared.  With ``extra`` each feature of a leaf offers
+    before they are compared.  ``bounds`` holds each leaf's lowest and highest
+    output: gains are then what outputs within them gain.  With ``extra`` each feature of a leaf offers
     only one of its cuts, drawn by a hash with that seed.
     """
     l1, l2 = limits.get("l1", 0.0), limits.get("l2", 0.0)
@@ -66,12 +72,18 @@ def best_splits(hist: DataFrame, digits: int | None = None, monotone: dict[str,
     if extra is not None:
         draw = Window.partitionBy("leaf", "feature").orderBy(F.xxhash64("leaf", "feature", "bin", F.lit(extra)), "bin")
         cuts = cuts.withColumn("__draw", F.row_number().over(draw)).where("__draw = 1").drop("__draw")
+    within = lambda v: v
+    if bounds:
+        low, high = (F.element_at(F.create_map(*[F.lit(x) for leaf, b in bounds.items() for x in (leaf, float(b[k]))]), F.col("leaf")) for k in (0, 1))
+        within = lambda v: F.greatest(F.least(v, high), low)
+        fall = [loss_fall(F.col(f"{side}_g"), F.col(f"{side}_h"), within(leaf_value(F.col(f"{side}_g"), F.col(f"{side}_h"), l1, l2)), l1, l2) for side in ("left", "right")]
+        cuts = cuts.withColumn("gain", fall[0] + fall[1] - leaf_gain(F.col("left_g") + F.col("right_g"), F.col("left_h") + F.col("right_h"), l1, l2))
     if penalty:
         cost = F.create_map(*[F.lit(x) for pair in penalty.items() for x in pair])
         cuts = cuts.withColumn("gain", F.col("gain") - F.coalesce(F.try_element_at(cost, F.col("feature")), F.lit(0.0)))
     if monotone:
         sign = F.create_map(*[F.lit(x) for pair in monotone.items() for x in pair])
-        step = leaf_value(F.col("right_g"), F.col("right_h"), l1, l2) - leaf_value(F.col("left_g"), F.col("left_h"), l1, l2)
+        step = within(leaf_value(F.col("right_g"), F.col("right_h"), l1, l2)) - within(leaf_value(F.col("left_g"), F.col("left_h"), l1, l2))
         cuts = cuts.where(F.coalesce(F.try_element_at(sign, F.col("feature")), F.lit(0)) * step >= 0)
     if digits is not None:
         cuts = cuts.withColumn("gain", F.round("gain", digits))

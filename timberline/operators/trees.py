@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from timberline.operators import histogram, split
 from timberline.operators.binning import Mapper
 from timberline.operators.spec import valid
+from timberline.session import materialize
 
 
 @dataclass
@@ -142,6 +143,7 @@ def grow(
     extra: int | None = None,
     category_smooth: float = 10.0,
     bundle: histogram.BundlePlan | None = None,
+    monotone_rule: str = "middle",
 ) -> Tree:
     """Grow a tree best leaf first on ``binned`` rows with ``bin_*``, ``g`` and ``h`` columns.
 
@@ -160,6 +162,12 @@ def grow(
     that leaves too little on one side is an error.  With ``bundle`` the rows
     also hold its columns, and histograms are summed over those.
 
+    With ``monotone_rule="neighbours"`` a leaf is bounded by the outputs of the
+    leaves that lie beside it along a monotone feature, not by the middle of an
+    old split: the bounds move as the tree grows, cuts are weighed with outputs
+    within them, and a leaf whose bounds moved is searched anew from its kept
+    histogram.  Leaves are then looked at one split at a time.
+
     ``smooth`` draws outputs towards the parent's, ``max_delta`` bounds them
     (0: not at all), ``penalty`` takes a feature's cost off its gains, ``extra``
     seeds random cuts, and ``monotone`` keeps outputs below a split of that
@@ -186,6 +194,8 @@ def grow(
     held: dict[int, int] = {}  # which of them holds a leaf's
     widths = {f: by_name[f].n_bins + 2 for f in features}
     depth = {0: 0}
+    near = monotone_rule == "neighbours"
+    boxes: dict[int, dict[str, tuple[int, int]]] = {0: {}}  # bins that a leaf's numerical features may have
     bounds = {0: (-math.inf, math.inf)}
 
     def sums(leaves: list[int]) -> DataFrame:
@@ -211,13 +221,19 @@ def grow(
         return frames[-1]
 
     def look(leaves: list[int]) -> None:
-        hist = sums(leaves)
-        if constraints:
-            allowed = F.lit(False)
-            for leaf in leaves:
-                allowed = allowed | ((F.col("leaf") == leaf) & F.col("feature").isin(allowed_features(features, set(wide.branch(leaf)), constraints)))
-            hist = hist.where(allowed)
-        best = split.with_values(split.best_splits(hist, monotone=monotone, penalty=penalty, extra=extra, **limits), l1, l2)
+        search(leaves, allowed_only(sums(leaves), leaves))
+
+    def allowed_only(hist: DataFrame, leaves: list[int]) -> DataFrame:
+        if not constraints:
+            return hist
+        allowed = F.lit(False)
+        for leaf in leaves:
+            allowed = allowed | ((F.col("leaf") == leaf) & F.col("feature").isin(allowed_features(features, set(wide.branch(leaf)), constraints)))
+        return hist.where(allowed)
+
+    def search(leaves: list[int], hist: DataFrame) -> None:
+        within = {leaf: bounds[leaf] for leaf in leaves} if near and monotone else None
+        best = split.with_values(split.best_splits(hist, monotone=monotone, penalty=penalty, extra=extra, bounds=within, **limits), l1, l2)
         candidates.update(dict.fromkeys(leaves))
         candidates.update({r["leaf"]: r.asDict() for r in best.collect()})  # a row a leaf
 
@@ -253,12 +269,47 @@ def grow(
         parent[left] = parent[right] = leaf
         bounds[left] = bounds[right] = bounds[leaf]
         sign = (monotone or {}).get(name, 0)
-        if sign:
+        boxes[left], boxes[right] = dict(boxes[leaf]), dict(boxes[leaf])
+        if name not in unordered:
+            low, high = boxes[leaf].get(name, (0, widths[name]))
+            boxes[left][name], boxes[right][name] = (low, r["bin"]), (r["bin"] + 1, high)
+        if sign and near:
+            if sign * (values[1] - values[0]) < 0:  # smoothing turned them round
+                for child in (left, right):
+                    wide.nodes[child].value = sum(values) / 2
+        elif sign:
             middle, (low, high) = sum(values) / 2, bounds[leaf]
             below, above = (left, right) if sign > 0 else (right, left)
             bounds[below], bounds[above] = (low, middle), (middle, high)
         return [left, right]
 
+    def beside(leaf: int) -> tuple[float, float]:
+        """What the outputs of the present leaves leave room for."""
+        low, high = -math.inf, math.inf
+        for other in place.values():
+            apart = [f for f in {*boxes[leaf], *boxes[other]} if boxes[leaf].get(f, (0, widths[f]))[0] > boxes[other].get(f, (0, widths[f]))[1] or boxes[leaf].get(f, (0, widths[f]))[1] < boxes[other].get(f, (0, widths[f]))[0]]
+            if other == leaf or len(apart) != 1 or not monotone.get(apart[0], 0):
+                continue
+            above = boxes[leaf].get(apart[0], (0, widths[apart[0]]))[0] > boxes[other].get(apart[0], (0, widths[apart[0]]))[1]
+            if above == (monotone[apart[0]] > 0):
+                low = max(low, wide.nodes[other].value)
+            else:
+                high = min(high, wide.nodes[other].value)
+        return low, high
+
+    def rebound() -> None:
+        """Bounds of all open leaves; those that moved are searched again."""
+        moved = []
+        for at in place.values():
+            new = beside(at)
+            if new != bounds[at]:
+                bounds[at] = new
+                if at in candidates:
+                    moved.append(at)
+        if moved:
+            kept = [frames[k].where(F.col("leaf").isin([at for at in moved if held[at] == k])) for k in sorted({held[at] for at in moved})]
+            search(moved, allowed_only(reduce(DataFrame.unionByName, kept), moved))
+
     tree = Tree([replace(wide.nodes[0])], rate)
     place = {0: 0}  # leaves of the grown tree, and what they are in ``wide``
 
@@ -271,6 +322,8 @@ def grow(
             node = wide.nodes[child]
             tree.nodes.append(Node(value=node.value, weight=node.weight, count=node.count))
             place[number] = child
+        if near and monotone:
+            rebound()
 
     for leaf, feature, cut in ((f if len(f) == 3 else (0, *f)) for f in forced or []):
         if leaf not in place or feature not in by_name:
@@ -288,7 +341,7 @@ def grow(
         fresh = [at for at in place.values() if at not in candidates and depth[at] < max_depth]
         known = sorted((at for at in place.values() if candidates.get(at)), key=lambda at: -candidates[at]["gain"])
         if fresh:
-            ahead = [c for at in known[: num_leaves - len(place)] for c in children(at, candidates[at])]
+            ahead = [] if near and monotone else [c for at in known[: num_leaves - len(place)] for c in children(at, candidates[at])]
             look(fresh + [c for c in ahead if c not in candidates and depth[c] < max_depth])
         open_ = [leaf for leaf, at in place.items() if candidates.get(at)]
         if not open_:
@@ -381,17 +434,32 @@ def importance(trees: list[Tree], kind: str = "split") -> dict[str, float]:
     return dict(sorted(out.items(), key=lambda kv: (-kv[1], kv[0])))
 
 
-def permutation_importance(df: DataFrame, features: list[str], score: Column, label: str, key: list[str], seed: int = 0) -> dict[str, float]:
-    """Rise of the mean squared error when a feature's values are dealt anew by a hash of the key."""
+def over(trees: list[Tree], names: dict[str, str]) -> list[Tree]:
+    """The same trees on other columns: ``names`` says which stand for which features."""
+    return [Tree([replace(n, feature=names.get(n.feature, n.feature), linear={names.get(f, f): c for f, c in n.linear.items()}) for n in t.nodes], t.rate) for t in trees]
+
+
+def permutation_importance(df: DataFrame, features: list[str], score: Callable[[dict[str, str]], Column], label: str, order: Column, seed: int = 0) -> dict[str, float]:
+    """Rise of the mean squared error when a feature's values come from other rows.
+
+    ``score`` gives the prediction when other columns stand for features, so
+    ``lambda names: sum(map(score_expression, over(trees, names)))`` of trees.
+    Rows are numbered once by ``order``, a number, best a hash (ties by the
+    other columns); each row is joined to the one a seeded number of places
+    on, and takes one feature at a time from it.  So all features are measured
+    in one pass over one join.
+    """
     from timberline.operators.sampling import numbered
 
-    base = df.agg(F.avg((score - F.col(label)) ** 2)).first()[0]
-    out = {}
-    for f in features:
-        rows = numbered(df.drop(f), F.xxhash64(*key, F.lit(seed)), "__n")
-        values = numbered(df.select(f, *[k for k in key if k != f]), F.xxhash64(*[k for k in key if k != f], F.lit(seed + 1)), "__n").select("__n", f)
-        out[f] = rows.join(values, "__n").agg(F.avg((score - F.col(label)) ** 2)).first()[0] - base
-    return out
+    rows = materialize(numbered(df.select(*dict.fromkeys([*features, label]), order.alias("__at")), F.col("__at"), "__n"), "numbered")
+    n = rows.count()
+    if n < 2:
+        return dict.fromkeys(features, 0.0)
+    shift = 1 + seed * 2654435761 % (n - 1)
+    other = rows.select(F.pmod(F.col("__n") - shift, F.lit(n)).alias("__n"), *[F.col(f).alias(f"__p{k}") for k, f in enumerate(features)])
+    error = lambda names: F.avg((score(names) - F.col(label)) ** 2)
+    row = rows.join(other, "__n").agg(error({}).alias("base"), *[error({f: f"__p{k}"}).alias(f"e{k}") for k, f in enumerate(features)]).first()
+    return {f: row[f"e{k}"] - row["base"] for k, f in enumerate(features)}
 
 
 def leaf_paths(t: Tree) -> Iterator[tuple[float, dict[str, list[tuple[Node, bool]]], dict[str, float]]]:
