@@ -258,3 +258,33 @@ def test_odd_vectors_ties_and_few_rows(spark):
     many = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
     got = neighbours.search(many, many.where("vec_id % 20 = 0"), 20).where("query_id = 20").orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [*range(20)]
+
+
+def test_equal_vectors_tie_whatever_their_place(spark):
+    """Nineteen equal vectors of random components have one score and come by id; so do nine rows of ten of a table."""
+    rng = np.random.default_rng(12)
+    for width, copies in ((48, 19), (96, 14)):
+        one = rng.normal(size=width).tolist()
+        rows = [(k, one) for k in range(1, copies + 1)] + [(20, rng.normal(size=width).tolist())] + [(100 + k, rng.normal(size=width).tolist()) for k in range(30)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = neighbours.search(df, df.where("vec_id = 20"), 60).orderBy("rank").collect()
+        same = [r for r in got if r["vec_id"] <= copies]
+        assert [r["vec_id"] for r in same] == list(range(1, copies + 1)) and len({r["score"] for r in same}) == 1
+        assert [r["rank"] for r in same] == list(range(same[0]["rank"], same[0]["rank"] + copies))
+    hot = spark.range(900).select(F.col("id").alias("vec_id"), F.array(*[F.lit(float(v)) for v in one]).alias("embedding"))
+    hot = hot.unionByName(spark.createDataFrame([(1000 + k, rng.normal(size=96).tolist()) for k in range(100)], hot.schema))
+    got = neighbours.search(hot, hot.where("vec_id = 40"), 20).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(20))
+
+
+def test_recall_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_SIZE", 500)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.search(df, df.where("vec_id % 60 = 0")).toPandas()
+    scores = x[::60] @ x.T
+    scores[np.arange(50), np.arange(0, 3000, 60)] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    hits = sum(len(set(best[q // 60]) & set(g["vec_id"])) for q, g in found.groupby("query_id"))
+    assert hits / (50 * 20) >= 0.95

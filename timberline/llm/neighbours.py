@@ -173,8 +173,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """
     base, asked = _usable(vectors), _usable(queries)
     # equal vectors stand once in a graph; the least ids of each can be answers
-    by_id, again = Window.partitionBy("embedding").orderBy("vec_id"), Window.partitionBy("embedding", "vec_id").orderBy("vec_id")
-    base = base.select("*", F.dense_rank().over(by_id).alias("__r"), F.row_number().over(again).alias("__n")).where((F.col("__r") <= k + 1) & (F.col("__n") <= k))
+    # (one window with a bound on its rank, so each task ranks its own rows before any are shuffled)
+    base = base.groupBy("embedding", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("__n"))
+    base = base.withColumn("__r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("__r") <= k + 1)
+    base = base.select("vec_id", "embedding", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy"))
     # lengths of the vectors, taken so that no square overflows
     most = F.array_max(F.transform("embedding", F.abs))
     length = most * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
@@ -191,7 +193,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         key, held, graph = None, [], None
 
         def answers(ids: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
-            own_ids, own, distinct, members = graph[1:]
+            own_ids, distinct, members = graph[1:]
             if len(distinct) <= SEARCH_BEAM:  # the beam holds all there is
                 found = np.tile(np.arange(len(distinct)), (len(asked), 1))
             else:
@@ -199,9 +201,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 found, _ = graph[0].search(np.concatenate((unit, np.zeros((len(asked), 1))), axis=1).astype(np.float32), SEARCH_BEAM)
             out_q, out_v, out_s = [], [], []
             for i, row in enumerate(found):
-                hit = np.concatenate([members[j] for j in row[row >= 0]]) if len(row) else np.zeros(0, dtype=int)
-                hit = hit[own_ids[hit] != ids[i]]
-                value = own[hit] @ asked[i]
+                row = row[row >= 0]
+                hit = np.concatenate([members[j] for j in row]) if len(row) else np.zeros(0, dtype=int)
+                # a vector is scored once, summed row by row, so that equal vectors tie
+                value = np.repeat((distinct[row] * asked[i]).sum(axis=1), [len(members[j]) for j in row])
+                value, hit = value[own_ids[hit] != ids[i]], hit[own_ids[hit] != ids[i]]
                 best = np.lexsort((own_ids[hit], -value))[:k]
                 out_q.append(np.full(len(best), ids[i]))
                 out_v.append(own_ids[hit[best]])
@@ -217,7 +221,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             members = np.split(order, np.cumsum(np.bincount(inverse.reshape(-1)))[:-1])
             unit = distinct / largest
             lift = np.sqrt(np.maximum(1 - (unit**2).sum(axis=1), 0))
-            return Graph(np.concatenate((unit, lift[:, None]), axis=1)), ids, own, distinct, members
+            return Graph(np.concatenate((unit, lift[:, None]), axis=1)), ids, distinct, members
 
         for batch in batches:
             if not batch.num_rows:
