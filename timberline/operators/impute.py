@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from timberline.operators.profile import feature_statistics, missing_by_feature, order_statistics
 from timberline.operators.spec import valid
+from timberline.session import materialize
 
 
 def fit_constants(df: DataFrame, strategies: dict[str, str | float]) -> dict[str, float]:
@@ -198,15 +199,19 @@ def random_fill(df: DataFrame, target: str, row_id: Column, seed: int = 0) -> Da
     from timberline.operators.sampling import drawn as hashed
 
     counts = df.select(valid(target).alias("__v")).where("__v is not null").groupBy("__v").agg(F.count("*").alias("__n"))
-    ranked = running_sums(counts, [], "__v", {"__below": F.col("__n")})
-    total = counts.agg(F.sum("__n").alias("__total"))
-    rows = hashed(hashed(df, row_id, seed, "__high"), row_id, seed + 1, "__low").crossJoin(F.broadcast(total))
-    drawn = rows.withColumn("__draw", F.when(valid(target).isNull(), (F.col("__high") * (1 << 30) + F.shiftright("__low", 2)) % F.col("__total")))
+    counts = materialize(counts, "observed")
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    own = lambda fill: [fill.alias(c) if c == target else F.col(f"`{c}`") for c in df.columns]
+    if not total:
+        return df.select(*own(valid(target)))
+    # only rows without a value are joined; the others, usually most, stay where they are
+    full = df.where(valid(target).isNotNull()).select(*own(valid(target)))
+    gaps = hashed(hashed(df.where(valid(target).isNull()), row_id, seed, "__high"), row_id, seed + 1, "__low")
+    drawn = gaps.withColumn("__draw", (F.col("__high") * (1 << 30) + F.shiftright("__low", 2)) % F.lit(total))
     # draws meet values in a coarse cell of the cumulative count that holds both
-    width = F.greatest(F.ceil(F.col("__total") / 1024), F.lit(1))
+    ranked, width = running_sums(counts, [], "__v", {"__below": F.col("__n")}), max(-(-total // 1024), 1)
     last = F.floor((F.col("__below") + F.col("__n") - 1) / width)
-    cells = ranked.crossJoin(F.broadcast(total)).select("__below", "__n", "__v", F.explode(F.sequence(F.floor(F.col("__below") / width), last)).alias("__cell"))
+    cells = ranked.select("__below", "__n", "__v", F.explode(F.sequence(F.floor(F.col("__below") / width), last)).alias("__cell"))
     drawn = drawn.withColumn("__at", F.floor(F.col("__draw") / width))
     inside = (F.col("__at") == F.col("__cell")) & (F.col("__draw") >= F.col("__below")) & (F.col("__draw") < F.col("__below") + F.col("__n"))
-    joined = drawn.join(cells, inside, "left")
-    return joined.select(*[F.coalesce(valid(target), F.col("__v")).alias(c) if c == target else F.col(f"`{c}`") for c in df.columns])
+    return full.unionByName(drawn.join(cells, inside).select(*own(F.col("__v"))))
