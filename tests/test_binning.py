@@ -116,6 +116,31 @@ def test_adaptive_bins_find_a_step(spark):
     assert len(m.bounds) == 2 and m.bounds[0] < 1
 
 
+def test_adaptive_bins_against_every_cut(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=250), 1)
+    y = np.where(x > 0.5, 3.0, 0.0) + np.where(x < -1, -2.0, 0.0) + 0.3 * rng.normal(size=250)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0), (1.0, None)], "x double, y double")
+    for target in (None, "y"):
+        t = y if target else x
+        parts, least = [np.arange(250)], 10
+        while len(parts) < 5:
+            cuts = []
+            for k, p in enumerate(parts):
+                for v in np.unique(x[p])[:-1]:
+                    left, right = p[x[p] <= v], p[x[p] > v]
+                    if min(len(left), len(right)) >= least:
+                        spread = lambda q: ((t[q] - t[q].mean()) ** 2).sum()
+                        cuts.append((spread(p) - spread(left) - spread(right), -v, k))
+            gain, v, k = max(cuts)
+            p = parts.pop(k)
+            parts += [p[x[p] <= -v], p[x[p] > -v]]
+        own = df if target else df.where("y is not null or x is null")
+        m = binning.fit_adaptive(own, "x", 5, least, target=target)
+        assert list(m.bounds) == pytest.approx(sorted(float(x[p].max()) for p in parts))
+    assert binning.fit_adaptive(df.limit(0), "x").bounds == (0.0,)
+
+
 def test_mappers_are_saved_and_loaded(spark, tmp_path):
     made = [binning.Mapper("a", bounds=(1.0, 2.0)), binning.Mapper("b", "categorical", categories={3: 0})]
     binning.save(made, spark.range(1), str(tmp_path / "m"))

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timberline.operators.ordering import outlines, values_at
+from timberline.operators.ordering import outlines, running_sums, values_at
 from timberline.operators.spec import long_form, valid
+from timberline.session import materialize
 
 #: Values closer to zero than this are zero.
 ZERO = 1e-35
@@ -140,32 +141,53 @@ def fit_categorical(df: DataFrame, feature: str, max_bins: int = 255, min_count:
     return Mapper(feature, "categorical", categories={r["c"]: k for k, r in enumerate(top)}, default_bin=max(len(top) - 1, 0))
 
 
-def fit_adaptive(df: DataFrame, feature: str, max_bins: int = 16, min_data: int = 3) -> Mapper:
-    """Repeatedly cut the part whose best cut lowers the variance most.
+def fit_adaptive(df: DataFrame, feature: str, max_bins: int = 16, min_data: int = 3, target: str | None = None) -> Mapper:
+    """Repeatedly cut the part whose best cut lowers the variance most, of the feature or of ``target``.
 
-    Works on the counts of 1024 quantile cells, so the driver's loop is over a
-    bounded table whatever the rows.
+    Every distinct value is a possible cut.  Sums up to each value are worked
+    out once, range by range, and written; a cut then costs one aggregation of
+    that table that gives the best cut of the two new parts.  The driver sees
+    one row a part.  Rows without value or target do not count; equal gains go
+    to the lower value, then to the lower part.
     """
-    base = fit_quantile(df, [feature], 1024, 1)[0]
-    cells = df.select(valid(feature).alias("v")).where("v is not null").groupBy(to_bin(F.col("v"), base).alias("b"))
-    rows = cells.agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).orderBy("b").collect()
-    n, s, q = (np.concatenate(([0.0], np.cumsum([r[k] for r in rows]))) for k in ("n", "s", "q"))
-    spread = lambda a, b: (q[b] - q[a]) - (s[b] - s[a]) ** 2 / max(n[b] - n[a], 1)
-
-    def best(a: int, b: int) -> tuple[float, int]:
-        cuts = [(spread(a, b) - spread(a, c) - spread(c, b), -c) for c in range(a + 1, b) if n[c] - n[a] >= min_data and n[b] - n[c] >= min_data]
-        gain, c = max(cuts, default=(0.0, 0))
-        return gain, -c
-
-    parts = [(0, len(rows))]
-    while len(parts) < max_bins:
-        gain, c, part = max(((*best(*p), p) for p in parts), key=lambda t: t[0])
-        if gain <= 1e-12:
+    y = valid(target) if target else valid(feature)
+    rows = df.select(valid(feature).alias("value"), y.alias("y")).where("value is not null and y is not null")
+    middle = rows.agg(F.avg("y")).first()[0]
+    if middle is None:
+        return Mapper(feature, bounds=(0.0,))
+    off = F.col("y") - F.lit(middle)  # centred, so that squares do not drown the differences
+    values = rows.groupBy("value").agg(F.count("*").alias("n"), F.sum(off).alias("s"), F.sum(off * off).alias("q"))
+    sums = running_sums(values, [], "value", {"n0": F.col("n").cast("double"), "s0": F.col("s"), "q0": F.col("q")})
+    sums = materialize(sums.select("value", *[(F.col(f"{c}0") + F.col(c)).alias(c) for c in "nsq"]), "running")
+    whole = sums.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.max(F.struct("n", "s", "q")).alias("t")).first()
+
+    def best(parts: list[tuple]) -> list[tuple]:
+        """``(gain, part, cut, sums up to it)`` of each part ``(low, high, sums below, sums up to its end)`` that can be cut."""
+        found = []
+        for k, (low, high, below, upto) in enumerate(parts):
+            inside = (F.col("value") > low) & (F.col("value") < high) if low is not None else F.col("value") < high
+            left = {c: F.col(c) - F.lit(b) for c, b in zip("nsq", below, strict=True)}
+            right = {c: F.lit(u) - F.col(c) for c, u in zip("nsq", upto, strict=True)}
+            spread = lambda p: p["q"] - p["s"] * p["s"] / p["n"]
+            n, s, q = (u - b for u, b in zip(upto, below, strict=True))
+            fits = inside & (left["n"] >= min_data) & (right["n"] >= min_data)
+            gain = F.lit(q - s * s / n) - spread(left) - spread(right)
+            found.append(F.max(F.when(fits, F.struct(gain.alias("gain"), (-F.col("value")).alias("back"), "n", "s", "q"))).alias(f"p{k}"))
+        row = sums.agg(*found).first()
+        return [(r["gain"], part, -r["back"], (r["n"], r["s"], r["q"])) for k, part in enumerate(parts) if (r := row[f"p{k}"]) is not None]
+
+    zero, end = (0.0, 0.0, 0.0), tuple(whole["t"])
+    first = (None, whole["hi"], zero, end)
+    done, open_ = [whole["hi"]], best([first])
+    while open_ and len(done) < max_bins:
+        gain, part, cut, upto = min(open_, key=lambda t: (-t[0], -math.inf if t[1][0] is None else t[1][0]))
+        if gain <= 1e-12 * max(end[2], 1e-300):
             break
-        parts.remove(part)
-        parts += [(part[0], c), (c, part[1])]
-    bounds = sorted(base.bounds[rows[b - 1]["b"]] for _, b in parts)
-    return Mapper(feature, bounds=tuple(bounds), lowest=base.lowest, highest=base.highest)
+        open_ = [t for t in open_ if t[1] is not part]
+        done.append(cut)
+        if len(done) < max_bins:
+            open_ += best([(part[0], cut, part[2], upto), (cut, part[1], upto, part[3])])
+    return Mapper(feature, bounds=tuple(sorted(done)), lowest=whole["lo"], highest=whole["hi"])
 
 
 def information_gain(classes_left: list[int], classes_right: list[int]) -> float:

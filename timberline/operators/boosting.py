@@ -350,6 +350,7 @@ def train(
     levels: int = 0,
     shape: float | None = None,
     bundle: int | None = None,
+    linear: float | None = None,
     **tree_options,
 ) -> Ensemble:
     """Boost trees over ``df``.
@@ -365,7 +366,8 @@ def train(
     or scale of ``quantile``, ``huber`` and ``fair``.  Losses whose gradients
     are signs have their leaves renewed from the residuals, see ``renew_leaves``.
     ``bundle`` lets features share a histogram column if at most so many rows
-    have both off their commonest bin.
+    have both off their commonest bin.  With ``linear`` each leaf is a ridge
+    regression, of that penalty, on the features of its path.
     """
     kind = OBJECTIVE_NAMES.get(objective_name, objective_name)
     if kind in ("ranking", "lambdarank") and (query is None or early_stop is not None):
@@ -402,6 +404,8 @@ def train(
         chosen = sample_features(features, feature_fraction, seed + k)
         step = 1.0 if mode == "rf" else rate
         tree = trees.grow(own.cache(), mappers, rate=step, features=chosen, **tree_options)
+        if linear is not None:
+            tree = trees.fit_linear(own, tree, linear, skip=named)
         tree = renew_leaves(own, tree, kind, F.col("__y"), s, shape)
         own.unpersist()
         if mode == "rf":  # each tree stands for a whole model

@@ -380,6 +380,37 @@ def refit_linear(df: DataFrame, tree: Tree, features: list[str], gradient: str =
     return tree
 
 
+def fit_linear(df: DataFrame, tree: Tree, l2: float = 1.0, gradient: str = "g", hessian: str = "h", skip: set[str] | None = None) -> Tree:
+    """Give each leaf a ridge regression on the features of its own path, all leaves in one aggregation.
+
+    A feature that is not on a leaf's path counts as 0 there, so the sums of
+    products of all leaves stand side by side, whatever their paths.  Rows that
+    miss a feature of their path do not count, and are scored by the leaf's
+    plain output, as are leaves with fewer rows than coefficients.  ``skip``
+    names features that are no numbers.
+    """
+    paths = {leaf: [f for f in dict.fromkeys(tree.branch(leaf)) if f not in (skip or set())] for leaf in tree.leaves()}
+    names = sorted({f for path in paths.values() for f in path})
+    if not names:
+        return tree
+    rows = df.withColumn("__leaf", leaf_expression(tree))
+    on = {f: F.col("__leaf").isin([leaf for leaf, path in paths.items() if f in path]) for f in names}
+    xs = [F.lit(1.0), *[F.when(on[f], valid(f)).otherwise(0.0) for f in names]]
+    rows = rows.select("__leaf", F.col(gradient).alias("__g"), F.col(hessian).alias("__h"), *[x.alias(f"__x{i}") for i, x in enumerate(xs)]).where(reduce(lambda a, b: a & b, [F.col(f"__x{i}").isNotNull() for i in range(len(xs))]))
+    x = [F.col(f"__x{i}") for i in range(len(xs))]
+    sums = [F.sum(x[i] * x[j] * F.col("__h")).alias(f"a{i}_{j}") for i in range(len(x)) for j in range(i, len(x))] + [F.sum(x[i] * F.col("__g")).alias(f"b{i}") for i in range(len(x))]
+    for r in rows.groupBy("__leaf").agg(F.count("*").alias("n"), *sums).collect():  # a row a leaf
+        path = paths[r["__leaf"]]
+        at = [0, *[names.index(f) + 1 for f in path]]
+        if r["n"] <= len(at):
+            continue
+        a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in at] for i in at], dtype=float)
+        b = np.array([r[f"b{i}"] for i in at], dtype=float)
+        w = -np.linalg.solve(a + l2 * np.diag([0.0] + [1.0] * len(path)) + 1e-12 * np.eye(len(at)), b)
+        tree.nodes[r["__leaf"]].linear = dict(zip(["", *path], w.tolist(), strict=True))
+    return tree
+
+
 def to_dict(tree: Tree) -> dict:
     return {"rate": tree.rate, "nodes": [asdict(n) for n in tree.nodes]}
 

@@ -55,6 +55,28 @@ def boosted_one_round(spark, sf_dir):
     return _leaf_report(df, boosting.train(df, _FEATURES, "y", KEY, rounds=1, rate=0.3, num_leaves=3))
 
 
+def tree_importance(spark, sf_dir):
+    """Importance of the features of a trained tree, by its cuts, their gains and the rows they part."""
+    model = boosting.train(_labelled(spark, sf_dir), _FEATURES, "y", KEY, rounds=1, rate=0.3, num_leaves=3)
+    rows = [(kind, f, float(v), share) for kind in ("split", "gain", "cover") for f, v, share in boosting.rank_importance(trees.importance(model.trees, kind))]
+    return rounded(spark.createDataFrame(rows, "kind string, feature string, value double, share double"), 4, "value", "share")
+
+
+def tree_shape(spark, sf_dir):
+    """Leaves, depth, mean output and its bounds of a trained tree, and the features above its first leaf."""
+    tree = boosting.train(_labelled(spark, sf_dir), _FEATURES, "y", KEY, rounds=1, rate=0.3, num_leaves=3).trees[0]
+    row = (len(tree.leaves()), tree.depth(), float(tree.expected_value()), *map(float, tree.bounds()), ",".join(tree.branch(tree.leaves()[0])))
+    return rounded(spark.createDataFrame([row], "leaves int, depth int, expected double, lowest double, highest double, branch string"), 5, "expected", "lowest", "highest")
+
+
+def boosted_linear(spark, sf_dir):
+    """Rows, intercept and slope of the two leaves of a tree whose leaves are lines along its cut feature."""
+    df = _labelled(spark, sf_dir).withColumn("y", F.col("l_quantity") * F.col("l_quantity") / 100 + F.col("l_extendedprice") / 10000)
+    tree = boosting.train(df, _FEATURES, "y", KEY, rounds=1, rate=0.5, num_leaves=2, linear=1.0).trees[0]
+    rows = [(i, tree.nodes[i].count, tree.nodes[0].feature, tree.nodes[i].linear[""], tree.nodes[i].linear[tree.nodes[0].feature]) for i in tree.leaves()]
+    return rounded(spark.createDataFrame(rows, "leaf int, n long, feature string, intercept double, slope double"), 4, "intercept", "slope")
+
+
 def boosted_two_rounds(spark, sf_dir):
     """Leaves of the second tree, with the largest score of both."""
     df = _labelled(spark, sf_dir)
@@ -105,7 +127,7 @@ def bundled_histogram(spark, sf_dir):
     return rounded(out, 3, "sum_g", "sum_h")
 
 
-QUERIES = {f.__name__: f for f in (objective_robust, objective_lambdarank, renewed_leaves, boosted_one_round, boosted_two_rounds, boosted_quantile, watched_losses, boosted_classes, bundled_histogram)}
+QUERIES = {f.__name__: f for f in (objective_robust, objective_lambdarank, renewed_leaves, boosted_one_round, tree_importance, tree_shape, boosted_linear, boosted_two_rounds, boosted_quantile, watched_losses, boosted_classes, bundled_histogram)}
 
 _D = "CAST({} AS DOUBLE)".format
 
@@ -144,8 +166,8 @@ def _grown(ctes: list[str], source: str, tag: str, leaves: int, features: list[s
 _HOLED_NULL = f"(SELECT * REPLACE (CASE WHEN isnan(l_tax) THEN NULL ELSE l_tax END AS l_tax), l_extendedprice / 1000 AS y FROM {HOLED_SQL})"
 
 
-def _boosted(rounds: int, rate: float, train: str = "true", watch: bool = False) -> str:
-    """``rounds`` trees of three leaves on squared error."""
+def _boosted(rounds: int, rate: float, train: str = "true", watch: bool = False, report: str = "") -> str:
+    """``rounds`` trees of three leaves on squared error; ``report`` selects from their cuts and outputs."""
     ctes = [f"start AS (SELECT avg(y) FILTER (WHERE {train}) AS s FROM {_HOLED_NULL})", f"at_0 AS (SELECT r.*, s, {train} AS own FROM {_HOLED_NULL} r, start)"]
     losses = []
     for t in range(rounds):
@@ -163,6 +185,8 @@ def _boosted(rounds: int, rate: float, train: str = "true", watch: bool = False)
         losses.append(f"SELECT CAST({t} AS INTEGER) AS round, round(avg((s - y) * (s - y)), 6) AS loss FROM at_{t + 1} WHERE NOT own")
     if watch:
         return f"WITH {', '.join(ctes)} {' UNION ALL '.join(losses)}"
+    if report:
+        return f"WITH {', '.join(ctes)} {report}"
     t = rounds - 1
     return f"WITH {', '.join(ctes)} SELECT CAST(leaf AS INTEGER) AS leaf, count(*) AS n, round(avg(y), 4) AS mean, round(max(s + {_D(rate)} * value), 4) AS score FROM routed_{t} JOIN outputs_{t} USING (leaf) GROUP BY 1"
 
@@ -184,6 +208,18 @@ def _classes_sql(rate: float = 0.5) -> str:
     return f"WITH {', '.join(ctes)} {' UNION ALL '.join(parts)}"
 
 
+def _linear_sql() -> str:
+    """One cut, then a ridge regression of each leaf's residuals on the cut feature."""
+    source = f"(SELECT * REPLACE (l_quantity * l_quantity / 100 + l_extendedprice / 10000 AS y) FROM {_HOLED_NULL})"
+    ctes = [f"seen AS (SELECT r.*, 0 AS leaf, avg(y) OVER () - y AS g, {_D(1)} AS h FROM {source} r)"]
+    last = _grown(ctes, "seen", "l", 2)
+    value = " ".join(f"WHEN '{f}' THEN {f}" for f in _FEATURES)
+    ctes.append(f"x AS (SELECT r.leaf, g, CASE f {value} END AS x, f FROM (SELECT * FROM {last}) r, (SELECT f FROM cut_l_0))")
+    ctes.append("m AS (SELECT leaf, f, count(*) AS every, count(x) AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(g) FILTER (WHERE x IS NOT NULL) AS sg, sum(g * x) AS sgx FROM x GROUP BY 1, 2)")
+    return f"""WITH {", ".join(ctes)} SELECT CAST(leaf AS INTEGER) AS leaf, every AS n, f AS feature,
+        round(-((sxx + 1) * sg - sx * sgx) / (n * (sxx + 1) - sx * sx), 4) AS intercept, round(-(n * sgx - sx * sg) / (n * (sxx + 1) - sx * sx), 4) AS slope FROM m"""
+
+
 _LEAF = f"CASE WHEN l_quantity <= {_D(24.5)} THEN CASE WHEN coalesce(l_discount <= {_D(0.045)}, false) THEN 3 ELSE 4 END WHEN coalesce(l_tax <= {_D(0.035)}, true) THEN 5 ELSE 6 END"
 
 ORACLE = {
@@ -208,6 +244,15 @@ ORACLE = {
         UNION ALL SELECT 'mape', leaf, round(min(d), 4) FROM c WHERE upto >= total / 2 GROUP BY leaf
         UNION ALL SELECT 'huber', leaf, round(any_value(med) + avg(greatest(least(d - med, 5), -5)), 4) FROM r JOIN m USING (leaf) GROUP BY leaf""",
     "boosted_one_round": _boosted(1, 0.3),
+    "tree_importance": _boosted(1, 0.3, report="""
+        , cuts AS (SELECT f, gain, an FROM cut_t0_0 UNION ALL SELECT f, gain, an FROM cut_t0_1),
+        kinds AS (SELECT 'split' AS kind, f, 1.0 AS v FROM cuts UNION ALL SELECT 'gain', f, gain FROM cuts UNION ALL SELECT 'cover', f, CAST(an AS DOUBLE) FROM cuts),
+        sums AS (SELECT kind, f, CAST(sum(v) AS DOUBLE) AS v FROM kinds GROUP BY 1, 2)
+        SELECT kind, f AS feature, round(v, 4) AS value, round(v / sum(v) OVER (PARTITION BY kind), 4) AS share FROM sums"""),
+    "tree_shape": _boosted(1, 0.3, report="""
+        SELECT CAST(3 AS INTEGER) AS leaves, CAST(2 AS INTEGER) AS depth, round(0.3 * sum(value * n) / sum(n), 5) AS expected, round(min(0.3 * value), 5) AS lowest, round(max(0.3 * value), 5) AS highest, (SELECT f FROM cut_t0_0) AS branch
+        FROM outputs_0 JOIN (SELECT leaf, count(*) AS n FROM routed_0 GROUP BY 1) USING (leaf)"""),
+    "boosted_linear": _linear_sql(),
     "boosted_two_rounds": _boosted(2, 0.3),
     "boosted_quantile": _quantile_sql(0.9, 0.5),
     "watched_losses": _boosted(2, 0.3, "l_partkey % 5 <> 0", watch=True),

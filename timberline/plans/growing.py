@@ -58,16 +58,6 @@ def refitted_leaves(spark, sf_dir):
     return spark.createDataFrame(rows, "leaf int, value double, n long")
 
 
-def tree_importance(spark, sf_dir):
-    rows = [(kind, f, v, share) for kind in ("split", "gain", "cover") for f, v, share in boosting.rank_importance(trees.importance([TREE, SECOND], kind))]
-    return rounded(spark.createDataFrame(rows, "kind string, feature string, value double, share double"), 6, "share")
-
-
-def tree_shape(spark, sf_dir):
-    rows = [(n, len(t.leaves()), t.depth(), float(t.expected_value()), *map(float, t.bounds()), ",".join(t.branch(t.leaves()[0]))) for n, t in (("first", TREE), ("second", SECOND))]
-    return spark.createDataFrame(rows, "tree string, leaves int, depth int, expected double, lowest double, highest double, branch string")
-
-
 def tree_round_trip(spark, sf_dir):
     """Scores of a tree that went through text, of one that went through JSON, and of the SQL that it exports."""
     text, again = trees.from_text(trees.to_text(TREE)), trees.from_json(trees.to_json(SECOND))
@@ -197,7 +187,9 @@ def usable_features(spark, sf_dir):
 
 
 def automatic_bins(spark, sf_dir):
-    return spark.createDataFrame([(n, *binning.auto_settings(n)) for n in (10, 999, 1000, 50_000, 10_000_000)], "n long, max_bins int, min_data int")
+    """Settings for the sizes of some tables."""
+    sizes = {t: read_table(spark, sf_dir, t).count() for t in ("nation", "customer", "orders", "lineitem", "events")}
+    return spark.createDataFrame([(t, n, *binning.auto_settings(n)) for t, n in sizes.items()], "table string, n long, max_bins int, min_data int")
 
 
 def complete_rows(spark, sf_dir):
@@ -238,7 +230,7 @@ def confidence_stops(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        objectives, objective_multiclass, objective_ranking, category_cuts, refitted_leaves, tree_importance, tree_shape, tree_round_trip, leaf_numbers, score_first_trees, score_linear_leaves, fit_linear_leaves, contributions, compared_models, stop_rules,
+        objectives, objective_multiclass, objective_ranking, category_cuts, refitted_leaves, tree_round_trip, leaf_numbers, score_first_trees, score_linear_leaves, fit_linear_leaves, contributions, compared_models, stop_rules,
         sparse_histogram, quantised_histogram, constant_hessian_histogram, bundled_features, best_split_with_costs, smoothed_values, cut_information, binning_strategies, bin_training_categorical, common_bin,
         usable_features, automatic_bins, complete_rows, chosen_features, log_scaled, class_count, score_early_stop_multiclass, confidence_stops,
     )
@@ -279,7 +271,6 @@ _RIDGE = """
     SELECT CAST(leaf AS INTEGER) AS leaf, round(-((sxx + 1) * sg - sx * sgx) / (n * (sxx + 1) - sx * sx), 3) AS intercept, round(-(n * sgx - sx * sg) / (n * (sxx + 1) - sx * sx), 3) AS slope FROM (
       SELECT CASE WHEN l_quantity <= 24.5 THEN 1 ELSE 2 END AS leaf, count(*) AS n, sum(l_discount) AS sx, sum(l_discount * l_discount) AS sxx, sum(1 - l_extendedprice / 1000) AS sg, sum((1 - l_extendedprice / 1000) * l_discount) AS sgx
       FROM {source} WHERE l_discount IS NOT NULL GROUP BY 1)"""
-_SHARES = {"split": ([("l_discount", 1.0), ("l_linenumber", 1.0), ("l_quantity", 1.0), ("l_tax", 1.0)], 4.0), "gain": ([("l_discount", 3.0), ("l_tax", 1.0), ("l_linenumber", 0.0), ("l_quantity", 0.0)], 4.0), "cover": ([("l_linenumber", 60.0), ("l_quantity", 60.0), ("l_discount", 30.0), ("l_tax", 30.0)], 180.0)}
 _BITS = "CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0 END"
 
 ORACLE = {
@@ -300,9 +291,6 @@ ORACLE = {
     "refitted_leaves": f"""
         SELECT CAST(leaf AS INTEGER) AS leaf, round({_D(0.5)} * old + {_D(0.5)} * -sum(l_extendedprice / 1000 - 30) / (count(*) + 1), 4) AS value, count(*) AS n FROM
           (SELECT {_LEAF_ONE} AS leaf, l_extendedprice FROM {HOLED_SQL}) JOIN (VALUES OLDVALUES) v(leaf2, old) ON leaf = leaf2 GROUP BY leaf, old""".replace("OLDVALUES", ", ".join(f"({i}, CAST({TREE.nodes[i].value} AS DOUBLE))" for i in TREE.leaves())),
-    "tree_importance": "SELECT k AS kind, f AS feature, CAST(v AS DOUBLE) AS value, round(CAST(v AS DOUBLE) / t, 6) AS share FROM (VALUES " + ", ".join(f"('{k}', '{f}', {v}, {t})" for k, (rows, t) in _SHARES.items() for f, v in rows) + ") q(k, f, v, t)",
-    "tree_shape": "SELECT t AS tree, CAST(l AS INTEGER) AS leaves, CAST(d AS INTEGER) AS depth, CAST(e AS DOUBLE) AS expected, CAST(lo AS DOUBLE) AS lowest, CAST(hi AS DOUBLE) AS highest, b AS branch FROM (VALUES "
-    "('first', 4, 2, 0.5 * (-15 + 5 + 9 + 36) / 60, -0.75, 1.0, 'l_quantity,l_discount'), ('second', 2, 1, (24 - 18) / 60.0, -0.5, 1.0, 'l_linenumber')) q(t, l, d, e, lo, hi, b)",
     "tree_round_trip": f"SELECT l_linenumber, round(sum({_ONE}), 4) AS first, round(CAST(sum({_TWO}) AS DOUBLE), 4) AS second, round(sum({_ONE}), 4) AS exported FROM {HOLED_SQL} GROUP BY 1",
     "leaf_numbers": f"SELECT CAST({_LEAF_ONE} AS VARCHAR) || ',' || CASE WHEN l_linenumber IN (1, 4, 6) THEN '1' ELSE '2' END AS leaves, count(*) AS n FROM {HOLED_SQL} GROUP BY 1",
     "score_first_trees": f"SELECT l_linestatus, round(sum({_D(0.25)} + {_ONE}), 3) AS one, round(sum({_D(0.25)} + {_ONE} + {_TWO}), 3) AS two FROM {HOLED_SQL} GROUP BY 1",
@@ -334,8 +322,13 @@ ORACLE = {
         WITH c AS (SELECT CASE WHEN l_discount <= 0.015 THEN 0 WHEN l_discount <= 0.035 THEN 1 WHEN l_discount <= 0.055 THEN 2 WHEN l_discount <= 0.075 THEN 3 ELSE 4 END AS b, count(*) AS n FROM lineitem GROUP BY 1),
         t AS (SELECT b, n / CAST(sum(n) OVER () AS DOUBLE) AS r, row_number() OVER (ORDER BY n DESC, b) AS k FROM c)
         SELECT CAST(CASE WHEN r < 0.2 THEN 0 ELSE b END AS INTEGER) AS bin, round(CASE WHEN r < 0.2 THEN (SELECT r FROM t WHERE b = 0) ELSE r END, 6) AS rate FROM t WHERE k = 1""",
-    "usable_features": "SELECT 'l_quantity' AS feature",
-    "automatic_bins": "SELECT CAST(n AS BIGINT) AS n, CAST(b AS INTEGER) AS max_bins, CAST(m AS INTEGER) AS min_data FROM (VALUES (10, 32, 3), (999, 32, 3), (1000, 64, 3), (50000, 128, 3), (10000000, 255, 392)) t(n, b, m)",
+    "usable_features": " UNION ALL ".join(
+        f"SELECT '{f}' AS feature FROM lineitem HAVING " + " OR ".join(f"(count(*) FILTER (WHERE {v} <= {b}) >= 20 AND count(*) FILTER (WHERE {v} > {b}) >= 20)" for b in bounds)
+        for f, v, bounds in (("flat", "1.0", (0.5,)), ("rare", "CAST(l_linenumber > 100 AS INTEGER)", (0.5,)), ("l_quantity", "l_quantity", (25.0,)))
+    ),
+    "automatic_bins": """
+        SELECT t AS "table", n, b AS max_bins, CAST(greatest(3, n // (b * 100)) AS INTEGER) AS min_data FROM (
+          SELECT *, CASE WHEN n < 1000 THEN 32 WHEN n < 10000 THEN 64 WHEN n < 100000 THEN 128 ELSE 255 END AS b FROM (""" + " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in ("nation", "customer", "orders", "lineitem", "events")) + "))",
     "complete_rows": f"SELECT count(*) AS n, 'l_quantity,l_extendedprice,l_tax' AS features FROM {HOLED_SQL} WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL",
     "chosen_features": "SELECT * FROM (VALUES ('variance', 'l_quantity,l_extendedprice,twice'), ('correlation', 'l_quantity,l_extendedprice,l_discount,l_tax,flat'), ('first', 'l_quantity,l_extendedprice')) t(rule, features)",
     "log_scaled": "SELECT round(sum(sign(l_extendedprice - 30000) * ln(1 + abs(l_extendedprice - 30000))), 2) AS total FROM lineitem",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from timberline.operators import boosting, trees
 from timberline.plans.common import HOLED_SQL, KEY, holed, rounded
+from timberline.session import read_table
 
 #: A tree written by hand, so that scoring has an equal in SQL.
 TREE = trees.Tree(
@@ -66,8 +67,9 @@ def boosted_early_stop(spark, sf_dir):
 
 
 def stop_rounds(spark, sf_dir):
-    """The early-stop rule over a metric log of 60 rounds."""
-    log = spark.range(60).select("id", F.round(100 / (F.col("id") + 1) + F.pmod(F.col("id") * 7, F.lit(5)), 6).alias("metric"))
+    """The early-stop rule over a metric log, the mean value of each day's events."""
+    days = read_table(spark, sf_dir, "events").groupBy(F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("id"))
+    log = days.agg(F.round(F.avg("value"), 6).alias("metric"))
     return boosting.stop_round(log, "metric", "id", 8)
 
 
@@ -84,7 +86,7 @@ ORACLE = {
     "leaf_distribution": f"SELECT CAST({_LEAF} AS INTEGER) AS leaf, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM lineitem) AS DOUBLE), 6) AS share FROM {HOLED_SQL} GROUP BY 1",
     "leaf_entropy": f"SELECT round(-sum(s * log2(s)), 6) AS entropy FROM (SELECT count(*) / CAST((SELECT count(*) FROM lineitem) AS DOUBLE) AS s FROM {HOLED_SQL} GROUP BY {_LEAF})",
     "stop_rounds": """
-        WITH l AS (SELECT id, round(CAST(100 AS DOUBLE) / (id + 1) + (id * 7) % 5, 6) AS m FROM range(60) r(id)), b AS (SELECT id, min(m) OVER (ORDER BY id) AS best FROM l),
+        WITH l AS (SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS id, round(avg(value), 6) AS m FROM events GROUP BY 1), b AS (SELECT id, min(m) OVER (ORDER BY id) AS best FROM l),
         i AS (SELECT id, best, CASE WHEN lag(best) OVER (ORDER BY id) IS NULL OR best < lag(best) OVER (ORDER BY id) THEN id END AS hit FROM b)
         SELECT id, best, id - last_value(hit IGNORE NULLS) OVER (ORDER BY id) AS gap, id - last_value(hit IGNORE NULLS) OVER (ORDER BY id) >= 8 AS stop FROM i""",
 }

@@ -55,6 +55,12 @@ def bin_adaptive(spark, sf_dir):
     return rounded(binning.bounds_table(df, [binning.fit_adaptive(df, "l_extendedprice", 8, 20)]), 4, "upper")
 
 
+def bin_on_target(spark, sf_dir):
+    """Bins of the price that tell most of the quantity."""
+    df = lineitem(spark, sf_dir)
+    return rounded(binning.bounds_table(df, [binning.fit_adaptive(df, "l_extendedprice", 5, 50, target="l_quantity")]), 4, "upper")
+
+
 def _binned(spark, sf_dir):
     df = holed(spark, sf_dir)
     mappers = [m.with_missing("separate") for m in _fixed()]
@@ -91,7 +97,8 @@ def best_split(spark, sf_dir):
 
 
 def bin_offsets(spark, sf_dir):
-    sizes = spark.createDataFrame([(m.feature, m.n_bins) for m in _fixed()], "feature string, n_bins int")
+    mappers = binning.fit_quantile(lineitem(spark, sf_dir), list(CUTS), 64)
+    sizes = spark.createDataFrame([(m.feature, m.n_bins) for m in mappers], "feature string, n_bins int")
     return histogram.bin_offsets(sizes)
 
 
@@ -108,7 +115,7 @@ def route_rows(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (bin_bounds_quantile, bin_bounds_uniform, bin_counts, bin_categorical, bin_middles, bin_training, bin_adaptive, root_histogram, leaf_histograms, histogram_subtraction, split_candidates, best_split, bin_offsets, feature_conflicts, route_rows)
+    for f in (bin_bounds_quantile, bin_bounds_uniform, bin_counts, bin_categorical, bin_middles, bin_training, bin_adaptive, bin_on_target, root_histogram, leaf_histograms, histogram_subtraction, split_candidates, best_split, bin_offsets, feature_conflicts, route_rows)
 }
 
 
@@ -155,7 +162,22 @@ _QUANTILE = f"""
       SELECT c.feature, c.k, CASE WHEN d <= 16 OR c.below - last >= 3 THEN c.below ELSE last END, c.value, d <= 16 OR c.below - last >= 3
       FROM kept JOIN cuts c ON c.feature = kept.feature AND c.k = kept.k + 1 JOIN flags f ON f.feature = c.feature)"""
 
+def _adaptive_sql(value: str, y: str, bins: int, least: int) -> str:
+    """Cuts one at a time: the best of all parts by the fall of the squared deviations of ``y``."""
+    ctes = [f"r_0 AS (SELECT {value} AS v, {y} - avg({y}) OVER () AS y, 0 AS part FROM lineitem)"]
+    for k in range(bins - 1):
+        ctes.append(f"""c_{k} AS (SELECT part, v, CAST(sum(n) OVER w AS DOUBLE) AS n, sum(s) OVER w AS s, sum(q) OVER w AS q, CAST(sum(n) OVER a AS DOUBLE) AS an, sum(s) OVER a AS xs, sum(q) OVER a AS xq
+          FROM (SELECT part, v, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM r_{k} GROUP BY 1, 2) WINDOW w AS (PARTITION BY part ORDER BY v ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY part))""")
+        ctes.append(f"""b_{k} AS (SELECT part, v, xq - xs * xs / an - (q - s * s / n) - (xq - q - (xs - s) * (xs - s) / (an - n)) AS gain FROM c_{k} WHERE n >= {least} AND an - n >= {least}
+          QUALIFY row_number() OVER (ORDER BY gain DESC, v) = 1)""")
+        ctes.append(f"r_{k + 1} AS (SELECT r.v, r.y, CASE WHEN r.part = b.part AND r.v > b.v THEN {k + 1} ELSE r.part END AS part FROM r_{k} r, b_{k} b)")
+    cuts = " UNION ALL ".join(f"SELECT v FROM b_{k}" for k in range(bins - 1))
+    return f"WITH {', '.join(ctes)}, u AS ({cuts} UNION ALL SELECT max({value}) FROM lineitem) SELECT '{value}' AS feature, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS bin, round(v, 4) AS upper FROM u"
+
+
 ORACLE = {
+    "bin_adaptive": _adaptive_sql("l_extendedprice", "l_extendedprice", 8, 20),
+    "bin_on_target": _adaptive_sql("l_extendedprice", "l_quantity", 5, 50),
     "bin_bounds_quantile": _QUANTILE + " SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS INTEGER) AS bin, round(value, 6) AS upper FROM kept WHERE keep",
     "bin_bounds_uniform": f"""
         SELECT feature, CAST(i - 1 AS INTEGER) AS bin, round(lo + (hi - lo) * i / 8, 4) AS upper FROM (
@@ -178,7 +200,8 @@ ORACLE = {
     "best_split": f"""
         SELECT leaf, feature, bin, ln AS left_n, rn AS right_n, round(round(gain, 6), 4) AS gain, round(-lg / (lh + 1), 4) AS left_value, round(-rg / (rh + 1), 4) AS right_value FROM (
           SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY round(gain, 6) DESC, feature, bin) AS k FROM ({_cuts('l_linenumber', '0', '1')}) WHERE round(gain, 6) > 0) WHERE k = 1""",
-    "bin_offsets": "SELECT * FROM (VALUES ('l_discount', 5, CAST(0 AS BIGINT)), ('l_quantity', 5, CAST(5 AS BIGINT)), ('l_tax', 4, CAST(10 AS BIGINT))) t(feature, n_bins, \"offset\")",
+    "bin_offsets": """WITH n AS (SELECT 'l_discount' AS feature, count(DISTINCT l_discount) AS n FROM lineitem UNION ALL SELECT 'l_quantity', count(DISTINCT l_quantity) FROM lineitem UNION ALL SELECT 'l_tax', count(DISTINCT l_tax) FROM lineitem)
+        SELECT feature, CAST(n AS INTEGER) AS n_bins, CAST(sum(n) OVER (ORDER BY feature) - n AS BIGINT) AS "offset" FROM n""",
     "feature_conflicts": f"""
         SELECT 'l_quantity' AS a, 'l_discount' AS b, count(*) AS n FROM {_BINNED} WHERE b_l_quantity <> 0 AND b_l_discount <> 5
         UNION ALL SELECT 'l_quantity', 'l_tax', count(*) FROM {_BINNED} WHERE b_l_quantity <> 0 AND b_l_tax <> 4
