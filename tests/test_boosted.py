@@ -133,3 +133,19 @@ def test_training_on_bundles_gives_the_same_trees(spark):
         assert [(n.feature, n.threshold, n.count) for n in one.nodes] == [(n.feature, n.threshold, n.count) for n in two.nodes]
         assert [n.value for n in one.nodes] == pytest.approx([n.value for n in two.nodes])
     assert trees.importance(plain.trees) == trees.importance(shared.trees)
+
+
+def test_linear_leaves_follow_their_path(spark):
+    """Lines in the leaves beat constants on a line with a step; each leaf has the features of its own path; gaps fall back."""
+    df = spark.range(600).select("id", (F.pmod(F.col("id") * 37, F.lit(100)) / 10).alias("x"), F.pmod(F.col("id") * 11, F.lit(9)).cast("double").alias("z"))
+    df = df.withColumn("y", 2 * F.col("x") + F.when(F.col("z") > 4, 5.0).otherwise(0.0))
+    error = lambda m, d: d.agg(F.avg((m.raw() - F.col("y")) ** 2)).first()[0]
+    plain, lines = (boosting.train(df, ["x", "z"], "y", ["id"], rounds=2, rate=1.0, num_leaves=4, min_data=5, linear=v) for v in (None, 1e-6))
+    assert error(lines, df) < 0.1 * error(plain, df)
+    tree = lines.trees[0]
+    for leaf in tree.leaves():
+        assert set(tree.nodes[leaf].linear) == {"", *tree.branch(leaf)}
+    again = boosting.Ensemble.from_json(lines.to_json())
+    assert error(again, df) == error(lines, df)
+    holes = df.withColumn("x", F.when(F.col("id") % 2 == 0, F.col("x")))
+    assert holes.where("x is null").agg(F.count_if(lines.raw().isNull())).first()[0] == 0
