@@ -149,7 +149,7 @@ def test_mappers_are_saved_and_loaded(spark, tmp_path):
 
 def test_training_fit_and_usable_features(spark):
     df = spark.range(300).select("id", F.when(F.col("id") % 10 != 0, F.col("id").cast("double")).alias("x"), F.lit(1.0).alias("flat"))
-    x, flat = binning.fit_training(df, ["x", "flat"], ["id"], 8, 3)
+    x, flat = binning.fit_training(df, ["x", "flat"], 8, 3)
     assert x.missing == "separate" and x.bounds[-1] == math.inf
     assert [m.feature for m in binning.usable_features(df, [x, flat], 20)] == ["x"]
     assert binning.most_frequent_bin(df, flat)[1] == 1.0
@@ -173,3 +173,26 @@ def test_values_at_exact_positions(spark, monkeypatch, fences, range_rows):
         v = np.sort([r[k] for r in rows if r[k] is not None])
         assert got[f] == {p: (v[p], int((v < v[p]).sum()), int((v == v[p]).sum())) for p in set(places[f]) if p < len(v)}
     assert got["c"] == {}
+
+
+@pytest.mark.parametrize("counted,near", [(100_000, 64), (20, 64), (20, 0)])
+def test_training_bounds_of_all_rows_are_those_of_the_rule(spark, monkeypatch, counted, near):
+    """Long columns, whose values are looked up, get the bounds of the rule on all value counts."""
+    monkeypatch.setattr(binning, "COUNTED_VALUES", counted)
+    monkeypatch.setattr(binning, "NEAR", near)
+    rng = np.random.default_rng(11)
+    n = 1500
+    a = np.round(rng.normal(size=n), 2)  # repeats, both signs
+    b = np.concatenate([rng.exponential(size=n - 500), np.full(300, 0.7), np.full(120, 2.0), np.zeros(80)])  # heavy values
+    c = np.where(np.arange(n) % 3 == 0, np.nan, np.arange(n) % 4.0)  # few values, gaps
+    d = -rng.exponential(size=n)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, c, d, strict=True)], "a double, b double, c double, d double").repartition(3)
+    forced = {"d": [-1.0, -0.25]}
+    for bins, least in ((12, 3), (60, 20)):
+        got = {m.feature: m for m in binning.fit_training(df, list("abcd"), bins, least, forced)}
+        for f, x in zip("abcd", (a, b, c, d), strict=True):
+            values, counts = np.unique(x[~np.isnan(x)], return_counts=True)
+            room = bins - int(np.isnan(x).any())
+            rule = binning.forced_bounds(values.tolist(), counts.tolist(), room, least, forced[f]) if f in forced else binning.zero_bin_bounds(values.tolist(), counts.tolist(), room, least)
+            assert list(got[f].bounds) == rule, (f, bins)
+            assert (got[f].missing == "separate") == bool(np.isnan(x).any())

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -13,14 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timberline.operators.ordering import outlines, running_sums, values_at
+from timberline.operators.ordering import Outline, outlines, running_sums, values_at
 from timberline.operators.spec import long_form, valid
 from timberline.session import materialize
 
 #: Values closer to zero than this are zero.
 ZERO = 1e-35
-#: Rows that training-grade bounds are found on, about, in larger tables; a hash of the key picks them.
-SAMPLE_ROWS = 200_000
+#: Columns of about as many values have all of them counted for training-grade bounds; of longer ones those near the
+#: ends of bins are looked up, so many rows on both sides of a guess.
+COUNTED_VALUES = 100_000
+NEAR = 64
 
 
 @dataclass(frozen=True)
@@ -346,10 +349,14 @@ def zero_bin_bounds(values: list[float], counts: list[int], max_bin: int, min_da
     return [*negative, math.inf]
 
 
+def _fences(forced: list[float], max_bin: int) -> list[float]:
+    return sorted({-ZERO, ZERO}.union(b for b in forced if abs(b) > ZERO))[: max(max_bin - 1, 0)]
+
+
 def forced_bounds(values: list[float], counts: list[int], max_bin: int, min_data: int, forced: list[float]) -> list[float]:
     """The given bounds and zero's stand; the bins that are left go to the stretches between them by their rows."""
     v, n = np.asarray(values, dtype=float), np.asarray(counts, dtype=np.int64)
-    fences = sorted({-ZERO, ZERO}.union(b for b in forced if abs(b) > ZERO))[: max(max_bin - 1, 0)]
+    fences = _fences(forced, max_bin)
     free = max_bin - 1 - len(fences)
     chosen = set(fences)
     for lo, hi in zip([-math.inf, *fences], [*fences, math.inf], strict=True):
@@ -360,37 +367,166 @@ def forced_bounds(values: list[float], counts: list[int], max_bin: int, min_data
     return [*sorted(chosen)[: max(max_bin - 1, 0)], math.inf]
 
 
-def fit_training(df: DataFrame, features: list[str], key: list[str], max_bin: int = 255, min_data: int = 3, forced: dict[str, list[float]] | None = None, use_missing: bool = True) -> list[Mapper]:
-    """Training-grade mappers; each feature's fold is a task of its own.
+def _ends_of_bins(total: int, max_bin: int, min_data: int, heavy: list[tuple[float, int, int]], look: Callable[[int], tuple[float, int, int]]) -> list[tuple[float, int]]:
+    """The rule of ``equal_count_bounds`` for many values, by rows: ``(last value, rows up to its end)`` of each bin but the last.
 
-    Bounds are found on about SAMPLE_ROWS rows, those of the least hashes of
-    the key (all rows of a smaller table); missing cells, the least and the
-    largest value are those of all rows.  A feature with missing cells keeps
-    one bin for them.
+    ``look`` gives ``(value, rows below it, rows of it)`` at a row; ``heavy``
+    lists the values that end their bins, in order.
+    """
+    bins = max(1, min(max_bin, total // max(min_data, 1)))
+    starts = [below for _, below, _ in heavy]
+    upto = np.concatenate(([0], np.cumsum([n for _, _, n in heavy]))).tolist()
+    light_bins = bins - len(heavy)
+
+    def share(row: int) -> float:
+        k = bisect.bisect_left(starts, row)
+        return ((total - upto[-1]) - (row - upto[k])) / light_bins if light_bins > 0 else math.inf
+
+    goal, row, out = share(0), 0, []
+    while row < total and len(out) < bins - 1:
+        k = bisect.bisect_left(starts, row)
+        wall = heavy[k] if k < len(heavy) else None
+        spot = row + max(math.ceil(goal) - 1, 0) if math.isfinite(goal) else total
+        if wall is not None and spot >= wall[1]:
+            held = wall[1] - row
+            if held >= max(1.0, goal / 2):
+                end, by_wall = (look(wall[1] - 1)[0], wall[1]), False
+            else:
+                end, by_wall = (wall[0], wall[1] + wall[2]), True
+        elif spot >= total:
+            break
+        else:
+            value, below, n = look(spot)
+            end, by_wall = (value, below + n), False
+        if end[1] >= total:
+            break
+        out.append(end)
+        row = end[1]
+        if not by_wall:
+            light_bins -= 1
+            goal = share(row)
+    return out
+
+
+class _Lookup:
+    """Values known so far of a column that is too long to be held; what is asked for and not known is noted."""
+
+    def __init__(self):
+        self.below: list[int] = []
+        self.cells: list[tuple[float, int, int]] = []
+        self.asked: set[int] = set()
+
+    def add(self, cells: Iterable[tuple[float, int, int]]) -> None:
+        self.cells = sorted({*self.cells, *cells}, key=lambda c: c[1])
+        self.below = [c[1] for c in self.cells]
+
+    def __call__(self, row: int) -> tuple[float, int, int]:
+        k = bisect.bisect_right(self.below, row) - 1
+        if k >= 0 and row < self.cells[k][1] + self.cells[k][2]:
+            return self.cells[k]
+        self.asked.add(row)
+        return math.nan, row, 1
+
+
+def _equal_counts(df: DataFrame, lines: dict[str, Outline], bins: dict[str, int], min_data: int) -> dict[str, list[float]]:
+    """``equal_count_bounds`` of each column of ``df`` that ``bins`` names, over all of its rows.
+
+    Columns of about COUNTED_VALUES values or fewer have them counted, and each
+    is folded in a task of its own.  Of longer ones only the values where bins
+    may end are looked up, again until none is missing: the rows of a bin say
+    where the next ends, so a guess is off by a few rows at most, and NEAR
+    values on both sides of it are looked up with it.
+    """
+    out: dict[str, list[float]] = {f: [math.inf] for f in bins}
+    short = [f for f in bins if 0 < lines[f].distinct <= COUNTED_VALUES]
+    if short:
+        counts = long_form(df, short).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
+
+        def fold(one: pd.DataFrame) -> pd.DataFrame:
+            name, own = one["feature"].iloc[0], one.sort_values("value")
+            return pd.DataFrame({"feature": [name], "bounds": [equal_count_bounds(own["value"].tolist(), own["n"].tolist(), bins[name], min_data)]})
+
+        out |= {r["feature"]: list(r["bounds"]) for r in counts.groupBy("feature").applyInPandas(fold, "feature string, bounds array<double>").collect()}
+    known = {f: _Lookup() for f in bins if lines[f].distinct > COUNTED_VALUES}
+    # a heavy value holds one of the rows at every ``total // aimed``
+    aimed = {f: max(1, min(bins[f], lines[f].total // max(min_data, 1))) for f in known}
+    first = values_at(df, {f: list(range(0, lines[f].total, max(lines[f].total // aimed[f], 1))) for f in known}, lines)
+    heavy = {}
+    for f in known:
+        known[f].add(first[f].values())
+        heavy[f] = [c for c in known[f].cells if c[2] >= lines[f].total / aimed[f]]
+    open_ = dict(known)
+    while open_:
+        missing = {}
+        for f, look in list(open_.items()):
+            look.asked = set()
+            ends = _ends_of_bins(lines[f].total, bins[f], min_data, heavy[f], look)
+            nexts = [look(row)[0] for _, row in ends]
+            if look.asked:
+                missing[f] = sorted({p for row in look.asked for p in range(row - NEAR, row + NEAR + 1)})
+            else:
+                out[f] = [*dict.fromkeys(_between(v, w) for (v, _), w in zip(ends, nexts, strict=True)), math.inf]
+                del open_[f]
+        for f, cells in values_at(df, missing, lines).items():
+            known[f].add(cells.values())
+    return out
+
+
+def fit_training(df: DataFrame, features: list[str], max_bin: int = 255, min_data: int = 3, forced: dict[str, list[float]] | None = None, use_missing: bool = True) -> list[Mapper]:
+    """Training-grade mappers over all rows; the driver sees the values at which bins may end.
+
+    Zero has a bin of its own, or the forced bounds and zero's stand; the rest
+    of a feature is cut into stretches between those, which get bins by their
+    rows, each stretch being a column of its own here.  A feature with missing
+    cells keeps one bin for them.
     """
     forced = forced or {}
     cells = long_form(df, features).groupBy("feature")
-    whole = {r["feature"]: r for r in cells.agg(F.count("*").alias("n"), F.count("value").alias("valid"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
-    total = max((r["n"] for r in whole.values()), default=0)
-    share = math.ceil(SAMPLE_ROWS / max(total, 1) * (1 << 30))
-    sample = df if total <= SAMPLE_ROWS else df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < share)
-    counts = long_form(sample, features).groupBy("feature", "value").agg(F.count("*").alias("n"))
-
-    def fold(one: pd.DataFrame) -> pd.DataFrame:
-        feature = one["feature"].iloc[0]
-        own = one.dropna(subset=["value"]).sort_values("value")
-        values, n = own["value"].tolist(), own["n"].tolist()
-        bins = max_bin - int(gaps[feature])
-        bounds = forced_bounds(values, n, bins, min_data, forced[feature]) if feature in forced else zero_bin_bounds(values, n, bins, min_data)
-        return pd.DataFrame({"feature": [feature], "bounds": [bounds]})
-
+    whole = {r["feature"]: r for r in cells.agg(F.count("*").alias("n"), F.count("value").alias("valid"), F.max("value").alias("hi")).collect()}
     gaps = {f: use_missing and f in whole and whole[f]["valid"] < whole[f]["n"] for f in features}
-    by = {r["feature"]: tuple(r["bounds"]) for r in counts.groupBy("feature").applyInPandas(fold, "feature string, bounds array<double>").collect()}
+    room = {f: max_bin - int(gaps[f]) for f in features}
+    stretches: dict[str, list[tuple[float, float]]] = {}
+    for f in features:
+        fences = _fences(forced[f], room[f]) if f in forced else []
+        stretches[f] = list(zip([-math.inf, *fences], [*fences, math.inf], strict=True)) if f in forced else [(-math.inf, math.nextafter(-ZERO, -math.inf)), (ZERO, math.inf)]
+    names = {f"{i}_{k}": (f, k) for i, f in enumerate(features) for k in range(len(stretches[f]))}
+    parts = []
+    for name, (f, k) in names.items():
+        v, (lo, hi) = valid(f), stretches[f][k]
+        parts.append(F.when((v > lo if lo > -math.inf else F.lit(True)) & (v <= hi if hi < math.inf else F.lit(True)), v).alias(name))
+    rows = df.select(*parts)
+    lines = outlines(rows, list(names))
+    size = {place: lines[name].total for name, place in names.items()}
+    name_of = {place: name for name, place in names.items()}
+
+    def ask(bins: dict[tuple[str, int], int]) -> dict[tuple[str, int], list[float]]:
+        found = _equal_counts(rows, lines, {name_of[place]: n for place, n in bins.items() if size[place]}, min_data)
+        return {names[name]: bounds for name, bounds in found.items()}
+
+    first: dict[tuple[str, int], int] = {}
+    for f in features:
+        if f in forced:
+            free = room[f] - 1 - (len(stretches[f]) - 1)
+            each = {(f, k): 1 + round(size[f, k] * free / max(whole[f]["valid"], 1)) for k in range(len(stretches[f]))}
+            first |= {place: n for place, n in each.items() if n > 1}
+        elif size[f, 0]:
+            first[f, 0] = max(1, int(size[f, 0] / (size[f, 0] + size[f, 1]) * (room[f] - 1)))
+    found = ask(first)
+    # what the bins of the negatives leave is for the positives
+    negative = {f: [*found[f, 0][:-1], -ZERO] if (f, 0) in found else [] for f in features if f not in forced}
+    second = {(f, 1): room[f] - 1 - len(negative[f]) for f in negative if size[f, 1]}
+    positive = ask({place: n for place, n in second.items() if n > 0})
     out = []
     for f in features:
-        bounds, hi = by.get(f, (math.inf,)), whole[f]["hi"] if f in whole and whole[f]["hi"] is not None else 0.0
+        if f in forced:
+            fences = [hi for _, hi in stretches[f][:-1]]
+            inner = {b for k, (lo, hi) in enumerate(stretches[f]) for b in found.get((f, k), []) if lo < b < hi}
+            bounds = [*sorted({*fences, *inner})[: max(room[f] - 1, 0)], math.inf]
+        else:
+            bounds = [*negative[f], ZERO, *positive[f, 1]] if (f, 1) in positive else [*negative[f], math.inf]
+        hi = whole[f]["hi"] if f in whole and whole[f]["hi"] is not None else 0.0
         top = bounds[-2] if len(bounds) > 1 else hi
-        m = Mapper(f, bounds=bounds, lowest=-math.inf, highest=math.nextafter(max(top, hi), math.inf))
+        m = Mapper(f, bounds=tuple(bounds), lowest=-math.inf, highest=math.nextafter(max(top, hi), math.inf))
         out.append(m.with_missing("separate") if gaps[f] else m)
     return out
 

@@ -46,7 +46,7 @@ def bin_middles(spark, sf_dir):
 
 def bin_training(spark, sf_dir):
     df = holed(spark, sf_dir)
-    mappers = binning.fit_training(df, FEATURES, KEY, 32, 3)
+    mappers = binning.fit_training(df, FEATURES, 32, 3)
     return rounded(binning.bounds_table(df, mappers), 6, "upper")
 
 
