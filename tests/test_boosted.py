@@ -149,3 +149,31 @@ def test_linear_leaves_follow_their_path(spark):
     assert error(again, df) == error(lines, df)
     holes = df.withColumn("x", F.when(F.col("id") % 2 == 0, F.col("x")))
     assert holes.where("x is null").agg(F.count_if(lines.raw().isNull())).first()[0] == 0
+
+
+def test_prices_are_paid_once_a_model_and_once_a_row(spark):
+    from timberline.operators.binning import Mapper
+
+    df = spark.range(400).select("id", *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(6)).cast("int").alias(f"bin_{f}") for k, f in enumerate("xz")])
+    df = df.withColumn("g", -(F.col("bin_x") + 0.9 * F.col("bin_z"))).withColumn("h", F.lit(1.0)).withColumn("__paid", F.when(F.col("id") % 2 == 0, 1).otherwise(0).cast("long")).cache()
+    mappers = [Mapper(f, bounds=tuple(k + 0.5 for k in range(6)), highest=5.0) for f in "xz"]
+    names = lambda t: [n.feature for n in t.nodes if not n.is_leaf]
+    free = trees.grow(df, mappers, num_leaves=4, min_data=5)
+    assert set(names(free)) == {"x", "z"}
+    # so dear that only one feature is ever worth it; one that an earlier tree paid for costs nothing
+    assert set(names(trees.grow(df, mappers, num_leaves=4, min_data=5, once={"x": 1e9}))) == {"z"}
+    assert names(trees.grow(df, mappers, num_leaves=4, min_data=5, once={"x": 1e9}, used={"x"})) == names(free)
+    # a price below the root's gain is taken off once: the next cut of the feature gains as without it
+    some = trees.grow(df, mappers, num_leaves=4, min_data=5, once={"x": 10.0, "z": 10.0})
+    root = [n for n in free.nodes if not n.is_leaf][0]
+    assert some.nodes[0].feature == root.feature and some.nodes[0].gain == pytest.approx(root.gain - 10)
+    again = [n for n in some.nodes[1:] if n.feature == root.feature]
+    plain = {(n.feature, n.bin, n.count): n.gain for n in free.nodes if not n.is_leaf}
+    assert all(n.gain == pytest.approx(plain.get((n.feature, n.bin, n.count), n.gain)) for n in again)
+    # half of the rows have asked for x before and do not pay
+    rows = trees.grow(df, mappers, num_leaves=2, min_data=5, each={"x": 0.01})
+    cost = 0.01 * df.where("id % 2 = 1").count()
+    assert rows.nodes[0].gain == pytest.approx((root.gain - cost) if root.feature == "x" and rows.nodes[0].feature == "x" else rows.nodes[0].gain)
+    toy = df.select("id", F.col("bin_x").cast("double").alias("x"), F.col("bin_z").cast("double").alias("z"), (-F.col("g")).alias("y"))
+    model = boosting.train(toy, ["x", "z"], "y", ["id"], rounds=3, rate=0.5, num_leaves=3, min_data=5, once={"x": 100.0}, each={"z": 1e6})
+    assert {n for t in model.trees for n in names(t)} <= {"x"}

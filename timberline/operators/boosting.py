@@ -385,6 +385,11 @@ def train(
     start = start_score(rows.where("__train"), kind, F.col("__y"), shape)
     model = Ensemble(start=0.0 if mode == "rf" else start, objective=kind, average=mode == "rf")
     scored = rows.withColumn("__s", F.lit(float(start)))
+    each = sorted(tree_options.get("each") or {})
+    if tree_options.get("once"):
+        tree_options = {**tree_options, "used": set()}
+    if each:
+        scored = scored.withColumn("__paid", F.lit(0).cast("long"))
     for k in range(rounds):
         dropped = [i for i in range(len(model.trees)) if mode == "dart" and (hash((seed, k, i)) % 10_000) < drop_rate * 10_000]
         s = F.col("__s") - sum((trees.score_expression(model.trees[i]) for i in dropped), F.lit(0.0))
@@ -420,6 +425,10 @@ def train(
             after = sum((trees.score_expression(model.trees[i]) for i in dropped), F.lit(0.0))
             scored = scored.withColumn("__s", F.col("__s") - before + after)
         model.trees.append(tree)
+        if each:  # rows that have asked for a feature do not pay for it again
+            bits = {leaf: sum(1 << each.index(f) for f in set(tree.branch(leaf)) & set(each)) for leaf in tree.leaves()}
+            asked = F.element_at(F.create_map(*[F.lit(x) for leaf, b in bits.items() for x in (leaf, b)]), trees.leaf_expression(tree))
+            scored = scored.withColumn("__paid", F.col("__paid").bitwiseOR(asked.cast("long")))
         if mode != "rf":
             scored = scored.withColumn("__s", F.col("__s") + trees.score_expression(tree))
         if (k + 1) % 4 == 0:

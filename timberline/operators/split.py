@@ -58,11 +58,12 @@ def loss_fall(g: Column, h: Column, value: Column, l1: float, l2: float) -> Colu
     return -(g * value + 0.5 * (h + l2) * value * value) - l1 * F.abs(value)
 
 
-def best_splits(hist: DataFrame, digits: int | None = None, monotone: dict[str, int] | None = None, penalty: dict[str, float] | None = None, extra: int | None = None, bounds: dict[int, tuple[float, float]] | None = None, **limits) -> DataFrame:
+def best_splits(hist: DataFrame, digits: int | None = None, monotone: dict[str, int] | None = None, penalty: dict | None = None, extra: int | None = None, bounds: dict[int, tuple[float, float]] | None = None, **limits) -> DataFrame:
     """The best cut of each leaf; equal gains go to the smaller feature, then the lower bin.
 
     ``monotone`` drops cuts whose outputs move against a feature's sign and
-    ``penalty`` takes a feature's cost off its gains; ``digits`` rounds gains
+    ``penalty`` takes the cost of a feature, or of a ``(leaf, feature)``, off its
+    gains; ``digits`` rounds gains
     before they are compared.  ``bounds`` holds each leaf's lowest and highest
     output: gains are then what outputs within them gain.  With ``extra`` each feature of a leaf offers
     only one of its cuts, drawn by a hash with that seed.
@@ -79,8 +80,10 @@ def best_splits(hist: DataFrame, digits: int | None = None, monotone: dict[str,
         fall = [loss_fall(F.col(f"{side}_g"), F.col(f"{side}_h"), within(leaf_value(F.col(f"{side}_g"), F.col(f"{side}_h"), l1, l2)), l1, l2) for side in ("left", "right")]
         cuts = cuts.withColumn("gain", fall[0] + fall[1] - leaf_gain(F.col("left_g") + F.col("right_g"), F.col("left_h") + F.col("right_h"), l1, l2))
     if penalty:
-        cost = F.create_map(*[F.lit(x) for pair in penalty.items() for x in pair])
-        cuts = cuts.withColumn("gain", F.col("gain") - F.coalesce(F.try_element_at(cost, F.col("feature")), F.lit(0.0)))
+        own = any(isinstance(k, tuple) for k in penalty)  # prices of a leaf's own
+        cost = F.create_map(*[F.lit(x) for k, v in penalty.items() for x in (f"{k[0]}|{k[1]}" if own else k, float(v))])
+        name = F.concat_ws("|", F.col("leaf").cast("string"), "feature") if own else F.col("feature")
+        cuts = cuts.withColumn("gain", F.col("gain") - F.coalesce(F.try_element_at(cost, name), F.lit(0.0)))
     if monotone:
         sign = F.create_map(*[F.lit(x) for pair in monotone.items() for x in pair])
         step = within(leaf_value(F.col("right_g"), F.col("right_h"), l1, l2)) - within(leaf_value(F.col("left_g"), F.col("left_h"), l1, l2))

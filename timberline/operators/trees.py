@@ -144,6 +144,9 @@ def grow(
     category_smooth: float = 10.0,
     bundle: histogram.BundlePlan | None = None,
     monotone_rule: str = "middle",
+    once: dict[str, float] | None = None,
+    each: dict[str, float] | None = None,
+    used: set[str] | None = None,
 ) -> Tree:
     """Grow a tree best leaf first on ``binned`` rows with ``bin_*``, ``g`` and ``h`` columns.
 
@@ -168,6 +171,13 @@ def grow(
     within them, and a leaf whose bounds moved is searched anew from its kept
     histogram.  Leaves are then looked at one split at a time.
 
+    ``once`` prices a feature's first use in the model (``used`` names those
+    that earlier trees paid for, and is added to), ``each`` its first use for a
+    row: the price counts for every row of the leaf whose bit in the column
+    ``__paid`` is not set (bits by the order of the names) and whose path has
+    not asked for the feature.  Once a feature is paid for, the open leaves are
+    searched again from their histograms.
+
     ``smooth`` draws outputs towards the parent's, ``max_delta`` bounds them
     (0: not at all), ``penalty`` takes a feature's cost off its gains, ``extra``
     seeds random cuts, and ``monotone`` keeps outputs below a split of that
@@ -195,6 +205,9 @@ def grow(
     widths = {f: by_name[f].n_bins + 2 for f in features}
     depth = {0: 0}
     near = monotone_rule == "neighbours"
+    once, each, used = once or {}, each or {}, set() if used is None else used
+    unpaid: dict[int, dict[str, int]] = {}  # a leaf's rows that never asked for a feature
+    stepwise = bool(near and monotone) or bool(once) or bool(each)
     boxes: dict[int, dict[str, tuple[int, int]]] = {0: {}}  # bins that a leaf's numerical features may have
     bounds = {0: (-math.inf, math.inf)}
 
@@ -221,6 +234,11 @@ def grow(
         return frames[-1]
 
     def look(leaves: list[int]) -> None:
+        if each:
+            at = bin_leaf_expression(wide, missing, categories=categories)
+            free = [F.count_if(F.col("__paid").bitwiseAND(F.lit(1 << k)) == 0).alias(f"u{k}") for k in range(len(each))]
+            for r in binned.select(at.alias("leaf"), "__paid").where(F.col("leaf").isin(leaves)).groupBy("leaf").agg(*free).collect():  # a row a leaf
+                unpaid[r["leaf"]] = {f: r[f"u{k}"] for k, f in enumerate(sorted(each))}
         search(leaves, allowed_only(sums(leaves), leaves))
 
     def allowed_only(hist: DataFrame, leaves: list[int]) -> DataFrame:
@@ -231,9 +249,15 @@ def grow(
             allowed = allowed | ((F.col("leaf") == leaf) & F.col("feature").isin(allowed_features(features, set(wide.branch(leaf)), constraints)))
         return hist.where(allowed)
 
+    def price(leaf: int) -> dict[tuple[int, str], float]:
+        path = set(wide.branch(leaf))
+        rows = {f: 0 if f in path else unpaid.get(leaf, {}).get(f, 0) for f in features}
+        return {(leaf, f): (penalty or {}).get(f, 0.0) + (0.0 if f in used else once.get(f, 0.0)) + each.get(f, 0.0) * rows[f] for f in features}
+
     def search(leaves: list[int], hist: DataFrame) -> None:
         within = {leaf: bounds[leaf] for leaf in leaves} if near and monotone else None
-        best = split.with_values(split.best_splits(hist, monotone=monotone, penalty=penalty, extra=extra, bounds=within, **limits), l1, l2)
+        cost = {k: v for leaf in leaves for k, v in price(leaf).items()} if once or each else penalty
+        best = split.with_values(split.best_splits(hist, monotone=monotone, penalty=cost, extra=extra, bounds=within, **limits), l1, l2)
         candidates.update(dict.fromkeys(leaves))
         candidates.update({r["leaf"]: r.asDict() for r in best.collect()})  # a row a leaf
 
@@ -306,6 +330,9 @@ def grow(
                 bounds[at] = new
                 if at in candidates:
                     moved.append(at)
+        search_again(moved)
+
+    def search_again(moved: list[int]) -> None:
         if moved:
             kept = [frames[k].where(F.col("leaf").isin([at for at in moved if held[at] == k])) for k in sorted({held[at] for at in moved})]
             search(moved, allowed_only(reduce(DataFrame.unionByName, kept), moved))
@@ -324,6 +351,10 @@ def grow(
             place[number] = child
         if near and monotone:
             rebound()
+        name = tree.nodes[leaf].feature
+        if name in once and name not in used:
+            search_again([at for at in place.values() if at in candidates and not used.add(name)])
+        used.add(name)
 
     for leaf, feature, cut in ((f if len(f) == 3 else (0, *f)) for f in forced or []):
         if leaf not in place or feature not in by_name:
@@ -341,7 +372,7 @@ def grow(
         fresh = [at for at in place.values() if at not in candidates and depth[at] < max_depth]
         known = sorted((at for at in place.values() if candidates.get(at)), key=lambda at: -candidates[at]["gain"])
         if fresh:
-            ahead = [] if near and monotone else [c for at in known[: num_leaves - len(place)] for c in children(at, candidates[at])]
+            ahead = [] if stepwise else [c for at in known[: num_leaves - len(place)] for c in children(at, candidates[at])]
             look(fresh + [c for c in ahead if c not in candidates and depth[c] < max_depth])
         open_ = [leaf for leaf, at in place.items() if candidates.get(at)]
         if not open_:

@@ -9,6 +9,7 @@ from timberline.plans.common import HOLED_SQL, KEY, holed, lineitem, rounded
 from timberline.plans.models import TREE
 
 _FEATURES = ["l_quantity", "l_discount", "l_tax"]
+_ONCE, _EACH = {"l_quantity": 500.0, "l_tax": 100.0}, {"l_discount": 0.02, "l_tax": 0.005}
 _ROBUST = ("quantile", "huber", "fair", "mape")
 
 
@@ -77,6 +78,14 @@ def boosted_linear(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "leaf int, n long, feature string, intercept double, slope double"), 4, "intercept", "slope")
 
 
+def priced_features(spark, sf_dir):
+    """Cuts of a tree whose features cost something when they are first used, in the model and for a row."""
+    df = _labelled(spark, sf_dir)
+    tree = boosting.train(df, _FEATURES, "y", KEY, rounds=1, rate=0.3, num_leaves=3, once=_ONCE, each=_EACH).trees[0]
+    rows = [(i, n.feature, n.threshold, n.gain) for i, n in enumerate(tree.nodes) if not n.is_leaf]
+    return rounded(spark.createDataFrame(rows, "leaf int, feature string, threshold double, gain double"), 3, "threshold", "gain")
+
+
 def boosted_two_rounds(spark, sf_dir):
     """Leaves of the second tree, with the largest score of both."""
     df = _labelled(spark, sf_dir)
@@ -127,7 +136,7 @@ def bundled_histogram(spark, sf_dir):
     return rounded(out, 3, "sum_g", "sum_h")
 
 
-QUERIES = {f.__name__: f for f in (objective_robust, objective_lambdarank, renewed_leaves, boosted_one_round, tree_importance, tree_shape, boosted_linear, boosted_two_rounds, boosted_quantile, watched_losses, boosted_classes, bundled_histogram)}
+QUERIES = {f.__name__: f for f in (objective_robust, objective_lambdarank, renewed_leaves, boosted_one_round, tree_importance, tree_shape, priced_features, boosted_linear, boosted_two_rounds, boosted_quantile, watched_losses, boosted_classes, bundled_histogram)}
 
 _D = "CAST({} AS DOUBLE)".format
 
@@ -166,27 +175,27 @@ def _grown(ctes: list[str], source: str, tag: str, leaves: int, features: list[s
 _HOLED_NULL = f"(SELECT * REPLACE (CASE WHEN isnan(l_tax) THEN NULL ELSE l_tax END AS l_tax), l_extendedprice / 1000 AS y FROM {HOLED_SQL})"
 
 
-def _boosted(rounds: int, rate: float, train: str = "true", watch: bool = False, report: str = "") -> str:
-    """``rounds`` trees of three leaves on squared error; ``report`` selects from their cuts and outputs."""
+def _boosted(rounds: int, rate: float, train: str = "true", watch: bool = False, report: str = "", leaves: int = 3) -> str:
+    """``rounds`` trees of ``leaves`` leaves on squared error; ``report`` selects from their cuts and outputs."""
     ctes = [f"start AS (SELECT avg(y) FILTER (WHERE {train}) AS s FROM {_HOLED_NULL})", f"at_0 AS (SELECT r.*, s, {train} AS own FROM {_HOLED_NULL} r, start)"]
     losses = []
     for t in range(rounds):
         ctes.append(f"seen_{t} AS (SELECT *, 0 AS leaf, s - y AS g, {_D(1)} AS h FROM at_{t} WHERE own)")
-        last = _grown(ctes, f"seen_{t}", f"t{t}", 3)
+        last = _grown(ctes, f"seen_{t}", f"t{t}", leaves)
         # rows that only measure go the same way
-        steps = [f"cut_t{t}_{k}" for k in range(2)]
+        steps = [f"cut_t{t}_{k}" for k in range(leaves - 1)]
         value = " ".join(f"WHEN '{f}' THEN r.{f}" for f in _FEATURES)
-        route = "0"
+        ctes.append(f"walk_{t}_0 AS (SELECT *, 0 AS leaf FROM at_{t})")
         for k, c in enumerate(steps):
-            route = f"(CASE WHEN ({route}) <> (SELECT leaf FROM {c}) THEN ({route}) WHEN CASE (SELECT f FROM {c}) {value} END <= (SELECT v FROM {c}) THEN {2 * k + 1} ELSE {2 * k + 2} END)"
+            ctes.append(f"walk_{t}_{k + 1} AS (SELECT r.* REPLACE (CASE WHEN r.leaf <> c.leaf THEN r.leaf WHEN CASE c.f {value} END <= c.v THEN {2 * k + 1} ELSE {2 * k + 2} END AS leaf) FROM walk_{t}_{k} r, {c} c)")
         ctes.append(f"outputs_{t} AS (SELECT leaf, -sum(g) / sum(h) AS value FROM {last} GROUP BY 1)")
-        ctes.append(f"routed_{t} AS (SELECT r.*, {route} AS leaf FROM at_{t} r)")
+        ctes.append(f"routed_{t} AS (SELECT * FROM walk_{t}_{leaves - 1})")
         ctes.append(f"at_{t + 1} AS (SELECT r.* EXCLUDE (leaf) REPLACE (s + {_D(rate)} * value AS s) FROM routed_{t} r JOIN outputs_{t} USING (leaf))")
         losses.append(f"SELECT CAST({t} AS INTEGER) AS round, round(avg((s - y) * (s - y)), 6) AS loss FROM at_{t + 1} WHERE NOT own")
     if watch:
         return f"WITH {', '.join(ctes)} {' UNION ALL '.join(losses)}"
     if report:
-        return f"WITH {', '.join(ctes)} {report}"
+        return f"WITH RECURSIVE {', '.join(ctes)} {report}"
     t = rounds - 1
     return f"WITH {', '.join(ctes)} SELECT CAST(leaf AS INTEGER) AS leaf, count(*) AS n, round(avg(y), 4) AS mean, round(max(s + {_D(rate)} * value), 4) AS score FROM routed_{t} JOIN outputs_{t} USING (leaf) GROUP BY 1"
 
@@ -208,6 +217,26 @@ def _classes_sql(rate: float = 0.5) -> str:
     return f"WITH {', '.join(ctes)} {' UNION ALL '.join(parts)}"
 
 
+def _priced_sql() -> str:
+    """Two cuts on squared error; the second one does not pay for the first one's feature again."""
+    once = "CASE f " + " ".join(f"WHEN '{f}' THEN {_D(v)}" for f, v in _ONCE.items()) + " ELSE 0 END"
+    each = "CASE f " + " ".join(f"WHEN '{f}' THEN {_D(v)}" for f, v in _EACH.items()) + " ELSE 0 END"
+    ctes, source = [f"seen AS (SELECT r.*, 0 AS leaf, avg(y) OVER () - y AS g, {_D(1)} AS h FROM {_HOLED_NULL} r)"], "seen"
+    for k in range(2):
+        _grown(ctes, source, f"p{k}", 2)
+        ctes.pop()  # rows and best cut without prices
+        ctes.pop()
+        price = f"({once} + {each} * (SELECT count(*) FROM {source} z WHERE z.leaf = c.leaf))"
+        paid = price if k == 0 else f"CASE WHEN f = (SELECT f FROM cut_0) THEN 0 ELSE {price} END"
+        ctes.append(f"""gains_{k} AS (SELECT *, (lg * lg / lh + (ag - lg) * (ag - lg) / (ah - lh) - ag * ag / ah) / 2 - {paid} AS gain FROM cuts_p{k}_0 c WHERE v IS NOT NULL AND ln >= 20 AND an - ln >= 20)""")
+        ctes.append(f"cut_{k} AS (SELECT * FROM gains_{k} WHERE gain > 0 QUALIFY row_number() OVER (ORDER BY gain DESC, leaf, f, v) = 1)")
+        value = " ".join(f"WHEN '{f}' THEN r.{f}" for f in _FEATURES)
+        ctes.append(f"parted_{k} AS (SELECT r.* REPLACE (CASE WHEN r.leaf <> c.leaf THEN r.leaf WHEN CASE c.f {value} END <= c.v THEN {2 * k + 1} ELSE {2 * k + 2} END AS leaf) FROM {source} r, cut_{k} c)")
+        source = f"parted_{k}"
+    cuts = " UNION ALL ".join(f"SELECT CAST(leaf AS INTEGER) AS leaf, f AS feature, round(v, 3) AS threshold, round(gain, 3) AS gain FROM cut_{k}" for k in range(2))
+    return f"WITH {', '.join(ctes)} {cuts}"
+
+
 def _linear_sql() -> str:
     """One cut, then a ridge regression of each leaf's residuals on the cut feature."""
     source = f"(SELECT * REPLACE (l_quantity * l_quantity / 100 + l_extendedprice / 10000 AS y) FROM {_HOLED_NULL})"
@@ -220,6 +249,20 @@ def _linear_sql() -> str:
         round(-((sxx + 1) * sg - sx * sgx) / (n * (sxx + 1) - sx * sx), 4) AS intercept, round(-(n * sgx - sx * sg) / (n * (sxx + 1) - sx * sx), 4) AS slope FROM m"""
 
 
+def _stopped_sql(rounds: int, patience: int, delta: float) -> str:
+    """How many trees are left once the held-out loss has not fallen by ``delta`` for ``patience`` rounds."""
+    losses = " UNION ALL ".join(f"SELECT {t} AS k, avg((s - y) * (s - y)) AS m FROM at_{t + 1} WHERE NOT own" for t in range(rounds))
+    report = f"""
+        , losses AS ({losses}),
+        watch(k, best, best_round) AS (
+          SELECT 0, m, 0 FROM losses WHERE k = 0
+          UNION ALL
+          SELECT w.k + 1, CASE WHEN best - m > {delta} THEN m ELSE best END, CASE WHEN best - m > {delta} THEN w.k + 1 ELSE best_round END
+          FROM watch w JOIN losses l ON l.k = w.k + 1 WHERE w.k - best_round < {patience})
+        SELECT CAST(CASE WHEN k - best_round >= {patience} THEN best_round + 1 ELSE {rounds} END AS INTEGER) AS trees, round(best, 4) AS best FROM watch WHERE k = (SELECT max(k) FROM watch)"""
+    return _boosted(rounds, 0.5, "l_orderkey % 4 <> 0", report=report, leaves=5)
+
+
 _LEAF = f"CASE WHEN l_quantity <= {_D(24.5)} THEN CASE WHEN coalesce(l_discount <= {_D(0.045)}, false) THEN 3 ELSE 4 END WHEN coalesce(l_tax <= {_D(0.035)}, true) THEN 5 ELSE 6 END"
 
 ORACLE = {
@@ -234,6 +277,8 @@ ORACLE = {
         each AS (SELECT better AS id, -rho * change AS g, rho * (1 - rho) * change AS h FROM pairs UNION ALL SELECT worse, rho * change, rho * (1 - rho) * change FROM pairs),
         sums AS (SELECT l_linestatus, coalesce(sum(g), 0) AS g, coalesce(sum(h), 0) AS h FROM r LEFT JOIN each USING (id) GROUP BY id, l_linestatus)
         SELECT l_linestatus, round(sum(g), 4) AS g, round(sum(g * g), 4) AS g2, round(sum(h), 4) AS h FROM sums GROUP BY 1""",
+    "boosted_regression": _boosted(5, 0.3, leaves=5, report="SELECT round(avg((s - y) * (s - y)), 4) AS mse, round(var_pop(y), 4) AS variance FROM at_5"),
+    "boosted_early_stop": _stopped_sql(6, 2, 1.0),
     "renewed_leaves": f"""
         WITH r AS (SELECT CAST({_LEAF} AS INTEGER) AS leaf, y - 30 AS d, 1 / greatest(abs(y), 1) AS w FROM {_HOLED_NULL}),
         m AS (SELECT leaf, median(d) AS med, quantile_cont(d, 0.75) AS upper FROM r GROUP BY 1),
@@ -252,6 +297,7 @@ ORACLE = {
     "tree_shape": _boosted(1, 0.3, report="""
         SELECT CAST(3 AS INTEGER) AS leaves, CAST(2 AS INTEGER) AS depth, round(0.3 * sum(value * n) / sum(n), 5) AS expected, round(min(0.3 * value), 5) AS lowest, round(max(0.3 * value), 5) AS highest, (SELECT f FROM cut_t0_0) AS branch
         FROM outputs_0 JOIN (SELECT leaf, count(*) AS n FROM routed_0 GROUP BY 1) USING (leaf)"""),
+    "priced_features": _priced_sql(),
     "boosted_linear": _linear_sql(),
     "boosted_two_rounds": _boosted(2, 0.3),
     "boosted_quantile": _quantile_sql(0.9, 0.5),

@@ -162,6 +162,36 @@ _QUANTILE = f"""
       SELECT c.feature, c.k, CASE WHEN d <= 16 OR c.below - last >= 3 THEN c.below ELSE last END, c.value, d <= 16 OR c.below - last >= 3
       FROM kept JOIN cuts c ON c.feature = kept.feature AND c.k = kept.k + 1 JOIN flags f ON f.feature = c.feature)"""
 
+def _training_sql(bins_total: int = 32, least: int = 3) -> str:
+    """The rule bin by bin: each step finds the value at which the next bin ends, or the heavy value before it."""
+    D = "CAST({} AS DOUBLE)".format
+    cells = " UNION ALL ".join(f"SELECT '{f}' AS f, {f} AS v, count(*) AS n FROM h WHERE {f} > 1e-35 GROUP BY 2" for f in FEATURES)
+    gaps = " UNION ALL ".join(f"SELECT '{f}' AS f, count(*) > count({f}) AS gap FROM h" for f in FEATURES)
+    return f"""
+      WITH RECURSIVE h AS (SELECT * REPLACE (CASE WHEN isnan(l_tax) THEN NULL ELSE l_tax END AS l_tax) FROM {HOLED_SQL}),
+      gaps AS ({gaps}),
+      cells AS (SELECT *, CAST(sum(n) OVER w - n AS BIGINT) AS below, lead(v) OVER w AS nxt FROM ({cells}) WINDOW w AS (PARTITION BY f ORDER BY v)),
+      sizes AS (SELECT f, CAST(sum(n) AS BIGINT) AS total, count(*) AS vals, any_value({bins_total} - CAST(gap AS INTEGER) - 1) AS room FROM cells JOIN gaps USING (f) GROUP BY f),
+      aims AS (SELECT *, vals <= room AS few, CASE WHEN vals <= room THEN vals ELSE greatest(1, least(room, total // {least})) END AS bins FROM sizes),
+      heavy AS (SELECT f, list({{'b': below, 'n': n}} ORDER BY below) AS hs FROM cells JOIN aims USING (f) WHERE NOT few AND n >= total / bins GROUP BY f),
+      plan AS (SELECT a.*, coalesce(hs, []) AS hs, len(coalesce(hs, [])) AS n_heavy, coalesce(list_sum(list_transform(hs, lambda x: x.n)), 0) AS n_in FROM aims a LEFT JOIN heavy USING (f)),
+      steps AS (
+        SELECT f, CAST(0 AS BIGINT) AS pos, CAST(bins - n_heavy AS BIGINT) AS free, CAST(0 AS BIGINT) AS k,
+          CASE WHEN few THEN {D(least)} WHEN bins - n_heavy > 0 THEN (total - n_in) / CAST(bins - n_heavy AS DOUBLE) ELSE {D("'infinity'")} END AS goal, CAST(NULL AS DOUBLE) AS v, CAST(NULL AS DOUBLE) AS nxt FROM plan
+        UNION ALL
+        SELECT f, pos, free, k, CASE WHEN few OR by_wall THEN goal WHEN free > 0 THEN ((total - n_in) - (pos - gone)) / CAST(free AS DOUBLE) ELSE {D("'infinity'")} END, v, nxt FROM (
+          SELECT x.f, few, total, n_in, by_wall, goal, c.below + c.n AS pos, CASE WHEN few OR by_wall THEN free ELSE free - 1 END AS free, k + 1 AS k, c.v, c.nxt,
+            coalesce(list_sum(list_transform(list_filter(hs, lambda x: x.b < c.below + c.n), lambda x: x.n)), 0) AS gone, bins FROM (
+            SELECT *, CASE WHEN wall IS NULL OR spot < wall THEN spot WHEN wall - pos >= greatest(1, goal / 2) THEN wall - 1 ELSE wall END AS pick, wall IS NOT NULL AND spot >= wall AND NOT wall - pos >= greatest(1, goal / 2) AS by_wall FROM (
+              SELECT s.*, few, total, n_in, hs, bins, CASE WHEN isinf(goal) THEN total ELSE pos + greatest(CAST(ceil(goal) AS BIGINT) - 1, 0) END AS spot, list_min(list_transform(list_filter(hs, lambda x: x.b >= pos), lambda x: x.b)) AS wall
+              FROM steps s JOIN plan USING (f) WHERE k < bins - 1 AND pos < total)) x
+          JOIN cells c ON c.f = x.f AND pick >= c.below AND pick < c.below + c.n WHERE c.below + c.n < total)),
+      bounds AS (
+        SELECT f, CASE WHEN nxt > v THEN greatest((v + nxt) / 2, v) ELSE v END AS b FROM steps WHERE v IS NOT NULL
+        UNION ALL SELECT f, {D('1e-35')} FROM sizes UNION ALL SELECT f, {D("'infinity'")} FROM gaps)
+      SELECT f AS feature, CAST(row_number() OVER (PARTITION BY f ORDER BY b) - 1 AS INTEGER) AS bin, round(b, 6) AS upper FROM (SELECT DISTINCT f, b FROM bounds)"""
+
+
 def _adaptive_sql(value: str, y: str, bins: int, least: int) -> str:
     """Cuts one at a time: the best of all parts by the fall of the squared deviations of ``y``."""
     ctes = [f"r_0 AS (SELECT {value} AS v, {y} - avg({y}) OVER () AS y, 0 AS part FROM lineitem)"]
@@ -176,6 +206,7 @@ def _adaptive_sql(value: str, y: str, bins: int, least: int) -> str:
 
 
 ORACLE = {
+    "bin_training": _training_sql(),
     "bin_adaptive": _adaptive_sql("l_extendedprice", "l_extendedprice", 8, 20),
     "bin_on_target": _adaptive_sql("l_extendedprice", "l_quantity", 5, 50),
     "bin_bounds_quantile": _QUANTILE + " SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS INTEGER) AS bin, round(value, 6) AS upper FROM kept WHERE keep",
