@@ -273,6 +273,18 @@ _RIDGE = """
       FROM {source} WHERE l_discount IS NOT NULL GROUP BY 1)"""
 _BITS = "CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0 END"
 
+def _chosen_sql() -> str:
+    names = [*FEATURES, "twice", "flat"]
+    source = "(SELECT *, l_quantity * 2 AS twice, CAST(3 AS DOUBLE) AS flat FROM lineitem)"
+    varied = " UNION ALL ".join(f"SELECT {k} AS k, '{f}' AS f FROM {source} HAVING var_pop({f}) > 0.01" for k, f in enumerate(names))
+    # a feature goes if one before it is too close; none that goes is close to another here
+    close = " UNION ALL ".join(f"SELECT {j} AS k FROM {source} HAVING count(*) > 1 AND stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 AND abs(corr({a}, {b})) > 0.99" for i, a in enumerate(names) for j, b in enumerate(names) if i < j and b != "flat")
+    every = ", ".join(f"({k}, '{f}')" for k, f in enumerate(names))
+    return f"""SELECT 'variance' AS rule, string_agg(f, ',' ORDER BY k) AS features FROM ({varied})
+        UNION ALL SELECT 'correlation', string_agg(f, ',' ORDER BY k) FROM (VALUES {every}) v(k, f) WHERE k NOT IN (SELECT k FROM ({close}))
+        UNION ALL SELECT 'first', string_agg(f, ',' ORDER BY k) FROM (VALUES {every}) v(k, f) WHERE k < 2"""
+
+
 ORACLE = {
     "objectives": _objectives_sql(),
     "objective_multiclass": _classes_sql(),
@@ -302,7 +314,13 @@ ORACLE = {
     "sparse_histogram": _sparse_sql(),
     "quantised_histogram": f"SELECT CAST(b_l_quantity AS INTEGER) AS bin, count(*) AS n, true AS close FROM {_BINNED} GROUP BY 1",
     "constant_hessian_histogram": f"SELECT feature, bin, round(sum_g, 4) AS sum_g, CAST(n AS DOUBLE) AS sum_h, n FROM ({_hist(_BINNED)})",
-    "bundled_features": "SELECT * FROM (VALUES (0, 'l_quantity'), (1, 'l_discount'), (2, 'l_tax')) t(bundle, feature)",
+    # in order, each joins the first bundle in which no row has two features off their defaults
+    "bundled_features": f"""
+        WITH n AS (SELECT count(*) FILTER (WHERE b_l_quantity <> 0 AND b_l_discount <> 5) AS qd, count(*) FILTER (WHERE b_l_quantity <> 0 AND b_l_tax <> 4) AS qt,
+          count(*) FILTER (WHERE b_l_discount <> 5 AND b_l_tax <> 4) AS dt FROM {_BINNED}),
+        d AS (SELECT *, CASE WHEN qd = 0 THEN 0 ELSE 1 END AS d FROM n),
+        t AS (SELECT *, CASE WHEN qt + CASE WHEN d = 0 THEN dt ELSE 0 END = 0 THEN 0 WHEN d = 1 AND dt = 0 THEN 1 ELSE d + 1 END AS t FROM d)
+        SELECT CAST(0 AS INTEGER) AS bundle, 'l_quantity' AS feature UNION ALL SELECT CAST(d AS INTEGER), 'l_discount' FROM d UNION ALL SELECT CAST(t AS INTEGER), 'l_tax' FROM t""",
     "best_split_with_costs": f"""
         SELECT leaf, feature, bin, round(cost, 4) AS gain FROM (
           SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY cost DESC, feature, bin) AS k FROM (
@@ -330,7 +348,7 @@ ORACLE = {
         SELECT t AS "table", n, b AS max_bins, CAST(greatest(3, n // (b * 100)) AS INTEGER) AS min_data FROM (
           SELECT *, CASE WHEN n < 1000 THEN 32 WHEN n < 10000 THEN 64 WHEN n < 100000 THEN 128 ELSE 255 END AS b FROM (""" + " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in ("nation", "customer", "orders", "lineitem", "events")) + "))",
     "complete_rows": f"SELECT count(*) AS n, 'l_quantity,l_extendedprice,l_tax' AS features FROM {HOLED_SQL} WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL",
-    "chosen_features": "SELECT * FROM (VALUES ('variance', 'l_quantity,l_extendedprice,twice'), ('correlation', 'l_quantity,l_extendedprice,l_discount,l_tax,flat'), ('first', 'l_quantity,l_extendedprice')) t(rule, features)",
+    "chosen_features": _chosen_sql(),
     "log_scaled": "SELECT round(sum(sign(l_extendedprice - 30000) * ln(1 + abs(l_extendedprice - 30000))), 2) AS total FROM lineitem",
     "class_count": "SELECT CAST(count(DISTINCT label) AS INTEGER) AS classes FROM embeddings",
     "confidence_stops": """

@@ -106,5 +106,6 @@ ORACLE = {
         f AS (SELECT feature, a - CAST(0.5 AS DOUBLE) * (b - a) AS lower, b + CAST(0.5 AS DOUBLE) * (b - a) AS upper FROM q)
         SELECT feature, round(lower, 4) AS lower, round(upper, 4) AS upper, count(*) FILTER (WHERE value < lower OR value > upper) AS n_outliers
         FROM c JOIN f USING (feature) GROUP BY feature, lower, upper""",
-    "validation_report": "SELECT 'constant' AS \"check\", 'one' AS feature, 'warning' AS level",
+    "validation_report": "SELECT 'too_few_rows' AS \"check\", CAST(NULL AS VARCHAR) AS feature, 'error' AS level FROM lineitem HAVING count(*) < 10"
+    + "".join(f" UNION ALL SELECT 'constant', '{f}', 'warning' FROM (SELECT *, 1.0 AS one FROM lineitem) HAVING stddev_pop({f}) < 1e-10" for f in [*FEATURES, "one"]),
 }
