@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from timberline.operators import boosting, histogram, trees
+from timberline.operators import boosting, histogram, sampling, trees
 from timberline.plans.common import HOLED_SQL, KEY, holed, lineitem, rounded
 from timberline.plans.models import TREE
 
 _FEATURES = ["l_quantity", "l_discount", "l_tax"]
 _ONCE, _EACH = {"l_quantity": 500.0, "l_tax": 100.0}, {"l_discount": 0.02, "l_tax": 0.005}
+_TOGETHER = [{"l_quantity", "l_discount"}, {"l_tax", "l_discount"}]
 _ROBUST = ("quantile", "huber", "fair", "mape")
 
 
@@ -78,6 +79,19 @@ def boosted_linear(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "leaf int, n long, feature string, intercept double, slope double"), 4, "intercept", "slope")
 
 
+def node_features(spark, sf_dir):
+    """Features that the leaves of a trained tree may be cut by, under sets of features that may stand on one path."""
+    tree = boosting.train(_labelled(spark, sf_dir), _FEATURES, "y", KEY, rounds=1, rate=0.3, num_leaves=3).trees[0]
+    rows = [(leaf, f) for leaf in tree.leaves() for f in sampling.allowed_features(_FEATURES, set(tree.branch(leaf)), _TOGETHER)]
+    return spark.createDataFrame(rows, "leaf int, feature string")
+
+
+def constrained_tree(spark, sf_dir):
+    """Leaves of a tree grown under those sets."""
+    df = _labelled(spark, sf_dir)
+    return _leaf_report(df, boosting.train(df, _FEATURES, "y", KEY, rounds=1, rate=0.3, num_leaves=3, constraints=[{"l_quantity", "l_tax"}, {"l_discount"}]))
+
+
 def priced_features(spark, sf_dir):
     """Cuts of a tree whose features cost something when they are first used, in the model and for a row."""
     df = _labelled(spark, sf_dir)
@@ -136,7 +150,7 @@ def bundled_histogram(spark, sf_dir):
     return rounded(out, 3, "sum_g", "sum_h")
 
 
-QUERIES = {f.__name__: f for f in (objective_robust, objective_lambdarank, renewed_leaves, boosted_one_round, tree_importance, tree_shape, priced_features, boosted_linear, boosted_two_rounds, boosted_quantile, watched_losses, boosted_classes, bundled_histogram)}
+QUERIES = {f.__name__: f for f in (objective_robust, objective_lambdarank, renewed_leaves, boosted_one_round, tree_importance, tree_shape, node_features, constrained_tree, priced_features, boosted_linear, boosted_two_rounds, boosted_quantile, watched_losses, boosted_classes, bundled_histogram)}
 
 _D = "CAST({} AS DOUBLE)".format
 
@@ -153,8 +167,11 @@ def _robust_sql() -> str:
     return f"SELECT l_linestatus, {sums} FROM (SELECT l_linestatus, l_quantity / 10 AS y, l_linenumber * {_D(0.7)} AS s FROM lineitem) GROUP BY 1"
 
 
-def _grown(ctes: list[str], source: str, tag: str, leaves: int, features: list[str] = _FEATURES) -> str:
-    """Append the CTEs that grow a tree, best cut first, on ``source`` with ``leaf, g, h``; the name of the last."""
+def _grown(ctes: list[str], source: str, tag: str, leaves: int, features: list[str] = _FEATURES, only: str = "") -> str:
+    """Append the CTEs that grow a tree, best cut first, on ``source`` with ``leaf, g, h``; the name of the last.
+
+    ``only`` says which features may follow the one that was cut ``first``.
+    """
     for k in range(leaves - 1):
         cells = " UNION ALL ".join(f"SELECT leaf, '{f}' AS f, {f} AS v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {source} GROUP BY ALL" for f in features)
         ctes.append(f"cells_{tag}_{k} AS ({cells})")
@@ -162,8 +179,9 @@ def _grown(ctes: list[str], source: str, tag: str, leaves: int, features: list[s
           SELECT leaf, f, v, sum(g) OVER w AS lg, sum(h) OVER w AS lh, sum(n) OVER w AS ln, sum(g) OVER a AS ag, sum(h) OVER a AS ah, sum(n) OVER a AS an FROM cells_{tag}_{k}
           WINDOW w AS (PARTITION BY leaf, f ORDER BY v NULLS LAST ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY leaf, f))""")
         ctes.append(f"""cut_{tag}_{k} AS (
-          SELECT *, (lg * lg / lh + (ag - lg) * (ag - lg) / (ah - lh) - ag * ag / ah) / 2 AS gain FROM cuts_{tag}_{k}
-          WHERE v IS NOT NULL AND ln >= 20 AND an - ln >= 20 AND lh >= 0.001 AND ah - lh >= 0.001
+          SELECT leaf, f, v, lg, lh, ln, ag, ah, an, (lg * lg / lh + (ag - lg) * (ag - lg) / (ah - lh) - ag * ag / ah) / 2 AS gain FROM cuts_{tag}_{k}
+          {f", (SELECT f AS first FROM cut_{tag}_0)" if only and k else ""}
+          WHERE v IS NOT NULL AND ln >= 20 AND an - ln >= 20 AND lh >= 0.001 AND ah - lh >= 0.001 {f"AND {only}" if only and k else ""}
           QUALIFY row_number() OVER (ORDER BY (lg * lg / lh + (ag - lg) * (ag - lg) / (ah - lh) - ag * ag / ah) DESC, leaf, f, v) = 1)""")
         value = " ".join(f"WHEN '{f}' THEN r.{f}" for f in features)
         ctes.append(f"""rows_{tag}_{k} AS (
@@ -175,13 +193,13 @@ def _grown(ctes: list[str], source: str, tag: str, leaves: int, features: list[s
 _HOLED_NULL = f"(SELECT * REPLACE (CASE WHEN isnan(l_tax) THEN NULL ELSE l_tax END AS l_tax), l_extendedprice / 1000 AS y FROM {HOLED_SQL})"
 
 
-def _boosted(rounds: int, rate: float, train: str = "true", watch: bool = False, report: str = "", leaves: int = 3) -> str:
+def _boosted(rounds: int, rate: float, train: str = "true", watch: bool = False, report: str = "", leaves: int = 3, only: str = "") -> str:
     """``rounds`` trees of ``leaves`` leaves on squared error; ``report`` selects from their cuts and outputs."""
     ctes = [f"start AS (SELECT avg(y) FILTER (WHERE {train}) AS s FROM {_HOLED_NULL})", f"at_0 AS (SELECT r.*, s, {train} AS own FROM {_HOLED_NULL} r, start)"]
     losses = []
     for t in range(rounds):
         ctes.append(f"seen_{t} AS (SELECT *, 0 AS leaf, s - y AS g, {_D(1)} AS h FROM at_{t} WHERE own)")
-        last = _grown(ctes, f"seen_{t}", f"t{t}", leaves)
+        last = _grown(ctes, f"seen_{t}", f"t{t}", leaves, only=only)
         # rows that only measure go the same way
         steps = [f"cut_t{t}_{k}" for k in range(leaves - 1)]
         value = " ".join(f"WHEN '{f}' THEN r.{f}" for f in _FEATURES)
@@ -297,6 +315,11 @@ ORACLE = {
     "tree_shape": _boosted(1, 0.3, report="""
         SELECT CAST(3 AS INTEGER) AS leaves, CAST(2 AS INTEGER) AS depth, round(0.3 * sum(value * n) / sum(n), 5) AS expected, round(min(0.3 * value), 5) AS lowest, round(max(0.3 * value), 5) AS highest, (SELECT f FROM cut_t0_0) AS branch
         FROM outputs_0 JOIN (SELECT leaf, count(*) AS n FROM routed_0 GROUP BY 1) USING (leaf)"""),
+    "node_features": _boosted(1, 0.3, report=f"""
+        , paths AS (SELECT 3 - b.leaf AS leaf, [a.f] AS path FROM cut_t0_0 a, cut_t0_1 b UNION ALL SELECT unnest([3, 4]), [a.f, b.f] FROM cut_t0_0 a, cut_t0_1 b)
+        SELECT CAST(leaf AS INTEGER) AS leaf, f AS feature FROM paths, (SELECT unnest({_FEATURES}) AS f)
+        WHERE list_contains(path, f) OR {" OR ".join(f"(list_has_all({sorted(group)}, path) AND list_contains({sorted(group)}, f))" for group in _TOGETHER)}"""),
+    "constrained_tree": _boosted(1, 0.3, only="(f = 'l_discount') = (first = 'l_discount')"),
     "priced_features": _priced_sql(),
     "boosted_linear": _linear_sql(),
     "boosted_two_rounds": _boosted(2, 0.3),

@@ -76,13 +76,6 @@ def fill_random(spark, sf_dir):
     return df.groupBy("l_linenumber").agg(F.count("l_tax").alias("n"), F.round(F.sum("l_tax"), 3).alias("l_tax"))
 
 
-def node_features(spark, sf_dir):
-    """Features that a node may split on, by its branch, under two constraint sets."""
-    sets = [{"l_quantity", "l_discount"}, {"l_tax", "l_discount"}]
-    rows = [("+".join(b), f) for b in ([], ["l_quantity"], ["l_discount"], ["l_quantity", "l_discount"]) for f in sampling.allowed_features(FEATURES, set(b), sets)]
-    return spark.createDataFrame(rows, "branch string, feature string")
-
-
 def cell_checks(spark, sf_dir):
     df = holed(spark, sf_dir).withColumn("l_quantity", F.when(F.col("l_linenumber") == 2, float("inf")).otherwise(F.col("l_quantity")))
     rules = {"dear": F.col("l_extendedprice") < 50_000, "taxed": F.col("l_tax") > 0.01}
@@ -113,7 +106,7 @@ def stop_statistics(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (tree_explanation, shap_importance, shap_summary, shap_interactions, bootstrap_mae, bootstrap_metrics, bootstrap_ranking, bagged_rows, fill_random, node_features, cell_checks, prediction_kinds, stop_statistics)
+    for f in (tree_explanation, shap_importance, shap_summary, shap_interactions, bootstrap_mae, bootstrap_metrics, bootstrap_ranking, bagged_rows, fill_random, cell_checks, prediction_kinds, stop_statistics)
 }
 
 # The value of each coalition of the first tree's features, from the definition: v0 knows none, v1 the quantity, v2 the discount, v4 the tax.
@@ -202,8 +195,6 @@ ORACLE = {
     "fill_random": f"""WITH k AS (SELECT l_tax AS v, row_number() OVER (ORDER BY l_tax) - 1 AS pos FROM {HOLED_SQL} WHERE l_tax IS NOT NULL),
         d AS (SELECT l_linenumber, l_tax, (high * 1073741824 + (h >> 2)) % (SELECT count(*) FROM k) AS pos FROM {_BOTH})
         SELECT l_linenumber, count(coalesce(l_tax, v)) AS n, round(sum(coalesce(l_tax, v)), 3) AS l_tax FROM d JOIN k USING (pos) GROUP BY 1""",
-    "node_features": "SELECT branch, feature FROM (VALUES ('', 'l_quantity'), ('', 'l_discount'), ('', 'l_tax'), ('l_quantity', 'l_quantity'), ('l_quantity', 'l_discount'), "
-    "('l_discount', 'l_quantity'), ('l_discount', 'l_discount'), ('l_discount', 'l_tax'), ('l_quantity+l_discount', 'l_quantity'), ('l_quantity+l_discount', 'l_discount')) v(branch, feature)",
     "cell_checks": " UNION ALL ".join(
         [
             *(f"SELECT 'missing' AS \"check\", '{f}' AS subject, count(*) FILTER (WHERE {f} IS NULL) AS n FROM {_CHECKED}" for f in ("l_quantity", "l_discount", "l_tax")),

@@ -119,10 +119,14 @@ def settings_by_other_names(spark, sf_dir):
 
 
 def stored_mappers(spark, sf_dir):
-    made = [binning.Mapper("a", bounds=(1.0, 2.5)), binning.merge(binning.Mapper("b", bounds=(1.0, 4.0)), binning.Mapper("b", bounds=(2.0, 4.0)))]
+    """Bounds of mappers that were merged, written and read again."""
+    df = read_table(spark, sf_dir, "lineitem")
+    halves, thirds = (binning.fit_uniform(df, ["l_quantity"], n)[0] for n in (2, 3))
+    made = [*binning.fit_quantile(df, ["l_discount"], 64), binning.merge(halves, thirds)]
     path = _path(spark, "mappers")
     binning.save(made, spark.range(1), path)
-    return binning.bounds_table(spark.range(1), binning.load(spark.read.json(path)))
+    out = binning.bounds_table(spark.range(1), binning.load(spark.read.json(path)))
+    return out.select("feature", "bin", F.round("upper", 6).alias("upper"))
 
 
 QUERIES = {
@@ -159,5 +163,7 @@ ORACLE = {
     "memory_sizes": " UNION ALL ".join([_bytes("lineitem", 3 * 12 + 8 + 4 * 12 + 2 * 20 + 20), _bytes("orders", 2 * 12 + 12 + 3 * 20), _bytes("part", 12 + 3 * 20 + 8 + 12)]),
     "attached_weights": "SELECT o_orderstatus, CAST(sum(w) AS DOUBLE) AS weight, count(*) AS n FROM orders JOIN (SELECT l_orderkey, count(*) AS w FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1",
     "settings_by_other_names": _settings_sql(),
-    "stored_mappers": "SELECT f AS feature, CAST(b AS INTEGER) AS bin, CAST(u AS DOUBLE) AS upper FROM (VALUES ('a', 0, 1.0), ('a', 1, 2.5), ('b', 0, 1.0), ('b', 1, 2.0), ('b', 2, 4.0)) v(f, b, u)",
+    "stored_mappers": """
+        WITH u AS (SELECT DISTINCT 'l_discount' AS f, l_discount AS u FROM lineitem UNION SELECT 'l_quantity', lo + (hi - lo) * k / n FROM (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), (VALUES (1, 2), (1, 3), (2, 3), (1, 1)) v(k, n))
+        SELECT f AS feature, CAST(row_number() OVER (PARTITION BY f ORDER BY u) - 1 AS INTEGER) AS bin, round(u, 6) AS upper FROM u""",
 }
