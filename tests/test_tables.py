@@ -83,6 +83,29 @@ def test_knn_fill_with_repeated_keys(spark):
     assert got == [(1, 0.0, 10.0), (1, 0.0, 10.0), (1, 5.0, 62.5), (2, 0.0, 10.0), (3, 1.0, 10.0), (4, 1.0, 10.0), (5, 2.0, 40.0), (6, 4.0, 70.0)]
 
 
+def test_knn_fill_over_many_blocks_meets_few_points(spark):
+    """Blocks and cells leave the neighbours as they are, ties included, and the search holds few pairs of rows."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.uniform(size=(3000, 2)) * 40)
+    x[:, 1] *= 25
+    v = np.where(np.arange(3000) % 3 == 0, np.nan, rng.integers(0, 50, 3000))
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, v, strict=True))], "id int, a double, b double, c double")
+    got = {r["id"]: r["c"] for r in impute.knn_fill(df, ["a", "b", "c"], "c", ["id"], 3, block_rows=100).collect()}
+    full = ~np.isnan(v)
+    for i in np.flatnonzero(~full):
+        d = np.sqrt(((x[full] - x[i]) ** 2).sum(axis=1))
+        near = np.lexsort((v[full], d))[:3]
+        w = np.where(d[near] > 0, 1 / np.maximum(d[near], 1e-300), 1e6)
+        assert got[i] == pytest.approx((w * v[full][near]).sum() / w.sum())
+    assert len(got) == 3000
+    points, asks = rng.uniform(size=(20_000, 3)), rng.uniform(size=(500, 3))
+    cells, pairs = impute.Cells(points, 128), 0
+    far = np.sqrt(((asks[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)).min(axis=1)
+    for cell, rows in cells.visits(asks, far):
+        pairs += len(rows) * len(cells.held[cell])
+    assert pairs < 500 * 20_000 / 20
+
+
 def test_vectors_become_columns(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [3.0, None])], "y int, v array<double>")
     wide, spec = readers.from_vectors(df, "v", label="y")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from timberline.operators.profile import feature_statistics, missing_by_feature, order_statistics
@@ -110,82 +111,262 @@ def linear_fill(near: DataFrame) -> Column:
     return F.coalesce(F.when(span > 0, between), F.col("prev"), F.col("next"), F.lit(0.0))
 
 
-#: Complete rows of a block of the neighbour search, about; a task holds one block.
-BLOCK_ROWS = 20_000
-#: Rows to fill that are held against a block at a time.
-QUERY_ROWS = 256
+#: Points of a block of the neighbour search, and rows that ask in a task of it, about.
+BLOCK_ROWS = 50_000
+#: Points of a cell within a block, and rows that are held against a cell at a time.
+CELL_ROWS, QUERY_ROWS = 128, 2048
+#: Points that the cuts between blocks are placed by, a block; they change the speed, never the result.
+CUT_POINTS = 64
+
+
+class Cells:
+    """Points in cells of neighbouring ones: halves by the widest feature, until few are left; each cell has its box."""
+
+    def __init__(self, x: np.ndarray, rows: int):
+        self.cut: list[tuple[int, float, int, int] | None] = []  # feature, bound, cell at or below it, cell above
+        self.held: list[np.ndarray] = []
+        todo = [(np.arange(len(x)), -1, 0)]
+        while todo:
+            own, above, side = todo.pop()
+            at = len(self.cut)
+            if above >= 0:
+                f, bound, *pair = self.cut[above]
+                pair[side] = at
+                self.cut[above] = (f, bound, *pair)
+            self.cut.append(None)
+            self.held.append(own)
+            part = x[own]
+            spread = part.max(axis=0) - part.min(axis=0) if len(own) > rows else np.zeros(1)
+            if not spread.max() > 0:
+                continue
+            f = int(spread.argmax())
+            v = part[:, f]
+            bound = np.partition(v, len(v) // 2 - 1)[len(v) // 2 - 1]
+            if bound == v.max():
+                bound = v[v < bound].max()
+            self.cut[at] = (f, float(bound), -1, -1)
+            todo += [(own[v > bound], at, 1), (own[v <= bound], at, 0)]
+        self.low, self.high = np.full((len(self.cut), x.shape[1]), np.inf), np.full((len(self.cut), x.shape[1]), -np.inf)
+        for at, own in enumerate(self.held):
+            if len(own):
+                self.set_box(at, x[own].min(axis=0), x[own].max(axis=0))
+
+    def set_box(self, at: int, low: np.ndarray, high: np.ndarray) -> None:
+        self.low[at], self.high[at] = low, high
+
+    def leaves(self) -> list[int]:
+        return [at for at, cut in enumerate(self.cut) if cut is None]
+
+    def cover(self) -> None:
+        """Boxes of cut cells from those of their halves."""
+        for at in range(len(self.cut) - 1, -1, -1):  # halves come after what they are halves of
+            if self.cut[at] is not None:
+                pair = list(self.cut[at][2:])
+                self.set_box(at, self.low[pair].min(axis=0), self.high[pair].max(axis=0))
+
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        """The cell that each row falls in."""
+        out, todo = np.zeros(len(x), dtype=np.int64), [(0, np.arange(len(x)))]
+        while todo:
+            at, own = todo.pop()
+            if self.cut[at] is None:
+                out[own] = at
+            elif len(own):
+                f, bound, below, above = self.cut[at]
+                left = x[own, f] <= bound
+                todo += [(below, own[left]), (above, own[~left])]
+        return out
+
+    def visits(self, x: np.ndarray, far: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """``(cell, rows)`` whose box is no further than the rows' ``far``, which may shrink between two of them."""
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            at, own = todo.pop()
+            off = np.maximum(np.maximum(self.low[at] - x[own], x[own] - self.high[at]), 0.0)
+            own = own[(off * off).sum(axis=1) <= far[own] * far[own] * (1 + 1e-9)]  # sums may round
+            if not len(own):
+                continue
+            if self.cut[at] is None:
+                yield at, own
+            else:
+                todo += [(child, own) for child in self.cut[at][2:]]
+
+
+def _nearest(cells: Cells, points: np.ndarray, values: np.ndarray, x: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and values of the ``k`` nearest points within ``far`` of each row, equal distances by the smaller value; infinite where there are fewer."""
+    d, v = np.full((len(x), k), np.inf), np.full((len(x), k), np.inf)
+    far = far.copy()
+
+    def meet(cell: int, rows: np.ndarray) -> None:
+        own = cells.held[cell]
+        for at in range(0, len(rows), QUERY_ROWS):
+            some = rows[at : at + QUERY_ROWS]
+            new = np.zeros((len(some), len(own)))
+            for c in range(x.shape[1]):
+                new += (x[some, c][:, None] - points[own, c][None, :]) ** 2
+            new = np.sqrt(new)
+            new[~(new <= far[some][:, None])] = np.inf
+            hit = np.isfinite(new).any(axis=1)
+            some, new = some[hit], new[hit]
+            every = np.concatenate([d[some], new], axis=1)
+            worth = np.concatenate([v[some], np.broadcast_to(values[own], new.shape)], axis=1)
+            line = np.arange(len(some))
+            for j in range(k):
+                least = every.min(axis=1)
+                tied = np.where(every == least[:, None], worth, np.inf)
+                best = tied.argmin(axis=1)
+                d[some, j], v[some, j] = least, tied[line, best]
+                every[line, best] = np.inf
+            far[some] = np.minimum(far[some], d[some, k - 1])
+
+    homes = cells.homes(x)
+    order = np.argsort(homes, kind="stable")
+    ends = np.flatnonzero(np.diff(homes[order])) + 1
+    for rows in np.split(order, ends):  # a good bound first
+        if len(rows):
+            meet(int(homes[rows[0]]), rows)
+    for cell, rows in cells.visits(x, far):
+        meet(cell, rows[homes[rows] != cell])
+    return d, v
+
+
+def _lists(d: np.ndarray, v: np.ndarray) -> pa.Array:
+    """``array<struct<d, v>>`` of what was found."""
+    found = np.isfinite(d)
+    offsets = np.concatenate([[0], np.cumsum(found.sum(axis=1))]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(d[found]), pa.array(v[found])], ["d", "v"])
+    return pa.ListArray.from_arrays(pa.array(offsets), pairs)
 
 
 def knn_fill(df: DataFrame, features: list[str], target: str, key: list[str], k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Fill ``target`` by the inverse-distance mean of its ``k`` nearest complete rows, of all of them.
 
-    ``key`` names a row.  Complete rows are dealt to blocks by a hash and every
-    row to fill visits every block, which gives back its ``k`` nearest there;
-    the nearest of these are the nearest of all.  A task holds one block, and
-    no pair of rows is ever a row.  The work is the product of both counts.
+    Rows of equal features ask once, whatever their ``key``, and of complete
+    rows with equal features only the ``k`` of smallest value can be near, so
+    no point is held more than ``k`` times.  Points are dealt to blocks of
+    neighbouring ones.  A row to fill asks its own block first; the distance of
+    its ``k``-th point there bounds the search, and it visits just those other
+    blocks whose box is no further.  Within a block the same holds of cells.
+    So the work grows with the rows, not with pairs of them, unless features
+    are so many that every box is near; a task then still holds one block.
     Equal distances go to the smaller value, distance 0 weighs 1e6, and rows
     that miss another feature, or find no complete row, stay as they are.
-    Rows of one key and equal features ask once and get one value.
     """
     others = [f for f in features if f != target]
-    cells = [valid(f).alias(f"__x{i}") for i, f in enumerate(others)]
-    gaps = sum((valid(f).isNull().cast("int") for f in others), F.lit(0))
-    named = df.withColumn("__id", F.xxhash64(*[F.col(f"`{c}`") for c in key], *[valid(f) for f in others]))
-    complete = named.where((gaps == 0) & valid(target).isNotNull()).select(F.lit(0).alias("__kind"), "__id", *cells, valid(target).alias("__v"))
-    ask = named.where((gaps == 0) & valid(target).isNull()).select(F.lit(1).alias("__kind"), "__id", *cells, F.lit(None).cast("double").alias("__v")).dropDuplicates(["__id"])
-    blocks = max(1, -(-complete.count() // block_rows))
-    dealt = complete.withColumn("__block", F.pmod("__id", F.lit(blocks)).cast("int"))
-    sent = ask.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = dealt.unionByName(sent)
-    # queries of a block are dealt to several tasks, each with the block's rows
-    shares = max(1, df.sparkSession.sparkContext.defaultParallelism // blocks)
-    share = F.when(F.col("__kind") == 0, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.pmod(F.xxhash64("__id"), F.lit(shares)).cast("int")))
-    rows = rows.withColumn("__share", F.explode(share)).withColumn("__task", F.col("__block") * shares + F.col("__share"))
-    rows = rows.select("__task", "__kind", "__id", "__v", *[f"__x{i}" for i in range(len(others))]).repartitionById(blocks * shares, F.col("__task")).sortWithinPartitions("__kind")
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        points, values = np.zeros((0, len(others))), np.zeros(0)
+    names = [f"__x{i}" for i in range(max(len(others), 1))]
+    cells = [valid(f) + 0.0 for f in others] or [F.lit(0.0)]  # -0.0 is 0.0
+    whole = sum((valid(f).isNull().cast("int") for f in others), F.lit(0)) == 0
+    asks = whole & valid(target).isNull()
+    placed = df.select(*[c.alias(n) for c, n in zip(cells, names, strict=True)], valid(target).alias("__v"), whole.alias("__whole")).where("__whole").drop("__whole")
+    counts = placed.where("__v is not null").groupBy(*names, "__v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("__n"))
+    first = F.row_number().over(Window.partitionBy(*names).orderBy("__v"))
+    points = materialize(counts.withColumn("__r", first).where(F.col("__r") <= k).drop("__r"), "points")
+    ask = materialize(placed.where("__v is null").select(*names).distinct().withColumn("__id", F.monotonically_increasing_id()), "asked")
+    blocks, n = _blocks(points, names, block_rows)
+    kept = [valid(target).alias(c) if c == target else F.col(f"`{c}`") for c in df.columns]
+    if not n:
+        return df.select(*kept)
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = np.asarray(batch.column(1))
-            x = np.stack([np.asarray(c) for c in batch.columns[4:]], axis=1) if others else np.zeros((len(kind), 0))
-            if (kind == 0).any():
-                held.append((x[kind == 0], np.asarray(batch.column(3).to_numpy(zero_copy_only=False))[kind == 0]))
-            asked = np.flatnonzero(kind == 1)
-            if len(asked) and held:
-                points, values = np.concatenate([points, *[p for p, _ in held]]), np.concatenate([values, *[v for _, v in held]])
-                order = np.argsort(values, kind="stable")  # so that equal distances go to the smaller value
-                points, values, held = points[order], values[order], []
-            if not len(values):
-                continue
-            ids = batch.column(2).to_numpy(zero_copy_only=False)
-            for at in range(0, len(asked), QUERY_ROWS):
-                part = asked[at : at + QUERY_ROWS]
-                d = np.zeros((len(part), len(values)))
-                for c in range(len(others)):
-                    d += (x[part, c][:, None] - points[:, c][None, :]) ** 2
-                best = _least(d, min(k, len(values)))
-                far = np.sqrt(np.take_along_axis(d, best, axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part].astype(np.int64), best.shape[1])), pa.array(far.reshape(-1)), pa.array(values[best].reshape(-1))], ["__id", "__d", "__v"])
-
-    found = rows.mapInArrow(nearest, "__id long, __d double, __v double")
-    rank = F.row_number().over(Window.partitionBy("__id").orderBy("__d", "__v"))
-    near = found.withColumn("__r", rank).where(F.col("__r") <= k)
-    weight = F.when(F.col("__d") > 0, 1.0 / F.greatest(F.col("__d"), F.lit(1e-300))).otherwise(1e6)
-    filled = near.groupBy("__id").agg((F.sum(weight * F.col("__v")) / F.sum(weight)).alias("__filled"))
-    out = named.join(filled, "__id", "left")
-    value = F.when(valid(target).isNull() & F.col("__filled").isNotNull(), F.col("__filled")).otherwise(valid(target))
-    return out.select(*[value.alias(c) if c == target else F.col(f"`{c}`") for c in df.columns])
-
-
-def _least(d: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` least of each row; of equal ones, the first."""
-    bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    out = np.empty((len(d), k), dtype=np.int64)
-    for i, row in enumerate(d):
-        some = np.flatnonzero(row <= bound[i])
-        out[i] = some[np.argsort(row[some], kind="stable")[:k]]
-    return out
+            x = np.stack([np.asarray(batch.column(c)) for c in names], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks.homes(x).astype(np.int32))], [*batch.schema.names, "__block"])
+
+    located = lambda rows: rows.mapInArrow(homes, T.StructType([*rows.schema.fields, T.StructField("__block", T.IntegerType())]))
+    points = materialize(located(points), "points")
+    boxes = points.groupBy("__block").agg(*[F.min(c).alias(f"lo{c}") for c in names], *[F.max(c).alias(f"hi{c}") for c in names]).collect()  # a row a block
+    blocks.low[:], blocks.high[:], blocks.held = np.inf, -np.inf, []
+    for r in boxes:
+        blocks.set_box(r["__block"], np.array([r[f"lo{c}"] for c in names]), np.array([r[f"hi{c}"] for c in names]))
+    blocks.cover()
+
+    def others_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([np.asarray(batch.column(c)) for c in names], axis=1)
+            near, home = batch.column("__near"), np.asarray(batch.column("__block"))
+            n, flat = np.diff(np.asarray(near.offsets)), np.asarray(near.flatten().field("d"))
+            far = np.full(len(x), np.inf)
+            full = n == k
+            far[full] = flat[np.cumsum(n)[full] - 1]
+            for block, rows in blocks.visits(x, far):
+                rows = rows[home[rows] != block]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[rows, c]) for c in range(len(names))], batch.column("__id").take(pa.array(rows)), pa.array(np.full(len(rows), block, dtype=np.int32)), pa.array(far[rows])], [*names, "__id", "__block", "__far"])
+
+    typed = ", ".join(f"{c} double" for c in names)
+    own = materialize(_visit(points, located(ask).withColumn("__far", F.lit(float("inf"))), names, k), "near")
+    more = materialize(own.mapInArrow(others_near, f"{typed}, __id long, __block int, __far double"), "visits")
+    found = _visit(points, more, names, k).groupBy("__id").agg(F.flatten(F.collect_list("__near")).alias("__more"))  # at most k a block
+    pair = F.slice(F.array_sort(F.concat("__near", F.coalesce("__more", F.expr("array()")))), 1, k)
+    weight = lambda p: F.when(p["d"] > 0, 1.0 / F.greatest(p["d"], F.lit(1e-300))).otherwise(1e6)
+    total = lambda of: F.aggregate("__near", F.lit(0.0), lambda a, p: a + of(p))
+    filled = own.join(found, "__id", "left").withColumn("__near", pair)
+    filled = filled.select(*names, F.try_divide(total(lambda p: weight(p) * p["v"]), total(weight)).alias("__filled"))
+    gaps = df.where(asks).select("*", *[c.alias(n) for c, n in zip(cells, names, strict=True)]).join(filled, names, "left")
+    gaps = gaps.select(*[F.col("__filled").alias(c) if c == target else F.col(f"`{c}`") for c in df.columns])
+    return df.where(~asks).select(*kept).unionByName(gaps)
+
+
+def _blocks(points: DataFrame, names: list[str], block_rows: int) -> tuple[Cells, int]:
+    """Cuts of the points into blocks of about ``block_rows``, placed by a few points of each, and how many points there are."""
+    n = points.count()
+    blocks = max(1, -(-n // block_rows), min(points.sparkSession.sparkContext.defaultParallelism, n // 2000))
+    some = points.select(*names).sample(min(1.0, CUT_POINTS * blocks / max(n, 1)), seed=1).collect() if blocks > 1 else []  # CUT_POINTS a block
+    return Cells(np.array(some, dtype=float).reshape(-1, len(names)), CUT_POINTS), n
+
+
+def _visit(points: DataFrame, asks: DataFrame, names: list[str], k: int) -> DataFrame:
+    """``asks`` with ``__near``: the ``k`` nearest ``points`` of their ``__block`` within ``__far``.
+
+    A block's rows that ask are dealt to tasks of about BLOCK_ROWS, each with
+    the block's points.
+    """
+    spark = points.sparkSession
+    counts = {r["__block"]: r["n"] for r in asks.groupBy("__block").agg(F.count("*").alias("n")).collect()}  # a row a block
+    if not counts:
+        return asks.select(*names, "__id", "__block").withColumn("__near", F.expr("cast(array() as array<struct<d:double,v:double>>)"))
+    plan, tasks = [], 0
+    for block, n in sorted(counts.items()):
+        shares = -(-n // BLOCK_ROWS)
+        plan.append((block, tasks, shares))
+        tasks += shares
+    table = F.broadcast(spark.createDataFrame(plan, "__block int, __first int, __shares int"))
+    held = points.join(table, "__block").withColumn("__task", F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("__shares") - 1)))
+    asked = asks.join(table, "__block").withColumn("__task", (F.col("__first") + F.pmod(F.xxhash64("__id"), F.col("__shares"))).cast("int"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = held.select("__task", F.lit(0).alias("__kind"), none("long").alias("__id"), "__block", none("double").alias("__far"), "__v", "__n", *names)
+    rows = rows.unionByName(asked.select("__task", F.lit(1).alias("__kind"), "__id", "__block", "__far", none("double").alias("__v"), none("int").alias("__n"), *names))
+    rows = rows.repartitionById(tasks, F.col("__task")).sortWithinPartitions("__task", "__kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            task = np.asarray(batch.column(0))
+            ends = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+            for a, b in zip(ends, ends[1:], strict=False):
+                if b > a and task[a] != at:
+                    if held:
+                        yield from answer(held)
+                    at, held = task[a], []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from answer(held)
+
+    def answer(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        point = np.asarray(rows["__kind"]) == 0
+        x = np.stack([np.asarray(rows[c]) for c in names], axis=1)
+        times = rows["__n"].to_numpy()[point].astype(np.int64)
+        places, values = np.repeat(x[point], times, axis=0), np.repeat(rows["__v"].to_numpy()[point], times)
+        asked = np.flatnonzero(~point)
+        d, v = _nearest(Cells(places, CELL_ROWS), places, values, x[asked], rows["__far"].to_numpy()[asked], k)
+        own = rows.select([*names, "__id", "__block"]).take(pa.array(asked)).combine_chunks()
+        for at in range(0, len(asked), 10_000):
+            part = own.slice(at, 10_000)
+            yield pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in part.columns], _lists(d[at : at + 10_000], v[at : at + 10_000])], [*part.column_names, "__near"])
+
+    typed = ", ".join(f"{c} double" for c in names)
+    return rows.mapInArrow(run, f"{typed}, __id long, __block int, __near array<struct<d:double,v:double>>")
 
 
 def random_fill(df: DataFrame, target: str, row_id: Column, seed: int = 0) -> DataFrame:
