@@ -35,6 +35,20 @@ def test_quantiles_of_all_groups(spark, monkeypatch, range_rows, weighted):
     assert ordering.grouped_quantiles(df.limit(0), 0.5, weighted) == {}
 
 
+def test_quantiles_of_skewed_groups_without_lists(spark, monkeypatch):
+    """Values over many magnitudes, infinite ones and halves far apart; no pass ranks more rows than a range may hold."""
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 20)
+    rng = np.random.default_rng(9)
+    groups = {0: 10.0 ** rng.uniform(-250, 250, 601), 1: np.concatenate([np.full(100, -5e307), np.full(100, 5e307)]), 2: np.concatenate([rng.normal(size=301), [np.inf] * 20])}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v], "group int, value double")
+    got = ordering.grouped_quantiles(df, 0.5)
+    assert got == {0: pytest.approx(np.median(groups[0])), 1: pytest.approx(0.0, abs=1e294), 2: pytest.approx(np.median(groups[2]))}
+    calls = []
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: calls.append(a))
+    even = spark.range(5000).select(F.lit(0).alias("group"), F.col("id").cast("double").alias("value"))
+    assert ordering.grouped_quantiles(even, 0.25) == {0: pytest.approx(4999 * 0.25)} and not calls
+
+
 def test_renewed_leaves_are_what_the_loss_asks_for(spark):
     """After a full step no leaf's quantile of the residuals is off zero, whatever the outliers."""
     df = spark.range(600).select("id", F.pmod(F.col("id") * 7, F.lit(10)).cast("double").alias("x"))

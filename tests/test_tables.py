@@ -210,3 +210,23 @@ def test_rank_agreement_of_a_hot_query(spark):
             use = (2.0**r - 1) / 16
             want, go = want + go * use / i, go * (1 - use)
         assert err[q] == pytest.approx(want)
+
+
+def test_d2_and_medians_without_lists_of_values(spark, monkeypatch):
+    """The same as numpy's, and no aggregate that holds every value."""
+    from timberline.operators import regression
+
+    monkeypatch.setattr(F, "median", lambda *a: pytest.fail("a list of all values"))
+    rng = np.random.default_rng(3)
+    y, p = np.round(rng.exponential(size=400), 2) + 0.5, rng.uniform(1, 2, 400)
+    df = spark.createDataFrame([(float(a), float(b), "xyz"[k % 3] if k % 7 else None) for k, (a, b) in enumerate(zip(y, p, strict=True))] + [(None, 1.0, "x")], "y double, p double, g string")
+    row = regression.d2_scores(df, F.col("p"), F.col("y"), 0.3).first()
+    assert row["d2_absolute_error"] == pytest.approx(1 - np.abs(p - y).mean() / np.abs(np.median(y) - y).mean())
+    loss = lambda q: np.where(y >= q, 0.3 * (y - q), 0.7 * (q - y)).mean()
+    assert row["d2_pinball"] == pytest.approx(1 - loss(p) / loss(np.sort(y)[int(399 * 0.3)]))
+    assert regression.d2_absolute_error(df, F.col("p"), F.col("y")).first()[0] == pytest.approx(row["d2_absolute_error"])
+    got = {r["g"]: r["median_absolute_error"] for r in regression.median_absolute_errors(df, F.col("p"), F.col("y"), "g").collect()}
+    for g in "xyz":
+        own = [k for k in range(400) if k % 7 and "xyz"[k % 3] == g]
+        assert got[g] == pytest.approx(np.median(np.abs(p - y)[own]))
+    assert got[None] == pytest.approx(np.median(np.abs(p - y)[::7]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from timberline.operators.spec import ratio
 
 EPS = 1e-12
+#: Stands for the median among shares of an order.
+MIDDLE = None
 
 
 def mean(x: Column, w: Column | None = None) -> Column:
@@ -130,25 +133,66 @@ def report(df: DataFrame, p: Column, y: Column, w: Column | None = None, names:
     return df.agg(*[METRICS[n](p, y, w).alias(n) for n in (names or list(METRICS))])
 
 
+def _at(df: DataFrame, y: Column, shares: list[float | None]) -> list[float | None]:
+    """The valid values of ``y`` at positions ``floor((n - 1) * share)`` of their order, for 0.5 the mean of the middle pair."""
+    from timberline.operators.ordering import outlines, values_at
+
+    rows = df.select(y.cast("double").alias("y"))
+    lines = outlines(rows, ["y"])
+    n = lines["y"].total
+    if not n:
+        return [None] * len(shares)
+    spots = [((n - 1) // 2, n // 2) if q is MIDDLE else (math.floor((n - 1) * q),) * 2 for q in shares]
+    at = values_at(rows, {"y": [p for pair in spots for p in pair]}, lines)["y"]
+    return [(at[a][0] + at[b][0]) / 2 if a != b else at[a][0] for a, b in spots]
+
+
+def _constant(value: float | None) -> Column:
+    return F.lit(value).cast("double")
+
+
+def _d2_absolute_error(p: Column, y: Column, middle: Column) -> Column:
+    return (1 - ratio(F.avg(F.abs(p - y)), F.avg(F.abs(middle - y)), 1.0)).alias("d2_absolute_error")
+
+
+def _d2_pinball(p: Column, y: Column, base: Column, alpha: float) -> Column:
+    return (1 - ratio(pinball(p, y, None, alpha), pinball(base, y, None, alpha), 1.0)).alias("d2_pinball")
+
+
+def _d2_tweedie(p: Column, y: Column, mean_y: Column, power: float) -> Column:
+    return (1 - ratio(tweedie_deviance(p, y, None, power), tweedie_deviance(mean_y, y, None, power), 1.0)).alias("d2_tweedie")
+
+
 def d2_absolute_error(df: DataFrame, p: Column, y: Column) -> DataFrame:
     """1 less the mean absolute error over that of the median."""
-    middle = df.agg(F.median(y).alias("__m"))
-    return df.crossJoin(F.broadcast(middle)).agg((1 - ratio(F.avg(F.abs(p - y)), F.avg(F.abs(F.col("__m") - y)), 1.0)).alias("d2_absolute_error"))
+    return df.agg(_d2_absolute_error(p, y, _constant(_at(df, y, [MIDDLE])[0])))
 
 
 def d2_pinball(df: DataFrame, p: Column, y: Column, alpha: float = 0.5) -> DataFrame:
     """Against the constant at position ``floor((n - 1) * alpha)`` of the sorted targets."""
-    from timberline.operators.ordering import pick, value_counts
-
-    ranked = value_counts(df.select(F.lit("y").alias("feature"), y.cast("double").alias("value")))
-    spot = ranked.groupBy("feature").agg(F.floor((F.first("total") - 1) * alpha).alias("position")).withColumn("name", F.lit("q"))
-    base = pick(ranked, spot).select(F.col("value").alias("__q"))
-    return df.crossJoin(F.broadcast(base)).agg((1 - ratio(pinball(p, y, None, alpha), pinball(F.col("__q"), y, None, alpha), 1.0)).alias("d2_pinball"))
+    return df.agg(_d2_pinball(p, y, _constant(_at(df, y, [alpha])[0]), alpha))
 
 
 def d2_tweedie(df: DataFrame, p: Column, y: Column, power: float = 1.5) -> DataFrame:
-    base = df.agg(F.avg(y).alias("__m"))
-    return df.crossJoin(F.broadcast(base)).agg((1 - ratio(tweedie_deviance(p, y, None, power), tweedie_deviance(F.col("__m"), y, None, power), 1.0)).alias("d2_tweedie"))
+    return df.agg(_d2_tweedie(p, y, _constant(df.agg(F.avg(y)).first()[0]), power))
+
+
+def d2_scores(df: DataFrame, p: Column, y: Column, alpha: float = 0.5, power: float = 1.5) -> DataFrame:
+    """All three in one row, from one search for both positions and one pass of sums."""
+    middle, base = _at(df, y, [MIDDLE, alpha])
+    mean_y = _constant(df.agg(F.avg(y)).first()[0])
+    return df.agg(_d2_absolute_error(p, y, _constant(middle)), _d2_pinball(p, y, _constant(base), alpha), _d2_tweedie(p, y, mean_y, power))
+
+
+def median_absolute_errors(df: DataFrame, p: Column, y: Column, group: str) -> DataFrame:
+    """``group, median_absolute_error``: the median of each group's errors without a list of them; groups must be few."""
+    from timberline.operators.ordering import grouped_quantiles
+
+    groups = [r[0] for r in df.select(group).distinct().collect()]  # a row a group
+    table = df.sparkSession.createDataFrame(list(enumerate(groups)), f"__group int, {group} {df.schema[group].dataType.simpleString()}")
+    rows = df.select(F.col(group), F.abs(p - y).alias("value")).join(F.broadcast(table.withColumnRenamed(group, "__name")), F.col(group).eqNullSafe(F.col("__name")))
+    found = grouped_quantiles(rows.select(F.col("__group").alias("group"), "value"), 0.5)
+    return df.sparkSession.createDataFrame([(g, found.get(k)) for k, g in enumerate(groups)], f"{group} {df.schema[group].dataType.simpleString()}, median_absolute_error double")
 
 
 def lag_metrics(df: DataFrame, p: Column, y: Column, group: list[str], order: list[str], stretch: Column) -> DataFrame:

@@ -39,12 +39,14 @@ def regression_weighted(spark, sf_dir):
 
 def regression_by_group(spark, sf_dir):
     df = _predictions(spark, sf_dir)
-    return df.groupBy("l_returnflag").agg(F.round(regression.rmse(_p(), _y()), 4).alias("rmse"), F.round(regression.median_absolute_error(_p(), _y()), 4).alias("median_absolute_error"))
+    middles = regression.median_absolute_errors(df, _p(), _y(), "l_returnflag").withColumnRenamed("l_returnflag", "flag")
+    out = df.groupBy("l_returnflag").agg(F.round(regression.rmse(_p(), _y()), 4).alias("rmse"))
+    return out.join(F.broadcast(middles), F.col("l_returnflag").eqNullSafe(F.col("flag"))).select("l_returnflag", "rmse", F.round("median_absolute_error", 4).alias("median_absolute_error"))
 
 
 def d2_scores(spark, sf_dir):
     df = _predictions(spark, sf_dir)
-    out = regression.d2_absolute_error(df, _p(), _y()).crossJoin(regression.d2_pinball(df, _p(), _y(), 0.3)).crossJoin(regression.d2_tweedie(df, _p(), _y(), 1.5))
+    out = regression.d2_scores(df, _p(), _y(), 0.3, 1.5)
     return rounded(out, 5, *out.columns)
 
 
