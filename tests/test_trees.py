@@ -253,3 +253,25 @@ def test_only_the_lighter_child_is_summed_from_rows(spark, monkeypatch):
     parent, child = (histogram.leaf_histograms(d, {"x": 8, "y": 8}, F.lit(n), [n]) for d, n in ((df, 0), (df.where("bin_z < 3"), 1)))
     other = {(r["leaf"], r["feature"], r["bin"]): (r["n"], round(r["sum_g"], 9)) for r in histogram.leaf_histograms(df.where("bin_z >= 3"), {"x": 8, "y": 8}, F.lit(2), [2]).collect()}
     assert {(r["leaf"], r["feature"], r["bin"]): (r["n"], round(r["sum_g"], 9)) for r in histogram.siblings(parent, child, [(0, 1, 2)]).collect()} == other
+
+
+def test_rows_of_equal_bins_are_summed_before_growing(spark, monkeypatch):
+    """The same trees as from single rows, of which a tree then makes no second pass."""
+    df = spark.range(4000).select("id", *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(6)).cast("double").alias(f) for k, f in enumerate("ab")], F.pmod(F.col("id") * 7919, F.lit(13)).alias("noise"))
+    df = df.withColumn("y", F.col("a") * F.col("b") + F.col("noise") / 4).withColumn("c", F.pmod(F.col("noise"), F.lit(3)))
+    plain, seen = histogram.leaf_histograms, []
+
+    def watched(binned, *args, **options):
+        seen.append(binned.count())
+        return plain(binned, *args, **options)
+
+    monkeypatch.setattr(histogram, "leaf_histograms", watched)
+    found = {}
+    for least in (8, 10**9):
+        monkeypatch.setattr(histogram, "CONDENSE", least)
+        seen.clear()
+        model = boosting.train(df, ["a", "b"], "y", ["id"], rounds=2, num_leaves=5, each={"a": 0.01})
+        classes = boosting.train_multiclass(df, ["a", "b"], "c", ["id"], 3, rounds=1, num_leaves=3)
+        found[least] = [(n.feature, n.threshold, n.count, round(n.value, 9), round(n.weight, 6)) for t in [*model.trees, *(m.trees[0] for m in classes)] for n in t.nodes]
+        assert max(seen) <= 36 * 2 if least == 8 else min(seen) == 4000
+    assert found[8] == found[10**9]
