@@ -230,3 +230,22 @@ def test_d2_and_medians_without_lists_of_values(spark, monkeypatch):
         own = [k for k in range(400) if k % 7 and "xyz"[k % 3] == g]
         assert got[g] == pytest.approx(np.median(np.abs(p - y)[own]))
     assert got[None] == pytest.approx(np.median(np.abs(p - y)[::7]))
+
+
+def test_moments_of_pairs_in_one_pass(spark):
+    """Far from zero, with gaps, over several parts: as numpy's over the rows that hold both; four numbers a pair are not four aggregates."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 3)) + [1e8, 0.0, -5.0]
+    x[:, 2] += x[:, 1]
+    x[::5, 0], x[1::7, 1], x[2::11, 2] = np.nan, np.inf, np.nan
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").withColumn("gone", F.lit(None).cast("double")).repartition(5)
+    got = {(r["a"], r["b"]): r for r in profile.pair_moments(df, ["a", "b", "c", "gone"]).collect()}
+    assert len(got) == 6 and got["a", "gone"]["n"] == 0
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        both = np.isfinite(x[:, i]) & np.isfinite(x[:, j])
+        c = np.cov(x[both][:, [i, j]].T, ddof=0)
+        r = got["abc"[i], "abc"[j]]
+        assert r["n"] == both.sum() and (r["cov"], r["vx"], r["vy"]) == (pytest.approx(c[0, 1], abs=1e-7), pytest.approx(c[0, 0], abs=1e-7), pytest.approx(c[1, 1], abs=1e-7))
+    rows = {(r["a"], r["b"]): r["r"] for r in profile.correlations(df, ["a", "c", "gone"]).collect()}
+    assert rows["a", "gone"] == 0 and rows["a", "c"] == pytest.approx(got["a", "c"]["cov"] / np.sqrt(got["a", "c"]["vx"] * got["a", "c"]["vy"]))
+    assert profile.correlations(df.limit(0), ["a", "b"]).first()["r"] == 0
