@@ -110,6 +110,20 @@ def test_pairwise_gradients_with_a_hot_query(spark, monkeypatch, long_query):
         assert got[k] == (pytest.approx(g, abs=1e-9), pytest.approx(h, abs=1e-9)), k
 
 
+def test_pairwise_gradients_of_short_queries_take_one_shuffle(spark, capsys):
+    """No row is multiplied and no part of a query is joined; queries run over batches of any size."""
+    df = spark.range(3000).select("id", F.floor(F.col("id") / 7).alias("q"), F.pmod(F.xxhash64("id"), F.lit(4)).cast("double").alias("y"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(50)) / 10).alias("s"))
+    out = boosting.lambdarank_gradients(df, "q", "y", F.col("s"), ["id"], truncation=3)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan and "Join" not in plan
+    want = {r["id"]: (r["g"], r["h"]) for r in boosting._long_lambdas(df.withColumn("__score", F.col("s")).withColumn("__gain", F.pow(F.lit(2.0), F.col("y")) - 1), df.columns, "q", ["id"], 3, 1.0).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    got = {r["id"]: (r["g"], r["h"]) for r in out.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 3000 and all(got[i] == pytest.approx(want[i], abs=1e-12) for i in want)
+
+
 def test_training_on_pairs_puts_better_rows_first(spark):
     df = spark.range(800).select("id", (F.col("id") % 40).alias("q"), F.pmod(F.col("id") * 13, F.lit(11)).cast("double").alias("x"), F.pmod(F.col("id") * 7, F.lit(5)).cast("double").alias("noise"))
     df = df.withColumn("y", F.when(F.col("x") > 7, 3).when(F.col("x") > 4, 1).otherwise(0))
