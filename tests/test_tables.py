@@ -249,3 +249,25 @@ def test_moments_of_pairs_in_one_pass(spark):
     rows = {(r["a"], r["b"]): r["r"] for r in profile.correlations(df, ["a", "c", "gone"]).collect()}
     assert rows["a", "gone"] == 0 and rows["a", "c"] == pytest.approx(got["a", "c"]["cov"] / np.sqrt(got["a", "c"]["vx"] * got["a", "c"]["vy"]))
     assert profile.correlations(df.limit(0), ["a", "b"]).first()["r"] == 0
+
+
+def test_rank_agreement_of_few_grades_multiplies_no_row(spark, capsys, monkeypatch):
+    """Grades side by side and grades as rows agree; unknown grades too."""
+    df = spark.range(400).select(F.floor(F.col("id") / 9).alias("query"), (F.col("id") % 9 + 1).alias("pos"), F.when(F.col("id") % 50 != 3, F.pmod(F.xxhash64("id"), F.lit(4))).alias("rel"))
+    few = ranking.kendall(df)
+    few.explain()
+    assert "Generate" not in capsys.readouterr().out
+    monkeypatch.setattr(ranking, "FEW_GRADES", 0)
+    assert sorted(few.collect()) == sorted(ranking.kendall(df).collect())
+
+
+def test_ranges_by_halving_count_bounds_below(spark, capsys):
+    """As many ranges as bounds below a value, without a search through them all in each row."""
+    df = spark.createDataFrame([(float(x),) for x in [5, 1, 1, 2, 8, 8, 9, 3]] + [(None,), (float("nan"),)], "v double")
+    out = ordering.with_ranges(df, [], "v", 4)
+    out.explain()
+    assert "filter(" not in capsys.readouterr().out
+    bounds = df.agg(F.array_distinct(F.percentile_approx("v", [0.25, 0.5, 0.75], 40))).first()[0]
+    for r in out.collect():
+        above = r["v"] is not None and r["v"] != r["v"]
+        assert r["__range"] == (0 if r["v"] is None else sum(above or b < r["v"] for b in bounds if b == b))

@@ -17,6 +17,8 @@ from timberline.operators.regression import bootstrap, mean
 from timberline.operators.spec import ratio
 
 MAX_RELEVANCE = 4
+#: Grades that are counted side by side.
+FEW_GRADES = 16
 
 
 def exponential_gain(rel: Column) -> Column:
@@ -107,16 +109,28 @@ def spearman(rows: DataFrame) -> DataFrame:
 def kendall(rows: DataFrame) -> DataFrame:
     """``query, tau``: agreeing less disagreeing pairs over all pairs; equal relevances count for neither.
 
-    Each row is paired with the grades of its query, which should be few, and
-    counts the rows of each grade before it; no query is one array.
+    Each row counts the rows of each grade before it; no query is one array.
+    Up to FEW_GRADES grades of the table are counted side by side, in the order
+    that gave the places; with more, each row is paired with the grades of its query.
     """
+    unknown = F.count_if(F.col("rel").isNull()).alias("unknown")
+    grades = [r[0] for r in rows.select("rel").where("rel is not null").distinct().limit(FEW_GRADES + 1).collect()]
+    if len(grades) <= FEW_GRADES:
+        before = Window.partitionBy("query").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        signs = [F.signum(F.lit(g) - F.col("rel")).cast("long") * F.count_if(F.col("rel") == F.lit(g)).over(before) for g in grades]
+        scored = rows.select("query", "rel", sum(signs, F.lit(0).cast("long")).alias("s"))
+        return _tau(scored.groupBy("query").agg(F.sum("s").alias("s"), F.count("*").alias("n"), unknown))
     whole = Window.partitionBy("query")
     grades = rows.select("query", "pos", "rel", F.collect_set("rel").over(whole).alias("grades"))
     graded = grades.select("query", "pos", "rel", F.posexplode_outer("grades").alias("k", "grade"))
     before = Window.partitionBy("query", "grade").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     above = F.coalesce(F.sum((F.col("rel") == F.col("grade")).cast("long")).over(before), F.lit(0))
     scored = graded.withColumn("s", F.signum(F.col("grade") - F.col("rel")).cast("long") * above)
-    sums = scored.groupBy("query").agg(F.sum("s").alias("s"), F.count_if(F.coalesce("k", F.lit(0)) == 0).alias("n"), F.count_if(F.col("rel").isNull()).alias("unknown"))
+    sums = scored.groupBy("query").agg(F.sum("s").alias("s"), F.count_if(F.coalesce("k", F.lit(0)) == 0).alias("n"), unknown)
+    return _tau(sums)
+
+
+def _tau(sums: DataFrame) -> DataFrame:
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return sums.select("query", F.when(F.col("n") > 1, ratio(F.when(F.col("unknown") == 0, F.col("s")), pairs)).otherwise(0.0).alias("tau"))
 
